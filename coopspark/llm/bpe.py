@@ -33,7 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coopspark.llm.common import columns_of, slices, split_count
+from coopspark.llm.common import columns_of, slices
+from coopspark.plans.stage import split_count
 
 BLOCK_CHARS = 16_000_000
 _BODY = "block string, doc_ids array<bigint>, counts array<int>, seq binary, words array<string>"

@@ -7,44 +7,13 @@ lower-cases exactly A-Z.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-_local_scratch: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, deleted when the driver's JVM ends.
-
-    Only a local-mode session (tests) may leave the setting unset; it then gets
-    a temporary folder. On a cluster an unset setting is an error, because a
-    machine-local folder would not be seen by other executors.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local[") and master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        app = spark.sparkContext.applicationId
-        base = _local_scratch.setdefault(app, tempfile.mkdtemp(prefix="spark-coop-"))
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back."""
-    path = scratch_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def require_fresh(df: DataFrame, *names: str) -> None:
@@ -73,8 +42,3 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-
-
-def split_count(df: DataFrame, at_least: int = 1) -> int:
-    """Shuffle partitions for an explicit repartition: the session's setting."""
-    return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coopspark.llm import bpe, tokenbin
+from coopspark.llm import bpe, mixing, sharding, tokenbin, urlfilter
+
+#: Fixed values of the url query: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +21,77 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.ids_crc32(files)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from each document."""
+    return mixing.sample(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP6_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         (('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM documents),
+per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, ([3, 1, 2])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight, 2 * source_size AS cap FROM per),
+levels AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)::DOUBLE)
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM weighed WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+  SELECT source, source_size,
+         CASE WHEN level * weight >= cap THEN cap::DOUBLE
+              ELSE first_value(level) OVER (ORDER BY level * weight >= cap, cap / weight, source NULLS LAST) * weight END AS target
+  FROM levels),
+fractions AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END::BIGINT AS whole FROM targets),
+rests AS (
+  SELECT *, greatest(target - whole * source_size, 0) AS rest,
+         CASE WHEN source_size > 0 AND whole < 2 THEN greatest(target - whole * source_size, 0) / source_size ELSE 0 END AS fraction FROM fractions),
+ranked AS (
+  SELECT d.*, r.source_size, r.target, r.whole, r.rest, u / (1 - u) / (fraction / (1 - fraction)) AS q, size > 0 AND fraction > 0 AS sampled
+  FROM sized d JOIN rests r ON d.source IS NOT DISTINCT FROM r.source),
+summed AS (
+  SELECT *, sum(CASE WHEN sampled THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY sampled DESC, q) AS words FROM ranked),
+held AS (
+  SELECT *, rest - coalesce(max(CASE WHEN sampled AND words <= rest THEN words END) OVER (PARTITION BY source), 0) AS missing,
+         sum(size) OVER (PARTITION BY source, q, sampled) AS alike FROM summed),
+last AS (
+  SELECT source, arg_min(q, struct_pack(a := abs(alike - missing), b := q)) AS q_last FROM held
+  WHERE sampled AND words > rest AND abs(alike - missing) < missing GROUP BY source)
+SELECT doc_id, size, source_size, target,
+       size * (whole + CASE WHEN sampled AND (words <= rest OR coalesce(q = q_last, false)) THEN 1 ELSE 0 END) AS taken
+FROM held LEFT JOIN last ON held.source IS NOT DISTINCT FROM last.source
+"""
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    rules = spark.createDataFrame(URL_RULES, urlfilter.RULES)
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), rules)
+
+
+OP8_SQL = r"""
+WITH rules(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+best AS (
+  SELECT p.*, (SELECT max_by(struct_pack(rule := r.host || r.path, verdict := r.verdict), length(r.host || r.path)) FROM rules r
+               WHERE (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)) AS best FROM parts p)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM best
+"""
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under the law ``rows``."""
+    from pyspark.sql import functions as F
+
+    placed = sharding.assign(_table(spark, sf_dir, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every document, as digests."""
     ranks = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -26,8 +100,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_token_ids, op10_byte_bpe)}
+    return {f.__name__: f for f in (op5_token_ids, op6_mixing, op8_url_filter, op9_sharding, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": OP6_SQL, "op8_url_filter": OP8_SQL}

@@ -36,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coopspark.llm.common import columns_of, slices, split_count, written
+from coopspark.llm.common import columns_of, slices
+from coopspark.plans.stage import split_count, written
 
 MAGIC = b"BPS1"
 BLOCK_IDS = 65_536
