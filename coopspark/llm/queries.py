@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coopspark.llm import bpe, mixing, sharding, tokenbin, urlfilter
+from coopspark.llm import bpe, mixing, quality, sharding, tokenbin, toxicity, urlfilter
 
 #: Fixed values of the url query: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -15,6 +15,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids written as byte planes in doc_id order, read back and digested."""
     files = tokenbin.write_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -100,7 +112,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_token_ids, op6_mixing, op8_url_filter, op9_sharding, op10_byte_bpe)}
+    return {f.__name__: f for f in (op3_toxicity, op4_quality, op5_token_ids, op6_mixing, op8_url_filter, op9_sharding, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
