@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coopspark.llm import bpe, mixing, quality, sharding, tokenbin, toxicity, urlfilter
+from coopspark.llm import bpe, minhash, mixing, quality, sharding, tokenbin, toxicity, urlfilter
 
 #: Fixed values of the url query: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents on four-word shingles."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -112,7 +117,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_toxicity, op4_quality, op5_token_ids, op6_mixing, op8_url_filter, op9_sharding, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_minhash, op3_toxicity, op4_quality, op5_token_ids, op6_mixing, op8_url_filter, op9_sharding, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
