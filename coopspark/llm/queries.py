@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from coopspark.llm import bpe, minhash, mixing, quality, sharding, tokenbin, toxicity, urlfilter
+from coopspark.llm import ann, bpe, minhash, mixing, quality, sharding, tokenbin, topk, toxicity, urlfilter
 
 #: Fixed values of the url query: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -20,6 +21,21 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every fiftieth one by integer inner product."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+OP2_SQL = """
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -82,6 +98,11 @@ FROM held LEFT JOIN last ON held.source IS NOT DISTINCT FROM last.source
 """
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten near neighbours of every hundredth vector, found in an NN-descent graph."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's url."""
     rules = spark.createDataFrame(URL_RULES, urlfilter.RULES)
@@ -103,8 +124,6 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') A
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document under the law ``rows``."""
-    from pyspark.sql import functions as F
-
     placed = sharding.assign(_table(spark, sf_dir, "documents"), shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -117,8 +136,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash, op3_toxicity, op4_quality, op5_token_ids, op6_mixing, op8_url_filter, op9_sharding, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_minhash, op2_topk, op3_toxicity, op4_quality, op5_token_ids, op6_mixing, op7_ann, op8_url_filter, op9_sharding, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL, "op8_url_filter": OP8_SQL}
+    return {"op2_topk": OP2_SQL, "op6_mixing": OP6_SQL, "op8_url_filter": OP8_SQL}
