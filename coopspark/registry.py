@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from coopspark.plans import base, scalar_queries  # noqa: F401  (importing a module registers its queries)
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
