@@ -4,17 +4,18 @@ Pre-tokens repeat: a corpus has far fewer distinct ones than occurrences. The
 merges, the costly part, therefore run once for each distinct pre-token of the
 whole corpus:
 
-1. ``blocks``: documents are cut into pre-tokens; each block of documents keeps
-   its distinct pre-tokens once and the occurrences as positions into them.
-2. The pre-tokens are exploded with their place in the block and shuffled by
-   word. Each task sees a word's rows side by side and encodes the word once.
+1. Documents are cut into pre-tokens; each block of documents keeps its
+   distinct pre-tokens once, and the occurrences as positions into them.
+2. The distinct pre-tokens are exploded into word buckets (a hash of the word)
+   and shuffled by bucket. A bucket's task meets every block's share of its
+   words and encodes each distinct word once.
 3. The ids go back to their blocks (one cogroup by block) and are put in the
    order of the positions.
 
-The shuffles carry a row for each (block, distinct word), not for each
-occurrence, and a very frequent word has one row a block, so no key is hot.
-Blocks are bounded by ``block_chars``. Decoding joins ids with the table of
-token bytes, whose size is the vocabulary's.
+A shuffled row holds one block's words of one bucket, compressed. A very
+frequent word is one entry a block, so no bucket is hot, and a bucket's task
+keeps only its distinct words. Blocks are bounded by ``block_chars``. The table
+of token bytes, whose size is the vocabulary's, is joined inside the tasks.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes;
 repeated rows give repeated results; an empty table gives an empty table;
@@ -24,6 +25,7 @@ extra columns are not looked at. A null ``doc_id`` is carried along.
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,7 +39,10 @@ from coopspark.llm.common import columns_of, slices
 from coopspark.plans.stage import split_count
 
 BLOCK_CHARS = 16_000_000
-_BODY = "block string, doc_ids array<bigint>, counts array<int>, seq binary, words array<string>"
+BUCKETS_PER_PARTITION = 4
+_BODY = "block bigint, doc_ids array<bigint>, counts array<int>, seq binary, buckets binary"
+_WORDS = "bucket int, block bigint, words binary"
+_IDS = "bucket int, block bigint, ids binary"
 _loaded: dict[tuple[str, str], object] = {}
 
 
@@ -68,117 +73,183 @@ def _ragged(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     return data[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
 
 
-def _blocks(pattern: str, block_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find, part, made = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
-        index: dict[str, int] = {}
-        ids: list[int | None] = []
-        counts: list[int] = []
-        seq: list[np.ndarray] = []
-        chars = 0
-
-        def block() -> pa.RecordBatch:
-            # The name holds a digest of the block's words: both passes over the input must cut it alike.
-            digest = xxhash.xxh3_64()
-            for w in index:
-                digest.update(w.encode())
-            body = np.concatenate([np.zeros(0, "<u4"), *seq])
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([f"{part}-{made}-{digest.hexdigest()}"]),
-                    pa.array([ids], pa.list_(pa.int64())),
-                    pa.array([counts], pa.list_(pa.int32())),
-                    pa.array([_packed(body)], pa.binary()),
-                    pa.array([list(index)], pa.list_(pa.string())),
-                ],
-                names=["block", "doc_ids", "counts", "seq", "words"],
-            )
+def _packed(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers as byte planes, zstd: upper planes of small numbers nearly vanish."""
+    import zstandard
 
-        for batch in slices(batches, 64):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = find(text or "")
-                ids.append(doc)
-                counts.append(len(words))
-                seq.append(np.fromiter((index.setdefault(w, len(index)) for w in words), "<u4", len(words)))
-                chars += len(text or "")
-                if chars >= block_chars:
-                    yield block()
-                    made, chars = made + 1, 0
-                    index, ids, counts, seq = {}, [], [], []
-        if ids:
-            yield block()
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
-    return run
+
+def _unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _packed(seq: np.ndarray) -> bytes:
-    """Byte planes, zstd: positions fall with a word's first use, so the upper planes nearly vanish."""
+def _packed_words(words: list[bytes]) -> bytes:
+    """Lengths as numbers, then all bytes, zstd."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(seq.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    head = _packed(np.fromiter(map(len, words), "<u4", len(words)))
+    return struct.pack("<I", len(head)) + head + zstandard.ZstdCompressor(level=3).compress(b"".join(words))
 
 
-def _unpacked(data: bytes) -> np.ndarray:
+def _unpacked_words(data: bytes) -> list[bytes]:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    (n,) = struct.unpack_from("<I", data)
+    ends = np.cumsum(_unpacked(data[4 : 4 + n]).astype(np.int64)).tolist()
+    text = zstandard.ZstdDecompressor().decompress(data[4 + n :])
+    return [text[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
 
+def _cut(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int) -> Iterator[tuple[int, list[bytes], list, list[int], np.ndarray]]:
+    """Blocks: name, distinct words in the order of first use, document ids, words in each document, positions.
 
-def _encode_words(encoder: Callable[[], Callable[[str], list[int]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come sorted by word: each distinct word is encoded once, also across batches."""
+    The name holds a digest of the words: two passes over the input that cut it
+    differently don't match, and that is noticed.
+    """
+    import regex
+
+    find, part, made = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
+    index: dict[str, int] = {}
+    ids: list[int | None] = []
+    counts: list[int] = []
+    seq: list[np.ndarray] = []
+    chars = 0
+
+    def block() -> tuple[int, list[bytes], list, list[int], np.ndarray]:
+        words = [w.encode() for w in index]
+        digest = xxhash.xxh3_64(f"{part}-{made}-{len(ids)}")
+        for w in words:
+            digest.update(w)
+        return int(np.array(digest.intdigest(), np.uint64).view(np.int64)), words, ids, counts, np.concatenate([np.zeros(0, "<u4"), *seq])
+
+    for batch in slices(batches, 64):
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = find(text or "")
+            ids.append(doc)
+            counts.append(len(words))
+            seq.append(np.fromiter((index.setdefault(w, len(index)) for w in words), "<u4", len(words)))
+            chars += len(text or "")
+            if chars >= block_chars:
+                yield block()
+                made, chars = made + 1, 0
+                index, ids, counts, seq = {}, [], [], []
+    if ids:
+        yield block()
+
+
+def _buckets(words: list[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(n)
+
+
+def _bodies(pattern: str, block_chars: int, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each block, with the positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, words, ids, counts, seq in _cut(batches, pattern, block_chars):
+            columns = [pa.array([name], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([_packed(seq)], pa.binary()), pa.array([_packed(_buckets(words, n))], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "counts", "seq", "buckets"])
+
+    return run
+
+
+def _exploded(pattern: str, block_chars: int, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each block and bucket, with the block's distinct words that belong there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, words, *_ in _cut(batches, pattern, block_chars):
+            bucket = _buckets(words, n)
+            order = np.argsort(bucket, kind="stable")
+            found, starts = np.unique(bucket[order], return_index=True)
+            spans = np.split(order, starts[1:]) if len(found) else []
+            packs = [_packed_words([words[i] for i in span.tolist()]) for span in spans]
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array([name] * len(packs), pa.int64()), pa.array(packs, pa.binary())], names=["bucket", "block", "words"])
+
+    return run
+
+
+def _encode_words(encoder: Callable[[], Callable[[bytes], list[int]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come sorted by bucket; a bucket's distinct words are encoded once and kept until the next one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
-        last: tuple[str, bytes] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            words = batch.column(2).dictionary_encode()
-            names = words.dictionary.to_pylist()
-            ids = [last[1] if last and w == last[0] else np.array(encode(w), "<u4").tobytes() for w in names]
-            final = words.indices[-1].as_py()
-            last = (names[final], ids[final])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()).take(words.indices)], names=["block", "pos", "ids"])
+        at, known = None, {}
+        for batch in slices(batches, 64):
+            out = []
+            for bucket, pack in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if bucket != at:
+                    at, known = bucket, {}
+                parts = []
+                for w in _unpacked_words(pack):
+                    ids = known.get(w)
+                    if ids is None:
+                        ids = known[w] = np.array(encode(w), "<u4").tobytes()
+                    parts.append(ids)
+                out.append(_packed(np.concatenate([np.array([len(parts)], "<u4"), np.fromiter(map(len, parts), "<u4", len(parts)) // 4, np.frombuffer(b"".join(parts), "<u4")])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["bucket", "block", "ids"])
 
     return run
 
 
-def _assemble(body: pa.Table, words: pa.Table) -> pa.Table:
-    """Word ids of one block back in the order of its documents."""
-    docs = body.column("doc_ids")[0].as_py()
-    counts = np.array(body.column("counts")[0].as_py(), np.int64)
-    seq = _unpacked(body.column("seq")[0].as_py())
-    order = np.argsort(words.column("pos").to_numpy())
-    encoded = words.column("ids").combine_chunks()
-    encoded = encoded.combine_chunks() if isinstance(encoded, pa.ChunkedArray) else encoded
-    offsets = np.frombuffer(encoded.buffers()[1], np.int32)[encoded.offset : encoded.offset + len(encoded) + 1] // 4 if len(encoded) else np.zeros(1, np.int32)
-    flat = np.frombuffer(encoded.buffers()[2], "<u4") if len(encoded) and encoded.buffers()[2] is not None else np.zeros(0, "<u4")
-    starts, lengths = offsets[:-1][order].astype(np.int64), np.diff(offsets)[order].astype(np.int64)
-    if len(seq) and len(starts) <= int(seq.max()):
-        raise RuntimeError("a block's words are missing: the input changed between two passes over it")
-    spans = np.concatenate([[0], np.cumsum(counts)])
-    token_ends = np.concatenate([[0], np.cumsum(lengths[seq])])[spans]
-    ids = _ragged(flat, starts[seq], lengths[seq]).astype(np.int32)
-    return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(token_ends.astype(np.int32)), pa.array(ids))})
+def _assemble(token_bytes: Callable[[], list[bytes]]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Word ids of one block back in the order of its documents, and the bytes that they stand for."""
+
+    def run(body: pa.Table, encoded: pa.Table) -> pa.Table:
+        docs = body.column("doc_ids")[0].as_py()
+        counts = np.array(body.column("counts")[0].as_py(), np.int64)
+        seq = _unpacked(body.column("seq")[0].as_py())
+        buckets = _unpacked(body.column("buckets")[0].as_py())
+        packs = [_unpacked(p.as_py()) for p in encoded.sort_by("bucket").column("ids")]
+        lengths = np.concatenate([np.zeros(0, np.int64), *[p[1 : 1 + p[0]] for p in packs]]).astype(np.int64)
+        flat = np.concatenate([np.zeros(0, "<u4"), *[p[1 + p[0] :] for p in packs]]).astype(np.int32)
+        if len(lengths) != len(buckets):
+            raise RuntimeError("a block's words are missing: the input changed between two passes over it")
+        # Packs follow each other by bucket, and in the order of first use within one.
+        order = np.argsort(buckets, kind="stable")
+        starts, sizes = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        starts[order], sizes[order] = np.cumsum(lengths) - lengths, lengths
+        names = token_bytes()
+        spelled = list(map(names.__getitem__, flat.tolist()))
+        word_bytes = [b"".join(spelled[i : i + n]) for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        ids, decoded, at = [], [], 0
+        for n in counts.tolist():
+            used = seq[at : at + n]
+            ids.append(_ragged(flat, starts[used], sizes[used]))
+            decoded.append(b"".join(map(word_bytes.__getitem__, used.tolist())))
+            at += n
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), "decoded": pa.array(decoded, pa.binary())})
+
+    return run
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Token ids of every whole text: (doc_id bigint, ids array<int>)."""
+    """Every whole text's token ids, and the bytes that these decode to: (doc_id bigint, ids array<int>, decoded binary)."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # as large as the vocabulary, whatever the corpus
     key = f"{xxhash.xxh3_64(repr(sorted(ranks.items())[:64])).hexdigest()}-{len(ranks)}"
 
-    def encoder() -> Callable[[str], list[int]]:
+    def encoder() -> Callable[[bytes], list[int]]:
         return _tiktoken(shared.value, pattern, key)._encode_single_piece
 
+    def token_bytes() -> list[bytes]:
+        if (key, "bytes") not in _loaded:
+            table = [b""] * (max(shared.value.values(), default=-1) + 1)
+            for token, i in shared.value.items():
+                table[i] = token
+            _loaded[key, "bytes"] = table
+        return _loaded[key, "bytes"]  # type: ignore[return-value]
+
     source = columns_of(docs, id_col, text_col).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     parts = split_count(docs)
-    body = source.mapInArrow(_blocks(pattern, block_chars), _BODY)
-    words = body.select("block", F.posexplode("words").alias("pos", "word"))
-    encoded = words.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(_encode_words(encoder), "block string, pos int, ids binary")
-    return body.drop("words").groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_assemble, "doc_id bigint, ids array<int>")
+    n = BUCKETS_PER_PARTITION * parts
+    bodies = source.mapInArrow(_bodies(pattern, block_chars, n), _BODY)
+    words = source.mapInArrow(_exploded(pattern, block_chars, n), _WORDS)
+    encoded = words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(encoder), _IDS)
+    return bodies.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_assemble(token_bytes), "doc_id bigint, ids array<int>, decoded binary")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
