@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coopspark.plans import base, scalar_queries  # noqa: F401  (importing a module registers its queries)
+from coopspark.plans import base, pipeline_queries, scalar_queries, stat_queries  # noqa: F401  (importing a module registers its queries)
 
 
 def queries() -> dict:
