@@ -27,6 +27,7 @@ def rank_pass(groups: DataFrame, null: DataFrame, group: str = "name", value: st
     """(group, n, n0, ks_d, mw_u, tie_sum) for each group; null values don't count.
 
     ``tie_sum`` is the sum of t**3 - t over the tied values of group and null.
+    An empty null gives an empty result.
     """
     z = null.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("zc"))
     g = groups.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("gc"))
@@ -35,7 +36,7 @@ def rank_pass(groups: DataFrame, null: DataFrame, group: str = "name", value: st
     own = running_sum(g, "gc", ["v"], ["g"], name="le")
     sizes = g.groupBy("g").agg(F.sum("gc").alias("n"))
     totals = z.agg(F.sum("zc").alias("n0"), F.sum(F.expr("cast(zc as double) * zc * zc - zc")).alias("ties0"))
-    joined = own.join(ranked, "v").join(sizes, "g").crossJoin(F.broadcast(totals))  # one row
+    joined = own.join(ranked, "v").join(sizes, "g").crossJoin(F.broadcast(totals.where("n0 > 0")))  # one row
     at = F.abs(F.expr("le / n - le0 / n0"))
     before = F.abs(F.expr("(le - gc) / n - (le0 - zc) / n0"))
     ties = F.expr("cast(gc + zc as double) * (gc + zc) * (gc + zc) - (gc + zc) - (cast(zc as double) * zc * zc - zc)")
