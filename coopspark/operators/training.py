@@ -78,7 +78,7 @@ def metrics(predictions: DataFrame, group: list[str]) -> DataFrame:
     return out.withColumn("loss", F.col("mse") + F.col("bce")).withColumn("pearson", F.when(F.col("n") > 2, F.col("pearson")))
 
 
-def fit_two_heads(train: DataFrame, k: int = 4, features: int = 256, seed: int = 42) -> list:
+def fit_two_heads(train: DataFrame, k: int = 3, features: int = 64, trees: int = 4, depth: int = 3, seed: int = 42) -> list:
     """Spark ML on hashed k-mers: a tree ensemble for the signal and one for the class. Returns (pipeline model, column) for each track."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import HashingTF, SQLTransformer
@@ -87,7 +87,7 @@ def fit_two_heads(train: DataFrame, k: int = 4, features: int = 256, seed: int =
     words = SQLTransformer(statement=f"SELECT *, transform(sequence(1, greatest(length(seq) - {k - 1}, 1)), i -> substring(seq, i, {k})) AS kmers__ FROM __THIS__")
     out = []
     for label, name in (("target_reg_log", "p_reg__"), ("target_class", "p_class__")):
-        tree = GBTRegressor(featuresCol=f"{name}f", labelCol=label, predictionCol=name, maxIter=5, maxDepth=3, seed=seed)
+        tree = GBTRegressor(featuresCol=f"{name}f", labelCol=label, predictionCol=name, maxIter=trees, maxDepth=depth, seed=seed)
         stages = [words, HashingTF(inputCol="kmers__", outputCol=f"{name}f", numFeatures=features), tree]
         out.append((Pipeline(stages=stages).fit(train), name))
     return out

@@ -29,12 +29,12 @@ VIEWS = {
       SELECT CONCAT(CONCAT(least(a.p_brand, b.p_brand), '|'), greatest(a.p_brand, b.p_brand)) AS tf_pair, least(a.p_brand, b.p_brand) AS tf1, greatest(a.p_brand, b.p_brand) AS tf2,
              round(avg(x.l_discount - x.l_tax) * 10, 12) AS coop_score, round(sum(abs(x.l_discount - x.l_tax)), 4) AS abs_i_sum, round(avg(x.l_tax) * avg(x.l_discount) * 20, 12) AS ks_p,
              round(avg(x.l_tax), 12) AS ks_q, round(avg(x.l_quantity), 12) AS mean_distance, count(*) AS count,
-             CASE WHEN avg(x.l_discount - x.l_tax) > 0.0105 THEN 'Synergistic' WHEN avg(x.l_discount - x.l_tax) < 0.0095 THEN 'Redundant' WHEN avg(x.l_quantity) > 25.5 THEN 'Independent' ELSE 'Intermediate' END AS cooperativity
+             CASE WHEN avg(x.l_discount - x.l_tax) > 0.010503 THEN 'Synergistic' WHEN avg(x.l_discount - x.l_tax) < 0.009497 THEN 'Redundant' WHEN avg(x.l_quantity) > 25.50013 THEN 'Independent' ELSE 'Intermediate' END AS cooperativity
       FROM lineitem x JOIN part a ON x.l_partkey = a.p_partkey JOIN part b ON (x.l_suppkey * 7 + x.l_linenumber) % 101 = b.p_partkey
       GROUP BY least(a.p_brand, b.p_brand), greatest(a.p_brand, b.p_brand)""",
     "tfs": """
       SELECT p_brand AS tf, p_type AS family, round(avg(l_extendedprice) / 1000, 12) AS coop_score, round(avg(l_discount), 12) AS gini, round(avg(l_tax), 12) AS mean_isa_t0, count(*) AS count,
-             CASE WHEN avg(l_discount) > 0.0503 THEN 'Synergistic' WHEN avg(l_discount) < 0.0497 THEN 'Redundant' WHEN avg(l_tax) > 0.04 THEN 'Independent' ELSE 'Intermediate' END AS cooperativity
+             CASE WHEN avg(l_discount) > 0.050303 THEN 'Synergistic' WHEN avg(l_discount) < 0.049697 THEN 'Redundant' WHEN avg(l_tax) > 0.0400013 THEN 'Independent' ELSE 'Intermediate' END AS cooperativity
       FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand, p_type""",
     "sequences": """
       SELECT o_orderkey AS region, substr(translate({m}, '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 600) AS seq FROM orders""",

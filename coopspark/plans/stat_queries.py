@@ -270,11 +270,11 @@ def r12_by_family(spark, sf):
     return rounded(report.box_stats(own, "coop_score", ["family"]), "q1", "median", "q3", "low", "high")
 
 
-_FAMILY_SQL = "f AS (SELECT p_brand AS symbol, min(p_type) AS family FROM part WHERE p_size > 20 GROUP BY 1), p AS (SELECT coop.*, a.family AS family1, coalesce(a.family = b.family, false) AS same FROM coop LEFT JOIN f a ON a.symbol = tf1 LEFT JOIN f b ON b.symbol = tf2)"
+_FAMILY_SQL = "f AS (SELECT p_brand AS symbol, arg_min(p_type, p_partkey) AS family FROM part WHERE p_size > 20 GROUP BY 1), p AS (SELECT coop.*, a.family AS family1, coalesce(a.family = b.family, false) AS same FROM coop LEFT JOIN f a ON a.symbol = tf1 LEFT JOIN f b ON b.symbol = tf2)"
 
 
 def _with_family(spark, sf):
-    f = view(spark, sf, "part").where("p_size > 20").groupBy(F.col("p_brand").alias("symbol")).agg(F.min("p_type").alias("family"))
+    f = view(spark, sf, "part").where("p_size > 20").groupBy(F.col("p_brand").alias("symbol")).agg(F.min_by("p_type", "p_partkey").alias("family"))
     return annotate.annotate_family(view(spark, sf, "coop").dropna(subset=["coop_score"]), f)
 
 
@@ -312,8 +312,8 @@ def r18_j8_mediated(spark, sf):
     return rounded(report.box_stats(own, "value", ["binds"]), "median").select("binds", "n", "median")
 
 
-@query(f"""{with_views('tfs')}, g AS (SELECT p_brand AS tf, round(avg(p_size / 50::DOUBLE), 6) AS gc FROM part GROUP BY 1), j AS (SELECT cooperativity, gc FROM tfs JOIN g USING (tf))
+@query(f"""{with_views('tfs')}, g AS (SELECT p_brand AS tf, round(avg(p_size), 12) AS gc FROM part GROUP BY 1), j AS (SELECT cooperativity, gc FROM tfs JOIN g USING (tf))
   SELECT cooperativity, count(*) AS n, round(quantile_cont(gc, 0.5), 6) AS median FROM j GROUP BY 1""")
 def r8_gc_by_class(spark, sf):
-    g = view(spark, sf, "part").groupBy(F.col("p_brand").alias("tf")).agg(F.round(F.avg(F.col("p_size") / 50), 6).alias("gc"))
+    g = view(spark, sf, "part").groupBy(F.col("p_brand").alias("tf")).agg(F.round(F.avg("p_size"), 12).alias("gc"))
     return rounded(report.box_stats(view(spark, sf, "tfs").join(g, "tf"), "gc", ["cooperativity"]), "median").select("cooperativity", "n", "median")
