@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from coopspark.operators import ablation, coop, intervals, sequences, training
+from coopspark.operators import ablation, coop, intervals, report, training
+from coopspark.operators.running import running_sum
 from coopspark.plans.adapters import view, with_views
 from coopspark.plans.base import query
 from coopspark.plans.quickstart import QuickStart
@@ -202,3 +203,34 @@ def m5_two_heads(spark, sf):
     scored = ablation.MLPredictor(heads).score(rows.where("region % 5 = 0"), "seq", "p")
     p = scored.select(F.get("p", F.lit(0)).alias("p_reg"), F.col("target_reg_log").alias("y_reg"), (F.get("p", F.lit(1)) - 0.5).alias("z_class"), F.col("target_class").alias("y_class"), F.lit("test").alias("split"))
     return training.metrics(p, ["split"])
+
+
+@query(f"{POSITIVE} SELECT region, tf1, tf2, start1, end1, start2, end2, distance, round(interaction, 6) AS interaction FROM positive")
+def f6_f7_u4_positive(spark, sf):
+    pairs = rounded(_pairs(spark, sf), "isa1_t0", "isa2_t0", "isa_both_t0", "interaction_t0", digits=9)
+    kept = coop.positive_interactions(coop.passing_pairs(pairs, 0), 0)
+    return kept.select("region", "tf1", "tf2", "start1", "end1", "start2", "end2", "distance", F.round("interaction_t0", 6).alias("interaction"))
+
+
+@query(f"""{SCORED}, g AS (SELECT 'Brand#1|Brand#2' AS name, round(interaction, 9) AS value FROM scored WHERE concat(least(tf1, tf2), '|', greatest(tf1, tf2)) = 'Brand#1|Brand#2'),
+  z AS (SELECT round(interaction, 9) AS value FROM scored WHERE distance > {NULL_FROM} AND distance <= {DISTANCE}), {RANKS}
+  SELECT name, n::BIGINT AS n, n0::BIGINT AS n0, round(ks_d, 6) AS ks_d, mw_u, round({KS_P}, 6) AS ks_p, round((SELECT quantile_cont(value, 0.5) FROM g) - (SELECT quantile_cont(value, 0.5) FROM z), 6) AS shift FROM stats""")
+def f16_f8_r2_pair_against_null(spark, sf):
+    pairs = written(rounded(_pairs(spark, sf), "interaction_t0", digits=9))
+    own = report.pair_against_null(pairs, "Brand#2", "Brand#1", 0, NULL_FROM, DISTANCE)
+    return rounded(own, "ks_d", "ks_p", "shift").select("name", "n", "n0", "ks_d", "mw_u", "ks_p", "shift")
+
+
+@query(f"{with_views('regions')} SELECT chrom, start, \"end\" FROM regions WHERE event_id % 2 = 0")
+def f14_positives_only(spark, sf):
+    labelled = view(spark, sf, "regions").withColumn("target_class", (F.col("event_id") % 2 == 0).cast("double"))
+    return labelled.where("target_class = 1").select("chrom", "start", "end")
+
+
+@query(f"""{with_views('coop')}, c AS (SELECT tf_pair, ks_p, sum(count) OVER (ORDER BY ks_p, tf_pair ROWS UNBOUNDED PRECEDING) AS running, row_number() OVER (PARTITION BY tf1 ORDER BY abs_i_sum DESC, tf_pair) AS place FROM coop) SELECT tf_pair, running, place FROM c WHERE place <= 5""")
+def w2_w5_running_top(spark, sf):
+    from pyspark.sql import Window
+
+    ranked = running_sum(view(spark, sf, "coop").select("tf_pair", "tf1", "abs_i_sum", "ks_p", "count"), "count", ["ks_p", "tf_pair"], name="running")
+    place = F.row_number().over(Window.partitionBy("tf1").orderBy(F.desc("abs_i_sum"), "tf_pair"))
+    return ranked.withColumn("place", place).where("place <= 5").select("tf_pair", "running", "place")
