@@ -26,9 +26,11 @@ order of their ids; an empty table writes no frame and reads back empty.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +44,20 @@ from coopspark.plans.stage import split_count, written
 MAGIC = b"BPS1"
 BLOCK_IDS = 65_536
 CHUNK_IDS = 1_048_576
-CACHE_WORDS = 300_000
-_SPACES = re.compile(r"[ \t-\r]+")
+CACHE_WORDS, CACHE_PIECES = 500_000, 800_000
+_SPACES, _SEPARATORS = re.compile(r"[ \t-\r]+"), re.compile("[\x1c-\x1f]")
 _loaded: dict[str, object] = {}
+
+
+def _stand_ins() -> dict[int, str]:
+    """Byte-level alphabets spell a byte by its Latin-1 character if that is printable, else by the next character from 256 on."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or (b >= 161 and b != 173)]
+    others = [b for b in range(256) if b not in printable]
+    of = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return {c: "".join(of[b] for b in chr(c).encode()) for c in range(256)}
+
+
+_STAND_INS = _stand_ins()
 FRAME = "part int, chunk int, first_id bigint, n_ids bigint, doc_ids array<bigint>, lengths array<int>, frame binary"
 
 
@@ -100,30 +113,90 @@ def unpack(frame: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
 # ---- tokens ----------------------------------------------------------------
 
 
-class _Words(dict):
-    """Ids of words between ASCII spaces, each encoded once while it stays in the cache.
+class _Cache(dict):
+    """A dictionary of two generations: the older is dropped when the younger is full, so what is frequent stays."""
+
+    def __init__(self, most: int, make):
+        self.half, self.make, self.older = most // 2, make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            self[key] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) > self.half:
+            self.older = dict(self)
+            self.clear()
+
+
+class _Words:
+    """Ids of text pieces, each encoded once while it stays in a cache.
 
     Sound for tokenizers that drop white space before their merges: no token
     then reaches across a space, so a text's ids are its words' ids end to end.
+    A word that isn't cached is split by ``pieces``, the tokenizer's own split
+    pattern where it has one, if it is Latin-1: there NFC changes nothing and
+    lower-casing goes character by character; its pieces need the merges only.
+    Others are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: str | None = None, fold: bool = False):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        self.find, self.fold = regex.compile(pieces).findall if pieces else None, fold
+        self.merges = self.tokenizer.model.tokenize
+        self.pieces, self.words = _Cache(CACHE_PIECES, self._merge), _Cache(CACHE_WORDS, self._word)
+
+    def _encode(self, piece: str) -> bytes:
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def _merge(self, piece: str) -> bytes:
+        """Ids of one piece that is already split and lower-cased: the merges alone, on its bytes' stand-ins."""
+        return array("I", [t.id for t in self.merges(piece.translate(_STAND_INS))]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if self.find and word.isascii():
+            folded = word.lower() if self.fold else word
+            if folded.isalpha():
+                return self.pieces[folded]
+            if folded[-1] in ".,;:!?" and folded[:-1].isalpha():
+                return self.pieces[folded[:-1]] + self.pieces[folded[-1]]
+        if self.find and "<|" not in word:  # special tokens are found before any split
+            try:
+                word.encode("latin-1")
+            except UnicodeEncodeError:
+                return self._encode(word)
+            return b"".join(map(self.pieces.__getitem__, self.find(word.lower() if self.fold else word)))
+        return self._encode(word)
 
     def text(self, text: str) -> bytes:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        return b"".join(map(self.__getitem__, [w for w in _SPACES.split(text) if w]))
+        self.pieces.turn()
+        self.words.turn()
+        # str.split() also splits at four control characters that aren't white space to the tokenizer
+        words = text.split() if not _SEPARATORS.search(text) else [w for w in _SPACES.split(text) if w]
+        return b"".join(map(self.words.__getitem__, words))
+
+
+def split_pattern(path: str) -> tuple[str | None, bool]:
+    """The pattern whose matches a tokenizer keeps as separate pieces before byte-level merges, and whether it lower-cases first."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    kinds = [n["type"] for n in ((said.get("normalizer") or {}).get("normalizers") or [])]
+    steps = (said.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    if len(steps) == 2 and set(kinds) <= {"NFC", "Replace", "Lowercase"} and said["model"].get("type") == "BPE":
+        split, level = steps
+        plain = level.get("type") == "ByteLevel" and not level.get("add_prefix_space") and not level.get("use_regex")
+        if plain and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert"):
+            return split["pattern"].get("Regex"), "Lowercase" in kinds
+    return None, False
 
 
 def drops_white_space(path: str) -> bool:
@@ -138,14 +211,14 @@ def drops_white_space(path: str) -> bool:
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_ids, ids binary): whole texts as little-endian unsigned 32-bit ids, zstd-compressed."""
-    by_word = drops_white_space(tokenizer_path)
+    by_word, split = drops_white_space(tokenizer_path), split_pattern(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
         if tokenizer_path not in _loaded:
-            _loaded[tokenizer_path] = _Words(tokenizer_path)
+            _loaded[tokenizer_path] = _Words(tokenizer_path, *split)
         words: _Words = _loaded[tokenizer_path]  # type: ignore[assignment]
         end = b"" if end_id is None else struct.pack("<I", end_id)
         for batch in slices(batches, 256):
