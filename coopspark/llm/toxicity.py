@@ -26,17 +26,18 @@ confirmed example every score is 0. Extra columns are not looked at by
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coopspark.llm.common import columns_of, held_out, labelled_sample, slices
+from coopspark.plans.stage import split_count, written
 
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 10_000
@@ -78,60 +79,54 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def contrast(in_p: np.ndarray, in_u: np.ndarray, p: int, u: int) -> np.ndarray:
-    """Likelihood-ratio statistic of each feature's document counts among p positives and u others."""
-    both = (in_p + in_u) / (p + u)
-
-    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0)
-
-    return 2 * (part(in_p, p * both) + part(in_u, u * both) + part(p - in_p, p * (1 - both)) + part(u - in_u, u * (1 - both)))
-
-
-def choose_features(lists: pa.ListArray, positive: np.ndarray, most: int = MAX_FEATURES) -> tuple[list[str], np.ndarray]:
-    """Names of the kept features, and their presence in the documents (float32)."""
-    rows = np.repeat(np.arange(len(lists), dtype=np.int64), np.diff(lists.offsets.to_numpy()))
-    coded = lists.flatten().dictionary_encode()
-    words, numbers = coded.dictionary, coded.indices.to_numpy()
-    p, u = int(positive.sum()), int((~positive).sum())
-    kept: list[tuple[float, str, np.ndarray]] = []
-    tried, found = 0, []
-    for n in (0, *PREFIXES):
-        if n:
-            long = pc.greater_equal(pc.utf8_length(words), n)
-            grams = pc.if_else(long, pc.utf8_slice_codeunits(words, 0, n), pa.scalar(None, words.type)).dictionary_encode()
-            code, names = grams.indices.fill_null(-1).to_numpy(), grams.dictionary
-            at = code[numbers]
-            pairs = np.unique(rows[at >= 0] * max(1, len(names)) + at[at >= 0])
-            doc, gram = pairs // max(1, len(names)), pairs % max(1, len(names))
-        else:
-            names, doc, gram = words, rows, numbers
-        tried += len(names)
-        in_p = np.bincount(gram[positive[doc]], minlength=len(names)).astype(float)
-        in_u = np.bincount(gram[~positive[doc]], minlength=len(names)).astype(float)
-        g = np.where(in_p >= 2, contrast(in_p, in_u, p, u), 0)
-        best = np.argsort(-g, kind="stable")[:most]
-        best = best[g[best] > 0]
-        place = np.full(len(names), -1)
-        place[best] = np.arange(len(best))
-        own = place[gram] >= 0
-        order = np.argsort(place[gram[own]], kind="stable")
-        members = np.split(doc[own][order], np.cumsum(np.bincount(place[gram[own]], minlength=len(best)))[:-1]) if len(best) else []
-        found += [(float(g[k]), f"{names[int(k)].as_py()}{'*' if n else '$'}", m) for k, m in zip(best, members, strict=True)]
-    found.sort(key=lambda f: (-f[0], len(f[1]), f[1]))
-    least, distinct = max(10.0, 2 * np.log(max(tried, 2))), set()
-    for g, name, docs in found:
-        same = docs.tobytes()  # a beginning that says the same as a kept one adds nothing
-        if len(kept) == most or (g <= least and len(kept) >= 64) or g <= 0:
-            break
-        if g > least or not kept or kept[0][0] <= least:
-            if same not in distinct:
-                distinct.add(same)
-                kept.append((g, name, docs))
-    x = np.zeros((len(lists), len(kept)), np.float32)
-    for k, (_, _, docs) in enumerate(kept):
-        x[docs, k] = 1
-    return [name for _, name, _ in kept], x
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial document counts of features among positives and others."""
+    for batch in slices(batches, 512):
+        in_p, in_u = Counter(), Counter()
+        for positive, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            (in_p if positive else in_u).update({k for w in words_of(text) for k in keys_of(w)})
+        keys = list(in_p.keys() | in_u.keys())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([in_p[k] for k in keys], pa.int64()), pa.array([in_u[k] for k in keys], pa.int64())], names=["key", "in_p", "in_u"])
+
+
+def choose_features(sample: DataFrame, p: int, u: int, most: int = MAX_FEATURES) -> list[str]:
+    """Features whose document counts among p positives and u others differ beyond chance, the strongest first.
+
+    The statistic is the likelihood ratio of independence; the features must
+    occur in two positives at least. Where none passes, the strongest 64 do.
+    """
+    counts = written(sample.mapInArrow(_counted, "key string, in_p bigint, in_u bigint").groupBy("key").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u")))
+    tried = counts.count()
+
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
+
+    a, b = F.col("in_p").cast("double"), F.col("in_u").cast("double")
+    both = (a + b) / F.lit(float(p + u))
+    g = part(a, both * p) + part(b, both * u) + part(p - a, (1 - both) * p) + part(u - b, (1 - both) * u)
+    strong = counts.where("in_p >= 2").select("key", F.round(2 * g, 9).alias("g")).where("g > 0")
+    best = strong.orderBy(F.desc("g"), F.length("key"), "key").limit(3 * most).collect()  # bounded by the parameter
+    least = max(10.0, 2 * np.log(max(tried, 2)))
+    passing = [r.key for r in best if r.g > least]
+    return passing or [r.key for r in best[:64]]
+
+
+def presence(sample: DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which documents are positive, and which features each shows (float32); features that say the same are left to the first."""
+    place = sample.sparkSession.sparkContext.broadcast({k: i for i, k in enumerate(features)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            bits = []
+            for text in batch.column(1).to_pylist():
+                row = np.zeros(len(place.value), np.uint8)
+                row[[place.value[k] for w in words_of(text) for k in keys_of(w) if k in place.value]] = 1
+                bits.append(np.packbits(row).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["positive", "bits"])
+
+    rows = sorted((r.positive, bytes(r.bits)) for r in sample.mapInArrow(run, "positive boolean, bits binary").collect())  # a few hundred bytes for each sampled document
+    x = np.unpackbits(np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1), axis=1, count=len(features))
+    return np.array([r[0] for r in rows], bool), x
 
 
 def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4, slack: float = 0.0) -> tuple[np.ndarray, float]:
@@ -168,22 +163,20 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     others = others.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_unlabelled).distinct()
     unlabelled = columns_of(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(others), "doc_id")
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(words_of(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], names=["doc_id", "positive", "words"])
-
     # A repeated id may bring more rows than ids were chosen: the bound holds for rows.
-    both = toxic.select("doc_id", F.lit(True).alias("positive"), "text").limit(2 * max_positive).unionByName(unlabelled.select("doc_id", F.lit(False).alias("positive"), "text").limit(2 * max_unlabelled))
-    got = both.mapInArrow(words, "doc_id bigint, positive boolean, words array<string>").toArrow().combine_chunks().sort_by([("positive", "ascending"), ("doc_id", "ascending")])
-    lists = got.column("words").combine_chunks()
-    positive = np.array(got.column("positive").to_pylist(), bool)
-    if not positive.any() or positive.all():
+    both = toxic.select(F.lit(True).alias("positive"), "text").limit(2 * max_positive).unionByName(unlabelled.select(F.lit(False).alias("positive"), "text").limit(2 * max_unlabelled))
+    sample = written(both.repartition(split_count(docs)))
+    sizes = {r.positive: r.n for r in sample.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
         return Model()
-    names, x = choose_features(lists, positive)
+    names = choose_features(sample, sizes[True], sizes[False])
     if not names:
         return Model(bias=float(np.log(prior / (1 - prior))))
-    weights, bias = fit_nnpu(x, positive, prior)
-    return Model(bias, {k: float(w) for k, w in zip(names, weights, strict=True)})
+    positive, shown = presence(sample, names)
+    distinct = list({shown[:, k].tobytes(): k for k in reversed(range(len(names)))}.values())
+    kept = sorted(distinct)[:MAX_FEATURES]
+    weights, bias = fit_nnpu(shown[:, kept].astype(np.float32), positive, prior)
+    return Model(bias, {names[k]: float(w) for k, w in zip(kept, weights, strict=True)})
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
