@@ -12,7 +12,7 @@ Rounds end when under ``SETTLED`` of all entries change, after ``rounds`` at mos
 Edges carry half-precision copies of the scaled vectors, which only the graph
 depends on. Reverse lists are sampled by hash to ``degree``, as the method does.
 
-*Search.* All queries walk together: a round expands each query's nearest
+*Search.* Walks use the graph and its reverse. All queries walk together: a round expands each query's nearest
 unexpanded nodes (an equi-join with the graph), adds their neighbours with exact
 distances and keeps the ``beam`` nearest; it ends when no query has one left.
 Distances are Euclidean in double precision on the original vectors.
@@ -37,7 +37,7 @@ from coopspark.llm.common import columns_of, slices
 from coopspark.llm.topk import finite
 from coopspark.plans.stage import split_count, written
 
-DEGREE, ROUNDS, BEAM, EXPAND = 20, 6, 64, 16
+DEGREE, ROUNDS, BEAM, EXPAND = 24, 8, 192, 48
 TREES, CELL = 4, 256
 SETTLED = 0.01
 
@@ -184,7 +184,7 @@ def _join_around(degree: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, trees: int = TREES, cell: int = CELL) -> DataFrame:
-    """(u, v): each node's approximate nearest neighbours."""
+    """(u, v, d): each node's approximate nearest neighbours, with squared distances of the scaled copies."""
     half, parts = _scaled(nodes), split_count(nodes)
     n = half.count()
     cells = max(0, min(20, int(np.log2(max(1, n / (4 * cell))))))
@@ -203,7 +203,15 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, tr
         edges = written(_keep(known.unionByName(found.withColumn("new", F.lit(1))), degree))
         if edges.where("new = 1").count() < SETTLED * degree * n:
             break
-    return edges.select("u", "v")
+    return edges.select("u", "v", "d")
+
+
+def both_ways(graph: DataFrame, degree: int) -> DataFrame:
+    """(u, v): the graph and its reverse, of which each node keeps the ``degree`` nearest, so that walks can also leave by the edges that lead in."""
+    back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "d")
+    place = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))
+    back = back.withColumn("place", place).where(F.col("place") <= degree).select("u", "v")
+    return written(graph.select("u", "v").unionByName(back).distinct())
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -233,7 +241,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = B
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, degree: int = DEGREE, beam: int = BEAM, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``is_query`` (of vec_id), its k nearest others as found."""
     nodes, members = nodes_of(vectors, id_col, vector_col)
-    graph = build_graph(nodes, degree)
+    graph = both_ways(build_graph(nodes, degree), degree)
     asking = members.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("node").alias("from"))
     walks = asking.select(F.col("from").alias("query")).distinct().join(nodes, F.col("query") == F.col("node")).select("query", "x", F.col("query").alias("entry"))
     found = search(nodes, graph, walks, max(beam, k + 1))
