@@ -43,8 +43,10 @@ MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 10_000
 MAX_FEATURES = 600
 PREFIXES = (3, 4, 5, 6, 7, 8)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
+_seen: dict[str, tuple[str, ...]] = {}
+_seen_by: list = [None]
 
 
 def words_of(text: str | None) -> set[str]:
@@ -63,16 +65,17 @@ class Model:
 
     bias: float = -30.0
     weights: dict[str, float] = field(default_factory=dict)
-    seen: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False, compare=False)
 
     def score(self, text: str | None) -> float:
-        if len(self.seen) > CACHE_WORDS:
-            self.seen.clear()
+        # The worker's cache serves one model at a time: broadcast models outlive their job in a worker.
+        if _seen_by[0] is not self or len(_seen) > CACHE_WORDS:
+            _seen.clear()
+            _seen_by[0] = self
         found: set[str] = set()
         for w in words_of(text) if self.weights else ():
-            keys = self.seen.get(w)
+            keys = _seen.get(w)
             if keys is None:
-                keys = self.seen[w] = tuple(k for k in keys_of(w) if k in self.weights)
+                keys = _seen[w] = tuple(k for k in keys_of(w) if k in self.weights)
             if keys:
                 found.update(keys)
         z = self.bias + sum(self.weights[k] for k in sorted(found))
@@ -81,7 +84,7 @@ class Model:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial document counts of features among positives and others."""
-    for batch in slices(batches, 512):
+    for batch in slices(batches, 128):
         in_p, in_u = Counter(), Counter()
         for positive, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             (in_p if positive else in_u).update({k for w in words_of(text) for k in keys_of(w)})
