@@ -44,7 +44,7 @@ from coopspark.plans.stage import split_count, written
 MAGIC = b"BPS1"
 BLOCK_IDS = 65_536
 CHUNK_IDS = 1_048_576
-CACHE_WORDS, CACHE_PIECES = 500_000, 800_000
+CACHE_WORDS, CACHE_PIECES = 1_000_000, 1_000_000
 _SPACES, _SEPARATORS = re.compile(r"[ \t-\r]+"), re.compile("[\x1c-\x1f]")
 _loaded: dict[str, object] = {}
 
@@ -228,18 +228,27 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, id_co
             else:
                 ids = [np.array(e.ids, "<u4").tobytes() + end for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
             counts = [len(i) // 4 for i in ids]
-            data = [squeeze(_planes(np.frombuffer(i, "<u4"), 8).tobytes()) for i in ids]
+            data = [_narrow(i, squeeze) for i in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32()), pa.array(data, pa.binary())], names=["doc_id", "n_ids", "ids"])
 
     source = columns_of(docs, id_col, text_col).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id bigint, n_ids int, ids binary")
 
 
+def _narrow(ids: bytes, squeeze) -> bytes:
+    """A document's ids for the shuffle: the number of bytes that its largest id needs (2 or 4), then that many planes."""
+    values = np.frombuffer(ids, "<u4")
+    width = 2 if not len(values) or values.max() < 65536 else 4
+    planes = np.ascontiguousarray(values.astype(f"<u{width}", copy=False).view(np.uint8).reshape(-1, width).T)
+    return bytes([width]) + squeeze(planes.tobytes())
+
+
 def _raw(data: bytes) -> np.ndarray:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    width = data[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype("<u4")
 
 
 # ---- files -----------------------------------------------------------------
