@@ -9,8 +9,8 @@ next ones in that order (blocks of bounded size). Then each round joins, around
 every node, its neighbours and reverse neighbours with each other (neighbours of
 neighbours), where at least one is new, and keeps each node's ``degree`` nearest.
 Rounds end when under ``SETTLED`` of all entries change, after ``rounds`` at most.
-Edges carry half-precision copies of the scaled vectors, which only the graph
-depends on. Reverse lists are sampled by hash to ``degree``, as the method does.
+Edges carry single-precision copies of the centred vectors, each with its own
+exponent, which only the graph depends on. Reverse lists are sampled by hash to ``degree``, as the method does.
 
 *Search.* Walks use the graph and its reverse. All queries walk together: a round expands each query's nearest
 unexpanded nodes (an equi-join with the graph), adds their neighbours with exact
@@ -40,6 +40,7 @@ from coopspark.plans.stage import split_count, written
 DEGREE, ROUNDS, BEAM, EXPAND = 24, 8, 192, 48
 TREES, CELL = 4, 256
 SETTLED = 0.01
+HIGHEST = 480  # exponent of the largest component of the copies
 
 
 def nodes_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
@@ -53,19 +54,31 @@ def nodes_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     return nodes, written(members)
 
 
-def _floats(column: pa.Array) -> np.ndarray:
-    flat = np.frombuffer(b"".join(column.to_pylist()), np.float16)
-    return flat.reshape(len(column), -1).astype(np.float32)
+def _vectors(column: pa.Array) -> np.ndarray:
+    """The copies that ``_scaled`` packed, in double precision."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1)
+    return np.ldexp(raw[:, 1:].astype(np.float64), raw[:, :1].view(np.int32))
 
 
 def _scaled(nodes: DataFrame) -> DataFrame:
-    """(node, h): vectors scaled into half precision, as bytes."""
+    """(node, h): an exponent of the vector's own and single-precision fractions of it, as bytes.
+
+    Vectors are taken from the components' medians. One power of two for all puts
+    the largest component where its square is still a double; vectors that are up
+    to 1e300 times smaller keep their precision.
+    """
+    length = nodes.select(F.size("x")).first()
     top = nodes.agg(F.max(F.array_max(F.transform("x", lambda v: F.abs(v))))).first()[0] or 1.0
+    shift = HIGHEST - int(np.frexp(top)[1])
+    medians = nodes.agg(*[F.percentile_approx(F.element_at("x", i + 1), 0.5, 200) for i in range(length[0])]).first() if length else []
+    middle = np.ldexp(np.array(medians, np.float64), shift)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
-            data = [(np.array(v, np.float64) / top).astype(np.float16).tobytes() for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["node", "h"])
+            x = np.ldexp(np.array(batch.column(1).to_pylist(), np.float64), shift) - middle
+            own = np.frexp(np.abs(x).max(axis=1, keepdims=True))[1].astype(np.int32)
+            data = np.hstack([own.view(np.float32), np.ldexp(x, -own).astype(np.float32)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in data], pa.binary())], names=["node", "h"])
 
     return written(nodes.select("node", "x").mapInArrow(run, "node bigint, h binary"))
 
@@ -74,7 +87,7 @@ def _nearest(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     """Each row's k nearest other rows: positions from, positions to, squared distances."""
     n, k = len(ids), min(k, len(ids) - 1)
     if k < 1:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32)
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     sq = (x * x).sum(axis=1)
     d = np.maximum(sq[:, None] + sq[None, :] - 2 * (x @ x.T), 0)
     np.fill_diagonal(d, np.inf)
@@ -92,10 +105,10 @@ def _start(degree: int, cell: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
         def block() -> pa.RecordBatch:
             own, x = np.array(ids, np.int64), np.stack(rows)
             at, to, d = _nearest(own, x, degree)
-            return pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(own[to]), pa.array(d.astype(np.float32))], names=["u", "v", "d"])
+            return pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(own[to]), pa.array(d)], names=["u", "v", "d"])
 
         for batch in slices(batches, 256):
-            x = _floats(batch.column(2))
+            x = _vectors(batch.column(2))
             for t, node, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), x, strict=True):
                 if ids and (t != tree or len(ids) >= cell):
                     yield block()
@@ -114,12 +127,12 @@ def _planes(half: DataFrame, trees: int, cells: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
-            x = _floats(batch.column(1))
+            x = _vectors(batch.column(1))
             for t in range(trees):
-                planes = np.random.default_rng(1000 + t).standard_normal((1 + cells, x.shape[1])).astype(np.float32)
+                planes = np.random.default_rng(1000 + t).standard_normal((1 + cells, x.shape[1]))
                 p = x @ planes.T
                 cell = ((p[:, 1:] > 0) << np.arange(cells)).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(cell * trees + t, pa.int64()), pa.array(p[:, 0].astype(np.float64)), batch.column(0), batch.column(1)], names=["tree", "place", "node", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell * trees + t, pa.int64()), pa.array(p[:, 0]), batch.column(0), batch.column(1)], names=["tree", "place", "node", "h"])
 
     return half.mapInArrow(run, "tree bigint, place double, node bigint, h binary")
 
@@ -161,12 +174,12 @@ def _join_around(degree: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             out_d.append(dist[fine])
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *out_u])), pa.array(np.concatenate([np.zeros(0, np.int64), *out_v])), pa.array(np.concatenate([np.zeros(0, np.float32), *out_d]).astype(np.float32))], names=["u", "v", "d"])
+            batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *out_u])), pa.array(np.concatenate([np.zeros(0, np.int64), *out_v])), pa.array(np.concatenate([np.zeros(0), *out_d]))], names=["u", "v", "d"])
             out_u.clear(), out_v.clear(), out_d.clear()
             return batch
 
         for batch in slices(batches, 1024):
-            x = _floats(batch.column(3))
+            x = _vectors(batch.column(3))
             for c, node, fresh, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), x, strict=True):
                 if c != centre:
                     if ids:
@@ -190,7 +203,7 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, tr
     cells = max(0, min(20, int(np.log2(max(1, n / (4 * cell))))))
     placed = _planes(half, trees, cells)
     # Hash by cell, sort by place within: blocks are runs of the order.
-    started = placed.repartition(parts, "tree").sortWithinPartitions("tree", "place", "node").select("tree", "node", "h").mapInArrow(_start(degree, cell), "u bigint, v bigint, d float")
+    started = placed.repartition(parts, "tree").sortWithinPartitions("tree", "place", "node").select("tree", "node", "h").mapInArrow(_start(degree, cell), "u bigint, v bigint, d double")
     edges = written(_keep(started.withColumn("new", F.lit(1)), degree))
     for _ in range(rounds):
         back = edges.select(F.col("v").alias("c"), F.col("u").alias("node"), "new")
@@ -198,7 +211,7 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, tr
         back = back.withColumn("place", F.row_number().over(some)).where(F.col("place") <= degree).drop("place")
         around = edges.select(F.col("u").alias("c"), F.col("v").alias("node"), "new").unionByName(back).groupBy("c", "node").agg(F.max("new").alias("new"))
         work = around.join(half, "node").select("c", "node", (F.col("new") == 1).alias("new"), "h").repartition(parts, "c").sortWithinPartitions("c")
-        found = work.mapInArrow(_join_around(degree), "u bigint, v bigint, d float")
+        found = work.mapInArrow(_join_around(degree), "u bigint, v bigint, d double")
         known = edges.withColumn("new", F.lit(0))
         edges = written(_keep(known.unionByName(found.withColumn("new", F.lit(1))), degree))
         if edges.where("new = 1").count() < SETTLED * degree * n:

@@ -84,3 +84,15 @@ def test_neighbours_query(spark):
     sf = "/root/testdata/sf0.1"
     rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert recall(queries.op7_ann(spark, sf).collect(), brute_nearest(rows, 100)) >= 0.9
+
+
+def test_neighbours_one_huge_vector(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((4000, 16)))] + [(9001, [1e9] * 16)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    nodes, _ = ann.nodes_of(table)
+    want = brute_nearest(rows, 100)
+    near = {}
+    for r in ann.build_graph(nodes).where("u % 100 = 0").orderBy("u", "d").collect():
+        near.setdefault(r.u, []).append(r.v)
+    assert np.mean([len({i for i, _ in best} & set(near[q][:10])) / 10 for q, best in want.items()]) >= 0.9
