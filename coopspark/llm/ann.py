@@ -7,7 +7,8 @@ fills neighbour lists nor any task; the copies' ids join again at the end.
 nodes are sorted along a projection within cells of a coarser one and meet the
 next ones in that order (blocks of bounded size). Then each round joins, around
 every node, its neighbours and reverse neighbours with each other (neighbours of
-neighbours), where at least one is new, and keeps each node's ``degree`` nearest.
+neighbours), where at least one is new, and keeps each node's ``degree`` nearest;
+every pair that can enter one of the two lists goes on.
 Rounds end when under ``SETTLED`` of all entries change, after ``rounds`` at most.
 Edges carry single-precision copies of the centred vectors, each with its own
 exponent, which only the graph depends on. Reverse lists are sampled by hash to ``degree``, as the method does.
@@ -144,54 +145,66 @@ def _keep(edges: DataFrame, degree: int) -> DataFrame:
     return one.withColumn("place", place).where(F.col("place") <= degree).drop("place")
 
 
-def _join_around(degree: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by centre: all pairs around it with a new one are measured, and each end's nearest few go on."""
+def _nearest_of_each(u: np.ndarray, v: np.ndarray, d: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each u's ``degree`` nearest different v: no other can be among its nearest of all tasks."""
+    order = np.lexsort((d, v, u))
+    u, v, d = u[order], v[order], d[order]
+    one = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])[: len(u)]
+    u, v, d = u[one], v[one], d[one]
+    order = np.lexsort((v, d, u))
+    u, v, d = u[order], v[order], d[order]
+    keep = np.arange(len(u)) - np.searchsorted(u, u) < degree
+    return u[keep], v[keep], d[keep]
+
+
+def _join_around(degree: int, hold: int = 500_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (c, node, new, far, h) sorted by centre: all pairs around it with a new one are measured.
+
+    A pair goes on to each end whose list it can enter, that is, unless it is
+    farther than ``far``, the end's worst entry. Of what a task has found for a
+    node, its ``degree`` nearest leave it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, ids, new, rows = None, [], [], []
-        out_u: list[np.ndarray] = []
-        out_v: list[np.ndarray] = []
-        out_d: list[np.ndarray] = []
-
-        def around() -> None:
-            own, first = np.unique(np.array(ids, np.int64), return_index=True)
-            fresh = np.zeros(len(own), bool)
-            np.logical_or.at(fresh, np.searchsorted(own, ids), new)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: tuple[np.ndarray, ...] | None = None
+
+        def around(own: np.ndarray, fresh: np.ndarray, far: np.ndarray, x: np.ndarray) -> None:
             if len(own) < 2 or not fresh.any():
                 return
-            x = np.stack([rows[i] for i in first])
             sq = (x * x).sum(axis=1)
             d = np.maximum(sq[:, None] + sq[None, :] - 2 * (x @ x.T), 0)
-            d[~(fresh[:, None] | fresh[None, :])] = np.inf
-            np.fill_diagonal(d, np.inf)
-            few = min(max(2, degree // 4), len(own) - 1)
-            to = np.argpartition(d, few - 1, axis=1)[:, :few]
-            at = np.repeat(np.arange(len(own)), few)
-            dist = d[at, to.ravel()]
-            fine = np.isfinite(dist)
-            out_u.append(own[at[fine]])
-            out_v.append(own[to.ravel()[fine]])
-            out_d.append(dist[fine])
+            enters = (fresh[:, None] | fresh[None, :]) & (d <= far[:, None])
+            np.fill_diagonal(enters, False)
+            at, to = np.nonzero(enters)
+            out.append((own[at], own[to], d[at, to]))
 
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *out_u])), pa.array(np.concatenate([np.zeros(0, np.int64), *out_v])), pa.array(np.concatenate([np.zeros(0), *out_d]))], names=["u", "v", "d"])
-            out_u.clear(), out_v.clear(), out_d.clear()
-            return batch
+        def gathered() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            u, v, d = (np.concatenate([part[i] for part in out]) for i in range(3))
+            return _nearest_of_each(u, v, d, degree)
 
-        for batch in slices(batches, 1024):
-            x = _vectors(batch.column(3))
-            for c, node, fresh, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), x, strict=True):
-                if c != centre:
-                    if ids:
-                        around()
-                    centre, ids, new, rows = c, [], [], []
-                ids.append(node)
-                new.append(fresh)
-                rows.append(row)
+        def flush() -> pa.RecordBatch:
+            u, v, d = out[0]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d)], names=["u", "v", "d"])
+
+        for batch in slices(batches, 4096):
+            own = (*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)), _vectors(batch.column(4)))
+            if held is not None:
+                own = tuple(np.concatenate([a, b]) for a, b in zip(held, own, strict=True))
+            bounds = [0, *(np.flatnonzero(np.diff(own[0])) + 1).tolist()]
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                around(*(a[lo:hi] for a in own[1:]))
+            held = tuple(a[bounds[-1] :] for a in own)
+            if sum(len(part[0]) for part in out) > hold:
+                out[:] = [gathered()]
+                if len(out[0][0]) > hold // 2:
+                    yield flush()
+        if held is not None:
+            around(*held[1:])
+        if out:
+            out[:] = [gathered()]
             yield flush()
-        if ids:
-            around()
-        yield flush()
 
     return run
 
@@ -210,7 +223,9 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, tr
         some = Window.partitionBy("c").orderBy(F.desc("new"), F.xxhash64("node", "c"))
         back = back.withColumn("place", F.row_number().over(some)).where(F.col("place") <= degree).drop("place")
         around = edges.select(F.col("u").alias("c"), F.col("v").alias("node"), "new").unionByName(back).groupBy("c", "node").agg(F.max("new").alias("new"))
-        work = around.join(half, "node").select("c", "node", (F.col("new") == 1).alias("new"), "h").repartition(parts, "c").sortWithinPartitions("c")
+        worst = edges.groupBy("u").agg(F.when(F.count(F.lit(1)) >= degree, F.max("d")).alias("far")).withColumnRenamed("u", "node")
+        far = F.coalesce("far", F.lit(float("inf"))).alias("far")
+        work = around.join(half, "node").join(worst, "node", "left").select("c", "node", (F.col("new") == 1).alias("new"), far, "h").repartition(parts, "c").sortWithinPartitions("c")
         found = work.mapInArrow(_join_around(degree), "u bigint, v bigint, d double")
         known = edges.withColumn("new", F.lit(0))
         edges = written(_keep(known.unionByName(found.withColumn("new", F.lit(1))), degree))

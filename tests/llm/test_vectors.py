@@ -96,3 +96,19 @@ def test_neighbours_one_huge_vector(spark):
     for r in ann.build_graph(nodes).where("u % 100 = 0").orderBy("u", "d").collect():
         near.setdefault(r.u, []).append(r.v)
     assert np.mean([len({i for i, _ in best} & set(near[q][:10])) / 10 for q, best in want.items()]) >= 0.9
+
+
+def test_join_passes_all_that_can_enter():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    n, degree = 40, 24
+    x = rng.standard_normal((n, 4)).astype(np.float32)
+    packed = [np.concatenate([np.zeros(1, np.int32).view(np.float32), row]).tobytes() for row in x]
+    far = np.where(np.arange(n) % 2, np.inf, 3.0)
+    columns = [pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n)), pa.array(np.ones(n, bool)), pa.array(far), pa.array(packed, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, names=["c", "node", "new", "far", "h"])
+    got = {(int(u), int(v)) for b in ann._join_around(degree)(iter([batch.slice(0, 17), batch.slice(17)])) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    d = ((x[:, None].astype(float) - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert got == {(u, int(v)) for u in range(n) for v in np.argsort(d[u])[:degree] if d[u, v] <= far[u]}
