@@ -5,7 +5,8 @@ fills neighbour lists nor any task; the copies' ids join again at the end.
 
 *Build.* Each node starts with neighbours from ``TREES`` random projections: the
 nodes are sorted along a projection within cells of a coarser one and meet the
-next ones in that order (blocks of bounded size). Then each round joins, around
+next ones in that order (blocks of ``cell`` to 2 ``cell`` - 1, so that every node
+starts with ``degree`` neighbours if there are as many). Then each round joins, around
 every node, its neighbours and reverse neighbours with each other (neighbours of
 neighbours), where at least one is new, and keeps each node's ``degree`` nearest;
 every pair that can enter one of the two lists goes on.
@@ -13,7 +14,7 @@ Rounds end when under ``SETTLED`` of all entries change, after ``rounds`` at mos
 Edges carry single-precision copies of the centred vectors, each with its own
 exponent, which only the graph depends on. Reverse lists are sampled by hash to ``degree``, as the method does.
 
-*Search.* Walks use the graph and its reverse. All queries walk together: a round expands each query's nearest
+*Search.* Walks use the graph, its reverse and a few random links. All queries walk together: a round expands each query's nearest
 unexpanded nodes (an equi-join with the graph), adds their neighbours with exact
 distances and keeps the ``beam`` nearest; it ends when no query has one left.
 Distances are Euclidean in double precision on the original vectors.
@@ -28,6 +29,7 @@ looked at.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 
 from coopspark.llm.common import columns_of, slices
 from coopspark.llm.topk import finite
+from coopspark.operators.running import running_sum
 from coopspark.plans.stage import split_count, written
 
 DEGREE, ROUNDS, BEAM, EXPAND = 24, 8, 192, 48
@@ -97,24 +100,24 @@ def _nearest(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return at, to.ravel(), d[at, to.ravel()]
 
 
-def _start(degree: int, cell: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted along a projection: blocks of ``cell`` neighbours in that order are compared exactly."""
+def _start(degree: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (block, node, h) sorted by block: the vectors of a block are compared exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows, tree = [], [], None
+        ids, rows, own = [], [], None
 
         def block() -> pa.RecordBatch:
-            own, x = np.array(ids, np.int64), np.stack(rows)
-            at, to, d = _nearest(own, x, degree)
-            return pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(own[to]), pa.array(d)], names=["u", "v", "d"])
+            members = np.array(ids, np.int64)
+            at, to, d = _nearest(members, np.stack(rows), degree)
+            return pa.RecordBatch.from_arrays([pa.array(members[at]), pa.array(members[to]), pa.array(d)], names=["u", "v", "d"])
 
         for batch in slices(batches, 256):
             x = _vectors(batch.column(2))
-            for t, node, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), x, strict=True):
-                if ids and (t != tree or len(ids) >= cell):
+            for b, node, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), x, strict=True):
+                if ids and b != own:
                     yield block()
                     ids, rows = [], []
-                tree = t
+                own = b
                 ids.append(node)
                 rows.append(row)
         if ids:
@@ -124,7 +127,7 @@ def _start(degree: int, cell: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
 
 def _planes(half: DataFrame, trees: int, cells: int) -> DataFrame:
-    """(tree, place, node, h): for each tree, a cell by the signs of some random planes and a place along another."""
+    """(tree, cell, place, node): for each tree, a cell by the signs of some random planes and a place along another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
@@ -133,9 +136,22 @@ def _planes(half: DataFrame, trees: int, cells: int) -> DataFrame:
                 planes = np.random.default_rng(1000 + t).standard_normal((1 + cells, x.shape[1]))
                 p = x @ planes.T
                 cell = ((p[:, 1:] > 0) << np.arange(cells)).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(cell * trees + t, pa.int64()), pa.array(p[:, 0]), batch.column(0), batch.column(1)], names=["tree", "place", "node", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t)), pa.array(cell, pa.int64()), pa.array(p[:, 0]), batch.column(0)], names=["tree", "cell", "place", "node"])
 
-    return half.mapInArrow(run, "tree bigint, place double, node bigint, h binary")
+    return half.mapInArrow(run, "tree bigint, cell bigint, place double, node bigint")
+
+
+def _blocks(half: DataFrame, n: int, trees: int, cells: int, cell: int) -> DataFrame:
+    """(block, node): runs of each tree's order, ``cell`` to 2 * ``cell`` - 1 nodes each (all, where there are fewer).
+
+    The order goes through the cells one after the other, so that however few
+    nodes a sign cell has, they meet those of the next ones.
+    """
+    placed = _planes(half, trees, cells).withColumn("one", F.lit(1))
+    numbered = running_sum(placed, "one", ["cell", "place", "node"], ["tree"], name="at", rows=True)
+    last = max(1, n // cell) - 1
+    block = F.least(F.floor((F.col("at") - 1) / F.lit(cell)), F.lit(last)).cast("bigint")
+    return numbered.select((block * trees + F.col("tree")).alias("block"), "node")
 
 
 def _keep(edges: DataFrame, degree: int) -> DataFrame:
@@ -214,9 +230,8 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, tr
     half, parts = _scaled(nodes), split_count(nodes)
     n = half.count()
     cells = max(0, min(20, int(np.log2(max(1, n / (4 * cell))))))
-    placed = _planes(half, trees, cells)
-    # Hash by cell, sort by place within: blocks are runs of the order.
-    started = placed.repartition(parts, "tree").sortWithinPartitions("tree", "place", "node").select("tree", "node", "h").mapInArrow(_start(degree, cell), "u bigint, v bigint, d double")
+    blocks = _blocks(half, n, trees, cells, cell).join(half, "node").select("block", "node", "h")
+    started = blocks.repartition(parts, "block").sortWithinPartitions("block", "node").mapInArrow(_start(degree), "u bigint, v bigint, d double")
     edges = written(_keep(started.withColumn("new", F.lit(1)), degree))
     for _ in range(rounds):
         back = edges.select(F.col("v").alias("c"), F.col("u").alias("node"), "new")
@@ -242,6 +257,18 @@ def both_ways(graph: DataFrame, degree: int) -> DataFrame:
     return written(graph.select("u", "v").unionByName(back).distinct())
 
 
+def random_links(nodes: DataFrame, rings: int = 2) -> DataFrame:
+    """(u, v): each node's next and previous ones on rings in random order, by which groups that are far from each other stay within reach."""
+    ends = [nodes.select("node", F.xxhash64("node", F.lit(r)).alias("place"), F.lit(r).alias("ring"), F.lit(1).alias("one")) for r in range(rings)]
+    order = written(running_sum(reduce(DataFrame.unionByName, ends), "one", ["place", "node"], ["ring"], name="at", rows=True).select("ring", "node", "at"))
+    after = order.select("ring", F.col("node").alias("v"), (F.col("at") - 1).alias("at"))
+    # The last one's next is the first.
+    n = nodes.count()
+    after = after.withColumn("at", F.when(F.col("at") == 0, F.lit(n)).otherwise(F.col("at")))
+    links = order.withColumnRenamed("node", "u").join(after, ["ring", "at"]).where("u <> v").select("u", "v")
+    return written(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+
+
 def _distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
 
@@ -269,7 +296,8 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = B
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, degree: int = DEGREE, beam: int = BEAM, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``is_query`` (of vec_id), its k nearest others as found."""
     nodes, members = nodes_of(vectors, id_col, vector_col)
-    graph = both_ways(build_graph(nodes, degree), degree)
+    degree = max(degree, k)
+    graph = written(both_ways(build_graph(nodes, degree), degree).unionByName(random_links(nodes)).distinct())
     asking = members.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("node").alias("from"))
     walks = asking.select(F.col("from").alias("query")).distinct().join(nodes, F.col("query") == F.col("node")).select("query", "x", F.col("query").alias("entry"))
     found = search(nodes, graph, walks, max(beam, k + 1))

@@ -112,3 +112,13 @@ def test_join_passes_all_that_can_enter():
     d = ((x[:, None].astype(float) - x[None]) ** 2).sum(axis=2)
     np.fill_diagonal(d, np.inf)
     assert got == {(u, int(v)) for u in range(n) for v in np.argsort(d[u])[:degree] if d[u, v] <= far[u]}
+
+
+def test_neighbours_few_vectors_elsewhere(spark):
+    rng = np.random.default_rng(8)
+    mean = np.full(16, 6.0)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((6000, 16)) + mean)]
+    rows += [(10_000 * (1 + i), v.tolist()) for i, v in enumerate(rng.standard_normal((5, 16)) - mean)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = ann.nearest(table, F.col("vec_id") % 1000 == 0).collect()
+    assert recall(got, brute_nearest(rows, 1000)) >= 0.9  # checks too that every query has 10 rows
