@@ -8,8 +8,9 @@ corrected part turns negative, which only overfitting can cause, the step goes
 back on it. The scorer is logistic on the presence of words and of word
 beginnings (``PREFIXES`` letters, for languages that inflect and compound);
 those are kept whose document frequencies in P and U differ beyond chance (a
-likelihood-ratio statistic above twice the logarithm of the number tried), the
-``MAX_FEATURES`` strongest of them.
+likelihood-ratio statistic above ``FLOOR``; documents of U that are confirmed don't
+count there), the strongest of them: ``MAX_FEATURES`` and one more for every four
+confirmed documents of the sample. Weak ones are left to the weight decay.
 
 Fitting uses bounded samples: ``max_positive`` confirmed and ``max_unlabelled``
 other documents of the training folds (crc32 of the id modulo 5 not 0), chosen
@@ -43,6 +44,7 @@ MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 10_000
 MAX_FEATURES = 600
 PREFIXES = (3, 4, 5, 6, 7, 8)
+FLOOR = 15.0  # of the likelihood ratio, at every size
 CACHE_WORDS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 _seen: dict[str, tuple[str, ...]] = {}
@@ -61,7 +63,7 @@ def keys_of(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """Feature weights and a bias; bounded by MAX_FEATURES, whatever the corpus."""
+    """Feature weights and a bias; bounded by MAX_FEATURES and the sample's bound, whatever the corpus."""
 
     bias: float = -30.0
     weights: dict[str, float] = field(default_factory=dict)
@@ -99,7 +101,6 @@ def choose_features(sample: DataFrame, p: int, u: int, most: int = MAX_FEATURES)
     occur in two positives at least. Where none passes, the strongest 64 do.
     """
     counts = written(sample.mapInArrow(_counted, "key string, in_p bigint, in_u bigint").groupBy("key").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u")))
-    tried = counts.count()
 
     def part(seen: Column, expected: Column) -> Column:
         return F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
@@ -109,8 +110,7 @@ def choose_features(sample: DataFrame, p: int, u: int, most: int = MAX_FEATURES)
     g = part(a, both * p) + part(b, both * u) + part(p - a, (1 - both) * p) + part(u - b, (1 - both) * u)
     strong = counts.where("in_p >= 2").select("key", F.round(2 * g, 9).alias("g")).where("g > 0")
     best = strong.orderBy(F.desc("g"), F.length("key"), "key").limit(3 * most).collect()  # bounded by the parameter
-    least = max(10.0, 2 * np.log(max(tried, 2)))
-    passing = [r.key for r in best if r.g > least]
+    passing = [r.key for r in best if r.g > FLOOR]
     return passing or [r.key for r in best[:64]]
 
 
@@ -167,17 +167,21 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     unlabelled = columns_of(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(others), "doc_id")
 
     # A repeated id may bring more rows than ids were chosen: the bound holds for rows.
-    both = toxic.select(F.lit(True).alias("positive"), "text").limit(2 * max_positive).unionByName(unlabelled.select(F.lit(False).alias("positive"), "text").limit(2 * max_unlabelled))
+    confirmed = labels.where(F.col(label_col).cast("int") == 1).select(F.col(id_col).alias("doc_id")).distinct().withColumn("confirmed", F.lit(True))
+    marked = unlabelled.limit(2 * max_unlabelled).join(confirmed, "doc_id", "left").select(F.lit(False).alias("positive"), "text", F.coalesce("confirmed", F.lit(False)).alias("confirmed"))
+    both = toxic.select(F.lit(True).alias("positive"), "text", F.lit(False).alias("confirmed")).limit(2 * max_positive).unionByName(marked)
     sample = written(both.repartition(split_count(docs)))
     sizes = {r.positive: r.n for r in sample.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Model()
-    names = choose_features(sample, sizes[True], sizes[False])
+    counted = sample.where(~F.col("confirmed")).select("positive", "text")
+    most = MAX_FEATURES + sizes[True] // 4
+    names = choose_features(counted, sizes[True], counted.where(~F.col("positive")).count(), most)
     if not names:
         return Model(bias=float(np.log(prior / (1 - prior))))
-    positive, shown = presence(sample, names)
+    positive, shown = presence(sample.select("positive", "text"), names)
     distinct = list({shown[:, k].tobytes(): k for k in reversed(range(len(names)))}.values())
-    kept = sorted(distinct)[:MAX_FEATURES]
+    kept = sorted(distinct)[:most]
     weights, bias = fit_nnpu(shown[:, kept].astype(np.float32), positive, prior)
     return Model(bias, {names[k]: float(w) for k, w in zip(kept, weights, strict=True)})
 

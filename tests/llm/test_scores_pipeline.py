@@ -52,6 +52,14 @@ def test_scores_odd_rows(spark, op, label, keep):
     assert len(op.score_documents(docs, nothing).collect()) == len(rows)
 
 
+def test_features_of_few_toxic_documents_are_kept(spark):
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in str(i)) + "klmnop"
+    rows = [(True, f"crude {word(i)}" + " vile" * (i < 3)) for i in range(350)] + [(False, word(i)) for i in range(7000)]
+    sample = spark.createDataFrame(rows, "positive boolean, text string")
+    # 2 * 3 ln(7350 / 350) = 18.3, but 2 ln(number tried) is above 19.
+    assert {"crude$", "vile$"} <= set(toxicity.choose_features(sample, 350, 7000))
+
+
 def test_nnpu_prefers_the_corrected_risk():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.3
