@@ -14,13 +14,16 @@ No group is expanded into pairs:
    bucket companions, is compared with all others: as many pairs as members.
    Pairs are spread by (hub, salt), so a hub of very many is many tasks' work.
 3. Where the members that remain (without the hub) already are one component,
-   no further link can matter. Other buckets are compared in blocks of at most
-   ``BLOCK`` members, inside tasks; a pair that meets in several bands is looked
-   at in its first, pairs that are connected are skipped, and only links leave.
+   no further link can matter. Members of other buckets are compared with those
+   of another component that share one of their *rarest* shingles: two linked
+   sets must share one of the ``n - ceil(0.8 n) + 1`` rarest ones of each, so
+   nothing is lost, and a passage that very many documents have opens no pairs.
+   Places in that order, sizes and shared bands exclude most pairs before any
+   text is looked at; what is left is compared like the hubs' pairs.
 
-Every pair of a bucket is thereby compared or already connected, whatever the
-bucket's size; recall is that of the banding (a pair at similarity 0.8 is missed
-with probability below 1e-5 at 24 bands of 4).
+Every pair of a bucket is thereby compared, excluded or already connected,
+whatever the bucket's size; recall is that of the banding (a pair at similarity
+0.8 is missed with probability below 1e-5 at 24 bands of 4).
 
 Defined cases: null, empty or blank texts have empty sets (0 shingles) and are
 linked with nothing; fewer words than a shingle's make one shingle; repeated
@@ -47,7 +50,7 @@ from coopspark.plans.stage import small, split_count, written
 
 PERMUTATIONS, ROWS = 48, 4
 PER_SALT = 256
-BLOCK = 256
+BLOCK = 1024
 CACHE_WORDS = 400_000
 REP_ROWS = 1_000_000
 _words: dict[bytes, int] = {}
@@ -146,77 +149,125 @@ def _compare_with_hub(width: int, percent: int) -> Callable[[Iterator[pa.RecordB
     return run
 
 
-def _compare_blocks(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by (key, i, j): members of one or two blocks of a bucket. Cross-component pairs are compared."""
+def _shingled(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (rep, component, keys, text) as (rep, component, n, sketch, set): 16 bits of each band key, and all shingles."""
 
-    def links(key: int, i: int, j: int, members: list[tuple]) -> list[tuple[int, int]]:
-        found, root = [], {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 128):
+            sets = [shingles(text, width).view(np.int64) for text in batch.column(3).to_pylist()]
+            sketches = [np.array(keys, np.int64).astype("<u2").tobytes() for keys in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(sketches, pa.binary()), pa.array(sets, pa.list_(pa.int64()))],
+                names=["rep", "component", "n", "sketch", "set"],
+            )
+
+    return run
 
-        def top(c: int) -> int:
-            while root.get(c, c) != c:
-                c = root[c]
-            return c
 
-        left = [m for m in members if m[1] == i]
-        right = left if i == j else [m for m in members if m[1] == j]
-        for p, x in enumerate(left):
-            for y in right[p + 1 :] if i == j else right:
-                cx, cy = top(x[2]), top(y[2])
-                if cx == cy or key != x[3][int(np.argmax(x[3] == y[3]))]:
-                    continue
-                if linked(x[4], y[4], percent):
-                    found.append((x[0], y[0]))
-                    root[max(cx, cy)] = min(cx, cy)
-        return found
+def _pairs_within(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (shingle, i, j, block, rep, component, n, place, sketch) sorted by (shingle, i, j): pairs that can be linked.
+
+    Two sets that share their ``place``-th and other rarest shingle have at most
+    ``min(n - place)`` in common if it is the first that they share; that, their
+    sizes, their components and the bands must allow a link.
+    """
+
+    def pairs(rows: list[np.ndarray], i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        block, rep, component, n, place, sketch = rows
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        allowed = component[left][:, None] != component[right][None, :]
+        if i == j:
+            allowed &= np.triu(np.ones(allowed.shape, bool), 1)
+        most = np.minimum((n - place)[left][:, None], (n - place)[right][None, :])
+        allowed &= (100 + percent) * most >= percent * (n[left][:, None] + n[right][None, :])
+        x, y = np.nonzero(allowed)
+        x, y = left[x], right[y]
+        banded = np.zeros(len(x), bool)
+        for at in range(0, len(x), 100_000):
+            banded[at : at + 100_000] = (sketch[x[at : at + 100_000]] == sketch[y[at : at + 100_000]]).any(axis=1)
+        return np.maximum(rep[x], rep[y])[banded], np.minimum(rep[x], rep[y])[banded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, members = None, []
-        for batch in slices(batches, 128):
-            out = []
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key, i, j, block, row, component, keys, text = r
-                if at != (key, i, j):
-                    out += links(*at, members) if at else []
-                    at, members = (key, i, j), []
-                members.append((row, block, component, np.array(keys), set(shingles(text, width).tolist())))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
-        out = links(*at, members) if at else []
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+        at, held = None, []
+
+        def done() -> pa.RecordBatch:
+            a, b = pairs([np.concatenate([part[k] for part in held]) for k in range(6)], at[1], at[2])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["hub", "rep"])
+
+        for batch in slices(batches, 4096):
+            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)], axis=1)
+            rest = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3, 8)]
+            rest.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), "<u2").reshape(batch.num_rows, -1))
+            bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                if (now := tuple(key[lo].tolist())) != at:
+                    if held:
+                        yield done()
+                    at, held = now, []
+                held.append([part[lo:hi] for part in rest])
+        if held:
+            yield done()
 
     return run
 
 
-def _links(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links between class representatives: with hubs, then inside what the hubs leave open."""
-    parts = split_count(classes)
-    members = classes.select("rep", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(members.join(shared, "key"))
-    mass = members.groupBy("rep").agg(F.sum("size").alias("mass"))
-    hubs = members.join(mass, "rep").groupBy("key").agg(F.max(F.struct("mass", "rep")).alias("hub")).select("key", F.col("hub.rep").alias("hub"))
-    members = written(members.join(hubs, "key"))
-    pairs = written(members.where("rep <> hub").select("hub", "rep").distinct())
-
-    involved = written(members.select(F.col("rep").alias("row")).distinct())
-    texts = written(texts.join(small(involved, REP_ROWS), "row").select("row", "text"))
+def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) among pairs (hub, rep): spread by (hub, salt), so that a hub of very many is many tasks' work."""
     spread = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.ceil(F.col("n") / PER_SALT).cast("int"))
-    salted = pairs.join(spread, "hub").select("hub", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.col("rep").alias("row"))
+    spread = written(spread)
+    salted = pairs.join(small(spread, REP_ROWS), "hub").select("hub", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.col("rep").alias("row"))
     copies = spread.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("hub").alias("row"))
     work = salted.unionByName(copies).join(texts, "row").select("hub", "salt", "row", "text")
-    work = work.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("row") != F.col("hub"))
-    first = written(work.mapInArrow(_compare_with_hub(width, percent), "a bigint, b bigint"))
+    work = work.repartition(split_count(pairs), "hub", "salt").sortWithinPartitions("hub", "salt", F.col("row") != F.col("hub"))
+    return written(work.mapInArrow(_compare_with_hub(width, percent), "a bigint, b bigint"))
+
+
+def _rare_pairs(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (hub, rep) of ``members`` (rep, component, keys) in different components that can be linked.
+
+    Two sets that are linked share one of their ``n - ceil(percent n / 100) + 1``
+    first shingles under any order of all shingles; here it is the rarest first.
+    Shingles of one member have no partner and only use up places.
+    """
+    sets = members.join(texts.withColumnRenamed("row", "rep"), "rep").select("rep", "component", "keys", "text")
+    sets = written(sets.mapInArrow(_shingled(width), "rep bigint, component bigint, n bigint, sketch binary, set array<bigint>"))
+    each = sets.select("rep", F.explode("set").alias("shingle"))
+    common = written(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    shared = each.join(small(common, REP_ROWS), "shingle").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    places = F.expr(f"cast(n - (n * {percent} + 99) div 100 + 1 as int)")
+    firsts = F.slice("shared", F.lit(1), F.greatest(places - alone.cast("int"), F.lit(0)))
+    firsts = sets.drop("set").join(shared, "rep").select("rep", "component", "n", "sketch", alone.alias("alone"), firsts.alias("firsts"))
+    rows = firsts.select("rep", "component", "n", "sketch", "alone", F.posexplode("firsts").alias("at", "first"))
+    rows = written(rows.select(F.col("first.shingle").alias("shingle"), "rep", "component", "n", (F.col("alone") + F.col("at")).alias("place"), "sketch"))
+    groups = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    groups = written(groups.select("shingle", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    rows = rows.join(small(groups, REP_ROWS), "shingle").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "n", "place", "sketch")
+    found = rows.repartition(split_count(rows), "shingle", "i", "j").sortWithinPartitions("shingle", "i", "j").mapInArrow(_pairs_within(percent), "hub bigint, rep bigint")
+    return written(found.distinct())
+
+
+def _links(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links between class representatives: with hubs, then inside what the hubs leave open."""
+    members = classes.select("rep", F.explode("keys").alias("key"))
+    shared = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    members = written(members.join(small(shared, REP_ROWS), "key"))
+    mass = written(members.groupBy("rep").agg(F.sum("size").alias("mass")))
+    hubs = members.join(small(mass, REP_ROWS), "rep").groupBy("key").agg(F.max(F.struct("mass", "rep")).alias("hub")).select("key", F.col("hub.rep").alias("hub"))
+    members = written(members.join(small(written(hubs), REP_ROWS), "key").where("rep <> hub").select("key", "rep", "hub"))
+    pairs = written(members.select("hub", "rep").distinct())
+
+    texts = written(texts.join(small(mass.select(F.col("rep").alias("row")), REP_ROWS), "row").select("row", "text"))
+    components = written(connected_components(_compared(pairs, texts, width, percent)))
 
-    components = written(connected_components(first))
-    named = members.where("rep <> hub").join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = members.join(small(components.withColumnRenamed("node", "rep"), REP_ROWS), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = written(named.select("key", "rep", "component"))
-    open_ = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("left")).where("least <> most")
-    blocks = F.ceil(F.col("left") / BLOCK).cast("int")
-    rest = named.join(open_.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    rest = rest.withColumn("other", F.explode(others)).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component")
-    rest = rest.join(classes.select("rep", "keys"), "rep").join(texts.withColumnRenamed("row", "rep"), "rep").select("key", "i", "j", "block", "rep", "component", "keys", "text")
-    second = rest.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare_blocks(width, percent), "a bigint, b bigint")
-    return components, written(second)
+    open_ = written(named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key"))
+    left = named.join(small(open_, REP_ROWS), "key").select("rep", "component").distinct()
+    second = _rare_pairs(written(left.join(classes.select("rep", "keys"), "rep")), texts, width, percent)
+    return components, _compared(second, texts, width, percent)
 
 
 def _described(docs: DataFrame, width: int, permutations: int, rows: int) -> DataFrame:

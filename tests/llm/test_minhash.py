@@ -69,3 +69,34 @@ def test_query(spark, sf_dir):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert minhash.near_duplicates(docs).count() == 0 and minhash.deduplicate(docs).count() == 0
+
+
+def test_common_passage_opens_no_pairs(spark, tmp_path):
+    """Documents that share 60 of 100 words, and 10 of 25 words each more common still: linear work, and the links among them found."""
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join(common + [f"w{rng.randrange(10**6)}" for _ in range(40)])) for i in range(600)]
+    twin = rows[5][1].split()
+    rows.append((9000, " ".join(twin[:-1] + ["other"])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    described = minhash._described(docs, 5, minhash.PERMUTATIONS, minhash.ROWS)
+    members = described.selectExpr("row as rep", "row as component", "keys")
+    pairs = minhash._rare_pairs(members, described.select("row", "text"), 5, 80)
+    assert pairs.count() == 1
+    assert sorted(map(tuple, minhash.near_duplicates(docs, width=5).collect()), key=str) == brute(rows, 5, 80)
+
+
+def test_two_families_just_below_the_threshold(spark, monkeypatch):
+    """Near copies of two texts that are themselves too far apart: components stay apart, blocks are split."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = random.Random(4)
+    first = [f"a{i}" for i in range(200)]
+    second = first[:172] + [f"b{i}" for i in range(28)]
+    rows = []
+    for i in range(160):
+        w = list(first if i % 2 else second)
+        for _ in range(i % 4):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert sorted(map(tuple, minhash.near_duplicates(docs, width=4).collect()), key=str) == brute(rows, 4, 80)
