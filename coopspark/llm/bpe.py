@@ -9,8 +9,10 @@ whole corpus:
 2. The distinct pre-tokens are exploded into word buckets (a hash of the word)
    and shuffled by bucket. A bucket's task meets every block's share of its
    words and encodes each distinct word once.
-3. The ids go back to their blocks (one cogroup by block) and are put in the
-   order of the positions.
+3. The ids go back to their blocks (grouped by block, with the positions, which
+   took the same way) and are put in the order of the positions.
+
+Texts are cut once; a block's name is its task's number and its own within it.
 
 A shuffled row holds one block's words of one bucket, compressed. A very
 frequent word is one entry a block, so no bucket is hot, and a bucket's task
@@ -40,9 +42,7 @@ from coopspark.plans.stage import split_count
 
 BLOCK_CHARS = 16_000_000
 BUCKETS_PER_PARTITION = 4
-_BODY = "block bigint, doc_ids array<bigint>, counts array<int>, seq binary, buckets binary"
-_WORDS = "bucket int, block bigint, words binary"
-_IDS = "bucket int, block bigint, ids binary"
+_ROWS = "bucket int, block bigint, data binary, doc_ids array<bigint>, counts array<int>, seq binary"
 _loaded: dict[tuple[str, str], object] = {}
 
 
@@ -52,6 +52,14 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
+def vocabulary_key(ranks: dict[bytes, int]) -> str:
+    """A digest of all tokens and ranks: workers serve several vocabularies in one session."""
+    digest = xxhash.xxh3_128()
+    for token, rank in sorted(ranks.items()):
+        digest.update(struct.pack("<qI", rank, len(token)) + token)
+    return digest.hexdigest()
+
+
 def token_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
     """(id int, bytes binary): one row for each token of the vocabulary."""
     return spark.createDataFrame([(i, bytearray(b)) for b, i in ranks.items()], "id int, bytes binary")
@@ -105,14 +113,10 @@ def _unpacked_words(data: bytes) -> list[bytes]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int) -> Iterator[tuple[int, list[bytes], list, list[int], np.ndarray]]:
-    """Blocks: name, distinct words in the order of first use, document ids, words in each document, positions.
-
-    The name holds a digest of the words: two passes over the input that cut it
-    differently don't match, and that is noticed.
-    """
+    """Blocks: number, distinct words with the most frequent ones first, document ids, words in each document, positions."""
     import regex
 
-    find, part, made = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
+    find, made = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32
     index: dict[str, int] = {}
     ids: list[int | None] = []
     counts: list[int] = []
@@ -120,19 +124,24 @@ def _cut(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int) -> I
     chars = 0
 
     def block() -> tuple[int, list[bytes], list, list[int], np.ndarray]:
-        words = [w.encode() for w in index]
-        digest = xxhash.xxh3_64(f"{part}-{made}-{len(ids)}")
-        for w in words:
-            digest.update(w)
-        return int(np.array(digest.intdigest(), np.uint64).view(np.int64)), words, ids, counts, np.concatenate([np.zeros(0, "<u4"), *seq])
+        used = np.concatenate([np.zeros(0, np.int64), *seq])
+        order = np.argsort(-np.bincount(used, minlength=len(index)), kind="stable")  # small numbers for frequent words
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        words = list(index)
+        return made, [words[i].encode() for i in order.tolist()], ids, counts, rank[used]
 
     for batch in slices(batches, 64):
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = find(text or "")
-            ids.append(doc)
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        for at in range(len(texts)):
+            words = find(texts[at])
+            ids.append(batch.column(0)[at].as_py())
             counts.append(len(words))
-            seq.append(np.fromiter((index.setdefault(w, len(index)) for w in words), "<u4", len(words)))
-            chars += len(text or "")
+            # A text's words are numbered in one pass; only its distinct ones are looked up.
+            coded = pa.array(words, pa.string()).dictionary_encode()
+            place = [index.setdefault(w, len(index)) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+            seq.append(np.array(place, np.int64)[coded.indices.to_numpy()])
+            chars += len(texts[at])
             if chars >= block_chars:
                 yield block()
                 made, chars = made + 1, 0
@@ -145,69 +154,67 @@ def _buckets(words: list[bytes], n: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(n)
 
 
-def _bodies(pattern: str, block_chars: int, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A row for each block, with the positions."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, words, ids, counts, seq in _cut(batches, pattern, block_chars):
-            columns = [pa.array([name], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([_packed(seq)], pa.binary()), pa.array([_packed(_buckets(words, n))], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "counts", "seq", "buckets"])
-
-    return run
+def _rows(bucket: list, block: list, data: list, doc_ids: list, counts: list, seq: list) -> pa.RecordBatch:
+    columns = [pa.array(bucket, pa.int32()), pa.array(block, pa.int64()), pa.array(data, pa.binary()), pa.array(doc_ids, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), pa.array(seq, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "data", "doc_ids", "counts", "seq"])
 
 
 def _exploded(pattern: str, block_chars: int, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A row for each block and bucket, with the block's distinct words that belong there."""
+    """For each block: a row with its positions (bucket n or above), and one for each bucket with the distinct words that belong there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, words, *_ in _cut(batches, pattern, block_chars):
+        for name, words, ids, counts, seq in _cut(batches, pattern, block_chars):
             bucket = _buckets(words, n)
             order = np.argsort(bucket, kind="stable")
             found, starts = np.unique(bucket[order], return_index=True)
             spans = np.split(order, starts[1:]) if len(found) else []
             packs = [_packed_words([words[i] for i in span.tolist()]) for span in spans]
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array([name] * len(packs), pa.int64()), pa.array(packs, pa.binary())], names=["bucket", "block", "words"])
+            none = [None] * len(packs)
+            yield _rows([n + hash(name) % n, *found.tolist()], [name] * (len(packs) + 1), [_packed(bucket), *packs], [ids, *none], [counts, *none], [_packed(seq), *none])
 
     return run
 
 
 def _encode_words(encoder: Callable[[], Callable[[bytes], list[int]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come sorted by bucket; a bucket's distinct words are encoded once and kept until the next one."""
+    """Rows come sorted by bucket; a bucket's distinct words are encoded once and kept until the next one. Rows of positions pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
         at, known = None, {}
         for batch in slices(batches, 64):
             out = []
-            for bucket, pack in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for bucket, pack, body in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(5), strict=True):
+                if body.is_valid:
+                    out.append(pack.as_py())
+                    continue
                 if bucket != at:
                     at, known = bucket, {}
                 parts = []
-                for w in _unpacked_words(pack):
+                for w in _unpacked_words(pack.as_py()):
                     ids = known.get(w)
                     if ids is None:
                         ids = known[w] = np.array(encode(w), "<u4").tobytes()
                     parts.append(ids)
                 out.append(_packed(np.concatenate([np.array([len(parts)], "<u4"), np.fromiter(map(len, parts), "<u4", len(parts)) // 4, np.frombuffer(b"".join(parts), "<u4")])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["bucket", "block", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary()), *batch.columns[3:]], names=batch.schema.names)
 
     return run
 
 
-def _assemble(token_bytes: Callable[[], list[bytes]]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _assemble(token_bytes: Callable[[], list[bytes]]) -> Callable[[pa.Table], pa.Table]:
     """Word ids of one block back in the order of its documents, and the bytes that they stand for."""
 
-    def run(body: pa.Table, encoded: pa.Table) -> pa.Table:
-        docs = body.column("doc_ids")[0].as_py()
-        counts = np.array(body.column("counts")[0].as_py(), np.int64)
-        seq = _unpacked(body.column("seq")[0].as_py())
-        buckets = _unpacked(body.column("buckets")[0].as_py())
-        packs = [_unpacked(p.as_py()) for p in encoded.sort_by("bucket").column("ids")]
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("bucket")
+        body = rows.slice(rows.num_rows - 1)
+        docs, counts = body.column("doc_ids")[0].as_py(), np.array(body.column("counts")[0].as_py(), np.int64)
+        seq, buckets = _unpacked(body.column("seq")[0].as_py()), _unpacked(body.column("data")[0].as_py())
+        packs = [_unpacked(p.as_py()) for p in rows.slice(0, rows.num_rows - 1).column("data")]
         lengths = np.concatenate([np.zeros(0, np.int64), *[p[1 : 1 + p[0]] for p in packs]]).astype(np.int64)
         flat = np.concatenate([np.zeros(0, "<u4"), *[p[1 + p[0] :] for p in packs]]).astype(np.int32)
         if len(lengths) != len(buckets):
-            raise RuntimeError("a block's words are missing: the input changed between two passes over it")
-        # Packs follow each other by bucket, and in the order of first use within one.
+            raise RuntimeError("a block's words are missing")
+        # Packs follow each other by bucket, and in the block's order of words within one.
         order = np.argsort(buckets, kind="stable")
         starts, sizes = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         starts[order], sizes[order] = np.cumsum(lengths) - lengths, lengths
@@ -230,7 +237,7 @@ def _assemble(token_bytes: Callable[[], list[bytes]]) -> Callable[[pa.Table, pa.
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Every whole text's token ids, and the bytes that these decode to: (doc_id bigint, ids array<int>, decoded binary)."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # as large as the vocabulary, whatever the corpus
-    key = f"{xxhash.xxh3_64(repr(sorted(ranks.items())[:64])).hexdigest()}-{len(ranks)}"
+    key = vocabulary_key(ranks)
 
     def encoder() -> Callable[[bytes], list[int]]:
         return _tiktoken(shared.value, pattern, key)._encode_single_piece
@@ -246,10 +253,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     source = columns_of(docs, id_col, text_col).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     parts = split_count(docs)
     n = BUCKETS_PER_PARTITION * parts
-    bodies = source.mapInArrow(_bodies(pattern, block_chars, n), _BODY)
-    words = source.mapInArrow(_exploded(pattern, block_chars, n), _WORDS)
-    encoded = words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(encoder), _IDS)
-    return bodies.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_assemble(token_bytes), "doc_id bigint, ids array<int>, decoded binary")
+    cut = source.mapInArrow(_exploded(pattern, block_chars, n), _ROWS)
+    encoded = cut.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(encoder), _ROWS)
+    return encoded.groupBy("block").applyInArrow(_assemble(token_bytes), "doc_id bigint, ids array<int>, decoded binary")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:

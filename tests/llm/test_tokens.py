@@ -1,10 +1,12 @@
 """Token ids: byte-level BPE against the tiktoken library, files against the tokenizers library."""
 
 import hashlib
+import json
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,15 +56,24 @@ def test_bpe_empty_and_join_decode(spark, ranks):
     assert {r.doc_id: bytes(r.decoded).decode() for r in joined.collect()} == {1: "Grüße, world", 2: "", 3: "x  y"}
 
 
+def test_two_vocabularies_of_one_size(spark):
+    """Python workers are reused: a second vocabulary of the same size and the same first tokens must not get the first one's ids."""
+    single = {bytes([b]): b for b in range(256)}
+    docs = spark.createDataFrame([(1, "abcd")], "doc_id bigint, text string").coalesce(1)
+    for pair, want in ((b"ab", [256, 99, 100]), (b"cd", [97, 98, 256])):
+        row = bpe.encode(docs, single | {pair: 256}, P.PATTERN).first()
+        assert row.ids == want and bytes(row.decoded) == b"abcd"
+
+
 def test_op10_query(spark, sf_dir, library):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, queries.op10_byte_bpe(spark, sf_dir).collect()), key=str) == expected10(library, rows)
 
 
-def expected5(rows):
+def expected5(rows, path=WORDS):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(WORDS)
+    t = Tokenizer.from_file(path)
     made = [(d, np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4")) for d, x in rows]
     made.sort(key=lambda r: (r[0] is None, r[0] or 0))
     start, out = 0, []
@@ -102,9 +113,34 @@ def test_codec_round_trip(ids, block, kind, a, b):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \t\n'sdltré\x1c\x85")), max_size=60))
 def test_words_equal_whole_texts(text):
-    words = tokenbin._loaded.setdefault("test", tokenbin._Words(WORDS, *tokenbin.split_pattern(WORDS)))
-    want = np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    assert words.text(text) == want
+    words = tokenbin._loaded_words(WORDS, "test", tokenbin.separable(WORDS))
+    assert words.split is not None
+    ids, counts = words.texts(pa.array([text, None, text + " ab", ""]))
+    want = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in (text, "", text + " ab", "")]
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+
+
+def test_not_separable_is_encoded_whole(spark, tmp_path):
+    """A tokenizer whose pieces may hold a space (by its declaration) takes the path of whole texts."""
+    with open(WORDS, encoding="utf-8") as f:
+        said = json.load(f)
+    said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"of the|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    path = str(tmp_path / "own.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(said, f)
+    assert tokenbin.separable(path) == (None, False)
+    docs = spark.createDataFrame(ODD + [(77, "one of the words of  the")], "doc_id bigint, text string")
+    got = tokenbin.ids_crc32(tokenbin.write_ids(docs, path))
+    assert sorted(map(tuple, got.collect()), key=str) == expected5(ODD + [(77, "one of the words of  the")], path)
+
+
+def test_parts_split_null_ids(spark):
+    docs = spark.createDataFrame([(None, f"text {i}") for i in range(800)] + [(7, f"again {i}") for i in range(800)], "doc_id bigint, text string")
+    files = tokenbin.write_ids(docs, WORDS)
+    assert files.select("part").distinct().count() >= 7
+    rows = tokenbin.ids_crc32(files).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [7] * 800 + [None] * 800
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:], strict=False))
 
 
 @settings(max_examples=150, deadline=None)
