@@ -90,7 +90,7 @@ def test_neighbours_one_huge_vector(spark):
     rng = np.random.default_rng(5)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((4000, 16)))] + [(9001, [1e9] * 16)]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    nodes, _ = ann.nodes_of(table)
+    nodes, _ = ann.nodes_of(ann.usable(table))
     want = brute_nearest(rows, 100)
     near = {}
     for r in ann.build_graph(nodes).where("u % 100 = 0").orderBy("u", "d").collect():
@@ -106,9 +106,12 @@ def test_join_passes_all_that_can_enter():
     x = rng.standard_normal((n, 4)).astype(np.float32)
     packed = [np.concatenate([np.zeros(1, np.int32).view(np.float32), row]).tobytes() for row in x]
     far = np.where(np.arange(n) % 2, np.inf, 3.0)
-    columns = [pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n)), pa.array(np.ones(n, bool)), pa.array(far), pa.array(packed, pa.binary())]
-    batch = pa.RecordBatch.from_arrays(columns, names=["c", "node", "new", "far", "h"])
-    got = {(int(u), int(v)) for b in ann._join_around(degree)(iter([batch.slice(0, 17), batch.slice(17)])) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    none = [None] * n
+    vectors = [pa.array([5] * n), pa.array(none, pa.int64()), pa.array(np.arange(n)), pa.array(none, pa.bool_()), pa.array(far), pa.array([5] * n), pa.array(packed, pa.binary())]
+    edges = [pa.array([5] * n), pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n)), pa.array(np.ones(n, bool)), pa.array(none, pa.float64()), pa.array(none, pa.int64()), pa.array(none, pa.binary())]
+    names = ["home", "c", "node", "new", "far", "hn", "h"]
+    batches = [pa.RecordBatch.from_arrays(part, names=names) for part in (vectors, edges)]
+    got = {(int(u), int(v)) for b in ann._join_around(degree)(iter([batches[0], batches[1].slice(0, 17), batches[1].slice(17)])) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
     d = ((x[:, None].astype(float) - x[None]) ** 2).sum(axis=2)
     np.fill_diagonal(d, np.inf)
     assert got == {(u, int(v)) for u in range(n) for v in np.argsort(d[u])[:degree] if d[u, v] <= far[u]}
@@ -122,3 +125,21 @@ def test_neighbours_few_vectors_elsewhere(spark):
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = ann.nearest(table, F.col("vec_id") % 1000 == 0).collect()
     assert recall(got, brute_nearest(rows, 1000)) >= 0.9  # checks too that every query has 10 rows
+
+
+def test_search_visits_a_part_and_takes_vectors_from_outside(spark):
+    """10,000 vectors in clusters: queries that aren't in the graph, and the share of it whose distance a walk takes."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((20, 32))
+    x = centres[rng.integers(0, 20, 10_000)] * 0.4 + rng.standard_normal((10_000, 32)) * 0.3
+    asked = centres[rng.integers(0, 20, 60)] * 0.4 + rng.standard_normal((60, 32)) * 0.3
+    nodes, _ = ann.nodes_of(ann.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")))
+    graph = ann.written(ann.both_ways(ann.build_graph(nodes)).unionByName(ann.random_links(nodes)).distinct())
+    seen = []
+    found = ann.search(nodes, graph, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query bigint, x array<double>"), seen_out=seen)
+    near = {}
+    for r in found.orderBy("query", "d").collect():
+        near.setdefault(r.query, []).append(r.node)
+    d = ((asked[:, None] - x[None]) ** 2).sum(axis=2)
+    assert np.mean([len(set(near[q][:10]) & set(np.argsort(d[q])[:10].tolist())) / 10 for q in range(60)]) >= 0.9
+    assert seen[0].count() / 60 <= 0.2 * len(x)
