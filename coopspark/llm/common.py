@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coopspark.plans.stage import split_count
+
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -44,15 +46,22 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each value of ``keys``, the first of which spreads the work, with its least text: repeated ids don't exceed a sample's bound."""
+    return rows.repartition(split_count(rows), keys[0]).groupBy(*keys).agg(F.min("text").alias("text"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, limit: int, id_col: str = "doc_id", text_col: str = "text", where: Column | None = None) -> DataFrame:
     """(doc_id, text, label) of at most ``limit`` labelled documents of the training folds, for fitting.
 
     The choice is by a hash of the id, so it is the same at any partitioning.
     Only ids meet in the sort; the chosen ones (``limit`` of them at most, so a
-    bounded broadcast) then pick their texts in one scan of ``docs``.
+    bounded broadcast) then pick their texts in one scan of ``docs``; of an id's
+    several texts the least one counts.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     if where is not None:
         known = known.where(where)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return columns_of(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = columns_of(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return one_text(found, "doc_id", "label")

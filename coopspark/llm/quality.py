@@ -142,8 +142,8 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, cut: float = CUT) -> Model:
     """The model, from at most ``max_labelled`` labelled documents."""
-    known = labelled_sample(docs, labels, label_col, max_labelled, id_col, text_col).select(F.col("doc_id").cast("bigint"), "label", "text").limit(2 * max_labelled)
-    got = known.mapInArrow(_features_of, "doc_id bigint, label int, f array<double>").toArrow().sort_by("doc_id")
+    known = labelled_sample(docs, labels, label_col, max_labelled, id_col, text_col).select(F.col("doc_id").cast("bigint"), "label", "text")
+    got = known.mapInArrow(_features_of, "doc_id bigint, label int, f array<double>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     if not got.num_rows:
         return Model()
     return fit_model(np.stack([np.array(v) for v in got.column("f").to_pylist()]), np.array(got.column("label").to_pylist()) == 1, cut)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coopspark.llm.common import columns_of, held_out, labelled_sample, slices
+from coopspark.llm.common import columns_of, held_out, labelled_sample, one_text, slices
 from coopspark.plans.stage import split_count, written
 
 MAX_POSITIVE = 4_000
@@ -65,7 +65,7 @@ def keys_of(word: str) -> list[str]:
 class Model:
     """Feature weights and a bias; bounded by MAX_FEATURES and the sample's bound, whatever the corpus."""
 
-    bias: float = -30.0
+    bias: float = -np.inf
     weights: dict[str, float] = field(default_factory=dict)
 
     def score(self, text: str | None) -> float:
@@ -81,6 +81,8 @@ class Model:
             if keys:
                 found.update(keys)
         z = self.bias + sum(self.weights[k] for k in sorted(found))
+        if z == -np.inf:
+            return 0.0
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
@@ -165,11 +167,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     others = columns_of(docs, id_col).select(F.col(id_col).alias("doc_id")).where("doc_id is not null").where(~held_out(F.col("doc_id")))
     others = others.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_unlabelled).distinct()
     unlabelled = columns_of(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(others), "doc_id")
-
-    # A repeated id may bring more rows than ids were chosen: the bound holds for rows.
+    unlabelled = one_text(unlabelled, "doc_id")
     confirmed = labels.where(F.col(label_col).cast("int") == 1).select(F.col(id_col).alias("doc_id")).distinct().withColumn("confirmed", F.lit(True))
-    marked = unlabelled.limit(2 * max_unlabelled).join(confirmed, "doc_id", "left").select(F.lit(False).alias("positive"), "text", F.coalesce("confirmed", F.lit(False)).alias("confirmed"))
-    both = toxic.select(F.lit(True).alias("positive"), "text", F.lit(False).alias("confirmed")).limit(2 * max_positive).unionByName(marked)
+    marked = unlabelled.join(confirmed, "doc_id", "left").select(F.lit(False).alias("positive"), "text", F.coalesce("confirmed", F.lit(False)).alias("confirmed"))
+    both = toxic.select(F.lit(True).alias("positive"), "text", F.lit(False).alias("confirmed")).unionByName(marked)
     sample = written(both.repartition(split_count(docs)))
     sizes = {r.positive: r.n for r in sample.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:

@@ -1,13 +1,17 @@
 """Learned scores by held-out accuracy; the pipeline against a brute-force version of its stages."""
 
+import bisect
 import hashlib
+import math
+import re
 import zlib
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from coopspark.llm import mixing, quality, queries, toxicity
+from coopspark.llm import common, mixing, quality, queries, toxicity
+from coopspark.plans.stage import written
 
 SF = "/root/testdata/sf0.1"
 
@@ -52,6 +56,69 @@ def test_scores_odd_rows(spark, op, label, keep):
     assert len(op.score_documents(docs, nothing).collect()) == len(rows)
 
 
+def test_queries_score_every_document_from_its_weights(spark, sf_dir):
+    """The registered queries against scores worked out one by one, in plain Python, from the fitted weights."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    model = toxicity.fit(docs, labels)
+
+    def toxic(text):
+        words = set(re.findall(r"[^\W\d_]+", text.lower()))
+        shown = {k for k in model.weights if any(w == k[:-1] if k[-1] == "$" else w.startswith(k[:-1]) for w in words)}
+        return 1 / (1 + math.exp(-(model.bias + sum(model.weights[k] for k in shown))))
+
+    out = queries.op3_toxicity(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in out) == sorted(texts)
+    for r in out:
+        assert r.score == pytest.approx(toxic(texts[r.doc_id]), abs=1e-9) and r.predicted == (r.score >= 0.5)
+    ranks = quality.fit(docs, labels)
+
+    def good(text):
+        f = quality.features(text)
+        x = [min(8, max(-8, (v - m) / s)) for v, m, s in zip([*f, *(f * f)], ranks.mean, ranks.scale, strict=True)]
+        strength = sum(a * b for a, b in zip(x, ranks.weights, strict=True))
+        at = bisect.bisect_right(ranks.strengths, strength)
+        if at in (0, len(ranks.strengths)):
+            return float(ranks.scores[min(at, len(ranks.scores) - 1)])
+        (s0, s1), (q0, q1) = ranks.strengths[at - 1 : at + 1], ranks.scores[at - 1 : at + 1]
+        return q0 + (q1 - q0) * (strength - s0) / (s1 - s0)
+
+    out = queries.op4_quality(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in out) == sorted(texts)
+    for r in out:
+        assert r.score == pytest.approx(good(texts[r.doc_id]), abs=1e-6)
+        assert r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_repeated_ids_do_not_exceed_the_sample(spark):
+    docs = spark.createDataFrame([(3, f"text {i}") for i in range(500)] + [(i, f"own {i}") for i in range(10, 40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(3, 1), *[(i, i % 2) for i in range(10, 40)]], "doc_id bigint, toxic int")
+    sample = common.labelled_sample(docs, labels, "toxic", 10)
+    assert sample.count() <= 10 and sample.count() == sample.select("doc_id").distinct().count()
+    assert {r.text for r in sample.where("doc_id = 3").collect()} <= {"text 0"}
+
+
+def test_stages_on_odd_and_empty_tables(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, ties and extra columns go through all stages; an empty table gives an empty one."""
+    texts = [f"The house number {i} stands near the old river, and many people walk there in summer." for i in range(60)]
+    rows = [(i, t, "en", f"s{i % 3}", len(t), "x") for i, t in enumerate(texts)]
+    rows += [(None, texts[3], None, None, None, None), (70, None, "en", "s1", 0, "x"), (71, "", "en", None, 0, "x"), (72, "long words here. " * 20_000, "en", "s0", 1, "x"), rows[5], rows[5]]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string"
+    labels = [(i, 1, int(i % 20 == 0)) for i in range(40)] + [(50, 0, 0), (None, 1, 1), (51, None, None)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    full, sizes = spark.createDataFrame(rows, schema), []
+    for docs in (full, full.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            after = written(stage(spark, docs, str(tmp_path)))
+            if name != "byte_bpe":
+                assert after.columns == docs.columns
+                docs = after
+        assert after.count() == docs.count()
+        sizes.append(after.count())
+    assert sizes[0] > 0 and sizes[1] == 0
+
+
 def test_features_of_few_toxic_documents_are_kept(spark):
     word = lambda i: "".join("abcdefghij"[int(c)] for c in str(i)) + "klmnop"
     rows = [(True, f"crude {word(i)}" + " vile" * (i < 3)) for i in range(350)] + [(False, word(i)) for i in range(7000)]
