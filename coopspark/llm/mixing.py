@@ -4,17 +4,23 @@ Every source gets a target in words: the mix's size shared by source weights,
 where a target stops at ``max_copies`` times its source's size and the excess is
 shared again by weight (in closed form, the level at which the sources' shares
 add up to the size). All documents of a source then get the whole copies that
-the target contains for certain, and the fraction that remains, pi, is sampled:
-documents are ranked by the odds of a uniform number over the odds of pi, and
-the first ones whose sizes add up to the remaining words are taken once more, a
-sample of fixed size. As sizes differ, a last document is added: the one not
-chosen whose size comes nearest to the words still missing.
-
-Chosen are all documents whose rank key lies up to a cut of their source, so
-the decisions are a few numbers for each source; documents meet them in a join
-with that small table and are never shuffled themselves. The running sums in
-rank order are range-partitioned, so a source with a third of all rows is
-spread.
+the target contains for certain. The remaining words are sampled with unequal
+probabilities: a document is included with ``pi = min(1, e / size)``, so that
+each brings the same expected number of words, at most all of its own, and a few
+very long documents can't make up the sample. The level ``e`` is where these add
+up to the remaining words. Documents are ranked by the odds of a uniform number
+over the odds of ``pi`` (certain ones first), and the first ones whose sizes add
+up to the remaining words are taken once more: a sample of fixed size in words.
+
+A document larger than the words still missing is passed over and the ranking
+goes on below it, in ``PASSES`` passes; at the end one document is added, the one
+not chosen whose size comes nearest to the words still missing, if it helps.
+
+The decisions are a few numbers for each source (levels and rank keys up to
+which each pass went); documents meet them in a join with that small table and
+are never shuffled themselves. The running sums in rank order are
+range-partitioned, so a source with a third of all rows is spread; levels come
+from the counts of sizes.
 
 The uniform number is taken from an MD5 of seed, doc_id and text, so reruns
 agree at any partitioning. Defined cases: a null text has no words; a null
@@ -35,6 +41,7 @@ from coopspark.plans.stage import small, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SEED = "mix-1"
+PASSES = 3
 
 
 def uniform(id_col: str, text_col: str, seed: str) -> Column:
@@ -76,37 +83,63 @@ def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(other, left["source"].eqNullSafe(other["source__"]), "left").drop("source__")
 
 
+def _levels(sized: DataFrame, per_source: DataFrame) -> DataFrame:
+    """(source, since, level): documents of fewer than ``since`` words are certain, others have ``pi = level / size``.
+
+    ``since`` is the least size at which the expected words reach ``rest``. A
+    row of the windows stands for all of a source's documents of one size.
+    """
+    counts = _beside(sized.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), small(per_source)).where("fraction > 0")
+    below = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("source")
+    counts = counts.withColumn("words", F.coalesce(F.sum(F.col("size") * F.col("n")).over(below), F.lit(0))).withColumn("others", F.sum("n").over(every) - F.coalesce(F.sum("n").over(below), F.lit(0)))
+    reached = counts.where(F.col("words") + F.col("size") * F.col("others") >= F.col("rest"))
+    first = reached.groupBy("source").agg(F.min(F.struct("size", ((F.col("rest") - F.col("words")) / F.col("others")).alias("level"))).alias("first"))
+    return first.select("source", F.col("first.size").alias("since"), F.col("first.level").alias("level"))
+
+
 def _ranked(sized: DataFrame, per_source: DataFrame) -> DataFrame:
-    """Adds q, the odds of u over the odds of the source's fraction."""
-    joined = _beside(sized, per_source)
-    sampled = (F.col("fraction") > 0) & (F.col("fraction") < 1)
-    return joined.withColumn("q", F.expr("u / (1D - u)") / F.when(sampled, F.expr("try_divide(fraction, 1D - fraction)")))
+    """Adds q, the odds of u over the odds of the document's inclusion: -1 for certain ones, null outside the sampling."""
+    odds = F.expr("u / (1D - u) * ((size - level) / level)")
+    q = F.when(F.col("size") < F.col("since"), F.lit(-1.0)).when(F.col("level") > 0, odds)
+    return _beside(sized, per_source).withColumn("q", F.when(F.col("size") > 0, q))
+
+
+def _chosen(passes: int) -> Column:
+    """Whether a pass took the document: its q lies in the pass's range and its size fitted then."""
+    taken = F.lit(False)
+    for k in range(passes):
+        taken |= (F.col("q") > F.col(f"cut{k}")) & (F.col("q") <= F.col(f"cut{k + 1}")) & (F.col("size") <= F.col(f"missing{k}"))
+    return F.coalesce(taken, F.lit(False))
 
 
-def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, max_copies: int = 2) -> DataFrame:
-    """The decisions: (source, source_size, target, whole, fraction, q_cut, q_last), one row for each source."""
+def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, max_copies: int = 2, passes: int = PASSES) -> DataFrame:
+    """The decisions, one row for each source: (source, source_size, target, whole, since, level, cut0.., missing0.., q_last)."""
     t = targets(sized, weights, share, max_copies)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_copies))).otherwise(0).cast("bigint")
     t = t.withColumn("whole", whole).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
     t = written(t.withColumn("fraction", F.when((F.col("source_size") > 0) & (F.col("whole") < max_copies), F.col("rest") / F.col("source_size")).otherwise(0.0)))
-    ranked = _ranked(sized, small(t)).where("size > 0 and fraction > 0")
-    summed = written(running_sum(ranked.select("source", "size", "q", "rest"), "size", ["q"], ["source"], name="words"))
-    cut = summed.groupBy("source").agg(F.max(F.when(F.col("words") <= F.col("rest"), F.col("q"))).alias("q_cut"), F.max("rest").alias("rest"), F.coalesce(F.max(F.when(F.col("words") <= F.col("rest"), F.col("words"))), F.lit(0)).alias("held"))
-    cut = cut.withColumn("missing", F.col("rest") - F.col("held"))
-    off = F.abs(F.col("size") - F.col("missing"))
-    rest = _beside(summed.drop("rest"), small(written(cut))).where((F.col("words") > F.col("rest")) & (off < F.col("missing")))
+    state = written(_beside(t, _levels(sized, t)).withColumn("cut0", F.lit(-2.0)).withColumn("missing0", F.col("rest")).drop("fraction", "rest"))
+    own = [c for c in state.columns if c != "source"]
+    for k in range(passes):
+        ranked = _ranked(sized, small(state)).where(f"q > cut{k} and size <= missing{k}").select("source", "size", "q", f"missing{k}")
+        summed = running_sum(ranked, "size", ["q"], ["source"], name="words").where(f"words <= missing{k}")
+        got = summed.groupBy("source").agg(F.max("q").alias("got"), F.max("words").alias("held"))
+        cut, missing = F.coalesce("got", f"cut{k}").alias(f"cut{k + 1}"), (F.col(f"missing{k}") - F.coalesce("held", F.lit(0))).alias(f"missing{k + 1}")
+        state = written(_beside(state, small(written(got))).select("source", *own, cut, missing))
+        own += [f"cut{k + 1}", f"missing{k + 1}"]
     # Rows alike share their q and come together: their sizes count together.
-    alike = rest.groupBy("source", "q", "missing").agg(F.sum("size").alias("size")).where(F.abs(F.col("size") - F.col("missing")) < F.col("missing"))
-    last = alike.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("missing")).alias("off"), F.col("q"))).alias("last"))
-    out = _beside(_beside(t, cut.select("source", "q_cut")), last.select("source", F.col("last.q").alias("q_last")))
-    return written(out.drop("rest"))
+    missing = F.col(f"missing{passes}")
+    left = _ranked(sized, small(state)).where(F.col("q").isNotNull() & ~_chosen(passes) & (F.abs(F.col("size") - missing) < missing))
+    alike = left.groupBy("source", "q", missing.alias("missing")).agg(F.sum("size").alias("size")).withColumn("off", F.abs(F.col("size") - F.col("missing"))).where("off < missing")
+    last = alike.groupBy("source").agg(F.min(F.struct("off", "q")).alias("last")).select("source", F.col("last.q").alias("q_last"))
+    return written(_beside(state, last))
 
 
-def copies(sized: DataFrame, decisions: DataFrame) -> DataFrame:
+def copies(sized: DataFrame, decisions: DataFrame, passes: int = PASSES) -> DataFrame:
     """Adds each document's copies, 0 to max_copies, from its source's decisions."""
-    ranked = _ranked(sized, small(decisions))
-    more = (F.col("size") > 0) & (F.coalesce(F.col("q") <= F.col("q_cut"), F.lit(False)) | F.coalesce(F.col("q") == F.col("q_last"), F.lit(False)))
-    return ranked.withColumn("copies", F.col("whole") + more.cast("bigint"))
+    more = _chosen(passes) | F.coalesce(F.col("q") == F.col("q_last"), F.lit(False))
+    return _ranked(sized, small(decisions)).withColumn("copies", F.col("whole") + more.cast("bigint"))
 
 
 def sample(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, max_copies: int = 2, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:

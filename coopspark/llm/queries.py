@@ -67,7 +67,7 @@ WITH sized AS (
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
   SELECT *, ([3, 1, 2])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight, 2 * source_size AS cap FROM per),
-levels AS (
+shares AS (
   SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)::DOUBLE)
             / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
   FROM weighed WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -75,26 +75,45 @@ targets AS (
   SELECT source, source_size,
          CASE WHEN level * weight >= cap THEN cap::DOUBLE
               ELSE first_value(level) OVER (ORDER BY level * weight >= cap, cap / weight, source NULLS LAST) * weight END AS target
-  FROM levels),
-fractions AS (
-  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END::BIGINT AS whole FROM targets),
+  FROM shares),
 rests AS (
-  SELECT *, greatest(target - whole * source_size, 0) AS rest,
-         CASE WHEN source_size > 0 AND whole < 2 THEN greatest(target - whole * source_size, 0) / source_size ELSE 0 END AS fraction FROM fractions),
-ranked AS (
-  SELECT d.*, r.source_size, r.target, r.whole, r.rest, u / (1 - u) / (fraction / (1 - fraction)) AS q, size > 0 AND fraction > 0 AS sampled
-  FROM sized d JOIN rests r ON d.source IS NOT DISTINCT FROM r.source),
+  SELECT *, greatest(target - whole * source_size, 0) AS rest, CASE WHEN source_size > 0 AND whole < 2 THEN greatest(target - whole * source_size, 0) / source_size ELSE 0 END AS fraction
+  FROM (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END::BIGINT AS whole FROM targets)),
+counts AS (
+  SELECT r.source, r.rest, d.size, count(*) AS n FROM sized d JOIN rests r ON d.source IS NOT DISTINCT FROM r.source WHERE d.size > 0 AND r.fraction > 0 GROUP BY ALL),
 summed AS (
-  SELECT *, sum(CASE WHEN sampled THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY sampled DESC, q) AS words FROM ranked),
-held AS (
-  SELECT *, rest - coalesce(max(CASE WHEN sampled AND words <= rest THEN words END) OVER (PARTITION BY source), 0) AS missing,
-         sum(size) OVER (PARTITION BY source, q, sampled) AS alike FROM summed),
+  SELECT *, coalesce(sum(size * n) OVER below, 0)::BIGINT AS words, (sum(n) OVER (PARTITION BY source) - coalesce(sum(n) OVER below, 0))::BIGINT AS others
+  FROM counts WINDOW below AS (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levels AS (
+  SELECT source, min(size) AS since, arg_min((rest - words::DOUBLE) / others::DOUBLE, size) AS level FROM summed WHERE words + size * others >= rest GROUP BY source),
+s0 AS (
+  SELECT d.*, r.source_size, r.target, r.whole, r.rest AS missing, false AS taken,
+         CASE WHEN d.size = 0 THEN NULL WHEN d.size < l.since THEN -1 WHEN l.level > 0 THEN u / (1 - u) * ((d.size::DOUBLE - l.level) / l.level) END AS q
+  FROM sized d JOIN rests r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN levels l ON d.source IS NOT DISTINCT FROM l.source),
+p0 AS (
+  SELECT *, CASE WHEN q > cut AND size <= missing THEN sum(CASE WHEN q > cut AND size <= missing THEN size END) OVER (PARTITION BY source ORDER BY q NULLS LAST) END AS words
+  FROM (SELECT *, coalesce(max(CASE WHEN taken THEN q END) OVER (PARTITION BY source), -2) AS cut FROM s0)),
+s1 AS (
+  SELECT doc_id, source, size, u, source_size, target, whole, q, taken OR coalesce(words <= missing, false) AS taken,
+         missing - coalesce(max(CASE WHEN words <= missing THEN words END) OVER (PARTITION BY source), 0) AS missing FROM p0),
+p1 AS (
+  SELECT *, CASE WHEN q > cut AND size <= missing THEN sum(CASE WHEN q > cut AND size <= missing THEN size END) OVER (PARTITION BY source ORDER BY q NULLS LAST) END AS words
+  FROM (SELECT *, coalesce(max(CASE WHEN taken THEN q END) OVER (PARTITION BY source), -2) AS cut FROM s1)),
+s2 AS (
+  SELECT doc_id, source, size, u, source_size, target, whole, q, taken OR coalesce(words <= missing, false) AS taken,
+         missing - coalesce(max(CASE WHEN words <= missing THEN words END) OVER (PARTITION BY source), 0) AS missing FROM p1),
+p2 AS (
+  SELECT *, CASE WHEN q > cut AND size <= missing THEN sum(CASE WHEN q > cut AND size <= missing THEN size END) OVER (PARTITION BY source ORDER BY q NULLS LAST) END AS words
+  FROM (SELECT *, coalesce(max(CASE WHEN taken THEN q END) OVER (PARTITION BY source), -2) AS cut FROM s2)),
+s3 AS (
+  SELECT doc_id, source, size, u, source_size, target, whole, q, taken OR coalesce(words <= missing, false) AS taken,
+         missing - coalesce(max(CASE WHEN words <= missing THEN words END) OVER (PARTITION BY source), 0) AS missing FROM p2),
+alike AS (
+  SELECT source, q, missing, abs(sum(size) - missing) AS off FROM s3 WHERE q IS NOT NULL AND NOT taken AND abs(size - missing) < missing GROUP BY source, q, missing),
 last AS (
-  SELECT source, arg_min(q, struct_pack(a := abs(alike - missing), b := q)) AS q_last FROM held
-  WHERE sampled AND words > rest AND abs(alike - missing) < missing GROUP BY source)
-SELECT doc_id, size, source_size, target,
-       size * (whole + CASE WHEN sampled AND (words <= rest OR coalesce(q = q_last, false)) THEN 1 ELSE 0 END) AS taken
-FROM held LEFT JOIN last ON held.source IS NOT DISTINCT FROM last.source
+  SELECT source, arg_min(q, struct_pack(a := off, b := q)) AS q_last FROM alike WHERE off < missing GROUP BY source)
+SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN taken OR coalesce(q = q_last, false) THEN 1 ELSE 0 END) AS taken
+FROM s3 LEFT JOIN last ON s3.source IS NOT DISTINCT FROM last.source
 """
 
 

@@ -48,7 +48,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", prefix_hex
     own = columns_of(pages, id_col, url_col).select(F.col(id_col).alias("id__"), F.col(url_col).alias("url"))
     # Rows with the same id and url get the same verdict: judged once, then repeated.
     distinct = host_and_path(own.groupBy("id__", "url").agg(F.count(F.lit(1)).alias("times")))
-    listed = rules.select(F.lower("host").alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict")).where("rule_host is not null")
+    listed = rules.select(F.translate("host", UPPER, LOWER).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict")).where("rule_host is not null")
     listed = listed.withColumn("rule", F.concat("rule_host", "rule_path")).withColumn("digest", F.sha2("rule", 256)).withColumn("key", F.substring("digest", 1, prefix_hex))
     shapes = listed.select(F.struct(F.size(F.split("rule_host", r"\.")).alias("labels"), F.length("rule_path").alias("chars")).alias("shape")).distinct()
     shapes = shapes.agg(F.sort_array(F.collect_set("shape")).alias("shapes"))  # one row, as many entries as rules have shapes
@@ -61,12 +61,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", prefix_hex
     tried = tried.withColumn("near", F.substring("tried", 1, prefix_hex))
 
     if listed.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        joined = tried.join(F.broadcast(listed), (F.col("near") == F.col("key")) & (F.col("tried") == F.col("digest")), "left")
+        joined = tried.join(F.broadcast(listed), F.col("near") == F.col("key"), "left")
     else:
         salted = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         tried = tried.withColumn("at", F.pmod(F.hash("id__", "url"), F.lit(SALTS)))
-        joined = tried.join(salted, (F.col("near") == F.col("key")) & (F.col("at") == F.col("salt")) & (F.col("tried") == F.col("digest")), "left")
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), F.length("rule_host").alias("h"), (F.col("rule_verdict") == "block").alias("b"), F.col("rule"), F.col("rule_verdict")))).alias("best")
+        joined = tried.join(salted, (F.col("near") == F.col("key")) & (F.col("at") == F.col("salt")), "left")
+    # The prefix only selects candidates; the full digest confirms them.
+    best = F.max(F.when(F.col("tried") == F.col("digest"), F.struct(F.length("rule").alias("n"), F.length("rule_host").alias("h"), (F.col("rule_verdict") == "block").alias("b"), F.col("rule"), F.col("rule_verdict")))).alias("best")
     judged = joined.groupBy("id__", "url", "host", "path", "times").agg(best)
     repeated = judged.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     return repeated.select(F.col("id__").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))

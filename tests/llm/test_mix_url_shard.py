@@ -33,6 +33,7 @@ def test_mix_targets_and_rows(spark):
     assert sum(target.values()) == pytest.approx(1.5 * sum(full.values()))
     for s in target:
         assert target[s] <= 2 * full[s] + 1e-6
+        # Source b's words are nearly all in two rows that are alike, hence taken or left together.
         assert abs(taken[s] - target[s]) <= max(4, 0.001 * target[s]) or s == "b"
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
@@ -40,6 +41,31 @@ def test_mix_targets_and_rows(spark):
     assert Counter(map(tuple, mixing.sample(docs.repartition(5)).collect())) == Counter(map(tuple, out))
 
 
+def test_mix_passes_over_a_document_that_does_not_fit(spark):
+    docs = spark.createDataFrame([(0, "x " * 20_000, "a")] + [(i, "w " * 100, "a") for i in range(1, 201)], "doc_id bigint, text string, source string")
+    for seed in ("a", "b"):
+        out = mixing.sample(docs, share=1.25, seed=seed).collect()
+        assert abs(sum(r.taken for r in out) - 1.25 * 40_000) <= 50
+
+
+def test_mix_inclusion_is_unequal_as_intended(spark):
+    """Over many seeds, how often a document gets its extra copy: min(1, e / size), whatever its size."""
+    from pyspark.sql import functions as F
+
+    seeds, sizes = 40, [[5, 20, 60, 150][i % 4] for i in range(80)]
+    rest = 0.4 * sum(sizes)
+    level = (rest - 20 * 5 - 20 * 20) / 40  # sizes 5 and 20 are certain
+    assert 20 < level < 60
+    # A source for each seed: they are planned on their own, all alike.
+    sized = spark.createDataFrame([(i, f"s{seed:02}", n) for seed in range(seeds) for i, n in enumerate(sizes)], "doc_id bigint, source string, size bigint")
+    draws = sized.withColumn("u", (F.pmod(F.xxhash64("doc_id", "source"), F.lit(1 << 40)) + 0.5) / float(1 << 40))
+    taken = Counter()
+    for r in mixing.copies(draws, mixing.plan(draws, (1.0,), 0.4)).collect():
+        taken[r.size] += r.copies
+    for size in (5, 20, 60, 150):
+        assert abs(taken[size] / (20 * seeds) - min(1, level / size)) <= 0.06, size
+
+
 def test_mix_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, source string")
     assert mixing.sample(docs).count() == 0 and mixing.mix(docs).count() == 0
@@ -62,15 +88,35 @@ def verdicts(rules):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limit", [0, 50_000])
-def test_urls_odd_rows(spark, limit):
+@pytest.mark.parametrize(("limit", "hexes"), [(0, 8), (50_000, 8), (50_000, 1), (0, 1)])
+def test_urls_odd_rows(spark, limit, hexes):
+    """``hexes`` of 1: rules collide on their prefix, and the digest rejects."""
     pages = spark.createDataFrame([(i, u, "h", "r") for i, u in URLS], "page_id bigint, url string, host string, rule string")
-    for rules in (queries.URL_RULES, [("org", "/f", "block"), ("ple.org", "", "allow"), ("net", "/" + "p/" * 9_000, "allow")], []):
+    for rules in (queries.URL_RULES, [("org", "/f", "block"), ("ple.org", "", "allow"), ("net", "/" + "p/" * 9_000, "allow")], [(f"host{i}.net", "/", "block") for i in range(40)], []):
         table = spark.createDataFrame(rules, urlfilter.RULES)
-        assert sorted(map(tuple, urlfilter.judge(pages, table, broadcast_rows=limit).collect()), key=str) == verdicts(rules)
+        assert sorted(map(tuple, urlfilter.judge(pages, table, broadcast_rows=limit, prefix_hex=hexes).collect()), key=str) == verdicts(rules)
     assert urlfilter.judge(pages.limit(0), table).count() == 0
 
 
+def plain_feistel(row, n, seed):
+    """The permutation in Python's integers, written down a second time."""
+    bits, most = max(1, ((n - 1).bit_length() + 1) // 2), 2**64
+    keys, state = [], seed
+    for _ in range(6):
+        state = (state + 0x9E3779B97F4A7C15) % most
+        z = (state ^ state >> 30) * 0xBF58476D1CE4E5B9 % most
+        keys.append(z ^ z >> 27)
+    while True:
+        left, right = row >> bits, row % 2**bits
+        for key in keys:
+            x = (right ^ key) * 0xD6E8FEB86659FD93 % most
+            x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 % most
+            left, right = right, left ^ (x ^ x >> 29) % 2**bits
+        row = left << bits | right
+        if row < n:
+            return row
+
+
 def test_shards(spark, sf_dir):
     out = queries.op9_sharding(spark, sf_dir).collect()
     docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
@@ -83,8 +129,10 @@ def test_shards(spark, sf_dir):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     order = sorted((r.doc_id, r.text_crc32) for r in out)
     n, at = len(order), {(r.doc_id, r.text_crc32): (r.shard, r.slot) for r in out}
-    for (shard, slot), key in list((v, k) for k, v in at.items())[:20]:
-        assert order[sharding.row_at(shard, slot, n, 24, 20_240_607)] == key
+    for row, key in enumerate(order):
+        place = plain_feistel(row, n, 20_240_607)
+        assert at[key] == (place % 24, place // 24)
+        assert sharding.row_at(*at[key], n, 24, 20_240_607) == row
 
 
 def test_shards_odd_rows(spark):
