@@ -73,7 +73,8 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     w = w.withColumn("left", F.lit(share) * F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0)))
     w = w.withColumn("level", F.col("left") / (F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
     w = w.withColumn("full", F.col("level") * F.col("weight") >= F.col("cap"))
-    level = F.min(F.when(~F.col("full"), F.struct((F.col("cap") / F.col("weight")).alias("at"), F.col("level").alias("level")))).over(everything)
+    w = w.withColumn("at", F.row_number().over(order))
+    level = F.min(F.when(~F.col("full"), F.struct("at", "level"))).over(everything)
     return w.select("source", "source_size", F.when(F.col("full") | level.isNull(), F.col("cap").cast("double")).otherwise(level["level"] * F.col("weight")).alias("target"))
 
 

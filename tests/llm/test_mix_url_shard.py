@@ -52,9 +52,9 @@ def test_mix_inclusion_is_unequal_as_intended(spark):
     """Over many seeds, how often a document gets its extra copy: min(1, e / size), whatever its size."""
     from pyspark.sql import functions as F
 
-    seeds, sizes = 40, [[5, 20, 60, 150][i % 4] for i in range(80)]
+    seeds, each, sizes = 12, 100, [[5, 20, 60, 150][i % 4] for i in range(400)]
     rest = 0.4 * sum(sizes)
-    level = (rest - 20 * 5 - 20 * 20) / 40  # sizes 5 and 20 are certain
+    level = (rest - each * 5 - each * 20) / (2 * each)  # sizes 5 and 20 are certain
     assert 20 < level < 60
     # A source for each seed: they are planned on their own, all alike.
     sized = spark.createDataFrame([(i, f"s{seed:02}", n) for seed in range(seeds) for i, n in enumerate(sizes)], "doc_id bigint, source string, size bigint")
@@ -63,7 +63,7 @@ def test_mix_inclusion_is_unequal_as_intended(spark):
     for r in mixing.copies(draws, mixing.plan(draws, (1.0,), 0.4)).collect():
         taken[r.size] += r.copies
     for size in (5, 20, 60, 150):
-        assert abs(taken[size] / (20 * seeds) - min(1, level / size)) <= 0.06, size
+        assert abs(taken[size] / (each * seeds) - min(1, level / size)) <= 0.06, size
 
 
 def test_mix_empty(spark):
