@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from coopspark.functions.sequence import masked
+from coopspark.plans.stage import written
 
 
 class Predictor(Protocol):
@@ -99,21 +100,24 @@ def occlusion_scan(sequences: DataFrame, predictor: Predictor, window: int = 10,
     return curve.select("region", "track", scores.alias("scores"))
 
 
-def _original(sequences: DataFrame, predictor: Predictor) -> DataFrame:
-    return predictor.score(sequences.select("region", "seq").distinct(), "seq", "p0").select("region", "p0")
+def original_scores(sequences: DataFrame, predictor: Predictor) -> DataFrame:
+    """(region, p0): each distinct sequence's prediction, a written table, so that it is scored once however often it is read."""
+    return written(predictor.score(sequences.select("region", "seq").distinct(), "seq", "p0").select("region", "p0"))
 
 
-def _single(motifs: DataFrame, sequences: DataFrame, predictor: Predictor) -> DataFrame:
-    """(region, start_rel, end_rel, isa): each distinct mask once."""
+def single_scores(motifs: DataFrame, sequences: DataFrame, predictor: Predictor, original: DataFrame | None = None) -> DataFrame:
+    """(region, start_rel, end_rel, isa): each distinct mask once, a written table."""
+    original = original_scores(sequences, predictor) if original is None else original
     spans = motifs.select("region", "start_rel", "end_rel").distinct().join(sequences.select("region", "seq"), "region")
     cut = spans.withColumn("seq", masked(F.col("seq"), F.col("start_rel"), F.col("end_rel")))
-    scored = predictor.score(cut, "seq", "p1").drop("seq").join(_original(sequences, predictor), "region")
-    return scored.select("region", "start_rel", "end_rel", F.zip_with("p0", "p1", lambda a, b: a - b).alias("isa"))
+    scored = predictor.score(cut, "seq", "p1").drop("seq").join(original, "region")
+    return written(scored.select("region", "start_rel", "end_rel", F.zip_with("p0", "p1", lambda a, b: a - b).alias("isa")))
 
 
-def single_ablation(motifs: DataFrame, sequences: DataFrame, predictor: Predictor, tracks: list[int]) -> DataFrame:
-    """``motifs`` (region, start_rel, end_rel, ...) with isa_t{k}: the prediction lost by masking the motif."""
-    out = motifs.join(_single(motifs, sequences, predictor), ["region", "start_rel", "end_rel"])
+def single_ablation(motifs: DataFrame, sequences: DataFrame, predictor: Predictor, tracks: list[int], single: DataFrame | None = None) -> DataFrame:
+    """``motifs`` (region, start_rel, end_rel, ...) with isa_t{k}: the prediction lost by masking the motif. ``single``: what ``single_scores`` gave."""
+    single = single_scores(motifs, sequences, predictor) if single is None else single
+    out = motifs.join(single, ["region", "start_rel", "end_rel"])
     return out.select(*motifs.columns, *[F.get("isa", F.lit(k)).alias(f"isa_t{k}") for k in tracks])
 
 
@@ -126,21 +130,29 @@ def motif_pairs(motifs: DataFrame, max_distance: int, carried: list[str]) -> Dat
     order = Window.partitionBy("region").orderBy("start_rel", "end_rel", "tf", *carried)
     rows = motifs.select("region", "tf", "start_rel", "end_rel", *carried).withColumn("place", F.row_number().over(order))
     side = lambda k: rows.select(F.col("region").alias(f"region{k}"), F.col("tf").alias(f"tf{k}"), F.col("start_rel").alias(f"start{k}"), F.col("end_rel").alias(f"end{k}"), F.col("place").alias(f"place{k}"), *[F.col(c).alias(f"tf{k}_{c}") for c in carried])
-    on = (F.col("region1") == F.col("region2")) & (F.col("place1") < F.col("place2")) & (F.greatest("start1", "start2") >= F.least("end1", "end2")) & (F.col("start2") - F.col("start1") <= max_distance)
-    pairs = side(1).join(side(2), on).withColumn("distance", F.col("start2") - F.col("start1"))
+    # A pair's second start lies in the first one's distance bin or in the next: regions of very many motifs are joined by bin.
+    bins = F.expr(f"start1 div {max_distance + 1}")
+    first = side(1).withColumn("bin1", F.explode(F.array(bins, bins + 1)))
+    second = side(2).withColumn("bin2", F.expr(f"start2 div {max_distance + 1}"))
+    on = (F.col("region1") == F.col("region2")) & (F.col("bin1") == F.col("bin2")) & (F.col("place1") < F.col("place2")) & (F.greatest("start1", "start2") >= F.least("end1", "end2")) & (F.col("start2") - F.col("start1") <= max_distance)
+    pairs = first.join(second, on).withColumn("distance", F.col("start2") - F.col("start1"))
     return pairs.select(F.col("region1").alias("region"), "tf1", "tf2", "start1", "end1", "start2", "end2", "distance", *[f"tf{k}_{c}" for c in carried for k in (1, 2)])
 
 
-def pair_ablation(motifs: DataFrame, sequences: DataFrame, predictor: Predictor, tracks: list[int], max_distance: int, carried: list[str] | None = None) -> DataFrame:
-    """Pair table: isa1, isa2, isa_both and interaction = isa1 + isa2 - isa_both for each track."""
+def pair_ablation(motifs: DataFrame, sequences: DataFrame, predictor: Predictor, tracks: list[int], max_distance: int, carried: list[str] | None = None, original: DataFrame | None = None, single: DataFrame | None = None) -> DataFrame:
+    """Pair table: isa1, isa2, isa_both and interaction = isa1 + isa2 - isa_both for each track.
+
+    ``original`` and ``single`` are tables that were scored before, if any.
+    """
     carried = carried if carried is not None else [f"pass_threshold_t{k}" for k in tracks]
     pairs = motif_pairs(motifs, max_distance, carried)
-    single = _single(motifs, sequences, predictor)
+    original = original_scores(sequences, predictor) if original is None else original
+    single = single_scores(motifs, sequences, predictor, original) if single is None else single
     one = lambda k: single.select("region", F.col("start_rel").alias(f"start{k}"), F.col("end_rel").alias(f"end{k}"), F.col("isa").alias(f"isa{k}"))
     spans = ["start1", "end1", "start2", "end2"]
     both = pairs.select("region", *spans).distinct().join(sequences.select("region", "seq"), "region")
     both = both.withColumn("seq", masked(masked(F.col("seq"), F.col("start1"), F.col("end1")), F.col("start2"), F.col("end2")))
-    both = predictor.score(both, "seq", "p12").drop("seq").join(_original(sequences, predictor), "region")
+    both = predictor.score(both, "seq", "p12").drop("seq").join(original, "region")
     both = both.select("region", *spans, F.zip_with("p0", "p12", lambda a, b: a - b).alias("isa12"))
     out = pairs.join(one(1), ["region", "start1", "end1"]).join(one(2), ["region", "start2", "end2"]).join(both, ["region", *spans])
     made = []

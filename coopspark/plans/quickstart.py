@@ -65,8 +65,10 @@ class QuickStart:
         gaps = intervals.subtract(wanted, motifs.select("chrom", "start", "end"))
         gaps = gaps.select(region_id(F.col("chrom"), F.col("start"), F.col("end")).alias("region"), (F.col("gap_start") - F.col("start")).alias("gap_start_rel"), (F.col("gap_end") - F.col("start")).alias("gap_end_rel"))
         kept = written(coop.attribution_filter(motifs, scores, coop.attribution_threshold(gaps, scores, percentile), self.tracks))
-        single = written(ablation.single_ablation(kept, sequences, self.predictor, self.tracks))
-        pairs = written(ablation.pair_ablation(kept, sequences, self.predictor, self.tracks, self.dist_max))
+        original = ablation.original_scores(sequences, self.predictor)
+        masks = ablation.single_scores(kept, sequences, self.predictor, original)
+        single = written(ablation.single_ablation(kept, sequences, self.predictor, self.tracks, masks))
+        pairs = written(ablation.pair_ablation(kept, sequences, self.predictor, self.tracks, self.dist_max, None, original, masks))
         out = {"motifs": kept, "single": single, "pairs": pairs, "importance": coop.tf_importance(single, self.tracks, self.min_count)}
         for k in self.tracks:
             for level in ("tf_pair", "tf"):

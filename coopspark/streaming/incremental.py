@@ -1,39 +1,37 @@
-"""Incremental scoring: whole regions arrive in files and are scored once, as a stateless stream."""
+"""Incremental scoring: whole regions arrive in files and are scored once, without state between batches."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from coopspark.functions.sequence import masked
-from coopspark.operators.ablation import Predictor, pair_ablation
-
+from collections.abc import Callable
 
-def scored_motifs(stream: DataFrame, predictor: Predictor, tracks: list[int]) -> DataFrame:
-    """Single ablation of streamed motif rows that carry their region's sequence (column ``seq``). Neither join nor state."""
-    own = [c for c in stream.columns if c != "seq"]
-    out = predictor.score(predictor.score(stream, "seq", "p0").withColumn("cut", masked(F.col("seq"), F.col("start_rel"), F.col("end_rel"))), "cut", "p1")
-    return out.select(*own, *[(F.get("p0", F.lit(k)) - F.get("p1", F.lit(k))).alias(f"isa_t{k}") for k in tracks])
+from pyspark.sql import DataFrame, SparkSession
 
+from coopspark.operators.ablation import Predictor, pair_ablation, single_ablation
 
-def run_incremental(spark: SparkSession, source: str, schema: str, target: str, predictor: Predictor, tracks: list[int], files_per_trigger: int = 1) -> DataFrame:
-    """Score all files now in ``source`` and append to ``target``; files seen before are not scored again."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
-    query = scored_motifs(stream, predictor, tracks).writeStream.format("parquet").option("path", target).option("checkpointLocation", f"{target}__checkpoint").trigger(availableNow=True).outputMode("append").start()
-    query.awaitTermination()
-    return spark.read.parquet(target)
 
+def _run(spark: SparkSession, source: str, schema: str, target: str, files_per_trigger: int, score: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Apply ``score`` (motifs, sequences) to each micro-batch of files in ``source``; a batch that is run again replaces its own folder."""
 
-def run_incremental_pairs(spark: SparkSession, source: str, schema: str, target: str, predictor: Predictor, tracks: list[int], max_distance: int) -> DataFrame:
-    """Pair ablation of each micro-batch; a file holds whole regions, so batches don't depend on each other."""
+    def scored(df: DataFrame) -> DataFrame:
+        # A region's rows carry its sequence: it is scored once in the batch, not once a motif.
+        return score(df.drop("seq"), df.select("region", "seq").distinct())
 
     def batch(df: DataFrame, number: int) -> None:
-        motifs = df.drop("seq")
-        sequences = df.select("region", "seq").distinct()
-        pair_ablation(motifs, sequences, predictor, tracks, max_distance).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        scored(df).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    # An empty part gives the target its schema, also where no file has come yet.
+    empty = scored(spark.createDataFrame([], schema))
+    empty.write.mode("ignore").parquet(f"{target}/batch=none")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{target}__checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.option("recursiveFileLookup", True).parquet(target)
+    return spark.read.schema(empty.schema).option("recursiveFileLookup", True).parquet(target)
+
+
+def run_incremental(spark: SparkSession, source: str, schema: str, target: str, predictor: Predictor, tracks: list[int], files_per_trigger: int = 1) -> DataFrame:
+    """Single ablation of all files now in ``source``, added to ``target``; files seen before are not scored again."""
+    return _run(spark, source, schema, target, files_per_trigger, lambda motifs, sequences: single_ablation(motifs, sequences, predictor, tracks))
 
 
+def run_incremental_pairs(spark: SparkSession, source: str, schema: str, target: str, predictor: Predictor, tracks: list[int], max_distance: int, files_per_trigger: int = 1) -> DataFrame:
+    """Pair ablation of each micro-batch; a file holds whole regions, so batches don't depend on each other."""
+    return _run(spark, source, schema, target, files_per_trigger, lambda motifs, sequences: pair_ablation(motifs, sequences, predictor, tracks, max_distance))

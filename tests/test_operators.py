@@ -190,6 +190,51 @@ def test_ablation_small(spark):
     assert ablation.single_ablation(motifs.limit(0), seqs, model, [0]).count() == 0
 
 
+def test_masks_are_scored_once(spark, sf_dir, tmp_path):
+    """Sequences that a Python model sees: originals, distinct single masks and distinct pairs, each once, in a batch and in a stream."""
+    from coopspark.plans.adapters import view
+    from coopspark.streaming import incremental
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def load():
+        def predict(seqs):
+            seen.add(len(seqs))
+            return np.array([[float(s.count("N"))] for s in seqs])
+
+        return predict
+
+    model = ablation.PandasFnPredictor(load)
+    motifs = view(spark, sf_dir, "motifs").where("region < 2000").drop("score", "pass_threshold_t1")
+    sequences = view(spark, sf_dir, "sequences").where("region < 2000")
+    pairs = ablation.motif_pairs(motifs, 100, ["pass_threshold_t0"])
+    want = sequences.count() + motifs.select("region", "start_rel", "end_rel").distinct().count() + pairs.select("region", "start1", "end1", "start2", "end2").distinct().count()
+    rows = ablation.pair_ablation(motifs, sequences, model, [0], 100).collect()
+    assert seen.value == want and len(rows) == pairs.count() > 0
+
+    motifs.join(sequences, "region").repartition(2, "region").write.parquet(str(tmp_path / "in"))
+    schema = "region bigint, tf string, start_rel bigint, end_rel bigint, pass_threshold_t0 int, seq string"
+    seen.value = 0
+    first = incremental.run_incremental(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), model, [0])
+    assert first.count() == motifs.join(sequences, "region").count()
+    regions = motifs.join(sequences, "region").select("region").distinct().count()
+    assert seen.value == regions + motifs.join(sequences, "region").select("region", "start_rel", "end_rel").distinct().count()
+    seen.value = 0
+    assert incremental.run_incremental(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), model, [0]).count() == first.count()
+    assert seen.value == 0
+
+
+def test_stream_without_files(spark, tmp_path):
+    from coopspark.streaming import incremental
+
+    (tmp_path / "in").mkdir()
+    schema = "region bigint, tf string, start_rel bigint, end_rel bigint, pass_threshold_t0 int, seq string"
+    for run in (incremental.run_incremental_pairs, incremental.run_incremental):
+        extra = [5] if run is incremental.run_incremental_pairs else []
+        out = run(spark, str(tmp_path / "in"), schema, str(tmp_path / run.__name__), ablation.default_predictor(), [0], *extra)
+        assert out.count() == 0 and "region" in out.columns
+
+
 def test_attribution(spark):
     scores = spark.createDataFrame([("r", 0, [1.0, 5.0, 2.0, 9.0, 3.0]), ("r", 1, [0.0] * 5)], "region string, track int, scores array<double>")
     motifs = spark.createDataFrame([("r", "A", 0, 3), ("r", "B", 3, 4), ("r", "C", 2, 9)], "region string, tf string, start_rel int, end_rel int")
