@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from coopspark.functions.sequence import masked
-from coopspark.plans.stage import written
+from coopspark.plans.stage import split_count, written
 
 
 class Predictor(Protocol):
@@ -100,15 +100,20 @@ def occlusion_scan(sequences: DataFrame, predictor: Predictor, window: int = 10,
     return curve.select("region", "track", scores.alias("scores"))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """By region in as many partitions as the session has: scoring is the costly part, whatever the bytes of the shuffle before it, which is all that Spark's own choice sees."""
+    return df.repartition(split_count(df), "region")
+
+
 def original_scores(sequences: DataFrame, predictor: Predictor) -> DataFrame:
     """(region, p0): each distinct sequence's prediction, a written table, so that it is scored once however often it is read."""
-    return written(predictor.score(sequences.select("region", "seq").distinct(), "seq", "p0").select("region", "p0"))
+    return written(predictor.score(_spread(sequences.select("region", "seq")).distinct(), "seq", "p0").select("region", "p0"))
 
 
 def single_scores(motifs: DataFrame, sequences: DataFrame, predictor: Predictor, original: DataFrame | None = None) -> DataFrame:
     """(region, start_rel, end_rel, isa): each distinct mask once, a written table."""
     original = original_scores(sequences, predictor) if original is None else original
-    spans = motifs.select("region", "start_rel", "end_rel").distinct().join(sequences.select("region", "seq"), "region")
+    spans = _spread(motifs.select("region", "start_rel", "end_rel")).distinct().join(_spread(sequences.select("region", "seq")), "region")
     cut = spans.withColumn("seq", masked(F.col("seq"), F.col("start_rel"), F.col("end_rel")))
     scored = predictor.score(cut, "seq", "p1").drop("seq").join(original, "region")
     return written(scored.select("region", "start_rel", "end_rel", F.zip_with("p0", "p1", lambda a, b: a - b).alias("isa")))
@@ -150,7 +155,7 @@ def pair_ablation(motifs: DataFrame, sequences: DataFrame, predictor: Predictor,
     single = single_scores(motifs, sequences, predictor, original) if single is None else single
     one = lambda k: single.select("region", F.col("start_rel").alias(f"start{k}"), F.col("end_rel").alias(f"end{k}"), F.col("isa").alias(f"isa{k}"))
     spans = ["start1", "end1", "start2", "end2"]
-    both = pairs.select("region", *spans).distinct().join(sequences.select("region", "seq"), "region")
+    both = _spread(pairs.select("region", *spans)).distinct().join(_spread(sequences.select("region", "seq")), "region")
     both = both.withColumn("seq", masked(masked(F.col("seq"), F.col("start1"), F.col("end1")), F.col("start2"), F.col("end2")))
     both = predictor.score(both, "seq", "p12").drop("seq").join(original, "region")
     both = both.select("region", *spans, F.zip_with("p0", "p12", lambda a, b: a - b).alias("isa12"))

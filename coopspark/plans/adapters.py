@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from coopspark.plans.stage import split_count
 
 VIEWS = {
     "motifs": """
@@ -52,7 +53,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = VIEWS[name].replace("{m}", _MD5["spark"]).replace('"end"', "`end`")
     for need in NEEDS[name]:
         sql = _named(sql, need)
-    return spark.sql(sql, **{need: view(spark, sf_dir, need) for need in NEEDS[name]})
+    needs = {need: view(spark, sf_dir, need) for need in NEEDS[name]}
+    if name == "sequences":
+        # Making sequences is work beyond reading: the keys are spread first, as a small file is one task's.
+        needs = {need: df.select("o_orderkey").repartition(split_count(df), "o_orderkey") for need, df in needs.items()}
+    return spark.sql(sql, **needs)
 
 
 def _named(sql: str, table: str) -> str:
