@@ -16,8 +16,11 @@ the columns beside the frame are the chunk index: part, chunk, first id in the
 part, number of ids, and the documents with their lengths. A reader can skip to
 any chunk and decodes each frame by itself.
 
-Parts are ranges of doc_id found from quantiles, so one shuffle sorts the ids;
-global offsets need only one total for each part.
+Parts are even ranges of (doc_id, hash of the text), of which only the ids and
+hashes are sorted; texts are tokenized straight into their parts, and one
+shuffle sorts the ids. One doc_id with very many texts, or very many null ids,
+are thereby split; only rows alike in both stay together. Global offsets need
+one total for each part.
 
 Defined cases: a null text is an empty one; a document without ids still has
 its end id; null doc_ids come last; repeated rows are written repeatedly, in
@@ -30,11 +33,13 @@ import json
 import re
 import struct
 import zlib
-from array import array
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +50,7 @@ MAGIC = b"BPS1"
 BLOCK_IDS = 65_536
 CHUNK_IDS = 1_048_576
 CACHE_WORDS, CACHE_PIECES = 1_000_000, 1_000_000
-_SPACES, _SEPARATORS = re.compile(r"[ \t-\r]+"), re.compile("[\x1c-\x1f]")
-_loaded: dict[str, object] = {}
+_loaded: dict[tuple[str, str], "_Words"] = {}
 
 
 def _stand_ins() -> dict[int, str]:
@@ -113,191 +117,237 @@ def unpack(frame: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
 # ---- tokens ----------------------------------------------------------------
 
 
-class _Cache(dict):
-    """A dictionary of two generations: the older is dropped when the younger is full, so what is frequent stays."""
-
-    def __init__(self, most: int, make):
-        self.half, self.make, self.older = most // 2, make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= 64:
-            self[key] = value
-        return value
-
-    def turn(self) -> None:
-        if len(self) > self.half:
-            self.older = dict(self)
-            self.clear()
+class _Cache:
+    """Values of many keys at once, two generations of them: the older is dropped when the younger is full, so what is frequent stays."""
+
+    def __init__(self, most: int, make: Callable[[list[str]], list[bytes]]):
+        self.half, self.make = most // 2, make
+        self.young: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def of(self, keys: list[str]) -> list[bytes]:
+        """The values of different keys; those of keys that aren't known are made in one call."""
+        if len(self.young) > self.half:
+            self.young, self.older = {}, self.young
+        young, older = self.young, self.older
+        out = list(map(young.get, keys))
+        new = []
+        for k, value in enumerate(out):
+            if value is None:
+                value = older.get(keys[k])
+                if value is None:
+                    new.append(k)
+                else:
+                    out[k] = young[keys[k]] = value
+        for k, value in zip(new, self.make([keys[k] for k in new]) if new else [], strict=True):
+            out[k] = value
+            if len(keys[k]) <= 64:
+                young[keys[k]] = value
+        return out
 
 
 class _Words:
-    """Ids of text pieces, each encoded once while it stays in a cache.
-
-    Sound for tokenizers that drop white space before their merges: no token
-    then reaches across a space, so a text's ids are its words' ids end to end.
-    A word that isn't cached is split by ``pieces``, the tokenizer's own split
-    pattern where it has one, if it is Latin-1: there NFC changes nothing and
-    lower-casing goes character by character; its pieces need the merges only.
-    Others are encoded whole.
+    """Ids of texts whose words are encoded once each while they stay in a cache.
+
+    Sound where ``separable`` says so: no token then reaches across a white
+    space, and a text's ids are its words' ids end to end. Words that aren't
+    cached are split by the tokenizer's own pattern, all in one pass, if they
+    are Latin-1: there NFC changes nothing and lower-casing goes character by
+    character. Their pieces need the merges only, again in one call. Other words
+    are encoded whole. Without a pattern whole texts are.
     """
 
     def __init__(self, path: str, pieces: str | None = None, fold: bool = False):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.find, self.fold = regex.compile(pieces).findall if pieces else None, fold
-        self.merges = self.tokenizer.model.tokenize
-        self.pieces, self.words = _Cache(CACHE_PIECES, self._merge), _Cache(CACHE_WORDS, self._word)
-
-    def _encode(self, piece: str) -> bytes:
-        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-
-    def _merge(self, piece: str) -> bytes:
-        """Ids of one piece that is already split and lower-cased: the merges alone, on its bytes' stand-ins."""
-        return array("I", [t.id for t in self.merges(piece.translate(_STAND_INS))]).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        if self.find and word.isascii():
-            folded = word.lower() if self.fold else word
-            if folded.isalpha():
-                return self.pieces[folded]
-            if folded[-1] in ".,;:!?" and folded[:-1].isalpha():
-                return self.pieces[folded[:-1]] + self.pieces[folded[-1]]
-        if self.find and "<|" not in word:  # special tokens are found before any split
-            try:
-                word.encode("latin-1")
-            except UnicodeEncodeError:
-                return self._encode(word)
-            return b"".join(map(self.pieces.__getitem__, self.find(word.lower() if self.fold else word)))
-        return self._encode(word)
-
-    def text(self, text: str) -> bytes:
-        self.pieces.turn()
-        self.words.turn()
-        # str.split() also splits at four control characters that aren't white space to the tokenizer
-        words = text.split() if not _SEPARATORS.search(text) else [w for w in _SPACES.split(text) if w]
-        return b"".join(map(self.words.__getitem__, words))
-
-
-def split_pattern(path: str) -> tuple[str | None, bool]:
-    """The pattern whose matches a tokenizer keeps as separate pieces before byte-level merges, and whether it lower-cases first."""
+        self.split = regex.compile(f"{pieces}|\n").findall if pieces else None
+        self.fold, self.added = fold, [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer, self.merges.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        suffix, known = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 + max(known.values(), default=0), bool)
+        if suffix:
+            self.ends[[i for token, i in known.items() if token.endswith(suffix)]] = True
+        self.suffix = bool(suffix)
+        self.pieces, self.words = _Cache(CACHE_PIECES, self._merged), _Cache(CACHE_WORDS, self._encoded)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _merged(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that are already split and lower-cased: the merges alone, on their bytes' stand-ins."""
+        if not self.suffix:
+            return [np.array([t.id for t in self.tokenizer.model.tokenize(p.translate(_STAND_INS))], "<u4").tobytes() for p in pieces]
+        ids = np.array(self.merges.encode_batch_fast([" ".join(p.translate(_STAND_INS) for p in pieces)], add_special_tokens=False)[0].ids, "<u4")
+        # A piece's last token, and no other, ends a word.
+        ends, data = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
+        if len(ends) != len(pieces):
+            raise RuntimeError("the tokenizer's merges don't end each piece with an end-of-word token")
+        return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        plain = [w.isascii() or w.encode("latin-1", "replace").decode("latin-1") == w for w in words]
+        for k, w in enumerate(words):  # added tokens are found before any split
+            if "<" in w and any(t in w for t in self.added):
+                plain[k] = False
+        joined = "\n".join(w for w, ok in zip(words, plain, strict=True) if ok)
+        found = self.split(joined.lower() if self.fold else joined)
+        different = [p for p in dict.fromkeys(found) if p != "\n"]
+        ids = dict(zip(different, self.pieces.of(different), strict=True))
+        each: list[bytes] = []
+        held: list[bytes] = []
+        for p in found:
+            if p == "\n":
+                each.append(b"".join(held))
+                held = []
+            else:
+                held.append(ids[p])
+        each.append(b"".join(held))
+        made = iter(each)
+        return [next(made) if ok else self._whole(w) for w, ok in zip(words, plain, strict=True)]
+
+    def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and how many each has."""
+        column = pc.fill_null(column, "")
+        if self.split is None:
+            made = [e.ids for e in self.tokenizer.encode_batch(column.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, "<u4"), *[np.array(i, "<u4") for i in made]]), np.array([len(i) for i in made], np.int64)
+        split = pc.ascii_split_whitespace(column)
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        words = split.flatten().dictionary_encode()
+        codes = words.indices.to_numpy().astype(np.int64)
+        made = self.words.of(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        data = np.frombuffer(b"".join(made), "<u4")
+        lengths = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        starts, sizes = (np.cumsum(lengths) - lengths)[codes], lengths[codes]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = data[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)]
+        return ids, np.diff(ends[bounds - bounds[0]])
+
+
+#: Split alternatives that can match no white space.
+_SOLID = {r"[\p{L}]+", r"\p{L}+", r"[\p{N}]", r"[\p{N}]+", r"\p{N}", r"\p{N}+", r"[^\s\p{L}\p{N}]+"}
+
+
+def separable(path: str) -> tuple[str | None, bool]:
+    """The pattern whose matches a tokenizer keeps as separate pieces before byte-level merges, and whether it lower-cases first.
+
+    Decided from what the tokenizer's file declares; None where that doesn't
+    make a text's ids its words' ids end to end, and whole texts are encoded.
+    """
     with open(path, encoding="utf-8") as f:
         said = json.load(f)
-    kinds = [n["type"] for n in ((said.get("normalizer") or {}).get("normalizers") or [])]
+    norms = (said.get("normalizer") or {}).get("normalizers") or []
     steps = (said.get("pre_tokenizer") or {}).get("pretokenizers") or []
-    if len(steps) == 2 and set(kinds) <= {"NFC", "Replace", "Lowercase"} and said["model"].get("type") == "BPE":
-        split, level = steps
-        plain = level.get("type") == "ByteLevel" and not level.get("add_prefix_space") and not level.get("use_regex")
-        if plain and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert"):
-            return split["pattern"].get("Regex"), "Lowercase" in kinds
-    return None, False
+    known = all(n["type"] in ("NFC", "Lowercase") or (n["type"] == "Replace" and n.get("pattern") == {"Regex": r"\s+"} and n.get("content") == " ") for n in norms)
+    plain = all(not t.get("normalized") and not t.get("lstrip") and not t.get("rstrip") and not t.get("single_word") and "<" in t["content"] and not any(c.isspace() for c in t["content"]) for t in said.get("added_tokens") or [])
+    model = said["model"]
+    if len(steps) != 2 or not known or not plain or model.get("type") != "BPE" or model.get("dropout") or said.get("post_processor"):
+        return None, False
+    split, level = steps
+    kept = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and split["pattern"].get("Regex")
+    bytes_only = level.get("type") == "ByteLevel" and not level.get("add_prefix_space") and not level.get("use_regex")
+    if not kept or not bytes_only or not all(part in _SOLID or re.fullmatch(r"['a-zA-Z]+", part) for part in kept.split("|")):
+        return None, False
+    return kept, any(n["type"] == "Lowercase" for n in norms)
 
 
-def drops_white_space(path: str) -> bool:
-    """Whether the tokenizer treats a text as its words between spaces, seen on probes that put spaces everywhere."""
-    from tokenizers import Tokenizer
+def _loaded_words(path: str, digest: str, split: tuple[str | None, bool]) -> _Words:
+    """The worker's encoder for a file of that content; Python workers are reused, so it is built once in each."""
+    if (path, digest) not in _loaded:
+        _loaded[path, digest] = _Words(path, *split)
+    return _loaded[path, digest]
 
-    t = Tokenizer.from_file(path)
-    probes = ["a b", " a\t\tb\n", "it's 'x' , ,,  ;a1 2b\r\n\x0b\x0cend", "é ́ a"]
-    ids = lambda s: t.encode(s, add_special_tokens=False).ids
-    return all(ids(p) == [i for w in _SPACES.split(p) if w for i in ids(w)] for p in probes)
 
+def _place(bounds: list[tuple], doc: int | None, tie: int) -> int:
+    return bisect_left(bounds, (doc is None, doc or 0, tie))
 
-def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_ids, ids binary): whole texts as little-endian unsigned 32-bit ids, zstd-compressed."""
-    by_word, split = drops_white_space(tokenizer_path), split_pattern(tokenizer_path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", bounds: list[tuple] | None = None) -> DataFrame:
+    """(part, doc_id, tie, n_ids, ids binary): whole texts as little-endian unsigned 32-bit ids, 16-bit if all ids of the tokenizer fit.
 
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        if tokenizer_path not in _loaded:
-            _loaded[tokenizer_path] = _Words(tokenizer_path, *split)
-        words: _Words = _loaded[tokenizer_path]  # type: ignore[assignment]
-        end = b"" if end_id is None else struct.pack("<I", end_id)
-        for batch in slices(batches, 256):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            if by_word:
-                ids = [words.text(t) + end for t in texts]
-            else:
-                ids = [np.array(e.ids, "<u4").tobytes() + end for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            counts = [len(i) // 4 for i in ids]
-            data = [_narrow(i, squeeze) for i in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32()), pa.array(data, pa.binary())], names=["doc_id", "n_ids", "ids"])
+    ``bounds``: the last (doc_id is null, doc_id or 0, tie) of each part but the
+    last one; ``tie`` is a hash of the text.
+    """
+    from tokenizers import Tokenizer
 
-    source = columns_of(docs, id_col, text_col).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, n_ids int, ids binary")
+    split, narrow = separable(tokenizer_path), max(Tokenizer.from_file(tokenizer_path).get_vocab().values(), default=0) < 65536 and (end_id or 0) < 65536
+    with open(tokenizer_path, "rb") as f:
+        digest = xxhash.xxh3_128_hexdigest(f.read())
+    kind, cuts = ("<u2" if narrow else "<u4"), bounds or []
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _loaded_words(tokenizer_path, digest, split)
+        for batch in slices(batches, 1024):
+            ids, counts = words.texts(batch.column(1))
+            if end_id is not None:
+                ids = np.insert(ids, np.cumsum(counts), end_id)
+                counts = counts + 1
+            data = ids.astype(kind)
+            ends = np.concatenate([[0], np.cumsum(counts)]) * data.itemsize
+            packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+            part = [_place(cuts, *key) for key in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column(0), batch.column(2), pa.array(counts.astype(np.int32)), packed], names=["part", "doc_id", "tie", "n_ids", "ids"])
 
-def _narrow(ids: bytes, squeeze) -> bytes:
-    """A document's ids for the shuffle: the number of bytes that its largest id needs (2 or 4), then that many planes."""
-    values = np.frombuffer(ids, "<u4")
-    width = 2 if not len(values) or values.max() < 65536 else 4
-    planes = np.ascontiguousarray(values.astype(f"<u{width}", copy=False).view(np.uint8).reshape(-1, width).T)
-    return bytes([width]) + squeeze(planes.tobytes())
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "part int, doc_id bigint, tie bigint, n_ids int, ids binary")
 
 
-def _raw(data: bytes) -> np.ndarray:
-    import zstandard
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return columns_of(docs, id_col, text_col).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tie"))
+
 
-    width = data[0]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype("<u4")
+def part_bounds(docs: DataFrame, parts: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
+    """The last (doc_id is null, doc_id or 0, tie) of each of ``parts`` even ranges but the last: one row for each part."""
+    slim = _keyed(docs, id_col, text_col).select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "tie")
+    ranged = slim.repartitionByRange(parts, "none", "id", "tie").groupBy(F.spark_partition_id().alias("p")).agg(F.max(F.struct("none", "id", "tie")).alias("last"))
+    return sorted({tuple(r.last) for r in ranged.collect()})[:-1]
 
 
 # ---- files -----------------------------------------------------------------
 
 
-def frames(tokens: DataFrame, ranges: list[int], parts: int, chunk_ids: int = CHUNK_IDS, block_ids: int = BLOCK_IDS, kind: int = 8) -> DataFrame:
-    """Frames of whole documents in ascending doc_id order within each part."""
+def frames(tokens: DataFrame, parts: int, chunk_ids: int = CHUNK_IDS, block_ids: int = BLOCK_IDS, kind: int = 8) -> DataFrame:
+    """Frames of whole documents in ascending doc_id order within each part; part p is the task p's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, chunk, first = None, 0, 0
         docs: list[int | None] = []
+        lengths: list[int] = []
         held: list[np.ndarray] = []
         n = 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([first], pa.int64()), pa.array([n], pa.int64()),
-                    pa.array([docs], pa.list_(pa.int64())), pa.array([[len(x) for x in held]], pa.list_(pa.int32())), pa.array([pack(np.concatenate(held), block_ids, kind)], pa.binary()),
-                ],
-                names=["part", "chunk", "first_id", "n_ids", "doc_ids", "lengths", "frame"],
-            )
+            columns = [pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([first], pa.int64()), pa.array([n], pa.int64()), pa.array([docs], pa.list_(pa.int64()))]
+            columns += [pa.array([lengths], pa.list_(pa.int32())), pa.array([pack(np.concatenate(held), block_ids, kind)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "chunk", "first_id", "n_ids", "doc_ids", "lengths", "frame"])
 
         for batch in slices(batches, 256):
-            for p, doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if held and (p != part or n >= chunk_ids):
+            for p, doc, size, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if docs and (p != part or n >= chunk_ids):
                     yield out()
-                    chunk, first, n, docs, held = chunk + 1, first + n, 0, [], []
+                    chunk, first, n, docs, lengths, held = chunk + 1, first + n, 0, [], [], []
                 if p != part:
                     part, chunk, first = p, 0, 0
                 docs.append(doc)
-                held.append(_raw(data))
-                n += len(held[-1])
-        if held:
+                lengths.append(size)
+                held.append(np.frombuffer(data, "<u2" if len(data) == 2 * size else "<u4").astype("<u4"))
+                n += size
+        if docs:
             yield out()
 
-    # A part is a range of ids: the number of bounds not above the id; nulls come after all.
-    bounds = F.array(*[F.lit(int(b)).cast("bigint") for b in ranges]) if ranges else F.array().cast("array<bigint>")
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(ranges) + 1)).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))))
-    placed = tokens.select(part.alias("part"), "doc_id", "ids")
-    return placed.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "ids").mapInArrow(run, FRAME)
+    placed = tokens.repartitionById(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "tie", "ids")
+    return placed.select("part", "doc_id", "n_ids", "ids").mapInArrow(run, FRAME)
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", kind: int = 8) -> DataFrame:
     """Tokenize, write the frames (to ``path``, else to the session's shared folder) and return them as read back."""
     parts = split_count(docs)
-    ids = columns_of(docs, id_col).select(F.col(id_col).cast("bigint").alias("doc_id"))
-    cuts = ids.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 100 * parts)).first()[0]
-    made = frames(tokenize(docs, tokenizer_path, end_id, id_col, text_col), sorted(set(cuts or [])), parts, kind=kind)
+    bounds = part_bounds(docs, parts, id_col, text_col)
+    made = frames(tokenize(docs, tokenizer_path, end_id, id_col, text_col, bounds), parts, kind=kind)
     if path is None:
         return written(made)
     made.write.parquet(path)
