@@ -13,9 +13,11 @@ every pair that can enter one of the two lists goes on. Reverse lists are
 sampled by hash to ``degree``, as the method does. Rounds end when under
 ``SETTLED`` of all entries change, after ``rounds`` at most.
 
-The centres of a *home*, ``HOME`` successive nodes of the first projection's
-order, are joined in one task. As they share most of their neighbours, a vector
-goes there once for all of them, not once for each edge. The build works on
+The centres of a *home*, a run of the first projection's order, are joined in
+one task. As they share most of their neighbours, a vector goes there once for
+all of them, not once for each edge: there are ``HOMES`` homes, more only where
+one would have over ``HOME`` nodes, and a round never sends more than
+``2 degree`` vectors a node. The build works on
 single-precision copies of the centred vectors, each with its own exponent.
 
 *Search.* A query needs not be in the graph: it enters at the ``STARTS`` nearest
@@ -53,7 +55,8 @@ DEGREE, ROUNDS, BEAM, EXPAND = 40, 8, 64, 16
 LINKS, BACK_LINKS = 24, 16
 ENTRIES, STARTS = 512, 16
 SEEN_TABLES = 12
-TREES, CELL, HOME = 4, 256, 4096
+TREES, CELL = 4, 256
+HOMES, HOME = 16, 4096  # homes at least, nodes of a home at most
 SETTLED = 0.02
 HIGHEST = 480  # exponent of the largest component of the copies
 
@@ -246,12 +249,13 @@ def _join_around(degree: int, at_once: int = 128, hold: int = 1_000_000) -> Call
     return run
 
 
-def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, trees: int = TREES, cell: int = CELL, home: int = HOME) -> DataFrame:
+def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, trees: int = TREES, cell: int = CELL) -> DataFrame:
     """(u, v, d): each node's approximate nearest neighbours, with squared distances of the scaled copies."""
     half, parts = _scaled(nodes), split_count(nodes)
     n = half.count()
     cells = max(0, min(20, int(np.log2(max(1, n / (4 * cell))))))
     ordered = _ordered(half, trees, cells)
+    home = min(HOME, -(-n // HOMES)) or 1
     homes = ordered.where("tree = 0").select("node", F.expr(f"at div {home}").alias("hn"))
     half = written(half.join(homes, "node").select("node", "hn", "h"))
     last = max(1, n // cell) - 1
