@@ -1,14 +1,18 @@
 """Exact top-k by inner product: a ball tree for each shard, searched by branch and bound.
 
-Vectors are dealt to shards of about ``shard_rows`` by a hash of the id. A task
-builds the ball tree of a shard (centre, radius, leaves of ``LEAF`` rows) and
-then streams the queries through it: a node's inner products are at most
+Vectors are dealt to the nearest of at most ``CENTRES`` coarse centres of their
+length, and a centre's cell to shards of about ``shard_rows`` by a hash of the
+id. A task builds the ball tree of a shard (centre, radius, leaves of ``LEAF``
+rows) and then streams queries through it: a node's inner products are at most
 ``q . centre + |q| radius``; nodes are visited in falling order of that bound and
 the search stops below the current k-th score. That score is shared: a first
-pass searches one shard for each query, chosen so that all shards share the
-work, and the k-th scores it finds are the starting bounds of all others.
-Queries reach the shards as rows in the shards' partitions, so a task holds one
-shard and one batch of queries; candidates are never copied.
+pass searches one shard of each query's own cell, and the k-th scores that it
+finds are the starting bounds of all others. A cell has the same bound as a
+node, so a query goes only to the shards of cells whose bound reaches its k-th
+score. Queries reach the shards as rows in the shards' partitions; a shard that
+many queries reach is copied for each ``ASKED`` of them, so that a task holds
+one shard and a bounded batch of queries. Only the centres (at most ``CENTRES``
+vectors) and the cells' radii pass through the driver.
 
 Scores are integers (vectors are integer-valued) and exact: in double precision
 while sums stay below 2**53, else in Python's integers (clipped to 64 bits in
@@ -16,7 +20,8 @@ the result).
 
 Defined cases: vectors that are null, empty, or hold null or non-finite
 components take no part; vectors of different length aren't compared; equal
-scores go to the smaller id; repeated rows of a query's id are other candidates
+scores go to the smaller id; vectors of a length that no centre has are one
+cell without a bound, which every query of that length visits; repeated rows of a query's id are other candidates
 only under another id (every row with the query's own id is left out), and a
 query id that repeats is asked once, with its least vector; fewer candidates
 than k give fewer rows; empty tables give an empty result; extra columns are
@@ -37,6 +42,8 @@ from coopspark.llm.common import columns_of, slices
 from coopspark.plans.stage import split_count, written
 
 SHARD_ROWS = 16_384
+CENTRES = 256
+ASKED = 65_536
 LEAF = 64
 _MOST = 2**63 - 1
 
@@ -119,52 +126,166 @@ class BallTree:
         return best
 
 
-def _numbers(lists: list[list[int]]) -> np.ndarray:
+SHARD = ["dim", "cell", "salt"]
+
+
+def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
+    """A list column whose rows all have ``dim`` entries, as 64-bit integers."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dim)
+
+
+def _largest(rows: np.ndarray) -> float:
+    return float(np.abs(rows.astype(np.float64)).max(initial=0.0))
+
+
+def _numbers(rows: np.ndarray) -> np.ndarray:
     """Doubles if all sums of products are exact in them, else Python integers."""
-    top = max((abs(x) for row in lists for x in row), default=0)
-    fits = top * top * max((len(r) for r in lists), default=0) < 2**53
-    return np.array(lists, np.float64) if fits else np.array(lists, object)
+    return rows.astype(np.float64) if _largest(rows) ** 2 * rows.shape[1] < 2**53 else rows.astype(object)
+
+
+def _alike(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ends of the runs of rows that agree in all columns."""
+    table = np.stack(columns)
+    cuts = np.flatnonzero((table[:, 1:] != table[:, :-1]).any(axis=0)) + 1
+    return zip([0, *cuts.tolist()], [*cuts.tolist(), table.shape[1]], strict=True)
+
+
+def _assign(centres: dict[int, tuple[np.ndarray, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds each vector's cell (the nearest centre of its length, else -1) and its distance from that centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            dims = batch.column(1).to_numpy()
+            cell, gap = np.full(len(dims), -1, np.int64), np.zeros(len(dims))
+            for d in np.unique(dims).tolist():
+                if d in centres:
+                    numbers, c = centres[d]
+                    at = np.flatnonzero(dims == d)
+                    x = _matrix(batch.column(2).take(pa.array(at)), d).astype(np.float64)
+                    best = ((c * c).sum(axis=1) - 2 * (x @ c.T)).argmin(axis=1)
+                    cell[at] = numbers[best]
+                    gap[at] = np.sqrt(((x - c[best]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(gap)], names=[*batch.schema.names, "cell", "gap"])
+
+    return run
+
+
+def _reach(centres: dict[int, tuple[np.ndarray, np.ndarray]], radii: dict[int, float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(dim, v, vec_id, least, home, own) once for each cell whose inner products can reach ``least``, with that cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            dims = batch.column(0).to_numpy()
+            least = batch.column(3).cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy()
+            rows, cells = [], []
+            for d in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == d)
+                if d not in centres:
+                    rows.append(at)
+                    cells.append(np.full(len(at), -1, np.int64))
+                    continue
+                numbers, c = centres[d]
+                r = np.array([radii.get(n, 0.0) for n in numbers.tolist()])
+                q = _matrix(batch.column(1).take(pa.array(at)), d).astype(np.float64)
+                norms = np.sqrt((q * q).sum(axis=1))[:, None]
+                bound = q @ c.T + norms * r + 1e-9 * (1 + norms * (np.sqrt((c * c).sum(axis=1)) + r))
+                i, j = np.nonzero(bound >= least[at][:, None])
+                rows.append(at[i])
+                cells.append(numbers[j])
+            if rows:
+                taken = batch.take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(cells))], names=[*batch.schema.names, "cell"])
+
+    return run
 
 
 def _scan(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by (shard, is a query): a shard's vectors, then the queries to put to it."""
+    """Rows sorted by (shard and copy, is a query): a shard's vectors, then the queries to put to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, rows, tree = None, [], [], None
+        shard, ids, rows, tree = None, [], [], None
         for batch in slices(batches, 512):
-            data = list(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True))
-            out: list[tuple[int, int, int]] = []
-            asked: list[tuple] = []
-
-            def answer(asked: list[tuple], tree: BallTree | None, out: list[tuple[int, int, int]]) -> None:
-                if not asked or tree is None:
-                    return
-                q = _numbers([r[3] for r in asked])
-                if q.dtype == object or tree.rows.dtype == object or float(np.abs(q).max()) * float(np.abs(tree.rows).max() if len(tree.rows) else 0) * q.shape[1] >= 2**53:
-                    q = np.array([r[3] for r in asked], object)
-                    tree.rows = np.array([[int(x) for x in r] for r in tree.rows], object) if tree.rows.dtype != object else tree.rows
-                bounds = tree.bounds(q)
-                for r, query, bound in zip(asked, q, bounds, strict=True):
-                    out += [(r[2], -i, max(-_MOST, min(_MOST, s))) for s, i in tree.search(r[2], query, bound, k, r[4])]
-
-            for r in data:
-                if r[0] != at:
-                    answer(asked, tree, out)
-                    at, ids, rows, tree, asked = r[0], [], [], None, []
-                if not r[1]:
-                    ids.append(r[2])
-                    rows.append(r[3])
-                else:
-                    if tree is None and ids:
-                        tree, ids, rows = BallTree(np.array(ids), _numbers(rows)), [], []
-                    asked.append(r)
-            answer(asked, tree, out)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
+            keys = [batch.column(c).to_numpy() for c in range(4)]
+            asks = batch.column(4).to_numpy(zero_copy_only=False)
+            found: list[tuple[int, int, int]] = []
+            for a, b in _alike(*keys, asks):
+                if (own := tuple(int(c[a]) for c in keys)) != shard:
+                    shard, ids, rows, tree = own, [], [], None
+                part = batch.slice(a, b - a)
+                names, x = part.column(5).to_numpy(), _matrix(part.column(6), shard[0])
+                if not asks[a]:
+                    ids.append(names)
+                    rows.append(x)
+                    continue
+                if tree is None:
+                    tree, ids, rows = BallTree(np.concatenate(ids), _numbers(np.concatenate(rows))), [], []
+                q = _numbers(x)
+                if q.dtype == object or tree.rows.dtype == object or _largest(q) * _largest(tree.rows) * shard[0] >= 2**53:
+                    q = x.astype(object)
+                    if tree.rows.dtype != object:
+                        tree.rows = tree.rows.astype(np.int64).astype(object)
+                for one, query, bound, least in zip(names.tolist(), q, tree.bounds(q), part.column(7).to_pylist(), strict=True):
+                    found += [(one, -i, max(-_MOST, min(_MOST, s))) for s, i in tree.search(one, query, bound, k, least)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in found], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
+def _narrow(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """``vectors`` with the narrowest integers that hold all components, and the number of rows."""
+    size = F.array_max(F.transform("v", lambda x: F.greatest(x, -1 - x)))
+    n, top = vectors.agg(F.count(F.lit(1)), F.max(size)).first()
+    kind = next(t for t, bits in (("smallint", 15), ("int", 31), ("bigint", 63)) if (top or 0) < 2**bits)
+    return vectors.withColumn("v", F.col("v").cast(f"array<{kind}>")), n
+
+
+class Shards:
+    """The vectors in cells and shards, and where queries go."""
+
+    def __init__(self, vectors: DataFrame, is_query: Column, shard_rows: int):
+        self.parts = split_count(vectors)
+        all_, n = _narrow(vectors)
+        # At least as many cells as keep the partitions busy; shards then hold fewer rows.
+        cells = min(CENTRES, max(-(-n // shard_rows), min(self.parts, -(-n // 1024))))
+        drawn = all_.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id", "v").limit(cells).select("dim", "v").distinct().collect()  # at most CENTRES vectors
+        by_dim: dict[int, list[tuple[int, list[int]]]] = {}
+        for number, r in enumerate(drawn):
+            by_dim.setdefault(r.dim, []).append((number, r.v))
+        self.centres = {d: (np.array([i for i, _ in own]), np.array([v for _, v in own], np.float64)) for d, own in by_dim.items()}
+        kind = all_.schema["v"].dataType.simpleString()
+        placed = all_.select("vec_id", "dim", "v").mapInArrow(_assign(self.centres), f"vec_id bigint, dim int, v {kind}, cell bigint, gap double")
+        self.placed = written(placed)
+        cells_of = self.placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).alias("salts"), F.max("gap").alias("radius"))
+        self.cells = written(cells_of)
+        radii = self.cells.where("cell >= 0").select("cell", "radius").collect()  # one row a centre
+        self.radii = {r.cell: r.radius for r in radii}
+        salt = lambda seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col("salts"))
+        own = self.placed.join(self.cells.select("dim", "cell", "salts"), ["dim", "cell"])
+        self.rows = own.select(*SHARD[:2], salt(1).alias("salt"), "vec_id", "v")
+        queries = own.where(is_query).groupBy("vec_id", "dim").agg(F.min(F.struct("v", "cell", "salts")).alias("q"))
+        self.queries = queries.select("dim", "q.cell", "q.salts", "vec_id", "q.v").select(*SHARD[:2], salt(7).alias("salt"), "vec_id", "v")
+
+    def others(self, kth: DataFrame) -> DataFrame:
+        """(dim, cell, salt, vec_id, v, least): each query at every further shard that its k-th score doesn't exclude; ``kth`` is (query_id, least)."""
+        asked = self.queries.join(kth, F.col("query_id") == F.col("vec_id"), "left").select("dim", "v", "vec_id", "least", F.col("cell").alias("home"), F.col("salt").alias("own"))
+        kind = asked.schema["v"].dataType.simpleString()
+        reached = asked.mapInArrow(_reach(self.centres, self.radii), f"dim int, v {kind}, vec_id bigint, least bigint, home bigint, own bigint, cell bigint")
+        each = reached.join(self.cells.select("dim", "cell", "salts"), ["dim", "cell"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        return each.where((F.col("cell") != F.col("home")) | (F.col("salt") != F.col("own"))).select(*SHARD, "vec_id", "v", "least")
+
+    def put(self, asked: DataFrame, k: int) -> DataFrame:
+        """(query_id, vec_id, score): the k best of each asked shard."""
+        blocks = asked.groupBy(*SHARD).agg(F.ceil(F.count(F.lit(1)) / F.lit(ASKED)).alias("blocks"))
+        none = F.lit(None).cast("bigint").alias("least")
+        held = self.rows.join(blocks, SHARD).select(*SHARD, "blocks", "vec_id", "v").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        held = held.select(*SHARD, "copy", F.lit(False).alias("asks"), "vec_id", "v", none)
+        put = asked.join(blocks, SHARD).select(*SHARD, F.pmod(F.xxhash64("vec_id", F.lit(11)), F.col("blocks")).alias("copy"), F.lit(True).alias("asks"), "vec_id", "v", "least")
+        keys = [*SHARD, "copy"]
+        work = held.unionByName(put).repartition(self.parts, *keys).sortWithinPartitions(*keys, "asks")
+        return work.mapInArrow(_scan(k), "query_id bigint, vec_id bigint, score bigint")
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -175,19 +296,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     if k < 1:
         raise ValueError("k must be positive")
     all_ = written(quantised(vectors, scale, id_col, vector_col).distinct().withColumn("dim", F.size("v")))
-    shards = max(1, -(-all_.count() // shard_rows))
-    shards = max(shards, min(split_count(vectors), shards * 4))
-    rows = all_.select(F.struct("dim", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("s")).alias("shard"), F.lit(False).alias("asks"), "vec_id", "v", F.lit(None).cast("bigint").alias("least"))
-    queries = all_.where(is_query).groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
-
-    def put(asked: DataFrame) -> DataFrame:
-        work = rows.unionByName(asked.select(F.struct("dim", "s").alias("shard"), F.lit(True).alias("asks"), "vec_id", "v", "least"))
-        work = work.select((F.col("shard.s") * 1_000_000 + F.col("shard.dim")).alias("shard"), "asks", "vec_id", "v", "least")
-        return work.repartition(max(1, min(split_count(vectors), 4 * shards)), "shard").sortWithinPartitions("shard", "asks").mapInArrow(_scan(k), "query_id bigint, vec_id bigint, score bigint")
-
-    own = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(shards))
-    first = written(put(queries.withColumn("s", own).withColumn("least", F.lit(None).cast("bigint"))))
+    shards = Shards(all_, is_query, shard_rows)
+    first = written(shards.put(shards.queries.withColumn("least", F.lit(None).cast("bigint")), k))
     kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).select("query_id", F.when(F.col("n") >= k, F.col("low")).alias("least"))
-    others = queries.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>"))).where(F.col("s") != own)
-    rest = put(others.join(kth, F.col("query_id") == F.col("vec_id"), "left"))
+    rest = shards.put(shards.others(kth), k)
     return _best(first.unionByName(rest), k).select("query_id", "rank", "vec_id", "score")

@@ -44,6 +44,30 @@ def test_topk_large_numbers(spark):
     assert [tuple(r) for r in topk.top_k(table, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, clip(dot(a, b))), (0, 2, 2, clip(dot(a, c)))]
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_topk_bounds_exclude_shards(spark, hot):
+    """Clustered vectors: a query reaches few of the other shards, also when a third of all rows are alike; results stay exact."""
+    rng = np.random.default_rng(5)
+    clusters = rng.standard_normal((40, 8)) * 10
+    x = np.round(clusters[rng.integers(0, 40, 6000)] + rng.standard_normal((6000, 8)) * 0.05, 3)
+    if hot:
+        x[:2000] = x[0]
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    all_ = topk.quantised(table, 256, "vec_id", "embedding").distinct().withColumn("dim", F.size("v"))
+    shards = topk.Shards(all_, F.col("vec_id") % 50 == 0, 100)
+    sizes = [r["count"] for r in shards.rows.groupBy(*topk.SHARD).count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) < 200
+    v = np.floor(256 * x)
+    scores = v[::50] @ v.T
+    scores[np.arange(120), np.arange(0, 6000, 50)] = -np.inf
+    first = shards.put(shards.queries.withColumn("least", F.lit(None).cast("bigint")), 5)
+    kth = first.groupBy("query_id").agg(F.min("score").alias("least"))
+    assert shards.others(kth).count() < 0.5 * 120 * len(sizes)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(table, F.col("vec_id") % 50 == 0, shard_rows=100).collect()}
+    want = {(50 * q, r + 1): (int(i), int(s[i])) for q, s in enumerate(scores) for r, i in enumerate(np.lexsort((np.arange(6000), -s))[:5])}
+    assert got == want
+
+
 def brute_nearest(rows, every, k=10):
     fine = sorted({(i, tuple(v)) for i, v in rows if i is not None and v and len(v) == len(rows[0][1]) and all(x is not None and np.isfinite(x) for x in v) and any(v)})
     ids, x = np.array([i for i, _ in fine]), np.array([v for _, v in fine])
