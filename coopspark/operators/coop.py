@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coopspark.functions.scalars import canonical_pair
+from coopspark.operators.quantiles import quantiles
 from coopspark.operators.rankstats import benjamini_hochberg, rank_pass, signed_ks, with_p_values
 
 
@@ -22,7 +23,7 @@ def second_largest(values: Column) -> Column:
 def attribution_threshold(gaps: DataFrame, scores: DataFrame, percentile: float) -> DataFrame:
     """(track, threshold) from all positions of all gaps: gaps (region, gap_start_rel, gap_end_rel), scores (region, track, scores)."""
     values = gaps.join(scores, "region").select("track", F.explode(sliced(F.col("scores"), F.col("gap_start_rel"), F.col("gap_end_rel"))).alias("v"))
-    return values.groupBy("track").agg(F.percentile("v", percentile / 100.0).alias("threshold"))
+    return quantiles(values, "v", {"threshold": percentile / 100.0}, ["track"])
 
 
 def attribution_filter(motifs: DataFrame, scores: DataFrame, thresholds: DataFrame, tracks: list[int]) -> DataFrame:
@@ -47,12 +48,15 @@ def tf_importance(single: DataFrame, tracks: list[int], min_count: int) -> DataF
     Track k's mean and median use the rows that pass tracks 0 to k; the KS
     compares all rows of the TF with all rows.
     """
-    aggregates, passing = [F.count(F.lit(1)).alias("count")], F.lit(True)
+    aggregates, medians, passing = [F.count(F.lit(1)).alias("count")], [], F.lit(True)
     for k in tracks:
         passing = passing & (F.col(f"pass_threshold_t{k}") == 1)
         kept = F.when(passing, F.col(f"isa_t{k}"))
-        aggregates += [F.avg(kept).alias(f"mean_isa_t{k}"), F.percentile(kept, 0.5).alias(f"median_isa_t{k}")]
+        aggregates.append(F.avg(kept).alias(f"mean_isa_t{k}"))
+        medians.append(quantiles(single.where(passing), f"isa_t{k}", {f"median_isa_t{k}": 0.5}, ["tf"]))
     out = single.groupBy("tf").agg(*aggregates)
+    for median in medians:
+        out = out.join(median, "tf", "left")
     for k in tracks:
         out = out.join(signed_ks(single, "tf", f"isa_t{k}", min_count).withColumnRenamed("ks", f"ks_isa_t{k}"), "tf", "left")
     return out

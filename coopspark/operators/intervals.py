@@ -34,7 +34,13 @@ def _suffixed(df: DataFrame, suffix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(c + suffix) for c in df.columns])
 
 
-def contained(regions: DataFrame, hits: DataFrame, width: int = 1000, suffix: str = "_hit") -> DataFrame:
+def _salted(left: DataFrame, right: DataFrame, salts: int, start: str, end: str) -> tuple[DataFrame, DataFrame]:
+    """``right`` dealt over ``salts`` keys by its interval and ``left`` copied under each of them."""
+    left = left.withColumn("salt__", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left, right.withColumn("salt_r__", F.pmod(F.xxhash64(start, end), F.lit(salts)).cast("int"))
+
+
+def contained(regions: DataFrame, hits: DataFrame, width: int = 1000, suffix: str = "_hit", salts: int = 1) -> DataFrame:
     """Regions with each hit that lies completely inside; distinct rows. Hit columns get ``suffix``.
 
     A contained hit starts in a bin of its region, so hits have one bin only.
@@ -42,7 +48,10 @@ def contained(regions: DataFrame, hits: DataFrame, width: int = 1000, suffix: st
     left = regions.where("end > start").withColumn("bin__", F.explode(_bins("start", "end", width)))
     right = _suffixed(hits.where("end > start"), suffix).withColumn("bin_hit__", F.expr(f"`start{suffix}` div {width}"))
     on = (F.col("chrom") == F.col(f"chrom{suffix}")) & (F.col("bin__") == F.col("bin_hit__")) & (F.col(f"start{suffix}") >= F.col("start")) & (F.col(f"end{suffix}") <= F.col("end"))
-    return left.join(right, on).drop("bin__", "bin_hit__").distinct()
+    if salts > 1:
+        left, right = _salted(left, right, salts, f"start{suffix}", f"end{suffix}")
+        on &= F.col("salt__") == F.col("salt_r__")
+    return left.join(right, on).drop("bin__", "bin_hit__", "salt__", "salt_r__").distinct()
 
 
 def overlapping(left: DataFrame, right: DataFrame, width: int = 1000, suffix: str = "_r", salts: int = 1) -> DataFrame:
@@ -53,13 +62,12 @@ def overlapping(left: DataFrame, right: DataFrame, width: int = 1000, suffix: st
     on = (F.col("chrom") == F.col(f"chrom{suffix}")) & (F.col("bin__") == F.col("bin_r__")) & (F.col("bin__") == first)
     on &= (F.col("start") < F.col(f"end{suffix}")) & (F.col(f"start{suffix}") < F.col("end"))
     if salts > 1:
-        a = a.withColumn("salt__", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        b = b.withColumn("salt_r__", F.pmod(F.xxhash64(f"start{suffix}", f"end{suffix}"), F.lit(salts)).cast("int"))
+        a, b = _salted(a, b, salts, f"start{suffix}", f"end{suffix}")
         on &= F.col("salt__") == F.col("salt_r__")
     return a.join(b, on).drop("bin__", "bin_r__", "salt__", "salt_r__")
 
 
-def signal_by_region(regions: DataFrame, signal: DataFrame, width: int = 1000, chrom_sizes: DataFrame | None = None) -> DataFrame:
+def signal_by_region(regions: DataFrame, signal: DataFrame, width: int = 1000, chrom_sizes: DataFrame | None = None, salts: int = 1) -> DataFrame:
     """``regions`` with ``signal``: per track the absolute sum of value times overlapping positions, summed over tracks.
 
     ``signal`` has chrom, start, end, value, track. Regions without signal get
@@ -67,7 +75,7 @@ def signal_by_region(regions: DataFrame, signal: DataFrame, width: int = 1000, c
     bounds. Regions alike are one row of the aggregate and come back repeatedly.
     """
     keys = ["chrom", "start", "end"]
-    pairs = overlapping(regions.select(*keys).distinct(), signal, width)
+    pairs = overlapping(regions.select(*keys).distinct(), signal, width, salts=salts)
     length = F.least("end", "end_r") - F.greatest("start", "start_r")
     per_track = pairs.groupBy(*keys, "track_r").agg(F.abs(F.sum(F.col("value_r") * length)).alias("part"))
     total = per_track.groupBy(*keys).agg(F.sum("part").alias("signal"))
@@ -80,21 +88,21 @@ def signal_by_region(regions: DataFrame, signal: DataFrame, width: int = 1000, c
     return sized.withColumn("signal", F.when(inside, value).otherwise(0.0)).drop("size__")
 
 
-def chip_evidence(hits: DataFrame, peaks: DataFrame, width: int = 1000) -> DataFrame:
+def chip_evidence(hits: DataFrame, peaks: DataFrame, width: int = 1000, salts: int = 1) -> DataFrame:
     """``hits`` (region, chrom, region_start, region_end, tf) with ``evidence``: every component has a peak that overlaps the region."""
     regions = hits.select("region", "chrom", F.col("region_start").alias("start"), F.col("region_end").alias("end")).distinct()
-    seen = overlapping(regions, peaks.select("chrom", "start", "end", F.upper("tf").alias("tf")), width)
+    seen = overlapping(regions, peaks.select("chrom", "start", "end", F.upper("tf").alias("tf")), width, salts=salts)
     names = seen.groupBy("region").agg(F.collect_set("tf_r").alias("seen"))  # at most one entry for each TF
     parts = F.split(F.upper("tf"), "::")
     found = F.forall(parts, lambda p: F.array_contains("seen", p))
     return hits.join(names, "region", "left").withColumn("evidence", F.coalesce(found, F.lit(False))).drop("seen")
 
 
-def subtract(regions: DataFrame, cuts: DataFrame, width: int = 1000) -> DataFrame:
+def subtract(regions: DataFrame, cuts: DataFrame, width: int = 1000, salts: int = 1) -> DataFrame:
     """(chrom, start, end, gap_start, gap_end): what the cuts leave of each distinct region; empty rests are dropped."""
     keys = ["chrom", "start", "end"]
     base = regions.select(*keys).where("end > start").distinct()
-    hits = overlapping(base, cuts.select(*keys), width).select(*keys, F.greatest("start", "start_r").alias("s"), F.least("end", "end_r").alias("e"))
+    hits = overlapping(base, cuts.select(*keys), width, salts=salts).select(*keys, F.greatest("start", "start_r").alias("s"), F.least("end", "end_r").alias("e"))
     order = Window.partitionBy(*keys).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     before = hits.select(*keys, F.coalesce(F.max("e").over(order), F.col("start")).alias("gap_start"), F.col("s").alias("gap_end"))
     tail = base.join(hits.groupBy(*keys).agg(F.max("e").alias("last")), keys, "left").select(*keys, F.coalesce("last", "start").alias("gap_start"), F.col("end").alias("gap_end"))

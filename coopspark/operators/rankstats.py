@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from coopspark.operators.quantiles import quantiles
 from coopspark.operators.running import running_sum
 
 KS_TERMS = 100
@@ -119,9 +120,10 @@ def benjamini_hochberg(df: DataFrame, p: str, q: str, tie: str) -> DataFrame:
 def signed_ks(table: DataFrame, group: str, value: str, min_count: int) -> DataFrame:
     """(group, ks): D of each group against all rows, negative where its median is lower; null below ``min_count`` rows."""
     stats = rank_pass(table.select(F.col(group).alias("name"), F.col(value).alias("value")), table.select(F.col(value).alias("value")))
-    medians = table.groupBy(F.col(group).alias("name")).agg(F.percentile(value, 0.5).alias("own"), F.count(F.lit(1)).alias("rows"))
-    overall = table.agg(F.percentile(value, 0.5).alias("overall"))
-    joined = medians.join(stats, "name", "left").crossJoin(F.broadcast(overall))
+    counts = table.groupBy(F.col(group).alias("name")).agg(F.count(F.lit(1)).alias("rows"))
+    medians = quantiles(table.select(F.col(group).alias("name"), value), value, {"own": 0.5}, ["name"])
+    overall = quantiles(table, value, {"overall": 0.5})
+    joined = counts.join(medians, "name", "left").join(stats, "name", "left").crossJoin(F.broadcast(overall))  # one row
     signed = F.when(F.col("own") < F.col("overall"), -F.col("ks_d")).otherwise(F.col("ks_d"))
     return joined.select(F.col("name").alias(group), F.when(F.col("rows") >= min_count, signed).alias("ks"))
 
@@ -138,10 +140,11 @@ def adjacent_tests(table: DataFrame, category: str, value: str, order: list[str]
 
 
 def pearson(table: DataFrame, x: str, y: str, group: list[str] | None = None) -> DataFrame:
-    """(group..., n, r, t): correlation and its t statistic; null with fewer than three rows."""
+    """(group..., n, r, t, p): correlation, its t statistic and two-sided p; null with fewer than three rows, p 0 on a line."""
     both = table.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*(group or [])).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r"))
     r = F.when(F.col("n") > 2, F.col("r"))
-    return both.withColumn("r", r).withColumn("t", F.when(F.abs("r") < 1, F.expr("r * sqrt((n - 2) / (1 - r * r))")))
+    out = both.withColumn("r", r).withColumn("t", F.when(F.abs("r") < 1, F.expr("r * sqrt((n - 2) / (1 - r * r))")))
+    return out.withColumn("p", F.when(F.abs("r") >= 1, 0.0).otherwise(student_two_sided(F.col("t"), F.col("n") - 2)))
 
 
 @F.pandas_udf(DoubleType())

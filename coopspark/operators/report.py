@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coopspark.functions.scalars import canonical_pair, name_prefix
+from coopspark.operators.quantiles import quantiles
 from coopspark.operators.rankstats import rank_pass, with_p_values
 from coopspark.operators.running import running_sum
 
@@ -14,6 +15,12 @@ def not_independent(table: DataFrame) -> DataFrame:
     return table.where(F.col("cooperativity") != "Independent")
 
 
+def in_order(table: DataFrame, score: str, key: str) -> DataFrame:
+    """The rows that have a score, with ``place`` from 1 in the total order of score and key (null keys first); rows alike in both share the last place."""
+    own = table.where(F.col(score).isNotNull()).withColumn("one__", F.lit(1).cast("bigint"))
+    return running_sum(own, "one__", [score, key], name="place").drop("one__")
+
+
 def histogram(table: DataFrame, value: str, bins: int = 50, group: list[str] | None = None) -> DataFrame:
     """(group..., bin, n): counts in equal bins between the least and the greatest value; empty bins are left out."""
     group = group or []
@@ -27,14 +34,14 @@ def ecdf(table: DataFrame, value: str, group: str) -> DataFrame:
     """(group, value, ecdf, median): distinct values with the share of rows up to them."""
     counted = table.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("rows__"))
     up = running_sum(counted, "rows__", [value], [group], name="upto__")
-    totals = table.where(F.col(value).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("all__"), F.percentile(value, 0.5).alias("median"))
+    totals = table.where(F.col(value).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("all__")).join(quantiles(table, value, {"median": 0.5}, [group]), group)
     return up.join(totals, group).select(group, value, (F.col("upto__") / F.col("all__")).alias("ecdf"), "median")
 
 
 def box_stats(table: DataFrame, value: str, group: list[str]) -> DataFrame:
     """(group..., n, q1, median, q3, low, high, outliers): quartiles, whiskers at 1.5 quartile distances, rows beyond."""
-    q = table.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(*group, "n", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3"))
+    q = table.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    q = q.join(quantiles(table, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, group), group)
     far = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     inside = (F.col(value) >= F.col("q1") - far) & (F.col(value) <= F.col("q3") + far)
     ends = table.where(F.col(value).isNotNull()).join(q, group).groupBy(*group).agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.sum((~inside).cast("bigint")).alias("outliers"))
@@ -67,7 +74,7 @@ def pair_against_null(pairs: DataFrame, a: str, b: str, track: int, dist_min: in
     key = "|".join(sorted((a, b)))
     own = pairs.where(canonical_pair(F.col("tf1"), F.col("tf2")) == key).select(F.lit(key).alias("name"), value)
     null = pairs.where((F.col("distance") > dist_min) & (F.col("distance") <= dist_max)).select(value)
-    middle = own.agg(F.percentile("value", 0.5).alias("own__")).crossJoin(null.agg(F.percentile("value", 0.5).alias("null__")))
+    middle = quantiles(own, "value", {"own__": 0.5}).crossJoin(quantiles(null, "value", {"null__": 0.5}))
     return with_p_values(rank_pass(own, null)).crossJoin(F.broadcast(middle)).withColumn("shift", F.col("own__") - F.col("null__")).drop("own__", "null__")
 
 

@@ -11,7 +11,8 @@ from coopspark.plans.base import query
 from coopspark.plans.quickstart import QuickStart
 from coopspark.plans.scalar_queries import mask_sql
 from coopspark.plans.stage import scratch_dir, written
-from coopspark.plans.stat_queries import GAPS_SQL, KS_P, MW_Z, RANKS, rounded
+from coopspark.operators.quantiles import quantiles
+from coopspark.plans.stat_queries import GAPS_SQL, KS_P, MW_P, MW_Z, RANKS, rounded
 from coopspark.streaming import incremental
 
 DISTANCE, NULL_FROM = 255, 100
@@ -103,16 +104,17 @@ POSITIVE = f"""{SCORED}, passing AS (SELECT DISTINCT region, least(tf1, tf2) AS
 def _coop_sql(named: str, level: str) -> str:
     return f"""{POSITIVE}, v AS ({named}), sums AS (SELECT name, round(sum(abs(value)), 4) AS abs_i_sum, round(CASE WHEN sum(abs(value)) > 0 THEN sum(value) / sum(abs(value)) ELSE 0 END, 4) AS coop_score, count(*) AS count, avg(distance) AS mean_distance FROM v GROUP BY name HAVING count(*) >= 10),
   g AS (SELECT name, value FROM v WHERE name IN (SELECT name FROM sums)), {RANKS}, tested AS (SELECT s.*, {KS_P} AS ks_p, ks_d, mw_u, {MW_Z} AS mw_z FROM sums s JOIN stats USING (name)),
-  ranked AS (SELECT *, row_number() OVER (ORDER BY ks_p, name) AS r, count(*) OVER () AS m FROM tested), qs AS (SELECT *, least(1, min(ks_p * m / r) OVER (ORDER BY r DESC)) AS ks_q FROM ranked),
+  both_p AS (SELECT *, {MW_P} AS mw_p FROM tested), ranked AS (SELECT *, row_number() OVER (ORDER BY ks_p, name) AS r, row_number() OVER (ORDER BY mw_p, name) AS r2, count(*) OVER () AS m FROM both_p),
+  qs AS (SELECT *, least(1, min(ks_p * m / r) OVER (ORDER BY r DESC)) AS ks_q, least(1, min(mw_p * m / r2) OVER (ORDER BY r2 DESC)) AS mw_q FROM ranked),
   lim AS (SELECT quantile_cont(coop_score, 0.3) AS lo, quantile_cont(coop_score, 0.7) AS hi FROM qs WHERE ks_q < 0.1)
-  SELECT name AS {level}, abs_i_sum, coop_score, round(ks_p, 6) AS ks_p, round(ks_d, 6) AS ks_d, mw_u AS mw_d, round(mw_z, 6) AS mw_z, count, round(mean_distance, 6) AS mean_distance, round(ks_q, 6) AS ks_q,
+  SELECT name AS {level}, abs_i_sum, coop_score, round(ks_p, 6) AS ks_p, round(ks_d, 6) AS ks_d, mw_u AS mw_d, round(mw_z, 6) AS mw_z, count, round(mean_distance, 6) AS mean_distance, round(ks_q, 6) AS ks_q, round(mw_p, 6) AS mw_p, round(mw_q, 6) AS mw_q,
     CASE WHEN ks_q < 0.1 THEN CASE WHEN coop_score > hi THEN 'Synergistic' WHEN coop_score < lo THEN 'Redundant' ELSE 'Intermediate' END ELSE 'Independent' END AS cooperativity FROM qs CROSS JOIN lim"""
 
 
 def _coop(spark, sf, level):
     pairs = written(rounded(_pairs(spark, sf), "isa1_t0", "isa2_t0", "isa_both_t0", "interaction_t0", digits=9))  # a stage table: the model runs once
     out = coop.cooperativity(pairs, level, NULL_FROM, DISTANCE, min_count=10, q_threshold=0.1)
-    return rounded(out, "ks_p", "mw_z", "mean_distance", "ks_q").drop("mw_p", "mw_q", "p_method")
+    return rounded(out, "ks_p", "mw_z", "mean_distance", "ks_q", "mw_p", "mw_q").drop("p_method")
 
 
 @query(_coop_sql("SELECT concat(tf1, '|', tf2) AS name, interaction AS value, distance FROM positive", "tf_pair"))
@@ -137,7 +139,7 @@ def a5_c4_importance(spark, sf):
   SELECT DISTINCT chrom, start, "end", gap_start, gap_end FROM gaps CROSS JOIN lim WHERE (gap_end - gap_start) % 997 > l""")
 def a3_gap_threshold(spark, sf):
     gaps = intervals.subtract(view(spark, sf, "regions"), view(spark, sf, "hits"), 21_600).withColumn("x", (F.col("gap_end") - F.col("gap_start")) % 997)
-    limit = gaps.agg(F.percentile("x", 0.9).alias("l"))
+    limit = quantiles(gaps, "x", {"l": 0.9})
     return gaps.crossJoin(F.broadcast(limit)).where("x > l").drop("x", "l").distinct()
 
 
@@ -174,6 +176,39 @@ def c1_training_rows(spark, sf):
     return rounded(out.withColumn("seq", F.md5(F.col("seq").cast("binary"))), "target_reg_log")
 
 
+def _compile_sql(threshold: int) -> str:
+    keys = lambda t: f"md5(concat({t}.chrom, '|', {t}.start, '|', {t}.stop, '|42')), {t}.chrom, {t}.start, {t}.stop"
+    return f"""{with_views('sequences')}, x AS (SELECT concat('chr', region % 5) AS chrom, (region // 5) * 600 AS start, (region // 5) * 600 + 600 AS stop, seq, region, CASE WHEN region % 3 = 0 THEN 0 ELSE o_totalprice END AS y FROM sequences JOIN orders ON region = o_orderkey),
+  pos AS (SELECT * FROM x WHERE y > {threshold}), neg AS (SELECT *, row_number() OVER (ORDER BY {keys('x')}) AS r FROM x WHERE y <= {threshold}), pool AS (SELECT *, row_number() OVER (ORDER BY {keys('x')}) AS r FROM x WHERE region % 2 = 0),
+  even AS (SELECT chrom, start, stop, seq, y, 1 AS c FROM pos UNION ALL SELECT chrom, start, stop, seq, y, 0 FROM neg WHERE r <= (SELECT count(*) FROM pos)
+    UNION ALL SELECT chrom, start, stop, seq, 0, 0 FROM pool WHERE r <= (SELECT count(*) FROM pos) - (SELECT count(*) FROM neg))
+  SELECT CASE WHEN chrom = 'chr2' THEN 'test' WHEN substr(md5(concat(chrom, '|', start, '|', stop)), 1, 2) < 'da' THEN 'train' ELSE 'val' END AS split, rc AS is_rc, md5(CASE WHEN rc THEN translate(reverse(seq), 'ACGT', 'TGCA') ELSE seq END) AS seq, round(ln(1 + y), 6) AS target_reg_log, c::DOUBLE AS target_class
+  FROM even CROSS JOIN (VALUES (true), (false)) r(rc)"""
+
+
+def _compile(spark, sf, threshold):
+    """Each order's tile of 600 holds a region of 400; two thirds of them have signal, in two pieces."""
+    seqs = view(spark, sf, "sequences").join(view(spark, sf, "orders"), F.col("region") == F.col("o_orderkey"))
+    chrom, place = F.concat(F.lit("chr"), (F.col("region") % 5).cast("string")), F.expr("region div 5")
+    own = written(seqs.select("region", chrom.alias("chrom"), place.alias("tile"), "seq", F.col("o_totalprice").alias("y")))
+    at = F.col("tile") * 600
+    regions = own.select("region", "chrom", (at + 100).alias("start"), (at + 500).alias("end"))
+    lit = own.where("region % 3 <> 0")
+    pieces = [lit.select("chrom", (at + a).alias("start"), (at + b).alias("end"), (F.col("y") / 200).alias("value"), F.lit("track").alias("track")) for a, b in ((120, 220), (480, 580))]
+    out = training.compile_training_data(regions, own.select("chrom", "tile", "seq"), pieces[0].unionByName(pieces[1]), regions.where("region % 2 = 0").select("chrom", "start", "end"), 600, 600, float(threshold))
+    return rounded(out.withColumn("seq", F.md5(F.col("seq").cast("binary"))), "target_reg_log")
+
+
+@query(_compile_sql(50_000))
+def c1_compile_topped_up(spark, sf):
+    return _compile(spark, sf, 50_000)
+
+
+@query(_compile_sql(250_000))
+def c1_compile_sampled_down(spark, sf):
+    return _compile(spark, sf, 250_000)
+
+
 @query(f"{SINGLE} SELECT region, tf, start_rel, end_rel, pass_threshold_t0, pass_threshold_t1, round(i0, 6) AS isa_t0 FROM motifs JOIN single USING (region, start_rel, end_rel)")
 def st1_incremental(spark, sf):
     motifs, seqs, model = _inputs(spark, sf)
@@ -227,6 +262,12 @@ def f14_positives_only(spark, sf):
     return labelled.where("target_class = 1").select("chrom", "start", "end")
 
 
+@query(f"""{with_views('coop')} SELECT tf_pair, round(coop_score, 6) AS coop_score, row_number() OVER (ORDER BY coop_score, tf_pair) AS place FROM coop WHERE count % 4 <> 0""")
+def f11_t1_scored_order(spark, sf):
+    own = view(spark, sf, "coop").withColumn("coop_score", F.when(F.col("count") % 4 != 0, F.col("coop_score")))
+    return rounded(report.in_order(own, "coop_score", "tf_pair"), "coop_score").select("tf_pair", "coop_score", "place")
+
+
 @query(f"""{with_views('coop')}, c AS (SELECT tf_pair, ks_p, sum(count) OVER (ORDER BY ks_p, tf_pair ROWS UNBOUNDED PRECEDING) AS running, row_number() OVER (PARTITION BY tf1 ORDER BY abs_i_sum DESC, tf_pair) AS place FROM coop) SELECT tf_pair, running, place FROM c WHERE place <= 5""")
 def w2_w5_running_top(spark, sf):
     from pyspark.sql import Window

@@ -98,6 +98,12 @@ RANKS = """zc AS (SELECT value AS v, count(*) AS zc FROM z GROUP BY 1), gc AS (S
 KS_P = "CASE WHEN ks_d * ks_d * (n * n0 / (n + n0)) < 0.02 THEN 1 ELSE greatest(0, least(1, list_sum([CASE WHEN k % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END * exp(-2.0::DOUBLE * k * k * ks_d * ks_d * (n * n0 / (n + n0))) FOR k IN range(1, 101)]))) END"
 MW_Z = "CASE WHEN n * n0 / 12 * ((n + n0 + 1) - tie_sum / ((n + n0) * (n + n0 - 1))) > 0 THEN greatest(abs(mw_u - n * n0 / 2) - 0.5, 0) / sqrt(n * n0 / 12 * ((n + n0 + 1) - tie_sum / ((n + n0) * (n + n0 - 1)))) ELSE 0 END"
 
+# Two-sided normal p: 1 - erf(z / sqrt(2)) by the series of positive terms.
+MW_P = "CASE WHEN mw_z > 0 THEN greatest(0, 1 - 2 / sqrt(pi()) * exp(-mw_z * mw_z / 2) * list_sum([exp((2 * k + 1) * ln(mw_z / sqrt(2)) + 2 * k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2)) FOR k IN range(0, 400)])) ELSE 1 END"
+# Two-sided Student p with n - 2 degrees: 1 less the density between -t and t, by Simpson's rule in atan(t / sqrt(n - 2)).
+STUDENT_P = """1 - 2 * exp(lgamma((n - 1) / 2::DOUBLE) - lgamma((n - 2) / 2::DOUBLE)) / sqrt(pi()) * (atan(abs(t) / sqrt(n - 2)) / 2000) / 3
+    * list_sum([CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(cos(k * atan(abs(t) / sqrt(n - 2)) / 2000), n - 3) FOR k IN range(0, 2001)])"""
+
 
 def _samples(spark, sf):
     line = view(spark, sf, "lineitem").withColumn("value", F.col("l_discount") * F.col("l_quantity"))
@@ -143,11 +149,12 @@ def a13_r7_adjacent(spark, sf):
     return rounded(rankstats.adjacent_tests(view(spark, sf, "coop"), "cooperativity", "mean_distance", CATEGORIES), "mw_z").select("a", "b", "n_a", "n_b", "mw_u", "mw_z")
 
 
-@query(f"""{with_views('tfs')} SELECT cooperativity = 'Independent' AS independent, count(*) AS n, CASE WHEN count(*) > 2 THEN round(corr(coop_score, mean_isa_t0), 6) END AS r,
-  CASE WHEN count(*) > 2 THEN round(corr(coop_score, mean_isa_t0) * sqrt((count(*) - 2) / (1 - corr(coop_score, mean_isa_t0) ** 2)), 6) END AS t FROM tfs GROUP BY 1""")
+@query(f"""{with_views('tfs')} , c AS (SELECT cooperativity = 'Independent' AS independent, count(*) AS n, CASE WHEN count(*) > 2 THEN corr(coop_score, mean_isa_t0) END AS r,
+  CASE WHEN count(*) > 2 THEN corr(coop_score, mean_isa_t0) * sqrt((count(*) - 2) / (1 - corr(coop_score, mean_isa_t0) ** 2)) END AS t FROM tfs GROUP BY 1)
+  SELECT independent, n, round(r, 6) AS r, round(t, 6) AS t, CASE WHEN n > 2 THEN round({STUDENT_P}, 6) END AS p FROM c""")
 def a16_r9_pearson(spark, sf):
     own = view(spark, sf, "tfs").withColumn("independent", F.col("cooperativity") == "Independent")
-    return rounded(rankstats.pearson(own, "coop_score", "mean_isa_t0", ["independent"]), "r", "t")
+    return rounded(rankstats.pearson(own, "coop_score", "mean_isa_t0", ["independent"]), "r", "t", "p")
 
 
 # ---- report tables -------------------------------------------------------------

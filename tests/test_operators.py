@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coopspark.functions import scalars, sequence
+from coopspark.operators.quantiles import quantiles
 from coopspark.operators import ablation, annotate, components, coop, intervals, rankstats, report, running, sequences, training
 from coopspark.plans.quickstart import QuickStart
 from coopspark.sources import readers
@@ -321,3 +322,34 @@ def test_quickstart(spark):
     assert {"null", "decay", "histogram", "heatmap", "distance", "specificity"} <= set(reports)
     assert reports["decay"].count() > 0
     assert q.report({}) == {}
+
+
+def test_quantiles_as_percentile(spark):
+    rows = [("hot" if i % 3 else None, float(i % 7) if i % 5 else None) for i in range(300)] + [("one", -1.5), ("none", None), ("two", 1.0), ("two", 2.0), ("far", float("inf")), ("far", 0.0), ("far", float("inf"))]
+    table = spark.createDataFrame(rows, "g string, v double")
+    at = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.99, "e": 1.0}
+    got = {r.g: tuple(r)[1:] for r in quantiles(table, "v", at, ["g"]).collect()}
+    plain = table.where("v is not null").groupBy("g").agg(*[F.percentile("v", p).alias(n) for n, p in at.items()])
+    assert got == {r.g: pytest.approx(tuple(r)[1:]) for r in plain.collect()}
+    whole = table.agg(*[F.percentile("v", p).alias(n) for n, p in at.items()]).first()
+    assert tuple(quantiles(table, "v", at).first()) == pytest.approx(tuple(whole))
+    assert tuple(quantiles(table.limit(0), "v", at).first()) == (None,) * 5
+    assert quantiles(table.limit(0), "v", at, ["g"]).count() == 0
+
+
+def test_salts_leave_results_alone(spark):
+    """A third of all intervals lie in one bin; salted joins give what the plain ones give."""
+    spans = [("1", 5000 + i % 50, 5040 + i % 90) for i in range(200)] + [("1", 37 * i, 37 * i + 30) for i in range(400)]
+    right = spark.createDataFrame([(*s, float(i % 11), f"t{i % 2}", f"T{i % 4}") for i, s in enumerate(spans)], "chrom string, start bigint, end bigint, value double, track string, tf string")
+    left = spark.createDataFrame([("1", 500 * i, 500 * i + 700) for i in range(30)] + [("2", 0, 10)], "chrom string, start bigint, end bigint")
+    hits = left.select(F.monotonically_increasing_id().alias("region"), "chrom", F.col("start").alias("region_start"), F.col("end").alias("region_end"), F.lit("T1::T3").alias("tf"))
+    for f in (lambda n: intervals.contained(left, right, salts=n), lambda n: intervals.signal_by_region(left, right, salts=n), lambda n: intervals.subtract(left, right, salts=n), lambda n: intervals.chip_evidence(hits, right, salts=n)):
+        assert sorted(map(str, f(1).collect())) == sorted(map(str, f(5).collect()))
+
+
+def test_classes_at_their_limits(spark):
+    """Scores equal to a quantile are between the classes; rows without a significant q are independent."""
+    table = spark.createDataFrame([(f"p{i}", i / 10, 0.01) for i in range(11)] + [("weak", 5.0, 0.5), ("none", 5.0, None)], "name string, coop_score double, ks_q double")
+    got = {r.name: r.cooperativity for r in coop.assign_classes(table).collect()}
+    assert [got[f"p{i}"] for i in range(11)] == ["Redundant"] * 3 + ["Intermediate"] * 5 + ["Synergistic"] * 3
+    assert got["weak"] == got["none"] == "Independent"
