@@ -123,7 +123,9 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     state = written(_beside(t, _levels(sized, t)).withColumn("cut0", F.lit(-2.0)).withColumn("missing0", F.col("rest")).drop("fraction", "rest"))
     own = [c for c in state.columns if c != "source"]
     for k in range(passes):
-        ranked = _ranked(sized, small(state)).where(f"q > cut{k} and size <= missing{k}").select("source", "size", "q", f"missing{k}")
+        ranked = _ranked(sized, small(state)).where(f"q > cut{k} and size <= missing{k}")
+        # One row for each q: all certain documents of a source share one.
+        ranked = ranked.groupBy("source", "q", f"missing{k}").agg(F.sum("size").alias("size"))
         summed = running_sum(ranked, "size", ["q"], ["source"], name="words").where(f"words <= missing{k}")
         got = summed.groupBy("source").agg(F.max("q").alias("got"), F.max("words").alias("held"))
         cut, missing = F.coalesce("got", f"cut{k}").alias(f"cut{k + 1}"), (F.col(f"missing{k}") - F.coalesce("held", F.lit(0))).alias(f"missing{k + 1}")
