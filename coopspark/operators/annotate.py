@@ -37,15 +37,25 @@ def annotate_family(table: DataFrame, families: DataFrame, pair_col: str | None
     return out.withColumn("same_family", same)
 
 
-def with_dimers(names: DataFrame, col: str = "name") -> DataFrame:
-    """The listed names and all ``a::b`` made of two of them. The list is a short reference list, so its product is small."""
-    a, b = names.select(F.col(col).alias("a")), names.select(F.col(col).alias("b"))
-    return names.select(F.col(col).alias("name")).unionByName(a.crossJoin(F.broadcast(b)).select(F.concat_ws("::", "a", "b").alias("name"))).distinct()
+def dimer_keys(keys: DataFrame, names: DataFrame, key: str, col: str = "name") -> DataFrame:
+    """The distinct keys ``a::b`` made of two of the names, without forming the names' product.
 
-
-def is_listed(table: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is among the names or dimers of them."""
-    return table.join(with_dimers(names), F.col(key) == F.col("name"), "left_semi")
+    A key is cut at every ``::``, as names may hold one themselves. Null keys and null names match nothing.
+    """
+    listed = small(names.select(F.col(col).alias("name__")).where("name__ is not null").distinct())
+    own = keys.select(F.col(key).alias("key__")).where(F.col("key__").contains("::")).distinct()
+    at = F.filter(F.sequence(F.lit(1), F.length("key__") - 1), lambda i: F.substr(F.col("key__"), i, F.lit(2)) == "::")
+    cut = own.select("key__", F.explode(at).alias("at__"))
+    ends = cut.select("key__", F.expr("substr(key__, 1, at__ - 1)").alias("a__"), F.expr("substr(key__, at__ + 2)").alias("b__"))
+    for end in ("a__", "b__"):
+        ends = ends.join(listed, F.col(end) == F.col("name__"), "left_semi")
+    return ends.select(F.col("key__").alias(col)).distinct()
+
+
+def is_listed(table: DataFrame, names: DataFrame, key: str, col: str = "name") -> DataFrame:
+    """Rows whose key is among the names or is a dimer ``a::b`` of two of them."""
+    listed = names.select(F.col(col).alias("name__")).unionByName(dimer_keys(table, names, key, col).select(F.col(col).alias("name__"))).distinct()
+    return table.join(listed, F.col(key) == F.col("name__"), "left_semi")
 
 
 def known_pairs(table: DataFrame, reference: DataFrame, pair_col: str = "tf_pair") -> DataFrame:

@@ -256,6 +256,18 @@ def test_families_and_cofactors(spark):
     assert {r.tf_pair: r.count_p300 for r in counted.collect()} == {"A|A": 2, "A|B": 1, "B|C": 0}
 
 
+def test_dimers_as_the_product_of_names(spark):
+    names = ["A", "B", "C::D", "", None]
+    keys = ["A", "A::B", "B::A", "A::A", "A::C::D", "C::D", "C::D::C::D", "A::X", "A:::B", "::", "A::", "X", "", None, "A::B::A"]
+    table = spark.createDataFrame([(k, i) for i, k in enumerate(keys + keys)], "tf string, i int")
+    real = [n for n in names if n is not None]
+    want = {*real, *(f"{a}::{b}" for a in real for b in real)}
+    got = annotate.is_listed(table, spark.createDataFrame([(n,) for n in names + names], "name string"), "tf")
+    assert sorted((r.tf, r.i) for r in got.collect()) == sorted((k, i) for i, k in enumerate(keys + keys) if k in want)
+    assert got.columns == ["tf", "i"]
+    assert annotate.is_listed(table.where("i < 0"), spark.createDataFrame([("A",)], "name string"), "tf").count() == 0
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)] + [(1, 1)]
