@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coopspark.llm import ann, bpe, minhash, mixing, quality, sharding, tokenbin, topk, toxicity, urlfilter
+from coopspark.llm import ann, bpe, decontaminate, hardneg, minhash, mixing, quality, sharding, tokenbin, topk, toxicity, urlfilter, whitening
 
 #: Fixed values of the url query: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -154,9 +154,66 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(encoded)
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of ten words in every document."""
+    found = decontaminate.find_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["words"])
+    items = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), items.alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark),
+patterns AS (
+  SELECT DISTINCT item, k, array_to_string(w[i : i + k - 1], ' ') AS win
+  FROM (SELECT item, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM patterns),
+places AS (SELECT row, k, i, array_to_string(w[i : i + k - 1], ' ') AS win FROM (SELECT row, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k)),
+found AS (SELECT p.row, p.k, p.i, q.item FROM places p JOIN patterns q ON p.k = q.k AND p.win = q.win),
+hits AS (SELECT row, count(DISTINCT j) AS n_hit FROM (SELECT row, unnest(range(i, i + k)) AS j FROM (SELECT DISTINCT row, i, k FROM found)) GROUP BY row),
+items AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM found) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (row) LEFT JOIN items USING (row)
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, where every seventh row's label is off by one."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95, scale=256)
+
+
+OP12_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+           FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+mined AS (SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+          FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM mined WHERE rank <= 3
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 32 leading whitened components of all vectors."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=32).withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+QUERIES = (op1_minhash, op2_topk, op3_toxicity, op4_quality, op5_token_ids, op6_mixing, op7_ann, op8_url_filter, op9_sharding, op10_byte_bpe, op11_decontamination, op12_hard_negatives, op13_whitening)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash, op2_topk, op3_toxicity, op4_quality, op5_token_ids, op6_mixing, op7_ann, op8_url_filter, op9_sharding, op10_byte_bpe)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op6_mixing": OP6_SQL, "op8_url_filter": OP8_SQL}
+    return {"op2_topk": OP2_SQL, "op6_mixing": OP6_SQL, "op8_url_filter": OP8_SQL, "op11_decontamination": OP11_SQL, "op12_hard_negatives": OP12_SQL}
