@@ -16,6 +16,10 @@ A document larger than the words still missing is passed over and the ranking
 goes on below it, in ``PASSES`` passes; at the end one document is added, the one
 not chosen whose size comes nearest to the words still missing, if it helps.
 
+Rows alike in doc_id and text share their number, and with it their rank. Where
+a pass ends among such rows, as many of them are taken as still fit; which ones
+follows from their places in a written table, by counts of its partitions.
+
 The decisions are a few numbers for each source (levels and rank keys up to
 which each pass went); documents meet them in a join with that small table and
 are never shuffled themselves. The running sums in rank order are
@@ -24,10 +28,10 @@ from the counts of sizes.
 
 The uniform number is taken from an MD5 of seed, doc_id and text, so reruns
 agree at any partitioning. Defined cases: a null text has no words; a null
-source is a source, the last one; rows alike in doc_id and text share their
-number and are taken or left together; sources without words take nothing; an
-empty table gives an empty table; extra columns are kept by ``mix`` and not
-looked at otherwise.
+source is a source, the last one; rows alike in doc_id and text are
+interchangeable, and any number of them may be taken; sources without words take
+nothing; an empty table gives an empty table; extra columns are kept by ``mix``
+and not looked at otherwise.
 """
 
 from __future__ import annotations
@@ -114,35 +118,64 @@ def _chosen(passes: int) -> Column:
     return F.coalesce(taken, F.lit(False))
 
 
+NO_TIES = "array<struct<q:double,taken:bigint>>"
+
+
 def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, max_copies: int = 2, passes: int = PASSES) -> DataFrame:
-    """The decisions, one row for each source: (source, source_size, target, whole, since, level, cut0.., missing0.., q_last)."""
+    """The decisions, one row for each source: (source, source_size, target, whole, since, level, ties, cut0.., missing0.., q_last).
+
+    ``ties`` says how many rows alike are taken where only some of them fit.
+    """
     t = targets(sized, weights, share, max_copies)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_copies))).otherwise(0).cast("bigint")
     t = t.withColumn("whole", whole).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
     t = written(t.withColumn("fraction", F.when((F.col("source_size") > 0) & (F.col("whole") < max_copies), F.col("rest") / F.col("source_size")).otherwise(0.0)))
-    state = written(_beside(t, _levels(sized, t)).withColumn("cut0", F.lit(-2.0)).withColumn("missing0", F.col("rest")).drop("fraction", "rest"))
-    own = [c for c in state.columns if c != "source"]
+    state = _beside(t, _levels(sized, t)).withColumn("cut0", F.lit(-2.0)).withColumn("missing0", F.col("rest"))
+    state = written(state.withColumn("ties", F.array().cast(NO_TIES)).drop("fraction", "rest"))
+    own = [c for c in state.columns if c not in ("source", "ties")]
     for k in range(passes):
         ranked = _ranked(sized, small(state)).where(f"q > cut{k} and size <= missing{k}")
-        # One row for each q: all certain documents of a source share one.
-        ranked = ranked.groupBy("source", "q", f"missing{k}").agg(F.sum("size").alias("size"))
-        summed = running_sum(ranked, "size", ["q"], ["source"], name="words").where(f"words <= missing{k}")
-        got = summed.groupBy("source").agg(F.max("q").alias("got"), F.max("words").alias("held"))
-        cut, missing = F.coalesce("got", f"cut{k}").alias(f"cut{k + 1}"), (F.col(f"missing{k}") - F.coalesce("held", F.lit(0))).alias(f"missing{k + 1}")
-        state = written(_beside(state, small(written(got))).select("source", *own, cut, missing))
+        # One row for each q: rows alike share one, and so do all certain documents of a source.
+        ranked = ranked.groupBy("source", "q", F.col(f"missing{k}").alias("missing")).agg(F.sum("size").alias("all"), F.max("size").alias("size"))
+        summed = running_sum(ranked, "all", ["q"], ["source"], name="words")
+        fits = F.col("words") <= F.col("missing")
+        past = F.min(F.when(~fits & (F.col("q") >= 0), F.struct("q", (F.col("words") - F.col("all")).alias("before"), "size")))
+        got = summed.groupBy("source").agg(F.max(F.when(fits, F.col("q"))).alias("got"), F.max(F.when(fits, F.col("words"))).alias("held"), past.alias("past"))
+        some = F.coalesce(F.floor((F.col(f"missing{k}") - F.col("past.before")) / F.col("past.size")), F.lit(0))
+        ties = F.when(some > 0, F.array_append("ties", F.struct(F.col("past.q").alias("q"), some.alias("taken")))).otherwise(F.col("ties"))
+        cut = F.coalesce("got", f"cut{k}").alias(f"cut{k + 1}")
+        missing = F.col(f"missing{k}") - F.coalesce("held", F.lit(0)) - F.when(some > 0, some * F.col("past.size")).otherwise(0)
+        state = written(_beside(state, small(written(got))).select("source", *own, ties.alias("ties"), cut, missing.alias(f"missing{k + 1}")))
         own += [f"cut{k + 1}", f"missing{k + 1}"]
-    # Rows alike share their q and come together: their sizes count together.
     missing = F.col(f"missing{passes}")
-    left = _ranked(sized, small(state)).where(F.col("q").isNotNull() & ~_chosen(passes) & (F.abs(F.col("size") - missing) < missing))
-    alike = left.groupBy("source", "q", missing.alias("missing")).agg(F.sum("size").alias("size")).withColumn("off", F.abs(F.col("size") - F.col("missing"))).where("off < missing")
-    last = alike.groupBy("source").agg(F.min(F.struct("off", "q")).alias("last")).select("source", F.col("last.q").alias("q_last"))
-    return written(_beside(state, last))
+    left = _ranked(sized, small(state)).where(F.col("q").isNotNull() & ~_chosen(passes)).withColumn("off", F.abs(F.col("size") - missing)).where(F.col("off") < missing)
+    left = left.groupBy("source", "q", "off").agg(F.count(F.lit(1)).alias("n"))
+    last = left.groupBy("source").agg(F.min(F.struct("off", "q", "n")).alias("last"))
+    alone = F.col("last.n") == 1
+    ties = F.when(~alone, F.array_append("ties", F.struct(F.col("last.q").alias("q"), F.lit(1).cast("bigint").alias("taken")))).otherwise(F.col("ties"))
+    return written(_beside(state, last).select("source", *own, ties.alias("ties"), F.when(alone, F.col("last.q")).alias("q_last")))
 
 
 def copies(sized: DataFrame, decisions: DataFrame, passes: int = PASSES) -> DataFrame:
     """Adds each document's copies, 0 to max_copies, from its source's decisions."""
     more = _chosen(passes) | F.coalesce(F.col("q") == F.col("q_last"), F.lit(False))
-    return _ranked(sized, small(decisions)).withColumn("copies", F.col("whole") + more.cast("bigint"))
+    ranked = _ranked(sized, small(decisions)).withColumn("copies", F.col("whole") + more.cast("bigint"))
+    if decisions.where("size(ties) > 0").isEmpty():
+        return ranked
+    of_q = F.filter("ties", lambda t: t["q"] == F.col("q"))
+    some = F.when(F.size(of_q) > 0, F.aggregate(of_q, F.lit(0).cast("bigint"), lambda n, t: n + t["taken"]))
+    ranked = ranked.withColumn("some", some)
+    # Rows alike of which only some are taken are numbered in the partitions of a written table, and these by their counts.
+    alike = written(ranked.where("some is not null").withColumn("id__", F.monotonically_increasing_id())).withColumn("part__", F.shiftright("id__", 33))
+    counts = alike.groupBy("source", "q", "part__").agg(F.count(F.lit(1)).alias("n__"))
+    before = Window.partitionBy("source", "q").orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("source").alias("source__"), F.col("q").alias("q__"), F.col("part__").alias("at__"), F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("before__"))
+    inside = Window.partitionBy("source", "q", "part__").orderBy("id__")
+    numbered = alike.withColumn("place__", F.row_number().over(inside))
+    numbered = numbered.join(counts, F.col("source").eqNullSafe(F.col("source__")) & (F.col("q") == F.col("q__")) & (F.col("part__") == F.col("at__")))
+    taken = F.col("before__") + F.col("place__") <= F.col("some")
+    numbered = numbered.withColumn("copies", F.col("copies") + taken.cast("bigint"))
+    return ranked.where("some is null").unionByName(numbered.select(*ranked.columns)).drop("some")
 
 
 def sample(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, max_copies: int = 2, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:

@@ -90,29 +90,28 @@ s0 AS (
   SELECT d.*, r.source_size, r.target, r.whole, r.rest AS missing, false AS taken,
          CASE WHEN d.size = 0 THEN NULL WHEN d.size < l.since THEN -1 WHEN l.level > 0 THEN u / (1 - u) * ((d.size::DOUBLE - l.level) / l.level) END AS q
   FROM sized d JOIN rests r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN levels l ON d.source IS NOT DISTINCT FROM l.source),
+r0 AS (SELECT *, row_number() OVER (PARTITION BY source, q) AS nth FROM s0),
 p0 AS (
-  SELECT *, CASE WHEN q > cut AND size <= missing THEN sum(CASE WHEN q > cut AND size <= missing THEN size END) OVER (PARTITION BY source ORDER BY q NULLS LAST) END AS words
-  FROM (SELECT *, coalesce(max(CASE WHEN taken THEN q END) OVER (PARTITION BY source), -2) AS cut FROM s0)),
+  SELECT *, CASE WHEN q > cut AND size <= missing THEN sum(CASE WHEN q > cut AND size <= missing THEN size END) OVER (PARTITION BY source ORDER BY q NULLS LAST, nth) END AS words
+  FROM (SELECT *, coalesce(max(CASE WHEN taken THEN q END) OVER (PARTITION BY source), -2) AS cut FROM r0)),
 s1 AS (
-  SELECT doc_id, source, size, u, source_size, target, whole, q, taken OR coalesce(words <= missing, false) AS taken,
+  SELECT doc_id, source, size, u, source_size, target, whole, q, nth, taken OR coalesce(words <= missing, false) AS taken,
          missing - coalesce(max(CASE WHEN words <= missing THEN words END) OVER (PARTITION BY source), 0) AS missing FROM p0),
 p1 AS (
-  SELECT *, CASE WHEN q > cut AND size <= missing THEN sum(CASE WHEN q > cut AND size <= missing THEN size END) OVER (PARTITION BY source ORDER BY q NULLS LAST) END AS words
+  SELECT *, CASE WHEN q > cut AND size <= missing THEN sum(CASE WHEN q > cut AND size <= missing THEN size END) OVER (PARTITION BY source ORDER BY q NULLS LAST, nth) END AS words
   FROM (SELECT *, coalesce(max(CASE WHEN taken THEN q END) OVER (PARTITION BY source), -2) AS cut FROM s1)),
 s2 AS (
-  SELECT doc_id, source, size, u, source_size, target, whole, q, taken OR coalesce(words <= missing, false) AS taken,
+  SELECT doc_id, source, size, u, source_size, target, whole, q, nth, taken OR coalesce(words <= missing, false) AS taken,
          missing - coalesce(max(CASE WHEN words <= missing THEN words END) OVER (PARTITION BY source), 0) AS missing FROM p1),
 p2 AS (
-  SELECT *, CASE WHEN q > cut AND size <= missing THEN sum(CASE WHEN q > cut AND size <= missing THEN size END) OVER (PARTITION BY source ORDER BY q NULLS LAST) END AS words
+  SELECT *, CASE WHEN q > cut AND size <= missing THEN sum(CASE WHEN q > cut AND size <= missing THEN size END) OVER (PARTITION BY source ORDER BY q NULLS LAST, nth) END AS words
   FROM (SELECT *, coalesce(max(CASE WHEN taken THEN q END) OVER (PARTITION BY source), -2) AS cut FROM s2)),
 s3 AS (
-  SELECT doc_id, source, size, u, source_size, target, whole, q, taken OR coalesce(words <= missing, false) AS taken,
+  SELECT doc_id, source, size, u, source_size, target, whole, q, nth, taken OR coalesce(words <= missing, false) AS taken,
          missing - coalesce(max(CASE WHEN words <= missing THEN words END) OVER (PARTITION BY source), 0) AS missing FROM p2),
-alike AS (
-  SELECT source, q, missing, abs(sum(size) - missing) AS off FROM s3 WHERE q IS NOT NULL AND NOT taken AND abs(size - missing) < missing GROUP BY source, q, missing),
 last AS (
-  SELECT source, arg_min(q, struct_pack(a := off, b := q)) AS q_last FROM alike WHERE off < missing GROUP BY source)
-SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN taken OR coalesce(q = q_last, false) THEN 1 ELSE 0 END) AS taken
+  SELECT source, arg_min(struct_pack(q := q, nth := nth), struct_pack(a := abs(size - missing), b := q, c := nth)) AS last FROM s3 WHERE q IS NOT NULL AND NOT taken AND abs(size - missing) < missing GROUP BY source)
+SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN taken OR coalesce(q = last.last.q AND nth = last.last.nth, false) THEN 1 ELSE 0 END) AS taken
 FROM s3 LEFT JOIN last ON s3.source IS NOT DISTINCT FROM last.source
 """
 
