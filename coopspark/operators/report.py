@@ -9,6 +9,7 @@ from coopspark.functions.scalars import canonical_pair, name_prefix
 from coopspark.operators.quantiles import quantiles
 from coopspark.operators.rankstats import rank_pass, with_p_values
 from coopspark.operators.running import running_sum
+from coopspark.operators.windows import rolling_means, with_neighbours
 
 
 def not_independent(table: DataFrame) -> DataFrame:
@@ -98,19 +99,17 @@ def prefix_matrix(table: DataFrame, pair_col: str = "tf_pair", value: str = "coo
     return own.groupBy("prefix1").pivot("prefix2", prefixes).agg(F.avg(value))
 
 
-def compressed_labels(names: DataFrame, name: str, place: str, group: list[str] | None = None) -> DataFrame:
+def compressed_labels(names: DataFrame, name: str, place: str, group: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """Adds ``label``: of a run of names with the same prefix the first says the prefix and s, the others are blank; a run of one keeps its name.
 
-    Labels are those of one axis (of one group), which a figure must hold.
+    A null name is a run of its own. Names lie in range partitions along the
+    axis, so a run may go through several of them.
     """
-    order = Window.partitionBy(*(group or [])).orderBy(place)
-    own = names.withColumn("prefix__", name_prefix(F.col(name)))
-    own = own.withColumn("new__", F.coalesce((F.col("prefix__") != F.lag("prefix__").over(order)).cast("int"), F.lit(1)))
-    own = own.withColumn("run__", F.sum("new__").over(order))
-    run = Window.partitionBy(*(group or []), "run__")
-    size = F.count(F.lit(1)).over(run)
-    label = F.when(size == 1, F.col(name)).when(F.col("new__") == 1, F.concat("prefix__", F.lit("s"))).otherwise("")
-    return own.withColumn("label", label).drop("prefix__", "new__", "run__")
+    near = with_neighbours(names, name_prefix(F.col(name)), [place, name], group, "before__", "after__", parts)
+    prefix = name_prefix(F.col(name))
+    joins = lambda other: F.coalesce(F.col(other)["value"] == prefix, F.lit(False))
+    label = F.when(joins("before__"), "").when(joins("after__"), F.concat(prefix, F.lit("s"))).otherwise(F.col(name))
+    return near.withColumn("label", label).drop("before__", "after__")
 
 
 def top_share(pairs: DataFrame, top: int = 5, min_partners: int = 10, pair_col: str = "tf_pair", value: str = "abs_i_sum") -> DataFrame:
@@ -133,18 +132,12 @@ def enrichment_curve(table: DataFrame, p: str = "ks_p", flag: str = "is_ppi", ke
     return own.withColumn("pct_total_pairs", F.when(total > 0, F.col("place") * 100.0 / n)).withColumn("pct_ppi_found", F.when(total > 0, F.col("cum_ppi_count") * 100.0 / total))
 
 
-def rolling_mean(value: Column, order: list[str | Column], width: int, group: list[str] | None = None) -> Column:
-    """Centred mean over ``width`` rows; null until the frame is full."""
-    frame = Window.partitionBy(*(group or [])).orderBy(*order).rowsBetween(-(width // 2), (width - 1) // 2)
-    return F.when(F.count(value).over(frame) == width, F.avg(value).over(frame))
-
-
 def specificity_trend(table: DataFrame, width: int = 50, score: str = "coop_score", gini: str = "gini", key: str = "tf") -> DataFrame:
-    """Quartile flags of ``gini`` and their rolling means along the score; one row for each TF, so one window."""
+    """Quartile flags of ``gini`` and their rolling means along the score."""
     own = table.where(F.col(gini).isNotNull() & F.col(score).isNotNull())
-    cuts = own.agg(F.percentile(gini, 0.75).alias("high__"), F.percentile(gini, 0.25).alias("low__"))
+    cuts = quantiles(own, gini, {"high__": 0.75, "low__": 0.25})
     flagged = own.crossJoin(F.broadcast(cuts)).withColumn("is_specific", (F.col(gini) >= F.col("high__")).cast("int")).withColumn("is_ubiquitous", (F.col(gini) <= F.col("low__")).cast("int")).drop("high__", "low__")
-    return flagged.withColumn("rolling_spec", rolling_mean(F.col("is_specific"), [score, key], width)).withColumn("rolling_ubiq", rolling_mean(F.col("is_ubiquitous"), [score, key], width))
+    return rolling_means(flagged, {"rolling_spec": "is_specific", "rolling_ubiq": "is_ubiquitous"}, [score, key], width)
 
 
 def most_frequent(table: DataFrame, col: str, n: int) -> DataFrame:

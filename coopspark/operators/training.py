@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from coopspark.functions.scalars import class_label, regression_target
 from coopspark.functions.sequence import reverse_complement
 from coopspark.operators.intervals import resize_regions, signal_by_region
+from coopspark.operators.selection import first_rows
 from coopspark.operators.sequences import sequences_of
 
 
@@ -17,8 +18,8 @@ def hash_order(keys: list[str], seed: int) -> Column:
 
 
 def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
-    """n rows (all, if fewer), first in hash order: a top-n of the keys, not a shuffle of the table."""
-    return df.orderBy(hash_order(keys, seed), *keys).limit(n)
+    """n rows (all, if fewer), first in hash order: a filter by the n-th key, which counts find, so no task holds the sample."""
+    return first_rows(df, n, keys, hash_order(keys, seed))
 
 
 def shuffled(df: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
