@@ -150,9 +150,13 @@ def pair_ablation(motifs: DataFrame, sequences: DataFrame, predictor: Predictor,
     ``original`` and ``single`` are tables that were scored before, if any.
     """
     carried = carried if carried is not None else [f"pass_threshold_t{k}" for k in tracks]
-    pairs = motif_pairs(motifs, max_distance, carried)
     original = original_scores(sequences, predictor) if original is None else original
     single = single_scores(motifs, sequences, predictor, original) if single is None else single
+    return scored_pairs(motif_pairs(motifs, max_distance, carried), sequences, predictor, tracks, original, single)
+
+
+def scored_pairs(pairs: DataFrame, sequences: DataFrame, predictor: Predictor, tracks: list[int], original: DataFrame, single: DataFrame) -> DataFrame:
+    """``pairs`` with isa1, isa2, isa_both and interaction for each track; only the doubly masked sequences are scored here."""
     one = lambda k: single.select("region", F.col("start_rel").alias(f"start{k}"), F.col("end_rel").alias(f"end{k}"), F.col("isa").alias(f"isa{k}"))
     spans = ["start1", "end1", "start2", "end2"]
     both = _spread(pairs.select("region", *spans)).distinct().join(_spread(sequences.select("region", "seq")), "region")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from coopspark.functions.scalars import canonical_pair
 from coopspark.operators.quantiles import quantiles
 from coopspark.operators.rankstats import benjamini_hochberg, rank_pass, signed_ks, with_p_values
+from coopspark.plans.stage import small, written
 
 
 def sliced(scores: Column, start: Column, end: Column) -> Column:
@@ -99,17 +100,19 @@ def assign_classes(table: DataFrame, q_threshold: float = 0.1, low: float = 0.3,
     return table.crossJoin(F.broadcast(limits)).withColumn("cooperativity", F.when(significant, named).otherwise("Independent")).drop("limits")
 
 
-def cooperativity(pairs: DataFrame, level: str, dist_min: int, dist_max: int, track: int = 0, min_count: int = 10, q_threshold: float = 0.1, exact: bool = False) -> DataFrame:
+def cooperativity(pairs: DataFrame, level: str, dist_min: int, dist_max: int, track: int = 0, min_count: int = 10, q_threshold: float = 0.1, p_values: str = "auto") -> DataFrame:
     """The cooperativity table of one track at pair or TF level.
 
     The null are the positive interactions at distances in (dist_min, dist_max].
-    An empty input, null or result gives an empty table.
+    An empty input, null or result gives an empty table. The named values and
+    the tested table are written: null, sums, groups and class limits read each.
     """
     positive = positive_interactions(passing_pairs(pairs, track), track)
+    positive = written(positive.select("tf1", "tf2", f"interaction_t{track}", "distance"))
     null = positive.where((F.col("distance") > dist_min) & (F.col("distance") <= dist_max)).select(F.col(f"interaction_t{track}").alias("value"))
     values = named_values(positive, level, track)
-    sums = group_sums(values, min_count)
-    stats = with_p_values(rank_pass(values.join(sums.select("name"), "name", "left_semi"), null), exact)
-    table = sums.join(stats, "name").select("name", "abs_i_sum", "coop_score", "ks_p", F.round("ks_d", 6).alias("ks_d"), "mw_p", F.round("mw_u", 6).alias("mw_d"), "mw_z", "p_method", "count", "mean_distance")
-    table = benjamini_hochberg(benjamini_hochberg(table, "ks_p", "ks_q", "name"), "mw_p", "mw_q", "name")
+    sums = written(group_sums(values, min_count))
+    stats = with_p_values(rank_pass(values.join(small(sums.select("name")), "name", "left_semi"), null), p_values)
+    table = sums.join(stats, "name").select("name", "abs_i_sum", "coop_score", "ks_p", F.round("ks_d", 6).alias("ks_d"), "mw_p", F.round("mw_u", 6).alias("mw_d"), "mw_z", "p_method", "mw_method", "count", "mean_distance")
+    table = written(benjamini_hochberg(benjamini_hochberg(written(table), "ks_p", "ks_q", "name"), "mw_p", "mw_q", "name"))
     return assign_classes(table, q_threshold).withColumnRenamed("name", level)

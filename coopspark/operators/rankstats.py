@@ -4,7 +4,15 @@ Both samples are first counted by value; the running count of the null over the
 distinct values and the running count of each group are range-partitioned sums,
 so neither the null nor a large group is gathered anywhere. Per group follow the
 Kolmogorov-Smirnov D, the Mann-Whitney U and its tie term; p-values are computed
-on the one row that each group has left.
+on the one row that each group has left, many groups at a time in Arrow batches:
+
+* KS, both samples of at most ``KS_EXACT_ROWS``: exact, the probability that a
+  random path of the two samples' steps leaves the band that D allows. Step by
+  step the mass of each place inside the band is passed on; what leaves it adds
+  up. Only the band's places are held. Larger samples: the Kolmogorov series.
+* Mann-Whitney, one sample of at most ``MW_EXACT_ROWS`` and no ties: exact, from
+  the counts of U (coefficients of a Gaussian binomial). Else the normal form
+  with tie and continuity correction.
 """
 
 from __future__ import annotations
@@ -21,7 +29,10 @@ from coopspark.operators.quantiles import quantiles
 from coopspark.operators.running import running_sum
 
 KS_TERMS = 100
-EXACT_CELLS = 4_000_000
+KS_EXACT_ROWS = 10_000
+MW_EXACT_ROWS = 8
+MW_CELLS = 50_000_000  # n * n0 above which U's counts aren't formed (memory); the normal form holds there
+BATCH_CELLS = 1_000_000
 
 
 def rank_pass(groups: DataFrame, null: DataFrame, group: str = "name", value: str = "value") -> DataFrame:
@@ -54,36 +65,95 @@ def ks_p_series(d: Column, n: Column, n0: Column, terms: int = KS_TERMS) -> Colu
     return F.when(d * d * en < 0.02, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
 
 
-def _ks_exact(d: float, n: int, m: int) -> float:
-    """Share of monotone lattice paths from (0, 0) to (n, m) that leave the band |i/n - j/m| < d."""
-    i = np.arange(n + 1) / n
-    limit = d - 1e-9
-    inside = (np.abs(i) < limit).astype(float)  # column j = 0: one path, cut off at the first exit
-    column = np.cumprod(inside)
-    log_scale = 0.0
-    for j in range(1, m + 1):
-        ok = np.abs(i - j / m) < limit
-        # paths into (i, j) come from (i - 1, j) and (i, j - 1); sums restart where the band is left
-        out = np.zeros(n + 1)
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], ok.astype(int), [0]])))
-        for a, b in zip(edges[::2], edges[1::2], strict=True):
-            out[a:b] = np.cumsum(column[a:b])
-        column = out
-        top = column.max()
-        if top == 0:
-            return 1.0
-        column /= top
-        log_scale += math.log(top)
-    if column[n] == 0:
-        return 1.0
-    log_all = math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1)
-    return float(min(1.0, max(0.0, -math.expm1(math.log(column[n]) + log_scale - log_all))))
+def _leaves_band(n: np.ndarray, m: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Probability that a random path from (0, 0) to (n, m) comes to |i * m - j * n| >= h, where h > 0; n <= m.
+
+    From (i, j) the next step raises i with odds n - i to m - j. At step t a
+    path is at (i, t - i), inside for (t * n - h) / (n + m) < i < (t * n + h) / (n + m).
+    """
+    total = n + m
+    width = int(((2 * h) // total).max()) + 4
+    at = np.arange(width)
+    low = np.zeros(len(n), np.int64)
+    mass = np.zeros((len(n), width))
+    mass[:, 0] = 1
+    out = np.zeros(len(n))
+    for t in range(int(total.max())):
+        i = low[:, None] + at
+        up = np.clip(n[:, None] - i, 0, None) / np.maximum(total - t, 1)[:, None]
+        moved = mass * up
+        mass = mass - moved
+        mass[:, 1:] += moved[:, :-1]
+        running = t < total
+        gone = (np.abs(i * total[:, None] - (t + 1) * n[:, None]) >= h[:, None]) & running[:, None]
+        out += np.where(gone, mass, 0).sum(axis=1)
+        mass[gone] = 0
+        # The band's lowest place rises by one at most.
+        shift = running & (((t + 1) * n - h) // total + 1 > low)
+        mass[shift, :-1] = mass[shift, 1:]
+        mass[shift, -1] = 0
+        low = low + shift
+    return out
+
+
+def ks_exact(d: np.ndarray, n: np.ndarray, n0: np.ndarray) -> np.ndarray:
+    """Exact two-sided p of D for samples without ties: one value for each triple."""
+    d, n, m = np.asarray(d, float), np.minimum(n, n0).astype(np.int64), np.maximum(n, n0).astype(np.int64)
+    # i / n - j / m in whole numbers: multiples of g among products.
+    g = np.gcd(n, m)
+    h = np.rint(d * (n // g) * m).astype(np.int64) * g
+    p = np.ones(len(d))
+    todo = np.flatnonzero(h > 0)
+    todo = todo[np.argsort((n + m)[todo], kind="stable")]
+    while len(todo):
+        cells = 2 * h[todo] // (n + m)[todo] + 4
+        some = max(1, int(np.searchsorted(np.maximum.accumulate(cells) * np.arange(1, len(todo) + 1), BATCH_CELLS, "right")))
+        part, todo = todo[:some], todo[some:]
+        p[part] = _leaves_band(n[part], m[part], h[part])
+    return np.clip(p, 0, 1)
 
 
 @F.pandas_udf(DoubleType())
 def ks_p_exact(d: pd.Series, n: pd.Series, n0: pd.Series) -> pd.Series:
-    """Exact two-sided p of D for samples without ties; meant for one row a group."""
-    return pd.Series([None if pd.isna(x) else _ks_exact(float(x), int(a), int(b)) for x, a, b in zip(d, n, n0, strict=True)], dtype="float64")
+    """``ks_exact`` of a column; null where d is. Meant for one row a group."""
+    known = d.notna().to_numpy()
+    out = np.full(len(d), np.nan)
+    out[known] = ks_exact(d[known].to_numpy(), n[known].to_numpy(), n0[known].to_numpy())
+    return pd.Series(np.where(known, out, None), dtype="float64")
+
+
+def mw_counts(n: int, m: int, top: int) -> np.ndarray:
+    """How many of the splits of n + m untied values into n and m give U = 0, 1, ... top."""
+    n, m = min(n, m), max(n, m)
+    f = np.zeros(top + 1)
+    f[0] = 1
+    for i in range(1, n + 1):
+        if m + i <= top:
+            f[m + i :] = f[m + i :] - f[: top + 1 - m - i]
+        padded = np.concatenate([f, np.zeros(-len(f) % i)])
+        f = np.cumsum(padded.reshape(-1, i), axis=0).ravel()[: top + 1]
+    return f
+
+
+def mw_exact(u: np.ndarray, n: np.ndarray, n0: np.ndarray) -> np.ndarray:
+    """Exact two-sided p of U for samples without ties: twice the tail, at most 1."""
+    low = np.minimum(u, n * n0 - u).astype(np.int64)
+    p = np.empty(len(low))
+    for a, b in {(int(x), int(y)) for x, y in zip(n, n0, strict=True)}:
+        at = np.flatnonzero((n == a) & (n0 == b))
+        tail = np.cumsum(mw_counts(a, b, int(low[at].max())))
+        p[at] = 2 * tail[low[at]] / float(math.comb(a + b, min(a, b)))
+    return np.minimum(p, 1)
+
+
+@F.pandas_udf(DoubleType())
+def mw_p_exact(u: pd.Series, n: pd.Series, n0: pd.Series) -> pd.Series:
+    """``mw_exact`` of a column; null where u is. Meant for one row a group."""
+    known = u.notna().to_numpy()
+    out = np.full(len(u), np.nan)
+    if known.any():
+        out[known] = mw_exact(u[known].to_numpy(), n[known].to_numpy().astype(np.int64), n0[known].to_numpy().astype(np.int64))
+    return pd.Series(np.where(known, out, None), dtype="float64")
 
 
 def mw_z(u: Column, n: Column, n0: Column, tie_sum: Column) -> Column:
@@ -99,13 +169,25 @@ def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if pd.isna(x) else min(1.0, math.erfc(x / math.sqrt(2)))).astype("float64")
 
 
-def with_p_values(stats: DataFrame, exact: bool = False) -> DataFrame:
-    """Adds ks_p, p_method, mw_z and mw_p. ``exact`` counts lattice paths where n * n0 allows it."""
-    series = ks_p_series(F.col("ks_d"), F.col("n"), F.col("n0"))
-    countable = F.col("n") * F.col("n0") <= EXACT_CELLS
-    out = stats.withColumn("p_method", F.when(F.lit(exact) & countable, "exact").otherwise("series"))
-    p = F.when(F.col("p_method") == "exact", ks_p_exact(F.col("ks_d"), F.when(countable, F.col("n")).otherwise(1), F.when(countable, F.col("n0")).otherwise(1))).otherwise(series) if exact else series
-    return out.withColumn("ks_p", p).withColumn("mw_z", mw_z(F.col("mw_u"), F.col("n"), F.col("n0"), F.col("tie_sum"))).withColumn("mw_p", normal_two_sided("mw_z"))
+def with_p_values(stats: DataFrame, p_values: str = "auto") -> DataFrame:
+    """Adds ks_p, p_method (exact or series), mw_z, mw_p and mw_method (exact or normal).
+
+    ``auto`` takes the exact form where samples are small enough for it (see
+    above); ``asymptotic`` never does.
+    """
+    if p_values not in ("auto", "asymptotic"):
+        raise ValueError("p_values must be auto or asymptotic")
+    d, u, n, n0 = (F.col(c) for c in ("ks_d", "mw_u", "n", "n0"))
+    auto = F.lit(p_values == "auto")
+    few = auto & (F.greatest(n, n0) <= KS_EXACT_ROWS)
+    untied = auto & (F.least(n, n0) <= MW_EXACT_ROWS) & (F.col("tie_sum") == 0) & (n * n0 <= MW_CELLS)
+    out = stats.withColumn("p_method", F.when(few, "exact").otherwise("series")).withColumn("mw_method", F.when(untied, "exact").otherwise("normal"))
+    out = out.withColumn("mw_z", mw_z(u, n, n0, F.col("tie_sum")))
+    ks, mw = ks_p_series(d, n, n0), normal_two_sided("mw_z")
+    if p_values == "auto":
+        ks = F.coalesce(ks_p_exact(F.when(few, d), n, n0), ks)
+        mw = F.coalesce(mw_p_exact(F.when(untied, u), n, n0), mw)
+    return out.withColumn("ks_p", ks).withColumn("mw_p", mw)
 
 
 def benjamini_hochberg(df: DataFrame, p: str, q: str, tie: str) -> DataFrame:
@@ -128,13 +210,14 @@ def signed_ks(table: DataFrame, group: str, value: str, min_count: int) -> DataF
     return joined.select(F.col("name").alias(group), F.when(F.col("rows") >= min_count, signed).alias("ks"))
 
 
-def adjacent_tests(table: DataFrame, category: str, value: str, order: list[str]) -> DataFrame:
-    """(a, b, n_a, n_b, mw_u, mw_z, mw_p): Mann-Whitney of neighbouring categories that both have more than one row."""
+def adjacent_tests(table: DataFrame, category: str, value: str, order: list[str], p_values: str = "auto") -> DataFrame:
+    """(a, b, n_a, n_b, mw_u, mw_z, mw_p, mw_method): Mann-Whitney of neighbouring categories that both have more than one row."""
     out = None
     for a, b in zip(order, order[1:], strict=False):
         left = table.where(F.col(category) == a).select(F.lit(a).alias("name"), F.col(value).alias("value"))
         right = table.where(F.col(category) == b).select(F.col(value).alias("value"))
-        one = with_p_values(rank_pass(left, right)).where("n > 1 and n0 > 1").select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("n").alias("n_a"), F.col("n0").alias("n_b"), "mw_u", "mw_z", "mw_p")
+        one = with_p_values(rank_pass(left, right).where("n > 1 and n0 > 1"), p_values)
+        one = one.select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("n").alias("n_a"), F.col("n0").alias("n_b"), "mw_u", "mw_z", "mw_p", "mw_method")
         out = one if out is None else out.unionByName(one)
     return out
 

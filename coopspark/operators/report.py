@@ -69,14 +69,14 @@ def density(table: DataFrame, value: str, points: int = 200, group: list[str] |
     return joined.groupBy(*group, "x").agg(F.sum(F.col("c") * F.exp(F.lit(-0.5) * z * z) / (F.col("n") * F.col("h") * F.lit(2.5066282746310002))).alias("density"))
 
 
-def pair_against_null(pairs: DataFrame, a: str, b: str, track: int, dist_min: int, dist_max: int) -> DataFrame:
+def pair_against_null(pairs: DataFrame, a: str, b: str, track: int, dist_min: int, dist_max: int, p_values: str = "auto") -> DataFrame:
     """One row: D, U, p-values and median shift of one pair, in either orientation, against all pairs in the distance window."""
     value = F.col(f"interaction_t{track}").alias("value")
     key = "|".join(sorted((a, b)))
     own = pairs.where(canonical_pair(F.col("tf1"), F.col("tf2")) == key).select(F.lit(key).alias("name"), value)
     null = pairs.where((F.col("distance") > dist_min) & (F.col("distance") <= dist_max)).select(value)
     middle = quantiles(own, "value", {"own__": 0.5}).crossJoin(quantiles(null, "value", {"null__": 0.5}))
-    return with_p_values(rank_pass(own, null)).crossJoin(F.broadcast(middle)).withColumn("shift", F.col("own__") - F.col("null__")).drop("own__", "null__")
+    return with_p_values(rank_pass(own, null), p_values).crossJoin(F.broadcast(middle)).withColumn("shift", F.col("own__") - F.col("null__")).drop("own__", "null__")
 
 
 def decay(pairs: DataFrame, tracks: list[int], mode: str = "signed") -> DataFrame:

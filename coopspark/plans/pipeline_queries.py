@@ -113,8 +113,8 @@ def _coop_sql(named: str, level: str) -> str:
 
 def _coop(spark, sf, level):
     pairs = written(rounded(_pairs(spark, sf), "isa1_t0", "isa2_t0", "isa_both_t0", "interaction_t0", digits=9))  # a stage table: the model runs once
-    out = coop.cooperativity(pairs, level, NULL_FROM, DISTANCE, min_count=10, q_threshold=0.1)
-    return rounded(out, "ks_p", "mw_z", "mean_distance", "ks_q", "mw_p", "mw_q").drop("p_method")
+    out = coop.cooperativity(pairs, level, NULL_FROM, DISTANCE, min_count=10, q_threshold=0.1, p_values="asymptotic")  # what SQL can follow
+    return rounded(out, "ks_p", "mw_z", "mean_distance", "ks_q", "mw_p", "mw_q").drop("p_method", "mw_method")
 
 
 @query(_coop_sql("SELECT concat(tf1, '|', tf2) AS name, interaction AS value, distance FROM positive", "tf_pair"))
@@ -222,7 +222,8 @@ def st1_incremental(spark, sf):
 def st1_incremental_pairs(spark, sf):
     motifs, seqs, model = _inputs(spark, sf)
     source, target = scratch_dir(spark), scratch_dir(spark)
-    motifs.join(seqs, "region").repartition(3, "region").write.parquet(source)
+    # Rows are dealt by motif: a region's motifs come in all of the files.
+    motifs.join(seqs, "region").repartition(3, "start_rel", "end_rel").write.parquet(source)
     schema = "region bigint, tf string, start_rel bigint, end_rel bigint, pass_threshold_t0 int, pass_threshold_t1 int, seq string"
     out = incremental.run_incremental_pairs(spark, source, schema, target, model, [0], DISTANCE)
     return out.select("region", "tf1", "tf2", "start1", "end1", "start2", "end2", F.round("interaction_t0", 6).alias("interaction"))
@@ -252,7 +253,7 @@ def f6_f7_u4_positive(spark, sf):
   SELECT name, n::BIGINT AS n, n0::BIGINT AS n0, round(ks_d, 6) AS ks_d, mw_u, round({KS_P}, 6) AS ks_p, round((SELECT quantile_cont(value, 0.5) FROM g) - (SELECT quantile_cont(value, 0.5) FROM z), 6) AS shift FROM stats""")
 def f16_f8_r2_pair_against_null(spark, sf):
     pairs = written(rounded(_pairs(spark, sf), "interaction_t0", digits=9))
-    own = report.pair_against_null(pairs, "Brand#2", "Brand#1", 0, NULL_FROM, DISTANCE)
+    own = report.pair_against_null(pairs, "Brand#2", "Brand#1", 0, NULL_FROM, DISTANCE, "asymptotic")
     return rounded(own, "ks_d", "ks_p", "shift").select("name", "n", "n0", "ks_d", "mw_u", "ks_p", "shift")
 
 

@@ -113,7 +113,7 @@ def _samples(spark, sf):
 
 @query(f"WITH {GROUPS}, {RANKS} SELECT name, n::BIGINT AS n, n0::BIGINT AS n0, round(ks_d, 9) AS ks_d, mw_u, tie_sum, round({KS_P}, 6) AS ks_p, round({MW_Z}, 6) AS mw_z FROM stats")
 def a7_a8_rank_pass(spark, sf):
-    out = rankstats.with_p_values(rankstats.rank_pass(*_samples(spark, sf)))
+    out = rankstats.with_p_values(rankstats.rank_pass(*_samples(spark, sf)), "asymptotic")
     return rounded(rounded(out, "ks_d", digits=9), "ks_p", "mw_z").select("name", "n", "n0", "ks_d", "mw_u", "tie_sum", "ks_p", "mw_z")
 
 

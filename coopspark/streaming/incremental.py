@@ -1,37 +1,129 @@
-"""Incremental scoring: whole regions arrive in files and are scored once, without state between batches."""
+"""Incremental scoring of motif files: single ablation without state, pairs with the state of each region."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import DataType, LongType, StringType, StructField, StructType
 
-from coopspark.operators.ablation import Predictor, pair_ablation, single_ablation
+from coopspark.operators.ablation import Predictor, original_scores, scored_pairs, single_ablation, single_scores
+from coopspark.plans.stage import written
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def _run(spark: SparkSession, source: str, schema: str, target: str, files_per_trigger: int, score: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """Apply ``score`` (motifs, sequences) to each micro-batch of files in ``source``; a batch that is run again replaces its own folder."""
 
-    def scored(df: DataFrame) -> DataFrame:
-        # A region's rows carry its sequence: it is scored once in the batch, not once a motif.
-        return score(df.drop("seq"), df.select("region", "seq").distinct())
+def _run(spark: SparkSession, source: str, schema: str, target: str, files_per_trigger: int, stateful: Callable[[DataFrame], DataFrame], score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Apply ``stateful`` to the stream of files in ``source`` and ``score`` to each micro-batch; a batch that is run again replaces its own folder."""
 
     def batch(df: DataFrame, number: int) -> None:
-        scored(df).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        score(df).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
+    stream = stateful(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source))
     # An empty part gives the target its schema, also where no file has come yet.
-    empty = scored(spark.createDataFrame([], schema))
+    empty = score(spark.createDataFrame([], stream.schema))
     empty.write.mode("ignore").parquet(f"{target}/batch=none")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{target}__checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(empty.schema).option("recursiveFileLookup", True).parquet(target)
 
 
 def run_incremental(spark: SparkSession, source: str, schema: str, target: str, predictor: Predictor, tracks: list[int], files_per_trigger: int = 1) -> DataFrame:
     """Single ablation of all files now in ``source``, added to ``target``; files seen before are not scored again."""
-    return _run(spark, source, schema, target, files_per_trigger, lambda motifs, sequences: single_ablation(motifs, sequences, predictor, tracks))
+
+    def score(df: DataFrame) -> DataFrame:
+        # A region's rows carry its sequence: it is scored once in the batch, not once a motif.
+        return single_ablation(df.drop("seq"), df.select("region", "seq").distinct(), predictor, tracks)
+
+    return _run(spark, source, schema, target, files_per_trigger, lambda stream: stream, score)
+
+
+class RegionPairs(StatefulProcessor):
+    """Keeps a region's motifs and its sequence; gives the pairs that have a motif of the current batch.
+
+    Pairs are those of ``ablation.motif_pairs``. A region's first row of a batch
+    has its sequence and no pair, so that it isn't repeated with every pair.
+    """
+
+    def __init__(self, motif: StructType, max_distance: int):
+        self.motif, self.max_distance = motif, max_distance
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.motifs = handle.getListState("motifs", self.motif)
+        self.sequence = handle.getValueState("sequence", StructType([StructField("seq", StringType())]))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        names = self.motif.names
+        came = pd.concat(list(rows), ignore_index=True)
+        if not self.sequence.exists() and (known := came["seq"].dropna()).size:
+            self.sequence.update((known.iloc[0],))
+        new = [tuple(None if pd.isna(v) else getattr(v, "item", lambda v=v: v)() for v in r) for r in came[names].itertuples(index=False)]
+        all_ = pd.DataFrame([(*r, False) for r in self.motifs.get()] + [(*r, True) for r in new], columns=[*names, "new"])
+        self.motifs.appendList(new)
+        all_ = all_.sort_values(["start_rel", "end_rel", "tf", *names[3:]], kind="stable", na_position="first", ignore_index=True)
+        start, end = all_["start_rel"].to_numpy(np.int64), all_["end_rel"].to_numpy(np.int64)
+        last = np.searchsorted(start, start + self.max_distance, "right")
+        a = np.repeat(np.arange(len(start)), last - np.arange(len(start)) - 1)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(last - np.arange(len(start)) - 1) - last, last - np.arange(len(start)) - 1)
+        fresh = all_["new"].to_numpy(bool)
+        keep = (fresh[a] | fresh[b]) & (start[b] >= np.minimum(end[a], end[b]))
+        a, b = a[keep], b[keep]
+        if not len(a):
+            return
+        first, second = all_.iloc[a].reset_index(drop=True), all_.iloc[b].reset_index(drop=True)
+        out = {"tf1": first["tf"], "tf2": second["tf"], "start1": start[a], "end1": end[a], "start2": start[b], "end2": end[b], "distance": start[b] - start[a]}
+        for c in names[3:]:
+            out |= {f"tf1_{c}": first[c], f"tf2_{c}": second[c]}
+        pairs = pd.DataFrame(out)
+        yield pd.DataFrame({"region": [key[0]], "seq": [self.sequence.get()[0] if self.sequence.exists() else None]} | {c: [None] for c in pairs.columns})
+        yield pd.DataFrame({"region": key[0], "seq": None, **{c: pairs[c] for c in pairs.columns}})
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def _rocks(spark: SparkSession) -> Iterator[None]:
+    """State variables need this store; the session's own setting comes back."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
 
 
 def run_incremental_pairs(spark: SparkSession, source: str, schema: str, target: str, predictor: Predictor, tracks: list[int], max_distance: int, files_per_trigger: int = 1) -> DataFrame:
-    """Pair ablation of each micro-batch; a file holds whole regions, so batches don't depend on each other."""
-    return _run(spark, source, schema, target, files_per_trigger, lambda motifs, sequences: pair_ablation(motifs, sequences, predictor, tracks, max_distance))
+    """Pair ablation of all files now in ``source``, added to ``target``.
+
+    A region may come in any number of files: each pair is scored in the batch
+    in which its second motif comes. The state is a region's motifs and its
+    first sequence, kept in the checkpoint.
+    """
+    own = StructType.fromDDL(schema)
+    carried = [f"pass_threshold_t{k}" for k in tracks]
+    motif = StructType([StructField("start_rel", LongType()), StructField("end_rel", LongType()), StructField("tf", StringType()), *[own[c] for c in carried]])
+    kind: DataType = own["region"].dataType
+    spans = ["start1", "end1", "start2", "end2"]
+    out = StructType([StructField("region", kind), StructField("seq", StringType()), StructField("tf1", StringType()), StructField("tf2", StringType()), *[StructField(c, LongType()) for c in (*spans, "distance")], *[StructField(f"tf{k}_{c}", own[c].dataType) for c in carried for k in (1, 2)]])
+
+    def stateful(stream: DataFrame) -> DataFrame:
+        rows = stream.select("region", "seq", F.col("start_rel").cast("bigint").alias("start_rel"), F.col("end_rel").cast("bigint").alias("end_rel"), "tf", *carried)
+        return rows.groupBy("region").transformWithStateInPandas(RegionPairs(motif, max_distance), out, "Append", "None")
+
+    def score(df: DataFrame) -> DataFrame:
+        df = written(df)  # the state moves on once
+        pairs, sequences = df.where("tf1 is not null or start1 is not null").drop("seq"), df.where("start1 is null").select("region", "seq")
+        ends = lambda k: pairs.select("region", F.col(f"start{k}").alias("start_rel"), F.col(f"end{k}").alias("end_rel"))
+        original = original_scores(sequences, predictor)
+        single = single_scores(ends(1).unionByName(ends(2)), sequences, predictor, original)
+        return scored_pairs(pairs, sequences, predictor, tracks, original, single)
+
+    with _rocks(spark):
+        return _run(spark, source, schema, target, files_per_trigger, stateful, score)

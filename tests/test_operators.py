@@ -65,32 +65,6 @@ def test_readers(spark, tmp_path):
     assert {(r.chrom, r.start): r.seq for r in sequences.sequences_of(asked, tiles, 5).collect()} == {("chr1", 3): "AAAACCCCC", ("chr1", 10): None, ("chr2", 0): "GG", ("chr3", 0): None, ("chr1", -1): None}
 
 
-def random_intervals(seed, n, top=300, longest=60):
-    rng = random.Random(seed)
-    return [(rng.choice("ab"), s, s + rng.randrange(0, longest), i) for i in range(n) for s in [rng.randrange(top)]]
-
-
-@pytest.mark.parametrize(("width", "salts"), [(7, 1), (1000, 1), (20, 3)])
-def test_interval_joins(spark, width, salts):
-    left, right = random_intervals(1, 60), random_intervals(2, 60)
-    a = spark.createDataFrame(left, "chrom string, start bigint, end bigint, i int")
-    b = spark.createDataFrame(right, "chrom string, start bigint, end bigint, i int")
-    fine = [(x, y) for x in left for y in right if x[0] == y[0] and x[2] > x[1] and y[2] > y[1]]
-    met = sorted((r.i, r.i_r) for r in intervals.overlapping(a, b, width, salts=salts).collect())
-    assert met == sorted((x[3], y[3]) for x, y in fine if x[1] < y[2] and y[1] < x[2])
-    inside = sorted((r.i, r.i_hit) for r in intervals.contained(a, b, width).collect())
-    assert inside == sorted((x[3], y[3]) for x, y in fine if x[1] <= y[1] and y[2] <= x[2])
-    gaps = {(r.chrom, p) for r in intervals.subtract(a, b, width).collect() for p in range(r.gap_start, r.gap_end)}
-    covered = {(c, p) for c, s, e, _ in right for p in range(s, e)}
-    assert gaps == {(c, p) for c, s, e, _ in left for p in range(s, e)} - covered
-
-
-def test_skewed_bin(spark):
-    left = spark.createDataFrame([("a", 0, 100)], "chrom string, start bigint, end bigint")
-    right = spark.range(20_000).select(F.lit("a").alias("chrom"), (F.col("id") % 90).alias("start"), (F.col("id") % 90 + 5).alias("end"))
-    assert intervals.overlapping(left, right, 1000, salts=8).count() == 20_000
-
-
 def ranks_by_hand(group, null):
     values = np.unique(np.concatenate([group, null]))
     d = max(abs((group <= v).mean() - (null <= v).mean()) for v in values)
@@ -113,31 +87,6 @@ def test_rank_pass_by_hand(spark):
     assert rankstats.rank_pass(spark.createDataFrame(rows, "name string, value double"), empty).count() == 0
 
 
-def test_p_values():
-    assert rankstats._ks_exact(1.0, 3, 3) == pytest.approx(0.1)
-    assert rankstats._ks_exact(0.5, 4, 6) == pytest.approx(0.55238095)
-    n, m = 3, 4
-    from itertools import combinations
-
-    def d(group):
-        rest = [x for x in range(n + m) if x not in group]
-        return max(abs(sum(g <= v for g in group) / n - sum(r <= v for r in rest) / m) for v in range(n + m))
-
-    every = [d(c) for c in combinations(range(n + m), n)]
-    for x in set(every):
-        assert rankstats._ks_exact(x, n, m) == pytest.approx(np.mean([e >= x - 1e-12 for e in every]))
-
-
-def test_p_columns(spark):
-    stats = spark.createDataFrame([("a", 3, 3, 1.0, 9.0, 0.0), ("b", 40, 60, 0.3, 800.0, 0.0), ("c", 40, 60, 0.0, 1200.0, 0.0)], "name string, n bigint, n0 bigint, ks_d double, mw_u double, tie_sum double")
-    out = {r.name: r for r in rankstats.with_p_values(stats, exact=True).collect()}
-    assert out["a"].ks_p == pytest.approx(0.1) and out["a"].p_method == "exact"
-    assert out["c"].ks_p == pytest.approx(1.0) and out["c"].mw_p == 1.0
-    assert out["b"].mw_p == pytest.approx(0.00488, abs=2e-4)
-    t = spark.createDataFrame([(2.0, 10), (0.0, 5), (12.706, 1)], "t double, d bigint").select(rankstats.student_two_sided("t", "d").alias("p")).collect()
-    assert [r.p for r in t] == pytest.approx([0.07338803, 1.0, 0.05], abs=1e-5)
-
-
 def test_benjamini_hochberg(spark):
     p = [0.01, 0.04, 0.03, 0.005, 0.9]
     rows = spark.createDataFrame([(f"t{i}", x) for i, x in enumerate(p)], "name string, p double")
@@ -162,7 +111,7 @@ def test_cooperativity_counts(spark):
     cols = "region string, tf1 string, tf2 string, distance int, tf1_pass_threshold_t0 int, tf2_pass_threshold_t0 int, isa1_t0 double, isa2_t0 double, isa_both_t0 double, interaction_t0 double"
     table = spark.createDataFrame(rows + rows[:5], cols)
     kept = [r for r in rows if r[5] and r[8] > 2]
-    pair = {r.tf_pair: r for r in coop.cooperativity(table, "tf_pair", 100, 200, exact=True).collect()}
+    pair = {r.tf_pair: r for r in coop.cooperativity(table, "tf_pair", 100, 200).collect()}
     assert set(pair) == {"A|B", "C|C", "A|C"}
     for name, r in pair.items():
         own = [k[9] for k in kept if "|".join(sorted(k[1:3])) == name]
@@ -225,17 +174,6 @@ def test_masks_are_scored_once(spark, sf_dir, tmp_path):
     assert seen.value == 0
 
 
-def test_stream_without_files(spark, tmp_path):
-    from coopspark.streaming import incremental
-
-    (tmp_path / "in").mkdir()
-    schema = "region bigint, tf string, start_rel bigint, end_rel bigint, pass_threshold_t0 int, seq string"
-    for run in (incremental.run_incremental_pairs, incremental.run_incremental):
-        extra = [5] if run is incremental.run_incremental_pairs else []
-        out = run(spark, str(tmp_path / "in"), schema, str(tmp_path / run.__name__), ablation.default_predictor(), [0], *extra)
-        assert out.count() == 0 and "region" in out.columns
-
-
 def test_attribution(spark):
     scores = spark.createDataFrame([("r", 0, [1.0, 5.0, 2.0, 9.0, 3.0]), ("r", 1, [0.0] * 5)], "region string, track int, scores array<double>")
     motifs = spark.createDataFrame([("r", "A", 0, 3), ("r", "B", 3, 4), ("r", "C", 2, 9)], "region string, tf string, start_rel int, end_rel int")
@@ -343,16 +281,6 @@ def test_quantiles_as_percentile(spark):
     assert quantiles(table.limit(0), "v", at, ["g"]).count() == 0
 
 
-def test_salts_leave_results_alone(spark):
-    """A third of all intervals lie in one bin; salted joins give what the plain ones give."""
-    spans = [("1", 5000 + i % 50, 5040 + i % 90) for i in range(200)] + [("1", 37 * i, 37 * i + 30) for i in range(400)]
-    right = spark.createDataFrame([(*s, float(i % 11), f"t{i % 2}", f"T{i % 4}") for i, s in enumerate(spans)], "chrom string, start bigint, end bigint, value double, track string, tf string")
-    left = spark.createDataFrame([("1", 500 * i, 500 * i + 700) for i in range(30)] + [("2", 0, 10)], "chrom string, start bigint, end bigint")
-    hits = left.select(F.monotonically_increasing_id().alias("region"), "chrom", F.col("start").alias("region_start"), F.col("end").alias("region_end"), F.lit("T1::T3").alias("tf"))
-    for f in (lambda n: intervals.contained(left, right, salts=n), lambda n: intervals.signal_by_region(left, right, salts=n), lambda n: intervals.subtract(left, right, salts=n), lambda n: intervals.chip_evidence(hits, right, salts=n)):
-        assert sorted(map(str, f(1).collect())) == sorted(map(str, f(5).collect()))
-
-
 def test_classes_at_their_limits(spark):
     """Scores equal to a quantile are between the classes; rows without a significant q are independent."""
     table = spark.createDataFrame([(f"p{i}", i / 10, 0.01) for i in range(11)] + [("weak", 5.0, 0.5), ("none", 5.0, None)], "name string, coop_score double, ks_q double")
