@@ -222,8 +222,8 @@ def st1_incremental(spark, sf):
 def st1_incremental_pairs(spark, sf):
     motifs, seqs, model = _inputs(spark, sf)
     source, target = scratch_dir(spark), scratch_dir(spark)
-    # Rows are dealt by motif: a region's motifs come in all of the files.
-    motifs.join(seqs, "region").repartition(3, "start_rel", "end_rel").write.parquet(source)
+    # Rows are dealt by motif: a region's motifs come in both files.
+    motifs.join(seqs, "region").repartition(2, "start_rel", "end_rel").write.parquet(source)
     schema = "region bigint, tf string, start_rel bigint, end_rel bigint, pass_threshold_t0 int, pass_threshold_t1 int, seq string"
     out = incremental.run_incremental_pairs(spark, source, schema, target, model, [0], DISTANCE)
     return out.select("region", "tf1", "tf2", "start1", "end1", "start2", "end2", F.round("interaction_t0", 6).alias("interaction"))

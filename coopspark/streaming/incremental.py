@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DataType, LongType, StringType, StructField, StructType
@@ -45,44 +44,39 @@ def run_incremental(spark: SparkSession, source: str, schema: str, target: str,
 
 
 class RegionPairs(StatefulProcessor):
-    """Keeps a region's motifs and its sequence; gives the pairs that have a motif of the current batch.
+    """Keeps a region's motifs, and its sequence with the first of them; gives the pairs that have a motif of the current batch.
 
     Pairs are those of ``ablation.motif_pairs``. A region's first row of a batch
     has its sequence and no pair, so that it isn't repeated with every pair.
     """
 
-    def __init__(self, motif: StructType, max_distance: int):
-        self.motif, self.max_distance = motif, max_distance
+    def __init__(self, motif: StructType, out: StructType, max_distance: int):
+        self.motif, self.out, self.max_distance = motif, out, max_distance
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.motifs = handle.getListState("motifs", self.motif)
-        self.sequence = handle.getValueState("sequence", StructType([StructField("seq", StringType())]))
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        # Motifs are (start, end, name, carried..., sequence); the sequence is the last entry, of the first motif only.
         names = self.motif.names
-        came = pd.concat(list(rows), ignore_index=True)
-        if not self.sequence.exists() and (known := came["seq"].dropna()).size:
-            self.sequence.update((known.iloc[0],))
-        new = [tuple(None if pd.isna(v) else getattr(v, "item", lambda v=v: v)() for v in r) for r in came[names].itertuples(index=False)]
-        all_ = pd.DataFrame([(*r, False) for r in self.motifs.get()] + [(*r, True) for r in new], columns=[*names, "new"])
-        self.motifs.appendList(new)
-        all_ = all_.sort_values(["start_rel", "end_rel", "tf", *names[3:]], kind="stable", na_position="first", ignore_index=True)
-        start, end = all_["start_rel"].to_numpy(np.int64), all_["end_rel"].to_numpy(np.int64)
-        last = np.searchsorted(start, start + self.max_distance, "right")
-        a = np.repeat(np.arange(len(start)), last - np.arange(len(start)) - 1)
-        b = np.arange(len(a)) - np.repeat(np.cumsum(last - np.arange(len(start)) - 1) - last, last - np.arange(len(start)) - 1)
-        fresh = all_["new"].to_numpy(bool)
-        keep = (fresh[a] | fresh[b]) & (start[b] >= np.minimum(end[a], end[b]))
-        a, b = a[keep], b[keep]
-        if not len(a):
-            return
-        first, second = all_.iloc[a].reset_index(drop=True), all_.iloc[b].reset_index(drop=True)
-        out = {"tf1": first["tf"], "tf2": second["tf"], "start1": start[a], "end1": end[a], "start2": start[b], "end2": end[b], "distance": start[b] - start[a]}
-        for c in names[3:]:
-            out |= {f"tf1_{c}": first[c], f"tf2_{c}": second[c]}
-        pairs = pd.DataFrame(out)
-        yield pd.DataFrame({"region": [key[0]], "seq": [self.sequence.get()[0] if self.sequence.exists() else None]} | {c: [None] for c in pairs.columns})
-        yield pd.DataFrame({"region": key[0], "seq": None, **{c: pairs[c] for c in pairs.columns}})
+        came = [tuple(r[n] for n in names) for r in rows]
+        old = [tuple(m) for m in self.motifs.get()]
+        sequence = old[0][-1] if old else min((r[-1] for r in came if r[-1] is not None), default=None)
+        self.motifs.appendList([(*r[:-1], None if old or k else sequence) for k, r in enumerate(came)])
+        all_ = [(r[:-1], False) for r in old] + [(r[:-1], True) for r in came]
+        all_.sort(key=lambda m: [(v is not None, v) for v in m[0]])
+        row, open_, first = Row(*self.out.names), deque(), True
+        for second, new in all_:
+            while open_ and second[0] - open_[0][0][0] > self.max_distance:
+                open_.popleft()
+            for one, earlier in open_:
+                if (new or earlier) and second[0] >= min(one[1], second[1]):
+                    if first:
+                        first = False
+                        yield row(key[0], sequence, *[None] * (len(self.out) - 2))
+                    both = [v for pair in zip(one[3:], second[3:], strict=True) for v in pair]
+                    yield row(key[0], None, one[2], second[2], one[0], one[1], second[0], second[1], second[0] - one[0], *both)
+            open_.append((second, new))
 
     def close(self) -> None:
         pass
@@ -108,14 +102,14 @@ def run_incremental_pairs(spark: SparkSession, source: str, schema: str, target:
     """
     own = StructType.fromDDL(schema)
     carried = [f"pass_threshold_t{k}" for k in tracks]
-    motif = StructType([StructField("start_rel", LongType()), StructField("end_rel", LongType()), StructField("tf", StringType()), *[own[c] for c in carried]])
+    motif = StructType([StructField("start_rel", LongType()), StructField("end_rel", LongType()), StructField("tf", StringType()), *[own[c] for c in carried], StructField("seq", StringType())])
     kind: DataType = own["region"].dataType
     spans = ["start1", "end1", "start2", "end2"]
     out = StructType([StructField("region", kind), StructField("seq", StringType()), StructField("tf1", StringType()), StructField("tf2", StringType()), *[StructField(c, LongType()) for c in (*spans, "distance")], *[StructField(f"tf{k}_{c}", own[c].dataType) for c in carried for k in (1, 2)]])
 
     def stateful(stream: DataFrame) -> DataFrame:
         rows = stream.select("region", "seq", F.col("start_rel").cast("bigint").alias("start_rel"), F.col("end_rel").cast("bigint").alias("end_rel"), "tf", *carried)
-        return rows.groupBy("region").transformWithStateInPandas(RegionPairs(motif, max_distance), out, "Append", "None")
+        return rows.groupBy("region").transformWithState(RegionPairs(motif, out, max_distance), out, "Append", "None")
 
     def score(df: DataFrame) -> DataFrame:
         df = written(df)  # the state moves on once
