@@ -18,8 +18,16 @@ No group is expanded into pairs:
    of another component that share one of their *rarest* shingles: two linked
    sets must share one of the ``n - ceil(0.8 n) + 1`` rarest ones of each, so
    nothing is lost, and a passage that very many documents have opens no pairs.
-   Places in that order, sizes and shared bands exclude most pairs before any
-   text is looked at; what is left is compared like the hubs' pairs.
+   Shingles that the same members have are one group. Places in that order, sizes
+   and shared bands exclude most pairs before any set is looked at.
+4. The sets of what is left go to the groups' blocks, once for each pair of
+   blocks, and are intersected there: a document's shingles are marked in the
+   block's vocabulary, and the marks under all others' sets are added up. Pairs
+   that links already connect are skipped, and no table of pairs is made.
+
+Documents that are all nearly, but not quite, similar enough remain pairs to be
+looked at (g * g / 2 for g of them, at about a microsecond each for texts of a
+few hundred words); their sets are shipped g / BLOCK times.
 
 Every pair of a bucket is thereby compared, excluded or already connected,
 whatever the bucket's size; recall is that of the banding (a pair at similarity
@@ -50,7 +58,7 @@ from coopspark.plans.stage import small, split_count, written
 
 PERMUTATIONS, ROWS = 48, 4
 PER_SALT = 256
-BLOCK = 1024
+BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
 CACHE_WORDS = 400_000
 REP_ROWS = 1_000_000
 _words: dict[bytes, int] = {}
@@ -104,12 +112,9 @@ def band_keys(s: np.ndarray, permutations: int = PERMUTATIONS, rows: int = ROWS)
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
-def linked(a: set, b: set, percent: int) -> bool:
-    small_, large = (a, b) if len(a) <= len(b) else (b, a)
-    if 100 * len(small_) < percent * len(large):
-        return False
-    both = len(small_ & large)
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def enough(both: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes a and b with ``both`` common shingles are linked."""
+    return 100 * both >= percent * (a + b - both)
 
 
 def _describe(width: int, permutations: int, rows: int, text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -128,125 +133,192 @@ def _describe(width: int, permutations: int, rows: int, text_at: int) -> Callabl
     return run
 
 
-def _compare_with_hub(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by (hub, salt, row is not the hub): the hub's text comes first, its members follow."""
+def _sets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column end to end, and where each list begins and the last one ends."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def _compare_with_hub(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (hub, salt, row, set) sorted by (hub, salt, row is not the hub): the hub's set comes first, its members follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, set()
-        for batch in slices(batches, 128):
-            a, b = [], []
-            for hub, row, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                s = set(shingles(text, width).tolist())
-                if row == hub:
-                    at, own = hub, s
-                elif hub != at:
-                    raise RuntimeError("a hub's text is missing")
-                elif linked(own, s, percent):
-                    a.append(row)
-                    b.append(hub)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        at, own = None, np.zeros(0, np.int64)
+        for batch in slices(batches, 256):
+            hub, row = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            values, starts = _sets_of(batch.column(3))
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            heads = np.flatnonzero(row == hub)
+            for lo, hi in zip([0, *heads.tolist()], [*heads.tolist(), len(row)], strict=True):
+                if lo == hi:
+                    continue
+                if row[lo] == hub[lo]:
+                    at, own = hub[lo], np.sort(values[starts[lo] : starts[lo + 1]])
+                    lo += 1
+                if lo == hi:
+                    continue
+                if (hub[lo:hi] != at).any():
+                    raise RuntimeError("a hub's set is missing")
+                part = values[starts[lo] : starts[hi]]
+                hit = own[np.minimum(np.searchsorted(own, part), len(own) - 1)] == part
+                both = np.add.reduceat(hit.astype(np.int64), starts[lo:hi] - starts[lo])
+                good = enough(both, len(own), np.diff(starts[lo : hi + 1]), percent)
+                a.append(row[lo:hi][good])
+                b.append(hub[lo:hi][good])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     return run
 
 
 def _shingled(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (rep, component, keys, text) as (rep, component, n, sketch, set): 16 bits of each band key, and all shingles."""
+    """Rows (row, text) as (row, n, set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
-            sets = [shingles(text, width).view(np.int64) for text in batch.column(3).to_pylist()]
-            sketches = [np.array(keys, np.int64).astype("<u2").tobytes() for keys in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(sketches, pa.binary()), pa.array(sets, pa.list_(pa.int64()))],
-                names=["rep", "component", "n", "sketch", "set"],
-            )
+            sets = [shingles(text, width).view(np.int64) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["row", "n", "set"])
 
     return run
 
 
-def _pairs_within(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (shingle, i, j, block, rep, component, n, place, sketch) sorted by (shingle, i, j): pairs that can be linked.
-
-    Two sets that share their ``place``-th and other rarest shingle have at most
-    ``min(n - place)`` in common if it is the first that they share; that, their
-    sizes, their components and the bands must allow a link.
-    """
-
-    def pairs(rows: list[np.ndarray], i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-        block, rep, component, n, place, sketch = rows
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        allowed = component[left][:, None] != component[right][None, :]
-        if i == j:
-            allowed &= np.triu(np.ones(allowed.shape, bool), 1)
-        most = np.minimum((n - place)[left][:, None], (n - place)[right][None, :])
-        allowed &= (100 + percent) * most >= percent * (n[left][:, None] + n[right][None, :])
-        x, y = np.nonzero(allowed)
-        x, y = left[x], right[y]
-        banded = np.zeros(len(x), bool)
-        for at in range(0, len(x), 100_000):
-            banded[at : at + 100_000] = (sketch[x[at : at + 100_000]] == sketch[y[at : at + 100_000]]).any(axis=1)
-        return np.maximum(rep[x], rep[y])[banded], np.minimum(rep[x], rep[y])[banded]
+class _Group:
+    """Members of a shingle's pair of blocks: columns (block, rep, component, n, place), sketches, and sets if they were shipped."""
+
+    def __init__(self, parts: list[tuple], percent: int):
+        self.percent = percent
+        self.block, self.rep, component, self.n, self.place = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        self.component = np.unique(component, return_inverse=True)[1]
+        self.sketch = np.concatenate([p[5] for p in parts])
+        self.values = np.concatenate([p[6] for p in parts]) if parts[0][6] is not None else None
+        self.starts = np.concatenate([[0], np.cumsum(self.n)])
+
+    def partners(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that can be linked with x, and aren't connected yet.
+
+        Two sets that share their ``place``-th and other rarest shingle have at
+        most ``min(n - place)`` in common if it is the first that they share;
+        that, their sizes and the bands must allow a link.
+        """
+        others = others[self.component[others] != self.component[x]]
+        most = np.minimum(self.n[x] - self.place[x], (self.n - self.place)[others])
+        others = others[(100 + self.percent) * most >= self.percent * (self.n[x] + self.n[others])]
+        return others[(self.sketch[others] == self.sketch[x]).any(axis=1)]
+
+    def sides(self, i: int, j: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member of block i, with the members of block j to look at."""
+        left, right = np.flatnonzero(self.block == i), np.flatnonzero(self.block == j)
+        for k, x in enumerate(left.tolist()):
+            yield x, (left[k + 1 :] if i == j else right)
+
+    def candidates(self, i: int, j: int) -> np.ndarray:
+        """The members that have a partner."""
+        seen = np.zeros(len(self.rep), bool)
+        for x, others in self.sides(i, j):
+            found = self.partners(x, others)
+            if len(found):
+                seen[x] = True
+                seen[found] = True
+        return self.rep[seen]
+
+    def links(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """Links that connect all that linked pairs connect."""
+        code = np.unique(self.values, return_inverse=True)[1]
+        mark = np.zeros(int(code.max(initial=-1)) + 1, np.int32)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x, others in self.sides(i, j):
+            found = self.partners(x, others)
+            if not len(found):
+                continue
+            own = code[self.starts[x] : self.starts[x + 1]]
+            mark[own] = 1
+            sizes = self.n[found]
+            ends = np.cumsum(sizes)
+            under = code[np.arange(ends[-1]) - np.repeat(ends - sizes - self.starts[found], sizes)]
+            both = np.add.reduceat(mark[under], ends - sizes)
+            mark[own] = 0
+            linked = found[enough(both, self.n[x], sizes, self.percent)]
+            a.append(np.maximum(self.rep[linked], self.rep[x]))
+            b.append(np.minimum(self.rep[linked], self.rep[x]))
+            self.component[np.isin(self.component, self.component[linked])] = self.component[x]
+        return np.concatenate(a), np.concatenate(b)
+
+
+def _by_group(percent: int, with_sets: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (shingle, i, j, block, rep, component, n, place, sketch[, set]) sorted by (shingle, i, j): candidates (shingle, i, j, rep), or with sets, links (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
         def done() -> pa.RecordBatch:
-            a, b = pairs([np.concatenate([part[k] for part in held]) for k in range(6)], at[1], at[2])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["hub", "rep"])
-
-        for batch in slices(batches, 4096):
+            group = _Group(held, percent)
+            if with_sets:
+                a, b = group.links(at[1], at[2])
+                return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            reps = group.candidates(at[1], at[2])
+            key = [pa.array([k] * len(reps), kind) for k, kind in zip(at, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            return pa.RecordBatch.from_arrays([*key, pa.array(reps)], names=["shingle", "i", "j", "rep"])
+
+        for batch in slices(batches, 1024):
             key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)], axis=1)
             rest = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3, 8)]
             rest.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), "<u2").reshape(batch.num_rows, -1))
+            values, starts = _sets_of(batch.column(9)) if with_sets else (None, None)
             bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(bounds, bounds[1:], strict=False):
                 if (now := tuple(key[lo].tolist())) != at:
                     if held:
                         yield done()
                     at, held = now, []
-                held.append([part[lo:hi] for part in rest])
+                held.append((*[part[lo:hi] for part in rest], values[starts[lo] : starts[hi]] if with_sets else None))
         if held:
             yield done()
 
     return run
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among pairs (hub, rep): spread by (hub, salt), so that a hub of very many is many tasks' work."""
     spread = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.ceil(F.col("n") / PER_SALT).cast("int"))
     spread = written(spread)
     salted = pairs.join(small(spread, REP_ROWS), "hub").select("hub", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.col("rep").alias("row"))
     copies = spread.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("hub").alias("row"))
-    work = salted.unionByName(copies).join(texts, "row").select("hub", "salt", "row", "text")
+    work = salted.unionByName(copies).join(sets, "row").select("hub", "salt", "row", "set")
     work = work.repartition(split_count(pairs), "hub", "salt").sortWithinPartitions("hub", "salt", F.col("row") != F.col("hub"))
-    return written(work.mapInArrow(_compare_with_hub(width, percent), "a bigint, b bigint"))
+    return written(work.mapInArrow(_compare_with_hub(percent), "a bigint, b bigint"))
 
 
-def _rare_pairs(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (hub, rep) of ``members`` (rep, component, keys) in different components that can be linked.
+def _rare_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of ``members`` (rep, component, keys) in different components that connect all that linked pairs connect.
 
     Two sets that are linked share one of their ``n - ceil(percent n / 100) + 1``
     first shingles under any order of all shingles; here it is the rarest first.
-    Shingles of one member have no partner and only use up places.
+    Shingles of one member have no partner and only use up places. Of shingles
+    that the same members have among their first ones, the rarest stands for all.
     """
-    sets = members.join(texts.withColumnRenamed("row", "rep"), "rep").select("rep", "component", "keys", "text")
-    sets = written(sets.mapInArrow(_shingled(width), "rep bigint, component bigint, n bigint, sketch binary, set array<bigint>"))
-    each = sets.select("rep", F.explode("set").alias("shingle"))
+    sketch = F.array_join(F.transform("keys", lambda k: F.substring(F.lpad(F.hex(k), 16, "0"), 13, 4)), "")
+    own = written(members.join(sets.withColumnRenamed("row", "rep"), "rep").select("rep", "component", "n", F.unhex(sketch).alias("sketch"), "set"))
+    each = own.select("rep", F.explode("set").alias("shingle"))
     common = written(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     shared = each.join(small(common, REP_ROWS), "shingle").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
     alone = F.col("n") - F.size("shared")
     places = F.expr(f"cast(n - (n * {percent} + 99) div 100 + 1 as int)")
     firsts = F.slice("shared", F.lit(1), F.greatest(places - alone.cast("int"), F.lit(0)))
-    firsts = sets.drop("set").join(shared, "rep").select("rep", "component", "n", "sketch", alone.alias("alone"), firsts.alias("firsts"))
+    firsts = own.drop("set").join(shared, "rep").select("rep", "component", "n", "sketch", alone.alias("alone"), firsts.alias("firsts"))
     rows = firsts.select("rep", "component", "n", "sketch", "alone", F.posexplode("firsts").alias("at", "first"))
-    rows = written(rows.select(F.col("first.shingle").alias("shingle"), "rep", "component", "n", (F.col("alone") + F.col("at")).alias("place"), "sketch"))
-    groups = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-    groups = written(groups.select("shingle", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    rows = rows.join(small(groups, REP_ROWS), "shingle").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = written(rows.select(F.col("first.shingle").alias("shingle"), F.col("first.df").alias("df"), "rep", "component", "n", (F.col("alone") + F.col("at")).alias("place"), "sketch"))
+    alike = [F.count(F.lit(1)).alias("size"), *[F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"who{k}") for k in (1, 2)]]
+    groups = rows.groupBy("shingle").agg(*alike, F.min("df").alias("df"), F.sum("n").alias("weight"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    groups = groups.groupBy("size", "who1", "who2").agg(F.min(F.struct("df", "shingle")).alias("first"), F.max("weight").alias("weight"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    groups = written(groups.select(F.col("first.shingle").alias("shingle"), blocks.alias("blocks")))
+    rows = rows.drop("df").join(small(groups, REP_ROWS), "shingle").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "n", "place", "sketch")
-    found = rows.repartition(split_count(rows), "shingle", "i", "j").sortWithinPartitions("shingle", "i", "j").mapInArrow(_pairs_within(percent), "hub bigint, rep bigint")
-    return written(found.distinct())
+    key = ["shingle", "i", "j"]
+    rows = written(rows.select("shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "n", "place", "sketch"))
+    dealt = lambda df: df.repartition(split_count(rows), *key).sortWithinPartitions(*key)
+    found = written(dealt(rows).mapInArrow(_by_group(percent, False), "shingle bigint, i int, j int, rep bigint"))
+    left = rows.join(found, [*key, "rep"], "left_semi").join(own.select("rep", "set"), "rep").select(*rows.columns, "set")
+    return written(dealt(left).mapInArrow(_by_group(percent, True), "a bigint, b bigint"))
 
 
 def _links(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -259,15 +331,16 @@ def _links(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> tu
     members = written(members.join(small(written(hubs), REP_ROWS), "key").where("rep <> hub").select("key", "rep", "hub"))
     pairs = written(members.select("hub", "rep").distinct())
 
-    texts = written(texts.join(small(mass.select(F.col("rep").alias("row")), REP_ROWS), "row").select("row", "text"))
-    components = written(connected_components(_compared(pairs, texts, width, percent)))
+    # Only documents that share a band with another are looked at again; their sets are built once.
+    texts = texts.join(small(mass.select(F.col("rep").alias("row")), REP_ROWS), "row").select("row", "text")
+    sets = written(texts.mapInArrow(_shingled(width), "row bigint, n bigint, set array<bigint>"))
+    components = written(connected_components(_compared(pairs, sets, percent)))
 
     named = members.join(small(components.withColumnRenamed("node", "rep"), REP_ROWS), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = written(named.select("key", "rep", "component"))
     open_ = written(named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key"))
     left = named.join(small(open_, REP_ROWS), "key").select("rep", "component").distinct()
-    second = _rare_pairs(written(left.join(classes.select("rep", "keys"), "rep")), texts, width, percent)
-    return components, _compared(second, texts, width, percent)
+    return components, _rare_links(written(left.join(classes.select("rep", "keys"), "rep")), sets, percent)
 
 
 def _described(docs: DataFrame, width: int, permutations: int, rows: int) -> DataFrame:

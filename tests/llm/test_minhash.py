@@ -81,8 +81,8 @@ def test_common_passage_opens_no_pairs(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     described = minhash._described(docs, 5, minhash.PERMUTATIONS, minhash.ROWS)
     members = described.selectExpr("row as rep", "row as component", "keys")
-    pairs = minhash._rare_pairs(members, described.select("row", "text"), 5, 80)
-    assert pairs.count() == 1
+    sets = described.select("row", "text").mapInArrow(minhash._shingled(5), "row bigint, n bigint, set array<bigint>")
+    assert minhash._rare_links(members, sets, 80).count() == 1
     assert sorted(map(tuple, minhash.near_duplicates(docs, width=5).collect()), key=str) == brute(rows, 5, 80)
 
 
@@ -100,3 +100,51 @@ def test_two_families_just_below_the_threshold(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     assert sorted(map(tuple, minhash.near_duplicates(docs, width=4).collect()), key=str) == brute(rows, 4, 80)
+
+
+def phrases(n, seed=6):
+    """Documents of a common part and two of 20 phrases: most pairs have a similarity just below 0.8, those with a common phrase lie above."""
+    rng = random.Random(seed)
+    common, some = [f"c{i}" for i in range(150)], [[f"p{k}x{i}" for i in range(9)] for k in range(20)]
+    rows = []
+    for i in range(n):
+        a, b = rng.sample(range(20), 2)
+        rows.append((i, " ".join(common[:75] + some[a] + common[75:] + some[b] + [f"own{i}"])))
+    return rows
+
+
+@pytest.mark.parametrize("block", [1024, 40])
+def test_near_the_threshold(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rows = phrases(220)
+    # Without the common phrase no pair would be linked: take phrases apart for a part of them.
+    rows += [(1000 + i, " ".join(f"{w}{i % 3}" if w.startswith("p") else w for w in t.split())) for i, (_, t) in enumerate(rows[:60])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for width in (4, 5):
+        assert sorted(map(tuple, minhash.near_duplicates(docs, width=width).collect()), key=str) == brute(rows, width, 80)
+
+
+def test_links_in_a_group_as_all_pairs():
+    """What a pair of blocks gives connects exactly what all linked pairs connect."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**62, 100)
+    sets = [np.unique(np.concatenate([rng.choice(base, 90 - int(k) % 9, replace=False), rng.integers(0, 2**62, int(k) % 7)])) for k in range(120)]
+    n = np.array([len(s) for s in sets])
+    block = np.arange(120) % 2
+    part = (block, np.arange(120), np.arange(120), n, np.zeros(120, np.int64), np.zeros((120, 24), "<u2"), np.concatenate(sets))
+    for i, j in ((0, 0), (0, 1), (1, 1)):
+        a, b = minhash._Group([part], 80).links(i, j)
+        left, right = [np.flatnonzero(block == k).tolist() for k in (i, j)]
+        want = [(x, y) for x in left for y in right if x != y and 100 * len(np.intersect1d(sets[x], sets[y])) >= 80 * len(np.union1d(sets[x], sets[y]))]
+        assert set(zip(a.tolist(), b.tolist(), strict=True)) <= {(max(p), min(p)) for p in want} and want
+
+        def roots(edges):
+            root = list(range(120))
+            for x, y in edges:
+                p, q = root[x], root[y]
+                root = [q if r == p else r for r in root]
+            return {frozenset(k for k in range(120) if root[k] == r) for r in root}
+
+        assert roots(zip(a.tolist(), b.tolist(), strict=True)) == roots(want)
