@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coopspark.functions.scalars import canonical_pair, name_prefix
+from coopspark.functions.scalars import canonical_pair, minus_log10, name_prefix
+from coopspark.operators.annotate import annotate_family, is_listed, recruiters
 from coopspark.operators.quantiles import quantiles
 from coopspark.operators.rankstats import rank_pass, with_p_values
 from coopspark.operators.running import running_sum
 from coopspark.operators.windows import rolling_means, with_neighbours
+from coopspark.plans.stage import small, written
 
 
 def not_independent(table: DataFrame) -> DataFrame:
@@ -144,3 +146,76 @@ def most_frequent(table: DataFrame, col: str, n: int) -> DataFrame:
     """Rows of the n most frequent values (ties by value)."""
     top = table.groupBy(col).agg(F.count(F.lit(1)).alias("n__")).orderBy(F.desc("n__"), col).limit(n).select(col)
     return table.join(F.broadcast(top), col, "left_semi")
+
+
+def specificity_by_class(pairs: DataFrame, tfs: DataFrame, top: int = 5, min_partners: int = 10) -> DataFrame:
+    """(tf, cooperativity, specificity_ratio) of TFs that aren't independent: what ``top_share`` gives, by class."""
+    classes = not_independent(tfs).select("tf", "cooperativity")
+    return top_share(pairs, top, min_partners).where("specificity_ratio is not null").join(small(classes), "tf").select("tf", "cooperativity", "specificity_ratio")
+
+
+def scored(table: DataFrame) -> DataFrame:
+    """Rows with a score."""
+    return table.where(F.col("coop_score").isNotNull())
+
+
+def monomers(pairs: DataFrame) -> DataFrame:
+    """Pairs without a dimer."""
+    return pairs.where(~F.coalesce(F.col("tf_pair").contains("::"), F.lit(False)))
+
+
+def motif_gc_by_class(tfs: DataFrame, gc: DataFrame) -> DataFrame:
+    """(cooperativity, box statistics of gc) for TFs with a known motif (tf, gc); a TF with several motifs counts with each."""
+    return box_stats(tfs.select("tf", "cooperativity").join(small(gc.select("tf", "gc")), "tf"), "gc", ["cooperativity"])
+
+
+def coop_by_same_family(pairs: DataFrame, families: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Densities (same_family, x, density) of the scores, and one row (n, n0, mw_u, mw_p, ...) of pairs within families against the others."""
+    own = written(annotate_family(scored(pairs), families).select("same_family", "coop_score"))
+    own = own.withColumn("same_family", F.coalesce("same_family", F.lit(False)))
+    same = own.where("same_family").select(F.lit("same").alias("name"), F.col("coop_score").alias("value"))
+    test = with_p_values(rank_pass(same, own.where("not same_family").select(F.col("coop_score").alias("value"))).where("n > 1 and n0 > 1"))
+    return density(own, "coop_score", group=["same_family"]), test
+
+
+def coop_by_family(tfs: DataFrame, families: DataFrame, top: int = 15) -> DataFrame:
+    """(family, box statistics of the score) of the ``top`` families with most TFs."""
+    own = annotate_family(scored(tfs), families, None).where("family is not null")
+    return box_stats(most_frequent(own, "family", top), "coop_score", ["family"])
+
+
+def intra_family(pairs: DataFrame, families: DataFrame, min_pairs: int = 10) -> DataFrame:
+    """(family1, box statistics of the score) of pairs within one family, for families with ``min_pairs`` of them."""
+    own = annotate_family(scored(pairs), families).where("same_family and family1 is not null")
+    return box_stats(own, "coop_score", ["family1"]).where(F.col("n") >= min_pairs)
+
+
+def listed_ecdf(tfs: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
+    """(kind, coop_score, ecdf, median): the scores of TFs on each list (name), dimers of two listed names included."""
+    parts = [is_listed(scored(tfs).select("tf", "coop_score"), names, "tf").select(F.lit(kind).alias("kind"), "coop_score") for kind, names in lists.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return ecdf(out, "coop_score", "kind")
+
+
+def cell_specificity(tfs: DataFrame, dispersion: DataFrame, width: int = 50) -> DataFrame:
+    """(tf, coop_score, gini, is_specific, is_ubiquitous, rolling_spec, rolling_ubiq) of TFs with a dispersion (symbol, gini)."""
+    own = scored(tfs).select("tf", "coop_score").join(small(dispersion.select(F.col("symbol").alias("tf"), "gini")), "tf")
+    return specificity_trend(own, width)
+
+
+def cofactor_recruitment(pairs: DataFrame, matrix: DataFrame, cofactors: list[str] | None = None) -> DataFrame:
+    """(cofactor, recruiters, box statistics of the score): how many of a pair's TFs recruit it; cofactors with one level only are left out."""
+    names = cofactors or [c for c in matrix.columns if c != "TF"]
+    counted = recruiters(monomers(scored(pairs)), matrix, names)
+    long = counted.unpivot(["coop_score"], [f"count_{c}" for c in names], "cofactor", "recruiters").withColumn("cofactor", F.expr("substring(cofactor, 7)"))
+    levels = long.groupBy("cofactor").agg(F.countDistinct("recruiters").alias("k")).where("k > 1")
+    return box_stats(long.join(small(levels), "cofactor", "left_semi"), "coop_score", ["cofactor", "recruiters"])
+
+
+def dna_mediated(pairs: DataFrame, binding: DataFrame) -> DataFrame:
+    """(measure, binds, box statistics) of the score and of -log10(ks_p), for pairs in ``binding`` (tf_pair, binds)."""
+    own = pairs.join(small(binding.select("tf_pair", "binds")), "tf_pair").select("binds", "coop_score", minus_log10(F.col("ks_p")).alias("minus_log10_ks_p"))
+    long = own.unpivot(["binds"], ["coop_score", "minus_log10_ks_p"], "measure", "value")
+    return box_stats(long, "value", ["measure", "binds"])

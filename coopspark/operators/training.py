@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from coopspark.functions.scalars import class_label, regression_target
 from coopspark.functions.sequence import reverse_complement
 from coopspark.operators.intervals import resize_regions, signal_by_region
+from coopspark.operators.quantiles import quantiles
 from coopspark.operators.selection import first_rows
 from coopspark.operators.sequences import sequences_of
+from coopspark.plans.stage import written
 
 
 def hash_order(keys: list[str], seed: int) -> Column:
@@ -44,18 +46,29 @@ def split_of(chrom: Column, keys: list[str], holdout: str = "chr2") -> Column:
     return F.when(chrom == holdout, "test").when(place < "da", "train").otherwise("val")
 
 
-def labelled(regions: DataFrame, signal: DataFrame | None = None, threshold: float | None = None, class_col: str | None = None) -> DataFrame:
-    """Adds target_reg and target_class: by threshold, by a given column, or by any signal."""
+def labelled(regions: DataFrame, signal: DataFrame | None = None, threshold: float | DataFrame | None = None, class_col: str | None = None) -> DataFrame:
+    """Adds target_reg and target_class: by a threshold (a number, or one row with that column), by a given column, or by any signal."""
     own = regions if signal is None else signal_by_region(regions, signal).withColumnRenamed("signal", "target_reg")
     value = F.coalesce("target_reg", F.lit(0.0))
-    kind = F.col(class_col).cast("float").cast("double") if class_col else class_label(value, threshold if threshold is not None else 0.0)
-    return own.withColumn("target_reg", value).withColumn("target_class", kind)
+    if isinstance(threshold, DataFrame):
+        own = own.crossJoin(F.broadcast(threshold.select(F.col("threshold").alias("limit__"))))  # one row
+        kind = F.coalesce((value > F.col("limit__")).cast("double"), F.lit(0.0))
+    else:
+        kind = F.col(class_col).cast("float").cast("double") if class_col else class_label(value, threshold if threshold is not None else 0.0)
+    return own.withColumn("target_reg", value).withColumn("target_class", kind).drop("limit__")
 
 
 def noise_threshold(background: DataFrame, signal: DataFrame, length: int, percentile: float = 99.0, n: int = 50_000, seed: int = 42) -> DataFrame:
-    """One row (threshold): a percentile of the signal of sampled background regions."""
+    """One row (threshold): a percentile of the signal of n sampled background regions; null without any."""
     drawn = resize_regions(sample_rows(background, n, ["chrom", "start", "end"], seed), length)
-    return signal_by_region(drawn, signal).agg(F.percentile("signal", percentile / 100.0).alias("threshold"))
+    return written(quantiles(signal_by_region(drawn, signal), "signal", {"threshold": percentile / 100.0}))
+
+
+def get_expressed_tfs(promoters: DataFrame, background: DataFrame, signal: DataFrame, length: int = 1000, percentile: float = 99.0, n: int = 50_000, seed: int = 42) -> DataFrame:
+    """(name) in order: names of promoters (chrom, start, end, name) with more signal than the noise threshold."""
+    limit = noise_threshold(background, signal, length, percentile, n, seed)
+    measured = signal_by_region(resize_regions(promoters.select("chrom", "start", "end", "name"), length), signal)
+    return measured.crossJoin(F.broadcast(limit)).where("signal > threshold").select("name").distinct().orderBy("name")
 
 
 def training_rows(table: DataFrame, genome: DataFrame, tile_width: int, reverse: bool = True) -> DataFrame:
@@ -64,9 +77,36 @@ def training_rows(table: DataFrame, genome: DataFrame, tile_width: int, reverse:
     return rows.unionByName(rows.withColumn("seq", reverse_complement(F.col("seq"))).withColumn("is_rc", F.lit(True))) if reverse else rows
 
 
-def compile_training_data(regions: DataFrame, genome: DataFrame, signal: DataFrame, pool: DataFrame, length: int, tile_width: int, threshold: float = 0.0, holdout: str = "chr2", seed: int = 42) -> DataFrame:
-    """Resize, label, balance, split and fetch sequences: the rows for the training-set sink."""
-    table = labelled(resize_regions(regions, length), signal, threshold).select("chrom", "start", "end", "target_reg", "target_class")
+def compile_training_data(
+    regions: DataFrame,
+    genome: DataFrame,
+    signal: DataFrame | None,
+    pool: DataFrame,
+    length: int,
+    tile_width: int,
+    threshold: float | None = None,
+    holdout: str = "chr2",
+    seed: int = 42,
+    target_col: str | None = None,
+    class_col: str | None = None,
+    percentile: float = 99.0,
+    background: int = 50_000,
+) -> DataFrame:
+    """Resize, label, balance, split and fetch sequences: the rows for the training-set sink.
+
+    Labels come from signal tracks, by ``threshold`` or, if it is None, by the
+    noise threshold of the pool; or from the column ``target_col`` of the
+    regions, with classes in ``class_col`` or else wherever there is signal.
+    """
+    wide = resize_regions(regions, length)
+    if signal is not None:
+        limit = threshold if threshold is not None else noise_threshold(pool, signal, length, percentile, background, seed)
+        table = labelled(wide, signal, limit)
+    elif target_col is not None:
+        table = labelled(wide.withColumn("target_reg", F.col(target_col).cast("double")), None, threshold, class_col)
+    else:
+        raise ValueError("regions need signal tracks or a column with the signal")
+    table = table.select("chrom", "start", "end", "target_reg", "target_class")
     even = balanced(table.where("target_class = 1"), table.where("target_class <> 1"), pool, length, seed)
     return training_rows(even.withColumn("split", split_of(F.col("chrom"), ["chrom", "start", "end"], holdout)), genome, tile_width)
 

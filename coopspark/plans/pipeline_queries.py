@@ -127,12 +127,18 @@ def c5_coop_tf(spark, sf):
     return _coop(spark, sf, "tf")
 
 
-@query(f"""{SINGLE}, t AS (SELECT tf, pass_threshold_t0 AS p, pass_threshold_t1 AS q, round(i0, 9) AS i0, round(i1, 9) AS i1 FROM motifs JOIN single USING (region, start_rel, end_rel))
-  SELECT tf, count(*) AS count, round(avg(i0) FILTER (p = 1), 6) AS mean_isa_t0, round(quantile_cont(i0, 0.5) FILTER (p = 1), 6) AS median_isa_t0, round(avg(i1) FILTER (p = 1 AND q = 1), 6) AS mean_isa_t1, round(quantile_cont(i1, 0.5) FILTER (p = 1 AND q = 1), 6) AS median_isa_t1 FROM t GROUP BY tf""")
+def _signed_ks_sql(k: int) -> str:
+    return f"""k{k} AS (WITH g AS (SELECT tf AS name, i{k} AS value FROM t), z AS (SELECT value FROM g), {RANKS}, med AS (SELECT name, quantile_cont(value, 0.5) AS own, count(*) AS c FROM g GROUP BY name)
+    SELECT name AS tf, CASE WHEN c >= 10 THEN round(CASE WHEN own < (SELECT quantile_cont(value, 0.5) FROM g) THEN -ks_d ELSE ks_d END, 6) END AS ks_isa_t{k} FROM stats JOIN med USING (name))"""
+
+
+@query(f"""{SINGLE}, t AS (SELECT tf, pass_threshold_t0 AS p, pass_threshold_t1 AS q, round(i0, 9) AS i0, round(i1, 9) AS i1 FROM motifs JOIN single USING (region, start_rel, end_rel)), {_signed_ks_sql(0)}, {_signed_ks_sql(1)},
+  a AS (SELECT tf, count(*) AS count, round(avg(i0) FILTER (p = 1), 6) AS mean_isa_t0, round(quantile_cont(i0, 0.5) FILTER (p = 1), 6) AS median_isa_t0,
+    round(avg(i1) FILTER (p = 1 AND q = 1), 6) AS mean_isa_t1, round(quantile_cont(i1, 0.5) FILTER (p = 1 AND q = 1), 6) AS median_isa_t1 FROM t GROUP BY tf)
+  SELECT * FROM a JOIN k0 USING (tf) JOIN k1 USING (tf)""")
 def a5_c4_importance(spark, sf):
     single = written(rounded(ablation.single_ablation(*_inputs(spark, sf), [0, 1]), "isa_t0", "isa_t1", digits=9))
-    out = coop.tf_importance(single, [0, 1], 10).drop("ks_isa_t0", "ks_isa_t1")
-    return rounded(out, "mean_isa_t0", "median_isa_t0", "mean_isa_t1", "median_isa_t1")
+    return rounded(coop.tf_importance(single, [0, 1], 10), *[f"{m}_isa_t{k}" for m in ("mean", "median", "ks") for k in (0, 1)])
 
 
 @query(f"""{with_views('regions', 'hits')}, {GAPS_SQL}, v AS (SELECT abs(hash_) AS x FROM (SELECT (gap_end - gap_start) % 997 AS hash_ FROM gaps)), lim AS (SELECT quantile_cont(x, 0.9) AS l FROM v)
@@ -176,26 +182,31 @@ def c1_training_rows(spark, sf):
     return rounded(out.withColumn("seq", F.md5(F.col("seq").cast("binary"))), "target_reg_log")
 
 
-def _compile_sql(threshold: int) -> str:
+def _compile_sql(threshold: int | str) -> str:
     keys = lambda t: f"md5(concat({t}.chrom, '|', {t}.start, '|', {t}.stop, '|42')), {t}.chrom, {t}.start, {t}.stop"
     return f"""{with_views('sequences')}, x AS (SELECT concat('chr', region % 5) AS chrom, (region // 5) * 600 AS start, (region // 5) * 600 + 600 AS stop, seq, region, CASE WHEN region % 3 = 0 THEN 0 ELSE o_totalprice END AS y FROM sequences JOIN orders ON region = o_orderkey),
-  pos AS (SELECT * FROM x WHERE y > {threshold}), neg AS (SELECT *, row_number() OVER (ORDER BY {keys('x')}) AS r FROM x WHERE y <= {threshold}), pool AS (SELECT *, row_number() OVER (ORDER BY {keys('x')}) AS r FROM x WHERE region % 2 = 0),
+  drawn AS (SELECT y, row_number() OVER (ORDER BY md5(concat(chrom, '|', start + 100, '|', stop - 100, '|42'))) AS r FROM x WHERE region % 2 = 0),
+  pool AS (SELECT *, row_number() OVER (ORDER BY {keys('x')}) AS r FROM x WHERE region % 2 = 0),
+  pos AS (SELECT * FROM x WHERE y > {threshold}), neg AS (SELECT *, row_number() OVER (ORDER BY {keys('x')}) AS r FROM x WHERE y <= {threshold}),
   even AS (SELECT chrom, start, stop, seq, y, 1 AS c FROM pos UNION ALL SELECT chrom, start, stop, seq, y, 0 FROM neg WHERE r <= (SELECT count(*) FROM pos)
     UNION ALL SELECT chrom, start, stop, seq, 0, 0 FROM pool WHERE r <= (SELECT count(*) FROM pos) - (SELECT count(*) FROM neg))
   SELECT CASE WHEN chrom = 'chr2' THEN 'test' WHEN substr(md5(concat(chrom, '|', start, '|', stop)), 1, 2) < 'da' THEN 'train' ELSE 'val' END AS split, rc AS is_rc, md5(CASE WHEN rc THEN translate(reverse(seq), 'ACGT', 'TGCA') ELSE seq END) AS seq, round(ln(1 + y), 6) AS target_reg_log, c::DOUBLE AS target_class
   FROM even CROSS JOIN (VALUES (true), (false)) r(rc)"""
 
 
-def _compile(spark, sf, threshold):
+def _compile(spark, sf, threshold, class_col=None, given=False, **more):
     """Each order's tile of 600 holds a region of 400; two thirds of them have signal, in two pieces."""
     seqs = view(spark, sf, "sequences").join(view(spark, sf, "orders"), F.col("region") == F.col("o_orderkey"))
     chrom, place = F.concat(F.lit("chr"), (F.col("region") % 5).cast("string")), F.expr("region div 5")
     own = written(seqs.select("region", chrom.alias("chrom"), place.alias("tile"), "seq", F.col("o_totalprice").alias("y")))
     at = F.col("tile") * 600
-    regions = own.select("region", "chrom", (at + 100).alias("start"), (at + 500).alias("end"))
+    y = F.when(F.col("region") % 3 == 0, 0.0).otherwise(F.col("y"))
+    regions = own.select("region", "chrom", (at + 100).alias("start"), (at + 500).alias("end"), y.alias("measured"), (F.col("region") % 4 == 1).cast("int").alias("given"))
     lit = own.where("region % 3 <> 0")
     pieces = [lit.select("chrom", (at + a).alias("start"), (at + b).alias("end"), (F.col("y") / 200).alias("value"), F.lit("track").alias("track")) for a, b in ((120, 220), (480, 580))]
-    out = training.compile_training_data(regions, own.select("chrom", "tile", "seq"), pieces[0].unionByName(pieces[1]), regions.where("region % 2 = 0").select("chrom", "start", "end"), 600, 600, float(threshold))
+    signal = None if given or class_col else pieces[0].unionByName(pieces[1])
+    pool = regions.where("region % 2 = 0").select("chrom", "start", "end")
+    out = training.compile_training_data(regions, own.select("chrom", "tile", "seq"), signal, pool, 600, 600, threshold, target_col=None if signal is not None else "measured", class_col=class_col, **more)
     return rounded(out.withColumn("seq", F.md5(F.col("seq").cast("binary"))), "target_reg_log")
 
 
@@ -209,6 +220,27 @@ def c1_compile_sampled_down(spark, sf):
     return _compile(spark, sf, 250_000)
 
 
+@query(_compile_sql("(SELECT quantile_cont(y, 0.6) FROM drawn WHERE r <= 1000)"))
+def c1_compile_estimated(spark, sf):
+    """The threshold is the noise threshold of sampled pool regions."""
+    return _compile(spark, sf, None, percentile=60.0, background=1000)
+
+
+_GIVEN = _compile_sql(0).replace("CASE WHEN region % 3 = 0 THEN 0 ELSE o_totalprice END AS y", "CASE WHEN region % 3 = 0 THEN 0 ELSE o_totalprice END AS y, (region % 4 = 1)::INT AS given")
+
+
+@query(_GIVEN.replace("WHERE y > 0)", "WHERE given = 1)").replace("WHERE y <= 0)", "WHERE given = 0)"))
+def c1_compile_given_classes(spark, sf):
+    """Signal and class are columns of the regions."""
+    return _compile(spark, sf, None, class_col="given")
+
+
+@query(_GIVEN)
+def c1_compile_given_signal(spark, sf):
+    """The signal is a column of the regions; the class is whether there is any."""
+    return _compile(spark, sf, None, class_col=None, given=True)
+
+
 @query(f"{SINGLE} SELECT region, tf, start_rel, end_rel, pass_threshold_t0, pass_threshold_t1, round(i0, 6) AS isa_t0 FROM motifs JOIN single USING (region, start_rel, end_rel)")
 def st1_incremental(spark, sf):
     motifs, seqs, model = _inputs(spark, sf)

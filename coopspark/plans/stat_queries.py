@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from coopspark.functions import scalars as S
 from coopspark.operators import annotate, intervals, rankstats, report, training
+from coopspark.operators.quantiles import quantiles
 from coopspark.plans.adapters import view, with_views
 from coopspark.plans.base import query
 from coopspark.plans.scalar_queries import _KNOWN, _MATRIX, cofactor_matrix, known_reference
@@ -78,13 +79,24 @@ def a2_noise_threshold(spark, sf):
     return rounded(training.noise_threshold(view(spark, sf, "regions").select("chrom", "start", "end"), tracks, 10_000, 90.0, 500), "threshold", digits=4)
 
 
-@query(f"""{with_views('regions', 'tracks')}, {SIGNAL_SQL}, named AS (SELECT concat('TF', event_id % 50) AS name, coalesce(signal, 0) AS signal FROM regions LEFT JOIN total USING (chrom, start, "end"))
-  SELECT DISTINCT name FROM named WHERE signal > (SELECT quantile_cont(signal, 0.8) FROM named)""")
-def a26_c6_expressed(spark, sf):
+# Signal of the regions of a CTE {of}, resized to {length} around their centres.
+RESIZED_SQL = """{to}_w AS (SELECT *, (start + "end") // 2 - {half} AS ws, (start + "end") // 2 + {half} AS we FROM {of}),
+  {to}_p AS (SELECT r.chrom, r.ws, r.we, t.track, abs(sum(t.value * (least(r.we, t."end") - greatest(r.ws, t.start)))) AS part
+    FROM (SELECT DISTINCT chrom, ws, we FROM {to}_w) r JOIN tracks t ON r.chrom = t.chrom AND r.ws < t."end" AND t.start < r.we GROUP BY ALL),
+  {to}_s AS (SELECT chrom, ws, we, sum(part) AS signal FROM {to}_p GROUP BY ALL), {to} AS (SELECT w.*, coalesce(signal, 0) AS signal FROM {to}_w w LEFT JOIN {to}_s USING (chrom, ws, we))"""
+_HASH = """md5(concat(chrom, '|', start, '|', "end", '|42')), chrom, start, "end\""""
+
+
+@query(f"""{with_views('regions', 'tracks')}, background AS (SELECT chrom, start, "end" FROM regions WHERE event_id % 2 = 0 ORDER BY {_HASH} LIMIT 400),
+  promoters AS (SELECT chrom, start, "end", concat('TF', event_id % 50) AS name FROM regions), {RESIZED_SQL.format(of='background', to='noise', half=5000)}, {RESIZED_SQL.format(of='promoters', to='measured', half=5000)}
+  SELECT DISTINCT name FROM measured WHERE signal > (SELECT quantile_cont(signal, 0.95) FROM noise)""")
+def c6_a26_expressed(spark, sf):
+    """Names of regions with more signal than the noise threshold of sampled regions."""
+    regions = view(spark, sf, "regions")
     tracks = view(spark, sf, "tracks").select("chrom", "start", "end", "value", "track")
-    named = intervals.signal_by_region(view(spark, sf, "regions"), tracks, B).select(F.concat(F.lit("TF"), (F.col("event_id") % 50).cast("string")).alias("name"), "signal")
-    limit = named.agg(F.percentile("signal", 0.8).alias("limit"))
-    return named.crossJoin(F.broadcast(limit)).where("signal > limit").select("name").distinct().orderBy("name")
+    promoters = regions.select("chrom", "start", "end", F.concat(F.lit("TF"), (F.col("event_id") % 50).cast("string")).alias("name"))
+    background = regions.where("event_id % 2 = 0").select("chrom", "start", "end")
+    return training.get_expressed_tfs(promoters, background, tracks, 10_000, 95.0, 400)
 
 
 # ---- rank statistics -----------------------------------------------------------
@@ -216,6 +228,20 @@ def a22_r10_top_share(spark, sf):
     return rounded(report.top_share(view(spark, sf, "coop")), "specificity_ratio")
 
 
+@query(f"""{with_views('coop')}, m AS (SELECT tf1 AS tf, tf2 AS partner, abs_i_sum AS v FROM coop UNION ALL SELECT tf2, tf1, abs_i_sum FROM coop), r AS (SELECT *, row_number() OVER (PARTITION BY tf ORDER BY v DESC, partner) AS p FROM m),
+  s AS (SELECT tf, sum(v) FILTER (p <= 5) / sum(v) AS ratio FROM r GROUP BY tf HAVING count(*) >= 10),
+  c AS (SELECT p_brand AS tf, CASE WHEN avg(p_size) > 26 THEN 'Synergistic' WHEN avg(p_size) < 25 THEN 'Redundant' ELSE 'Independent' END AS cooperativity FROM part GROUP BY 1),
+  j AS (SELECT tf, cooperativity, ratio FROM s JOIN c USING (tf) WHERE cooperativity <> 'Independent'), b AS (SELECT *, min(ratio) OVER () AS lo, max(ratio) OVER () AS hi FROM j)
+  SELECT cooperativity, least(floor((ratio - lo) / nullif(hi - lo, 0) * 10), 9)::INT AS bin, count(*) AS n FROM b GROUP BY ALL""")
+def r10_specificity_by_class(spark, sf):
+    """How the shares of the strongest partners are spread in each class."""
+    size = F.avg("p_size")
+    kind = F.when(size > 26, "Synergistic").when(size < 25, "Redundant").otherwise("Independent")
+    tfs = view(spark, sf, "part").groupBy(F.col("p_brand").alias("tf")).agg(kind.alias("cooperativity"))
+    own = report.specificity_by_class(view(spark, sf, "coop"), tfs)
+    return report.histogram(own, "specificity_ratio", 10, ["cooperativity"])
+
+
 @query(f"""{with_views('coop')}, {_KNOWN}, f AS (SELECT tf_pair, ks_p, CASE WHEN tf_pair IN (SELECT pair FROM known) THEN 1 ELSE 0 END AS is_ppi FROM coop)
   SELECT tf_pair, row_number() OVER w AS place, round(row_number() OVER w * 100.0::DOUBLE / count(*) OVER (), 6) AS pct_total_pairs, round(sum(is_ppi) OVER w * 100.0::DOUBLE / sum(is_ppi) OVER (), 6) AS pct_ppi_found FROM f
   WINDOW w AS (ORDER BY ks_p, tf_pair ROWS UNBOUNDED PRECEDING)""")
@@ -235,8 +261,9 @@ def a25_w1_r15_specificity(spark, sf):
 @query(f"""WITH {GROUPS} SELECT name, round(quantile_cont(value, 0.5) - (SELECT quantile_cont(value, 0.5) FROM z), 6) AS shift FROM g GROUP BY name""")
 def a27_median_shift(spark, sf):
     g, z = _samples(spark, sf)
-    null = z.agg(F.percentile("value", 0.5).alias("null"))
-    return rounded(g.groupBy("name").agg(F.percentile("value", 0.5).alias("own")).crossJoin(F.broadcast(null)).select("name", (F.col("own") - F.col("null")).alias("shift")), "shift")
+    null = quantiles(z, "value", {"null": 0.5})  # one row
+    own = quantiles(g, "value", {"own": 0.5}, ["name"])
+    return rounded(own.crossJoin(F.broadcast(null)).select("name", (F.col("own") - F.col("null")).alias("shift")), "shift")
 
 
 @query("""WITH p AS (SELECT lang AS split, ln(1 + n_chars) AS p_reg, quality + n_chars / 10000::DOUBLE AS y_reg, n_chars / 1000::DOUBLE - 1 AS z, quality::DOUBLE AS y FROM documents JOIN labels USING (doc_id))
@@ -252,10 +279,8 @@ def a28_m6_metrics(spark, sf):
   l AS (SELECT 'p300' AS cofactor, p300 AS recruiters, coop_score FROM c UNION ALL SELECT 'med', med, coop_score FROM c), k AS (SELECT cofactor FROM l GROUP BY cofactor HAVING count(DISTINCT recruiters) > 1)
   SELECT cofactor, recruiters, count(*) AS n, round(quantile_cont(coop_score, 0.5), 6) AS median FROM l JOIN k USING (cofactor) GROUP BY ALL""")
 def a29_r17_recruitment(spark, sf):
-    counted = annotate.recruiters(view(spark, sf, "coop"), cofactor_matrix(spark, sf), ["p300", "med"])
-    long = counted.unpivot(["coop_score"], ["count_p300", "count_med"], "cofactor", "recruiters").withColumn("cofactor", F.expr("substring(cofactor, 7)"))
-    levels = long.groupBy("cofactor").agg(F.countDistinct("recruiters").alias("k")).where("k > 1")
-    return rounded(report.box_stats(long.join(levels, "cofactor", "left_semi"), "coop_score", ["cofactor", "recruiters"]), "median").select("cofactor", "recruiters", "n", "median")
+    own = report.cofactor_recruitment(view(spark, sf, "coop"), cofactor_matrix(spark, sf), ["p300", "med"])
+    return rounded(own, "median").select("cofactor", "recruiters", "n", "median")
 
 
 @query("""WITH o AS (SELECT p_partkey, p_name, CASE WHEN regexp_extract(p_name, '^([a-zA-Z]+)', 1) <> '' THEN regexp_extract(p_name, '^([a-zA-Z]+)', 1) ELSE p_name END AS prefix FROM part),
