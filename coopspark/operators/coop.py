@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coopspark.functions.scalars import canonical_pair
-from coopspark.operators.quantiles import quantiles
+from coopspark.operators.quantiles import quantiles, sketched
 from coopspark.operators.rankstats import benjamini_hochberg, rank_pass, signed_ks, with_p_values
 from coopspark.plans.stage import small, written
 
@@ -21,10 +21,15 @@ def second_largest(values: Column) -> Column:
     return F.get(F.sort_array(values, asc=False), F.lit(1))
 
 
-def attribution_threshold(gaps: DataFrame, scores: DataFrame, percentile: float) -> DataFrame:
-    """(track, threshold) from all positions of all gaps: gaps (region, gap_start_rel, gap_end_rel), scores (region, track, scores)."""
+def attribution_threshold(gaps: DataFrame, scores: DataFrame, percentile: float, sketch: int | None = None) -> DataFrame:
+    """(track, threshold) from all positions of all gaps: gaps (region, gap_start_rel, gap_end_rel), scores (region, track, scores).
+
+    Exact by counts of all values; with ``sketch``, the parameter of a KLL
+    sketch, only sketches are shuffled and the rank is off by ``rank_error(sketch)`` at most.
+    """
     values = gaps.join(scores, "region").select("track", F.explode(sliced(F.col("scores"), F.col("gap_start_rel"), F.col("gap_end_rel"))).alias("v"))
-    return quantiles(values, "v", {"threshold": percentile / 100.0}, ["track"])
+    at = {"threshold": percentile / 100.0}
+    return quantiles(values, "v", at, ["track"]) if sketch is None else sketched(values, "v", at, ["track"], sketch)
 
 
 def attribution_filter(motifs: DataFrame, scores: DataFrame, thresholds: DataFrame, tracks: list[int]) -> DataFrame:

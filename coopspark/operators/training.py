@@ -119,16 +119,40 @@ def metrics(predictions: DataFrame, group: list[str]) -> DataFrame:
     return out.withColumn("loss", F.col("mse") + F.col("bce")).withColumn("pearson", F.when(F.col("n") > 2, F.col("pearson")))
 
 
-def fit_two_heads(train: DataFrame, k: int = 3, features: int = 64, trees: int = 4, depth: int = 3, seed: int = 42) -> list:
-    """Spark ML on hashed k-mers: a tree ensemble for the signal and one for the class. Returns (pipeline model, column) for each track."""
+def fit_two_heads(train: DataFrame, k: int = 3, features: int = 64, trees: int = 20, depth: int = 3, seed: int = 42, val: DataFrame | None = None, min_delta: float = 0.001) -> list:
+    """Spark ML on hashed k-mers: boosted trees for the signal and for the class. Returns (pipeline model, column) for each track.
+
+    With ``val``, boosting ends with the round after which the validation error
+    falls by less than ``min_delta`` of itself, and keeps the best round's trees.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import HashingTF, SQLTransformer
     from pyspark.ml.regression import GBTRegressor
 
     words = SQLTransformer(statement=f"SELECT *, transform(sequence(1, greatest(length(seq) - {k - 1}, 1)), i -> substring(seq, i, {k})) AS kmers__ FROM __THIS__")
+    checked = val is not None and not val.isEmpty()
+    rows = train.withColumn("val__", F.lit(False))
+    if checked:
+        rows = rows.unionByName(val.withColumn("val__", F.lit(True)))
     out = []
     for label, name in (("target_reg_log", "p_reg__"), ("target_class", "p_class__")):
-        tree = GBTRegressor(featuresCol=f"{name}f", labelCol=label, predictionCol=name, maxIter=trees, maxDepth=depth, seed=seed)
+        tree = GBTRegressor(featuresCol=f"{name}f", labelCol=label, predictionCol=name, maxIter=trees, maxDepth=depth, seed=seed, validationTol=min_delta)
+        if checked:
+            tree = tree.setValidationIndicatorCol("val__")
         stages = [words, HashingTF(inputCol="kmers__", outputCol=f"{name}f", numFeatures=features), tree]
-        out.append((Pipeline(stages=stages).fit(train), name))
+        out.append((Pipeline(stages=stages).fit(rows), name))
     return out
+
+
+def learning_curve(heads: list, stages: dict[str, DataFrame]) -> DataFrame:
+    """(head, stage, round, mse): the error of each head after each round of boosting, on each named table."""
+    rows = []
+    spark = next(iter(stages.values())).sparkSession
+    for model, name in heads:
+        *before, boosted = model.stages
+        for stage, df in stages.items():
+            for step in before:
+                df = step.transform(df)
+            head = "reg" if name == "p_reg__" else "class"
+            rows += [(head, stage, k + 1, float(e)) for k, e in enumerate(boosted.evaluateEachIteration(df, "squared"))]
+    return spark.createDataFrame(rows, "head string, stage string, round int, mse double")

@@ -266,8 +266,8 @@ def m5_two_heads(spark, sf):
     seqs = view(spark, sf, "sequences").join(view(spark, sf, "orders"), F.col("region") == F.col("o_orderkey"))
     model = ablation.default_predictor()
     rows = model.score(seqs.select("region", "seq"), "seq", "y").select("region", "seq", F.get("y", F.lit(0)).alias("target_reg_log"), (F.get("y", F.lit(0)) > 4.4).cast("double").alias("target_class"))
-    train = written(rows.where("region % 5 <> 0"))
-    heads = training.fit_two_heads(train)
+    train, val = written(rows.where("region % 5 > 1")), written(rows.where("region % 5 = 1"))
+    heads = training.fit_two_heads(train, trees=4, val=val)
     scored = ablation.MLPredictor(heads).score(rows.where("region % 5 = 0"), "seq", "p")
     p = scored.select(F.get("p", F.lit(0)).alias("p_reg"), F.col("target_reg_log").alias("y_reg"), (F.get("p", F.lit(1)) - 0.5).alias("z_class"), F.col("target_class").alias("y_class"), F.lit("test").alias("split"))
     return training.metrics(p, ["split"])

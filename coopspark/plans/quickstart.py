@@ -32,13 +32,17 @@ class QuickStart:
     q_threshold: float = 0.1
     p_values: str = "auto"
     model_version: str = ""
+    curve: DataFrame | None = field(default=None, repr=False)  # (head, stage, round, mse) of the last training
 
     def train(self, regions: DataFrame, signal: DataFrame | None, pool: DataFrame, path: str | None = None, threshold: float | None = None, holdout: str = "chr2", target_col: str | None = None, class_col: str | None = None) -> tuple[ablation.Predictor, DataFrame]:
         """Compile and write the training set, fit the two heads, and return them with test metrics. Labels are as in ``compile_training_data``."""
         path = path or scratch_dir(self.spark)
         rows = training.compile_training_data(regions, self.genome, signal, pool, self.seq_len, self.tile_width, threshold, holdout, target_col=target_col, class_col=class_col)
         write_training_set(rows, path)
-        self.predictor = ablation.MLPredictor(training.fit_two_heads(read_training_set(self.spark, path, "train")))
+        train, val = (read_training_set(self.spark, path, name) for name in ("train", "val"))
+        heads = training.fit_two_heads(train, val=val)
+        self.curve = training.learning_curve(heads, {"train": train} if val.isEmpty() else {"train": train, "val": val})
+        self.predictor = ablation.MLPredictor(heads)
         test = self.predictor.score(read_training_set(self.spark, path, "test"), "seq", "p")
         named = test.select(F.get("p", F.lit(0)).alias("p_reg"), F.col("target_reg_log").alias("y_reg"), (F.get("p", F.lit(1)) - 0.5).alias("z_class"), F.col("target_class").alias("y_class"), F.lit("test").alias("split"))
         return self.predictor, training.metrics(named, ["split"])

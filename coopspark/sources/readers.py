@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coopspark import schemas
 from coopspark.functions.scalars import hit_fields
-from coopspark.operators.sequences import tiles
+from coopspark.operators.running import running_sum
+from coopspark.plans.stage import small
 
 
 def read_regions(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
@@ -55,11 +56,35 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """Tiles (chrom, tile, seq) of fixed width. A record is one contig, so a task holds one contig."""
-    record = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
-    head = F.regexp_extract("value", r"^\s*(\S+)", 1)
-    body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s+", "")
-    return tiles(record.select(head.alias("chrom"), body.alias("seq")), width)
+    """Tiles (chrom, tile, seq) of fixed width.
+
+    Files are read by byte ranges, as Spark splits them, so a contig may lie in
+    many tasks. A line's place in its contig is the sum of the lines before it:
+    within a range by a window over the range, across ranges by running sums
+    over one row for each range and contig. A line is the smallest unit: files
+    should be wrapped.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    bases = F.regexp_replace("value", r"\s", "")
+    own = raw.withColumn("head", F.trim("value").startswith(">")).withColumn("seq", F.when(F.col("head"), "").otherwise(bases))
+    inside = Window.partitionBy("file", "block").orderBy("line")
+    own = own.withColumn("part", F.sum(F.col("head").cast("int")).over(inside))
+    along = Window.partitionBy("file", "block", "part").orderBy("line")
+    own = own.withColumn("at", F.sum(F.length("seq").cast("bigint")).over(along) - F.length("seq"))
+    named = F.max(F.when(F.col("head"), F.regexp_extract("value", r"^\s*>\s*(\S*)", 1)))
+    parts = own.groupBy("file", "block", "part").agg(named.alias("name"), F.sum(F.length("seq").cast("bigint")).alias("bases"))
+    parts = parts.withColumn("new", F.col("name").isNotNull().cast("bigint"))
+    runs = running_sum(parts, "new", ["block", "part"], ["file"], name="contig", rows=True)
+    placed = running_sum(runs, "bases", ["block", "part"], ["file", "contig"], name="upto", rows=True)
+    names = runs.where("new = 1").select(F.col("file").alias("file__"), F.col("contig").alias("contig__"), F.col("name").alias("chrom"))
+    known = placed.join(names, (F.col("file") == F.col("file__")) & (F.col("contig") == F.col("contig__"))).select("file", "block", "part", "contig", "chrom", (F.col("upto") - F.col("bases")).alias("before"))
+    lines = own.where("seq <> ''").join(small(known), ["file", "block", "part"]).withColumn("start", F.col("before") + F.col("at"))
+    cut = lines.withColumn("tile", F.explode(F.expr(f"sequence(start div {width}, (start + length(seq) - 1) div {width})")))
+    low = F.greatest(F.col("tile") * width - F.col("start"), F.lit(0))
+    high = F.least((F.col("tile") + 1) * width - F.col("start"), F.length("seq"))
+    piece = F.struct(F.col("start").alias("start"), F.substring(F.col("seq"), (low + 1).cast("int"), (high - low).cast("int")).alias("seq"))
+    whole = cut.groupBy("file", "contig", "chrom", "tile").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))  # a tile's width at most
+    return whole.select("chrom", "tile", F.array_join(F.transform("pieces", lambda p: p["seq"]), "").alias("seq"))
 
 
 def read_signal(spark: SparkSession, path: str, track: str) -> DataFrame:
