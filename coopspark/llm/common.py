@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +19,6 @@ from coopspark.plans.stage import split_count
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def require_fresh(df: DataFrame, *names: str) -> None:
-    """Raise if ``df`` already has a column that an operator is about to add."""
-    taken = {c.lower() for c in df.columns}
-    if clash := [n for n in names if n.lower() in taken]:
-        raise ValueError(f"columns {clash} exist already; rename them first")
-
-
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns. Extra columns, whatever they are called, never reach an operator's internals."""
     return df.select(*[df[n] for n in names])
@@ -46,6 +40,20 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def slices_of_texts(batches: Iterator[pa.RecordBatch], column: int, rows: int, most: int = 1 << 28) -> Iterator[pa.RecordBatch]:
+    """As ``slices``, and with ``most`` bytes in a text column at most (a longer text is a slice of its own)."""
+    for batch in slices(batches, rows):
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        start, held = 0, 0
+        for k, size in enumerate(sizes):
+            if k > start and held + size > most:
+                yield batch.slice(start, k - start)
+                start, held = k, 0
+            held += size
+        if batch.num_rows:
+            yield batch.slice(start)
+
+
 def one_text(rows: DataFrame, *keys: str) -> DataFrame:
     """One row for each value of ``keys``, the first of which spreads the work, with its least text: repeated ids don't exceed a sample's bound."""
     return rows.repartition(split_count(rows), keys[0]).groupBy(*keys).agg(F.min("text").alias("text"))

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coopspark.llm.common import columns_of
+from coopspark.llm.common import columns_of, slices_of_texts
 from coopspark.plans.stage import written
 
 WIDTH = 10
@@ -274,18 +274,12 @@ def search_texts(data: np.ndarray, offsets: np.ndarray, patterns: Patterns) -> t
 def _scan(tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = tables.value
-        for batch in batches:
-            texts = batch.column(2)
-            sizes = np.cumsum(np.concatenate([[0], pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy()]).astype(np.int64))
-            a = 0
-            while a < batch.num_rows:
-                b = max(a + 1, int(np.searchsorted(sizes, sizes[a] + BATCH_BYTES, "right")) - 1)
-                data = np.frombuffer(b"".join(x for x in texts.slice(a, b - a).to_pylist() if x), np.uint8)
-                words, spans, items = search_texts(data, sizes[a : b + 1] - sizes[a], patterns)
-                own = batch.slice(a, b - a)
-                kind = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(words, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=["row", "doc_id", "n_words", "spans", "items"])
-                a = b
+        for own in slices_of_texts(batches, 2, 10_000, BATCH_BYTES):
+            texts = own.column(2)
+            ends = np.cumsum(np.concatenate([[0], pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy()]).astype(np.int64))
+            words, spans, items = search_texts(np.frombuffer(b"".join(x for x in texts.to_pylist() if x), np.uint8), ends, patterns)
+            kind = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(words, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=["row", "doc_id", "n_words", "spans", "items"])
 
     return run
 

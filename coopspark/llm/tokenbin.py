@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coopspark.llm.common import columns_of, slices
+from coopspark.llm.common import columns_of, slices, slices_of_texts
 from coopspark.plans.stage import split_count, written
 
 MAGIC = b"BPS1"
@@ -282,7 +282,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _loaded_words(tokenizer_path, digest, split)
-        for batch in slices(batches, 1024):
+        # An id takes four bytes and stands for one at least: offsets of 2**28 bytes of text fit in 32 bits.
+        for batch in slices_of_texts(batches, 1, 1024):
             ids, counts = words.texts(batch.column(1))
             if end_id is not None:
                 ids = np.insert(ids, np.cumsum(counts), end_id)

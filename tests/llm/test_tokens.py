@@ -149,3 +149,14 @@ def test_pieces_equal_whole_texts(library, text):
     import regex
 
     assert [i for w in regex.findall(P.PATTERN, text) for i in library._encode_single_piece(w)] == library.encode_ordinary(text)
+
+
+def test_slices_by_bytes():
+    import pyarrow as pa
+
+    from coopspark.llm.common import slices_of_texts
+
+    texts = ["aaaa", None, "bb", "c" * 50, "", "dd", "é"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["i", "t"])
+    got = [b.column(1).to_pylist() for b in slices_of_texts(iter([batch, batch.slice(0, 0)]), 1, 5, 6)]
+    assert got == [["aaaa", None, "bb"], ["c" * 50], [""], ["dd", "é"]]
