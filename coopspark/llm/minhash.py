@@ -58,24 +58,23 @@ from coopspark.plans.stage import small, split_count, written
 
 PERMUTATIONS, ROWS = 48, 4
 PER_SALT = 256
-BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
-CACHE_WORDS = 400_000
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+CACHE_WORDS = 200_000
 REP_ROWS = 1_000_000
-_words: dict[bytes, int] = {}
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**64, n, np.uint64) | np.uint64(1)
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """The set of a text's shingles as sorted 64-bit hashes."""
+def shingles(text: str | None, width: int, known: dict[bytes, int] | None = None) -> np.ndarray:
+    """The set of a text's shingles as sorted 64-bit hashes. ``known``: words' hashes, kept as long as a task runs."""
     words = utf8(text).lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > CACHE_WORDS:
-        _words.clear()
-    known = _words
+    known = {} if known is None else known
+    if len(known) > CACHE_WORDS:
+        known.clear()
     codes = []
     for w in words:
         c = known.get(w)
@@ -119,11 +118,11 @@ def enough(both: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.n
 
 def _describe(width: int, permutations: int, rows: int, text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
+        row, known = TaskContext.get().partitionId() << 33, {}
         for batch in slices(batches):
             n, digest, keys = [], [], []
             for text in batch.column(text_at).to_pylist():
-                s = shingles(text, width)
+                s = shingles(text, width, known)
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(band_keys(s, permutations, rows) if len(s) else None)
@@ -174,8 +173,9 @@ def _shingled(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     """Rows (row, text) as (row, n, set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
         for batch in slices(batches, 128):
-            sets = [shingles(text, width).view(np.int64) for text in batch.column(1).to_pylist()]
+            sets = [shingles(text, width, known).view(np.int64) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["row", "n", "set"])
 
     return run

@@ -36,12 +36,14 @@ and not looked at otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coopspark.llm.common import WORD_PATTERN, columns_of
 from coopspark.operators.running import running_sum
-from coopspark.plans.stage import small, written
+from coopspark.plans.stage import BROADCAST_ROWS, small, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SEED = "mix-1"
@@ -88,13 +90,13 @@ def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(other, left["source"].eqNullSafe(other["source__"]), "left").drop("source__")
 
 
-def _levels(sized: DataFrame, per_source: DataFrame) -> DataFrame:
+def _levels(sized: DataFrame, per_source: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(source, since, level): documents of fewer than ``since`` words are certain, others have ``pi = level / size``.
 
     ``since`` is the least size at which the expected words reach ``rest``. A
     row of the windows stands for all of a source's documents of one size.
     """
-    counts = _beside(sized.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), small(per_source)).where("fraction > 0")
+    counts = _beside(sized.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), near(per_source)).where("fraction > 0")
     below = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy("source")
     counts = counts.withColumn("words", F.coalesce(F.sum(F.col("size") * F.col("n")).over(below), F.lit(0))).withColumn("others", F.sum("n").over(every) - F.coalesce(F.sum("n").over(below), F.lit(0)))
@@ -130,11 +132,13 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_copies))).otherwise(0).cast("bigint")
     t = t.withColumn("whole", whole).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
     t = written(t.withColumn("fraction", F.when((F.col("source_size") > 0) & (F.col("whole") < max_copies), F.col("rest") / F.col("source_size")).otherwise(0.0)))
-    state = _beside(t, _levels(sized, t)).withColumn("cut0", F.lit(-2.0)).withColumn("missing0", F.col("rest"))
+    # All tables of decisions have a row for each source: one count says whether they can be broadcast.
+    near = F.broadcast if t.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df
+    state = _beside(t, _levels(sized, t, near)).withColumn("cut0", F.lit(-2.0)).withColumn("missing0", F.col("rest"))
     state = written(state.withColumn("ties", F.array().cast(NO_TIES)).drop("fraction", "rest"))
     own = [c for c in state.columns if c not in ("source", "ties")]
     for k in range(passes):
-        ranked = _ranked(sized, small(state)).where(f"q > cut{k} and size <= missing{k}")
+        ranked = _ranked(sized, near(state)).where(f"q > cut{k} and size <= missing{k}")
         # One row for each q: rows alike share one, and so do all certain documents of a source.
         ranked = ranked.groupBy("source", "q", F.col(f"missing{k}").alias("missing")).agg(F.sum("size").alias("all"), F.max("size").alias("size"))
         summed = running_sum(ranked, "all", ["q"], ["source"], name="words")
@@ -145,10 +149,10 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
         ties = F.when(some > 0, F.array_append("ties", F.struct(F.col("past.q").alias("q"), some.alias("taken")))).otherwise(F.col("ties"))
         cut = F.coalesce("got", f"cut{k}").alias(f"cut{k + 1}")
         missing = F.col(f"missing{k}") - F.coalesce("held", F.lit(0)) - F.when(some > 0, some * F.col("past.size")).otherwise(0)
-        state = written(_beside(state, small(written(got))).select("source", *own, ties.alias("ties"), cut, missing.alias(f"missing{k + 1}")))
+        state = written(_beside(state, got).select("source", *own, ties.alias("ties"), cut, missing.alias(f"missing{k + 1}")))
         own += [f"cut{k + 1}", f"missing{k + 1}"]
     missing = F.col(f"missing{passes}")
-    left = _ranked(sized, small(state)).where(F.col("q").isNotNull() & ~_chosen(passes)).withColumn("off", F.abs(F.col("size") - missing)).where(F.col("off") < missing)
+    left = _ranked(sized, near(state)).where(F.col("q").isNotNull() & ~_chosen(passes)).withColumn("off", F.abs(F.col("size") - missing)).where(F.col("off") < missing)
     left = left.groupBy("source", "q", "off").agg(F.count(F.lit(1)).alias("n"))
     last = left.groupBy("source").agg(F.min(F.struct("off", "q", "n")).alias("last"))
     alone = F.col("last.n") == 1

@@ -1,7 +1,9 @@
 """Learned scores by held-out accuracy; the pipeline against a brute-force version of its stages."""
 
 import bisect
+import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -56,6 +58,28 @@ def test_scores_odd_rows(spark, op, label, keep):
     assert len(op.score_documents(docs, nothing).collect()) == len(rows)
 
 
+def shape(text):
+    """The quality features from their description, byte by byte and word by word."""
+    raw = (text or "").encode()
+    words = raw.split()
+    if not words:
+        return [0.0] * 27
+    n, blank = len(words), b" \t\n\x0b\x0c\r"
+    solid = max(1, sum(b not in blank for b in raw))
+    kinds = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".", b",;:", b"!?", b"|", b"#$%&*@^~=+", b"<>{}[]()", b"/\\_-", b"'\"`"]
+    number = [sum(b in k for b in raw) for k in kinds]
+    out = [math.sqrt(c / solid) for c in [*number, sum(b > 127 for b in raw)]]
+    sizes = [len(w) for w in words]
+    mean = sum(sizes) / n
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    stops, loud, bars, signs = number[3], number[5], number[6], number[7]
+    entropy = -sum(c / len(raw) * math.log2(c / len(raw)) for c in collections.Counter(raw).values())
+    next_ = list(itertools.pairwise(words))
+    out += [math.log1p(n) / 10, math.log1p(mean), math.log1p(max(sizes)) / 5, sum(x <= 3 for x in sizes) / n, len(set(words)) / n, math.log(n / len(set(words))), len(set(next_)) / max(1, n - 1), math.sqrt(sum(a == b for a, b in next_) / n)]
+    out += [len(set(lines)) / max(1, len(lines)), math.log1p(n / max(1, len(lines))) / 5, math.log1p(n / (1 + stops)) / 5, entropy / 8, min(1, bars / n), min(2, (loud + signs) / n), math.sqrt(sum((x - mean) ** 2 for x in sizes) / n) / 10]
+    return out
+
+
 def test_queries_score_every_document_from_its_weights(spark, sf_dir):
     """The registered queries against scores worked out one by one, in plain Python, from the fitted weights."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -75,7 +99,7 @@ def test_queries_score_every_document_from_its_weights(spark, sf_dir):
     ranks = quality.fit(docs, labels)
 
     def good(text):
-        f = quality.features(text)
+        f = np.array(shape(text))
         x = [min(8, max(-8, (v - m) / s)) for v, m, s in zip([*f, *(f * f)], ranks.mean, ranks.scale, strict=True)]
         strength = sum(a * b for a, b in zip(x, ranks.weights, strict=True))
         at = bisect.bisect_right(ranks.strengths, strength)
@@ -160,6 +184,11 @@ def test_pipeline(spark, sf_dir):
         if name != "byte_bpe":
             assert docs.columns == columns
     assert len(rows["quality"]) < len(rows["toxicity"]) and len(rows["near_duplicates"]) < len(rows["quality"])
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    for before, after, operator, kept in (("toxicity", "quality", toxicity, 0), ("quality", "near_duplicates", quality, 1)):
+        came = spark.createDataFrame(rows[before], spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+        decided = operator.score_documents(came, operator.fit(came, labels)).where(f"predicted = {kept}").collect()
+        assert sorted(r.doc_id for r in decided) == sorted(r.doc_id for r in rows[after])
     want = {d for d, n, c, k in brute([(r.doc_id, r.text) for r in rows["near_duplicates"]], 5, 80) if k}
     assert {r.doc_id for r in rows["mixing"]} == want
     copies = {r.doc_id: r.copies for r in mixing.sample(spark.createDataFrame(rows["mixing"])).collect()}
