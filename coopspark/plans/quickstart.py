@@ -13,7 +13,7 @@ from coopspark.operators.sequences import sequences_of
 from coopspark.plans.ledger import Ledger
 from coopspark.plans.stage import scratch_dir
 from coopspark.schemas import CATEGORIES
-from coopspark.sources.sinks import read_training_set, write_training_set
+from coopspark.sources.sinks import TRAINING, read_training_set, write_training_set
 
 
 @dataclass
@@ -39,11 +39,13 @@ class QuickStart:
         path = path or scratch_dir(self.spark)
         rows = training.compile_training_data(regions, self.genome, signal, pool, self.seq_len, self.tile_width, threshold, holdout, target_col=target_col, class_col=class_col)
         write_training_set(rows, path)
-        train, val = (read_training_set(self.spark, path, name) for name in ("train", "val"))
+        train, val = (read_training_set(self.spark, path, name, TRAINING) for name in ("train", "val"))
+        if train.isEmpty():
+            raise ValueError("there is nothing to train on: no region is above the threshold, or none outside the held-out chromosome")
         heads = training.fit_two_heads(train, val=val)
         self.curve = training.learning_curve(heads, {"train": train} if val.isEmpty() else {"train": train, "val": val})
         self.predictor = ablation.MLPredictor(heads)
-        test = self.predictor.score(read_training_set(self.spark, path, "test"), "seq", "p")
+        test = self.predictor.score(read_training_set(self.spark, path, "test", TRAINING), "seq", "p")
         named = test.select(F.get("p", F.lit(0)).alias("p_reg"), F.col("target_reg_log").alias("y_reg"), (F.get("p", F.lit(1)) - 0.5).alias("z_class"), F.col("target_class").alias("y_class"), F.lit("test").alias("split"))
         return self.predictor, training.metrics(named, ["split"])
 

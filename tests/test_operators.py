@@ -255,8 +255,10 @@ def test_quickstart(spark):
     regions = spark.createDataFrame([(f"chr{1 + i % 2}", 500 + 700 * i, 900 + 700 * i) for i in range(40)], "chrom string, start bigint, end bigint")
     signal = spark.createDataFrame([(f"chr{1 + i % 2}", 650 + 700 * i, 700 + 700 * i, 2.0, "t") for i in range(0, 40, 3)], "chrom string, start bigint, end bigint, value double, track string")
     q = QuickStart(spark, genome, 1000, seq_len=200, dist_min=20, dist_max=100, min_count=5)
-    _, metrics = q.train(regions, signal, regions)
-    assert metrics.count() == 1
+    with pytest.raises(ValueError, match="nothing to train"):  # all signal is alike, so none is above its 99th percentile
+        q.train(regions, signal, regions)
+    _, metrics = q.train(regions, signal, regions, threshold=0.0)
+    assert metrics.count() == 1 and q.curve.count() > 0
     q.predictor = ablation.default_predictor()
     hits = spark.createDataFrame([(f"chr{1 + i % 2}", 500 + 700 * i + o, 510 + 700 * i + o, rng.choice(["a", "b", "A::b"]), 900, "+") for i in range(40) for o in range(0, 380, 25)], "chrom string, start bigint, end bigint, tf string, score bigint, strand string")
     names = spark.createDataFrame([("A",), ("b",)], "name string")
