@@ -9,15 +9,19 @@ whole corpus:
 2. The distinct pre-tokens are exploded into word buckets (a hash of the word)
    and shuffled by bucket. A bucket's task meets every block's share of its
    words and encodes each distinct word once.
-3. The ids go back to their blocks (grouped by block, with the positions, which
-   took the same way) and are put in the order of the positions.
+3. For decoding, the distinct ids of each block's words of a bucket are rows that
+   are joined with the token-byte table (``token_table``, broadcast: its size is
+   the vocabulary's), and go on as one list beside the words' ids.
+4. The ids and their bytes go back to their blocks (grouped by block, with the
+   positions, which took the same way) and are put in the order of the positions.
 
 Texts are cut once; a block's name is its task's number and its own within it.
 
 A shuffled row holds one block's words of one bucket, compressed. A very
 frequent word is one entry a block, so no bucket is hot, and a bucket's task
-keeps only its distinct words. Blocks are bounded by ``block_chars``. The table
-of token bytes, whose size is the vocabulary's, is joined inside the tasks.
+keeps only its distinct words. Blocks are bounded by ``block_chars``. The join
+with the token bytes is on the words' side of the second shuffle, so its rows
+aren't shuffled, and none is an occurrence.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes;
 repeated rows give repeated results; an empty table gives an empty table;
@@ -43,6 +47,8 @@ from coopspark.plans.stage import split_count
 BLOCK_CHARS = 16_000_000
 BUCKETS_PER_PARTITION = 4
 _ROWS = "bucket int, block bigint, data binary, doc_ids array<bigint>, counts array<int>, seq binary"
+_WITH_TOKENS = f"{_ROWS}, token int"
+_SPELLED = f"{_ROWS}, spelled binary"
 _loaded: dict[tuple[str, str], object] = {}
 
 
@@ -176,16 +182,20 @@ def _exploded(pattern: str, block_chars: int, n: int) -> Callable[[Iterator[pa.R
 
 
 def _encode_words(encoder: Callable[[], Callable[[bytes], list[int]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come sorted by bucket; a bucket's distinct words are encoded once and kept until the next one. Rows of positions pass."""
+    """Rows come sorted by bucket; a bucket's distinct words are encoded once and kept until the next one. Rows of positions pass.
+
+    Behind a row of words' ids comes a row for each distinct id (``token``), to be joined with its bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
         at, known = None, {}
         for batch in slices(batches, 64):
-            out = []
+            out, tokens = [], []
             for bucket, pack, body in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(5), strict=True):
                 if body.is_valid:
                     out.append(pack.as_py())
+                    tokens.append(np.zeros(0, "<u4"))
                     continue
                 if bucket != at:
                     at, known = bucket, {}
@@ -195,43 +205,80 @@ def _encode_words(encoder: Callable[[], Callable[[bytes], list[int]]]) -> Callab
                     if ids is None:
                         ids = known[w] = np.array(encode(w), "<u4").tobytes()
                     parts.append(ids)
-                out.append(_packed(np.concatenate([np.array([len(parts)], "<u4"), np.fromiter(map(len, parts), "<u4", len(parts)) // 4, np.frombuffer(b"".join(parts), "<u4")])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary()), *batch.columns[3:]], names=batch.schema.names)
+                ids = np.frombuffer(b"".join(parts), "<u4")
+                out.append(_packed(np.concatenate([np.array([len(parts)], "<u4"), np.fromiter(map(len, parts), "<u4", len(parts)) // 4, ids])))
+                tokens.append(np.unique(ids))
+            first = np.cumsum([0, *[1 + len(t) for t in tokens]])[:-1]
+            n = len(out) + sum(map(len, tokens))
+            row, token = np.full(n, -1), np.concatenate([np.append(np.uint32(0), t) for t in tokens]).astype(np.int32)
+            row[first] = np.arange(len(out))
+            heads = pa.array(row, mask=row < 0)
+            near = pa.array(np.repeat(np.arange(len(out)), [1 + len(t) for t in tokens]))
+            columns = [*[c.take(near) for c in batch.columns[:2]], pa.array(out, pa.binary()).take(heads), *[c.take(heads) for c in batch.columns[3:]]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(token, mask=row >= 0)], names=[*batch.schema.names, "token"])
 
     return run
 
 
-def _assemble(token_bytes: Callable[[], list[bytes]]) -> Callable[[pa.Table], pa.Table]:
-    """Word ids of one block back in the order of its documents, and the bytes that they stand for."""
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the joined token rows as one list on the row before them. Batches may end anywhere in between."""
+    head, parts = None, []
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("bucket")
-        body = rows.slice(rows.num_rows - 1)
-        docs, counts = body.column("doc_ids")[0].as_py(), np.array(body.column("counts")[0].as_py(), np.int64)
-        seq, buckets = _unpacked(body.column("seq")[0].as_py()), _unpacked(body.column("data")[0].as_py())
-        packs = [_unpacked(p.as_py()) for p in rows.slice(0, rows.num_rows - 1).column("data")]
-        lengths = np.concatenate([np.zeros(0, np.int64), *[p[1 : 1 + p[0]] for p in packs]]).astype(np.int64)
-        flat = np.concatenate([np.zeros(0, "<u4"), *[p[1 + p[0] :] for p in packs]]).astype(np.int32)
-        if len(lengths) != len(buckets):
-            raise RuntimeError("a block's words are missing")
-        # Packs follow each other by bucket, and in the block's order of words within one.
-        order = np.argsort(buckets, kind="stable")
-        starts, sizes = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-        starts[order], sizes[order] = np.cumsum(lengths) - lengths, lengths
-        names = token_bytes()
-        spelled = list(map(names.__getitem__, flat.tolist()))
-        word_bytes = [b"".join(spelled[i : i + n]) for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-        ids, decoded, at = [], [], 0
-        for n in counts.tolist():
-            used = seq[at : at + n]
-            ids.append(_ragged(flat, starts[used], sizes[used]))
-            decoded.append(b"".join(map(word_bytes.__getitem__, used.tolist())))
-            at += n
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), "decoded": pa.array(decoded, pa.binary())})
+    def with_bytes() -> pa.RecordBatch:
+        words = [w for part in parts for w in part.to_pylist()]
+        if None in words:
+            raise RuntimeError("a token without bytes")
+        return pa.RecordBatch.from_arrays([*head.columns[:6], pa.array([_packed_words(words)], pa.binary())], names=[*head.schema.names[:6], "spelled"])
+
+    for batch in batches:
+        heads = np.flatnonzero(batch.column(6).is_null().to_numpy(zero_copy_only=False))
+        cuts = [*heads.tolist(), batch.num_rows]
+        if cuts[0]:
+            parts.append(batch.column(7).slice(0, cuts[0]))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if head is not None:
+                yield with_bytes()
+            head, parts = batch.slice(a, 1), [batch.column(7).slice(a + 1, b - a - 1)]
+    if head is not None:
+        yield with_bytes()
 
-    return run
+
+def _token_bytes(ids: np.ndarray, spelled: bytes) -> list[bytes]:
+    """The bytes of each id, from those of the distinct ids in their order."""
+    names = _unpacked_words(spelled)
+    distinct, place = np.unique(ids, return_inverse=True)
+    if len(names) != len(distinct):
+        raise RuntimeError("a token row is missing")
+    return list(map(names.__getitem__, place.tolist()))
+
+
+def _assemble(rows: pa.Table) -> pa.Table:
+    """Word ids of one block back in the order of its documents, and the bytes that they stand for."""
+    rows = rows.sort_by("bucket")
+    body = rows.slice(rows.num_rows - 1)
+    docs, counts = body.column("doc_ids")[0].as_py(), np.array(body.column("counts")[0].as_py(), np.int64)
+    seq, buckets = _unpacked(body.column("seq")[0].as_py()), _unpacked(body.column("data")[0].as_py())
+    packs = [_unpacked(p.as_py()) for p in rows.slice(0, rows.num_rows - 1).column("data")]
+    lengths = np.concatenate([np.zeros(0, np.int64), *[p[1 : 1 + p[0]] for p in packs]]).astype(np.int64)
+    flat = np.concatenate([np.zeros(0, "<u4"), *[p[1 + p[0] :] for p in packs]]).astype(np.int32)
+    if len(lengths) != len(buckets):
+        raise RuntimeError("a block's words are missing")
+    # Packs follow each other by bucket, and in the block's order of words within one.
+    order = np.argsort(buckets, kind="stable")
+    starts, sizes = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    starts[order], sizes[order] = np.cumsum(lengths) - lengths, lengths
+    joined = rows.column("spelled").slice(0, len(packs)).to_pylist()
+    spelled = [b for p, own in zip(packs, joined, strict=True) for b in _token_bytes(p[1 + p[0] :], own)]
+    word_bytes = [b"".join(spelled[i : i + n]) for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    ids, decoded, at = [], [], 0
+    for n in counts.tolist():
+        used = seq[at : at + n]
+        ids.append(_ragged(flat, starts[used], sizes[used]))
+        decoded.append(b"".join(map(word_bytes.__getitem__, used.tolist())))
+        at += n
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), "decoded": pa.array(decoded, pa.binary())})
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -242,20 +289,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     def encoder() -> Callable[[bytes], list[int]]:
         return _tiktoken(shared.value, pattern, key)._encode_single_piece
 
-    def token_bytes() -> list[bytes]:
-        if (key, "bytes") not in _loaded:
-            table = [b""] * (max(shared.value.values(), default=-1) + 1)
-            for token, i in shared.value.items():
-                table[i] = token
-            _loaded[key, "bytes"] = table
-        return _loaded[key, "bytes"]  # type: ignore[return-value]
-
     source = columns_of(docs, id_col, text_col).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     parts = split_count(docs)
     n = BUCKETS_PER_PARTITION * parts
     cut = source.mapInArrow(_exploded(pattern, block_chars, n), _ROWS)
-    encoded = cut.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(encoder), _ROWS)
-    return encoded.groupBy("block").applyInArrow(_assemble(token_bytes), "doc_id bigint, ids array<int>, decoded binary")
+    encoded = cut.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(encoder), _WITH_TOKENS)
+    table = F.broadcast(token_table(docs.sparkSession, ranks))  # as large as the vocabulary
+    joined = encoded.join(table, F.col("token") == F.col("id"), "left").drop("id")
+    return joined.mapInArrow(_spelled, _SPELLED).groupBy("block").applyInArrow(_assemble, "doc_id bigint, ids array<int>, decoded binary")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:

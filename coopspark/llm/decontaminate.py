@@ -308,7 +308,8 @@ def find_passages(docs: DataFrame, items: DataFrame, width: int = WIDTH, group_b
     if width < 1:
         raise ValueError("width must be positive")
     own = columns_of(items, item_col, item_text_col).select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text"))
-    cut = written(own.mapInArrow(_items(width), _ITEMS))
+    # Rows alike are one; an item's pieces and equal pieces of many items are spread over the groups.
+    cut = written(own.mapInArrow(_items(width), _ITEMS).distinct())
     total = cut.agg(F.sum(F.length("piece"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
     texts = columns_of(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -317,7 +318,7 @@ def find_passages(docs: DataFrame, items: DataFrame, width: int = WIDTH, group_b
 
     def scan(source: DataFrame, group: int) -> DataFrame:
         # The group's pieces: about ``group_bytes`` of the benchmark.
-        rows = [(r.item, bytes(r.piece)) for r in cut.where(F.pmod(F.xxhash64("piece"), F.lit(groups)) == group).collect()]
+        rows = [(r.item, bytes(r.piece)) for r in cut.where(F.pmod(F.xxhash64("item", "piece"), F.lit(groups)) == group).collect()]
         return source.mapInArrow(_scan(spark.sparkContext.broadcast(compile_patterns(rows, width))), schema)
 
     if groups == 1:

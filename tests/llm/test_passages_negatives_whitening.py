@@ -58,6 +58,15 @@ def test_passages_empty(spark):
     assert decontaminate.find_passages(d.limit(0), b).count() == 0
 
 
+def test_one_text_of_many_items(spark):
+    """A text that many items share is spread over the groups, and each item is found."""
+    text = "one two three four five six"
+    items = spark.createDataFrame([(k % 60, text) for k in range(180)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"zero {text} seven"), (2, "one two three four five")], "doc_id bigint, text string")
+    got = {r.doc_id: (r["items"], [tuple(s) for s in r.spans]) for r in decontaminate.find_passages(docs, items, 10, 600).collect()}
+    assert got == {1: (sorted(map(str, range(60))), [(1, 6)]), 2: ([], [])}
+
+
 def test_shift_tables_skip():
     """Where no block is known, the search moves by the largest shift."""
     made = decontaminate.compile_patterns([("1", b" one two three four five six seven eight nine ten ")], 10)
