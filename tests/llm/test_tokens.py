@@ -56,27 +56,6 @@ def test_bpe_empty_and_join_decode(spark, ranks):
     assert {r.doc_id: bytes(r.decoded).decode() for r in joined.collect()} == {1: "Grüße, world", 2: "", 3: "x  y"}
 
 
-def test_bpe_decoding_joins_the_token_table(spark, ranks):
-    """The query's own plan joins with the table, and a table that lacks a token can't go unnoticed."""
-    docs = spark.createDataFrame([(1, "Grüße, world")], "doc_id bigint, text string")
-    plan = bpe.encode(docs, ranks, P.PATTERN)._jdf.queryExecution().toString()
-    assert "BroadcastHashJoin [token" in plan and "LeftOuter" in plan
-    with pytest.raises(RuntimeError, match="missing"):
-        bpe._token_bytes(np.array([7, 5, 7], "<u4"), bpe._packed_words([b"a"]))
-
-
-@given(st.lists(st.lists(st.binary(max_size=4), max_size=5), min_size=1, max_size=6), st.integers(1, 9))
-@settings(max_examples=40, deadline=None)
-def test_token_rows_across_batches(lists, step):
-    """Each row's token bytes come to it, wherever batches end."""
-    rows = [(k, w) for k, words in enumerate(lists) for w in [None, *words]]
-    names = ["bucket", "block", "data", "doc_ids", "counts", "seq", "token", "bytes"]
-    none = lambda kind: pa.nulls(len(rows), kind)
-    all_ = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), none(pa.int64()), none(pa.binary()), none(pa.list_(pa.int64())), none(pa.list_(pa.int32())), none(pa.binary()), pa.array([None if w is None else 1 for _, w in rows], pa.int32()), pa.array([w for _, w in rows], pa.binary())], names=names)
-    out = list(bpe._spelled(all_.slice(a, step) for a in range(0, len(rows), step)))
-    assert [(b.column(0)[0].as_py(), bpe._unpacked_words(b.column(6)[0].as_py())) for b in out] == list(enumerate(lists))
-
-
 def test_two_vocabularies_of_one_size(spark):
     """Python workers are reused: a second vocabulary of the same size and the same first tokens must not get the first one's ids."""
     single = {bytes([b]): b for b in range(256)}
