@@ -84,3 +84,25 @@ def test_translated_and_masked_by_batch(spark):
     df = spark.createDataFrame([(t, a, b) for t in texts for a, b in [(0, 0), (2, 9), (3, 1), (-2, 1), (None, 1), (1, None)]], "s string, a bigint, b bigint").coalesce(1)
     got = df.select(sequence.translated(F.col("s"), "08bc", "ACGT").alias("t"), F.translate("s", "08bc", "ACGT").alias("u"), sequence.masked_by_batch(F.col("s"), (F.col("a"), F.col("b"))).alias("m"), sequence.masked(F.col("s"), F.col("a"), F.col("b")).alias("n")).collect()
     assert all(r.t == r.u and r.m == r.n for r in got)
+
+
+def test_regions_in_one_tile_are_not_gathered(spark):
+    """A region inside one tile meets it in one join; others, and such without a tile, come out as before; a genome may be made of keys."""
+    tiles = spark.createDataFrame([("c", 0, "acgtt"), ("c", 1, "GGA")], "chrom string, tile bigint, seq string")
+    rows = [("c", 0, 5, "ACGTT"), ("c", 5, 8, "GGA"), ("c", 5, 9, None), ("c", 3, 3, None), ("d", 0, 4, None), ("c", -1, 3, None), ("c", 1, 3, "CG"), ("c", 1, 3, "CG")]
+    regions = spark.createDataFrame(rows, "chrom string, start bigint, end bigint, want string")
+    made = lambda df: df.join(tiles.select("chrom", "tile").withColumn("known", F.lit(True)), ["chrom", "tile"], "left").withColumn("seq", F.expr("CASE WHEN known THEN elt(tile + 1, 'ACGTT', 'GGA') END"))
+    for genome in (tiles, made):
+        got = sequences.sequences_of(regions, genome, 5)
+        assert got.count() == len(rows) and got.where("NOT seq <=> want").count() == 0
+        long = sequences.sequences_of(regions.unionByName(spark.createDataFrame([("c", 3, 7, "TTGG")], regions.schema)), genome, 5)
+        assert long.count() == len(rows) + 1 and long.where("NOT seq <=> want").count() == 0
+        assert sequences.sequences_of(regions.limit(0), genome, 5).count() == 0
+    one = training.training_rows(regions.where("want is not null").selectExpr("'train' AS split", "chrom", "start", "end", "1.0D AS target_reg", "1.0D AS target_class"), tiles, 5)
+    assert "collect_list" not in plan(one) and one.count() == 8
+
+
+def test_labels_are_measured_once(spark, sf_dir):
+    """Counts, samples and rows read a written table of labels, not the joins that measure it."""
+    text = plan(registry.queries()["c1_compile_topped_up"](spark, sf_dir))
+    assert "value_r" not in text and "collect_list" not in text
