@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coopspark import schemas
 from coopspark.functions.scalars import hit_fields
-from coopspark.operators.running import running_sum
-from coopspark.plans.stage import small
+from coopspark.functions.sequence import letter_codes
+from coopspark.plans.stage import written
 
 
 def read_regions(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
@@ -55,36 +60,126 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("name is not null and name <> ''")
 
 
+_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+_NAME = re.compile(r" *>[ \t\n\x0b\f\r]*([^ \t\n\x0b\f\r]*)")
+_SPACES = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
+
+
+def _contigs(lines: pa.Array) -> list[tuple[str | None, str]]:
+    """(name, letters) of consecutive FASTA lines: first what comes before a header, with no name."""
+    data, at = letter_codes(lines)
+    first = np.zeros(len(lines), np.uint8)
+    filled = at[1:] > at[:-1]
+    first[filled] = data[at[:-1][filled]]
+    names = {int(i): m.group(1) for i in np.flatnonzero((first == ord(">")) | (first == ord(" "))) if (m := _NAME.match(lines[int(i)].as_py()))}
+    head = np.zeros(len(lines) + 1, bool)
+    head[list(names)] = True
+    spaced = np.flatnonzero(_SPACES[data])
+    if (data > 127).any() or not head[np.searchsorted(at, spaced, "right") - 1].all():
+        texts = ["" if head[i] else _SPACE.sub("", s) for i, s in enumerate(lines.to_pylist())]
+        text, at = "".join(texts), np.cumsum([0, *map(len, texts)])
+        begins = {i: int(at[i]) for i in names}
+    else:
+        text = data.tobytes().decode("ascii")
+        begins = {i: int(at[i + 1]) for i in names}
+    ends = [*[int(at[i]) for i in names], int(at[-1])]
+    return [(None, text[: ends[0]]), *[(names[i], text[begins[i] : end]) for i, end in zip(names, ends[1:], strict=True)]]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple[str | None, str]]]]:
+    """The other columns' values and the contigs of lines that lie in one byte range; a range may come in several runs."""
+    for batch in batches:
+        value, *others = batch.columns
+        changed = np.zeros(max(len(value) - 1, 0), bool)
+        for x in others:
+            changed |= np.diff(x.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)) != 0
+        cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), len(value)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            if high > low:
+                yield tuple(x[low].as_py() for x in others), _contigs(value.slice(low, high - low))
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each byte range: its headers, the letters before the first and after the last one, and that one's name."""
+    rows: dict[tuple, list] = {}
+    for key, contigs in _runs(batches):
+        row = rows.setdefault(key, [0, 0, 0, None])
+        for name, text in contigs:
+            if name is not None:
+                row[0], row[2], row[3] = row[0] + 1, 0, name
+            row[2 if row[0] else 1] += len(text)
+    columns = list(zip(*[(*key, *row) for key, row in rows.items()], strict=True)) or [()] * 6
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["file", "block", "heads", "lead", "tail", "name"])
+
+
+def _tiles(width: int, whole: bool):
+    """Tiles (id, nth, chrom, tile, start, seq) of lines with their range's ``id`` and the letters ``before`` it in its first contig: those that lie in the range, or else the pieces at its borders."""
+    names = ["id", "nth", "chrom", "tile", "start", "seq"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, current, nth, chrom, at, rest = [], None, 0, None, None, ""
+
+        def put(text: str, done: bool) -> None:
+            if text and (done and at % width == 0) == whole:
+                rows.append((current, nth, chrom, at // width, at, text))
+
+        def taken() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+        for (id_, before), contigs in _runs(batches):
+            if id_ != current:
+                put(rest, False)
+                current, nth, chrom, at, rest = id_, 0, None, before, ""
+            for name, text in contigs:
+                if name is not None:
+                    put(rest, True)  # a contig's end
+                    nth, chrom, at, rest = nth + 1, name, 0, ""
+                if at is None:  # letters before any header
+                    continue
+                text, low = rest + text, 0
+                while (high := low + width - at % width) <= len(text):
+                    put(text[low:high], True)
+                    at, low = at + high - low, high
+                rest = text[low:]
+            if len(rows) >= 10_000:
+                yield taken()
+        put(rest, False)
+        yield taken()
+
+    return cut
+
+
 def read_fasta(spark: SparkSession, path: str, width: int) -> DataFrame:
     """Tiles (chrom, tile, seq) of fixed width.
 
     Files are read by byte ranges, as Spark splits them, so a contig may lie in
-    many tasks. A line's place in its contig is the sum of the lines before it:
-    within a range by a window over the range, across ranges by running sums
-    over one row for each range and contig. A line is the smallest unit: files
-    should be wrapped.
+    many tasks. A first pass counts letters and headers of each range; running
+    sums over these rows say where the contig that a range begins with stands.
+    Tiles that lie in a range are cut there; only the pieces at its borders,
+    two a range, are shuffled. A line is the smallest unit: files should be
+    wrapped.
     """
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    bases = F.regexp_replace("value", r"\s", "")
-    own = raw.withColumn("head", F.trim("value").startswith(">")).withColumn("seq", F.when(F.col("head"), "").otherwise(bases))
-    inside = Window.partitionBy("file", "block").orderBy("line")
-    own = own.withColumn("part", F.sum(F.col("head").cast("int")).over(inside))
-    along = Window.partitionBy("file", "block", "part").orderBy("line")
-    own = own.withColumn("at", F.sum(F.length("seq").cast("bigint")).over(along) - F.length("seq"))
-    named = F.max(F.when(F.col("head"), F.regexp_extract("value", r"^\s*>\s*(\S*)", 1)))
-    parts = own.groupBy("file", "block", "part").agg(named.alias("name"), F.sum(F.length("seq").cast("bigint")).alias("bases"))
-    parts = parts.withColumn("new", F.col("name").isNotNull().cast("bigint"))
-    runs = running_sum(parts, "new", ["block", "part"], ["file"], name="contig", rows=True)
-    placed = running_sum(runs, "bases", ["block", "part"], ["file", "contig"], name="upto", rows=True)
-    names = runs.where("new = 1").select(F.col("file").alias("file__"), F.col("contig").alias("contig__"), F.col("name").alias("chrom"))
-    known = placed.join(names, (F.col("file") == F.col("file__")) & (F.col("contig") == F.col("contig__"))).select("file", "block", "part", "contig", "chrom", (F.col("upto") - F.col("bases")).alias("before"))
-    lines = own.where("seq <> ''").join(small(known), ["file", "block", "part"]).withColumn("start", F.col("before") + F.col("at"))
-    cut = lines.withColumn("tile", F.explode(F.expr(f"sequence(start div {width}, (start + length(seq) - 1) div {width})")))
-    low = F.greatest(F.col("tile") * width - F.col("start"), F.lit(0))
-    high = F.least((F.col("tile") + 1) * width - F.col("start"), F.length("seq"))
-    piece = F.struct(F.col("start").alias("start"), F.substring(F.col("seq"), (low + 1).cast("int"), (high - low).cast("int")).alias("seq"))
-    whole = cut.groupBy("file", "contig", "chrom", "tile").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))  # a tile's width at most
-    return whole.select("chrom", "tile", F.array_join(F.transform("pieces", lambda p: p["seq"]), "").alias("seq"))
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    edges = raw.mapInArrow(_edges, "file string, block bigint, heads bigint, lead bigint, tail bigint, name string")
+    along = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    edges = edges.withColumn("sum", F.coalesce(F.sum("lead").over(along), F.lit(0)))
+    begun = F.when(F.col("heads") > 0, F.struct(F.col("block").alias("of"), "heads", "name", (F.col("tail") - F.col("sum") - F.col("lead")).alias("less")))
+    known = edges.withColumn("begun", F.last(begun, ignorenulls=True).over(along))
+    known = written(known.select("file", "block", F.monotonically_increasing_id().alias("id"), "begun.of", F.col("begun.heads").alias("ofth"), "begun.name", (F.col("sum") + F.col("begun.less")).alias("before")))
+    met = raw.join(F.broadcast(known.select("file", "block", "id", "before")), ["file", "block"], "left")
+    lines = met.select("value", F.coalesce("id", F.raise_error(F.lit("the files were split in another way than before")).cast("bigint")).alias("id"), "before")
+    schema = "id bigint, nth bigint, chrom string, tile bigint, start bigint, seq string"
+    whole = lines.mapInArrow(_tiles(width, True), schema).join(F.broadcast(known.select("id", "name")), "id")
+    whole = whole.select(F.when(F.col("nth") == 0, F.col("name")).otherwise(F.col("chrom")).alias("chrom"), "tile", "seq")
+    parts = lines.mapInArrow(_tiles(width, False), schema).join(F.broadcast(known.drop("before")), "id")
+    began = F.col("nth") == 0  # in an earlier range
+    parts = parts.select("file", F.when(began, F.col("of")).otherwise(F.col("block")).alias("of"), F.when(began, F.col("ofth")).otherwise(F.col("nth")).alias("nth"), F.when(began, F.col("name")).otherwise(F.col("chrom")).alias("chrom"), "tile", F.struct("start", "seq").alias("piece"))
+    met = parts.groupBy("file", "of", "nth", "chrom", "tile").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))  # a tile's width at most
+    return whole.unionByName(met.select("chrom", "tile", F.array_join(F.transform("pieces", lambda p: p["seq"]), "").alias("seq")))
 
 
 def read_signal(spark: SparkSession, path: str, track: str) -> DataFrame:

@@ -106,3 +106,10 @@ def test_labels_are_measured_once(spark, sf_dir):
     """Counts, samples and rows read a written table of labels, not the joins that measure it."""
     text = plan(registry.queries()["c1_compile_topped_up"](spark, sf_dir))
     assert "value_r" not in text and "collect_list" not in text
+
+
+def test_fasta_lines_are_not_shuffled(spark, sf_dir):
+    """A file's lines go to Python and out as tiles; shuffled are only pieces at the borders of ranges."""
+    text = plan(registry.queries()["s5_fasta_tiles"](spark, sf_dir))
+    shuffles = [line for line in text.splitlines() if "Exchange hash" in line or "Window" in line]
+    assert len(shuffles) == 1 and "of#" in shuffles[0]
