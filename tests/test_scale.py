@@ -113,3 +113,25 @@ def test_fasta_lines_are_not_shuffled(spark, sf_dir):
     text = plan(registry.queries()["s5_fasta_tiles"](spark, sf_dir))
     shuffles = [line for line in text.splitlines() if "Exchange hash" in line or "Window" in line]
     assert len(shuffles) == 1 and "of#" in shuffles[0]
+
+
+def test_pairs_move_once_to_their_scores(spark):
+    """Pairs and scores are by region: no join by region and spans shuffles them again, and the session keeps its setting."""
+    from coopspark.plans.stage import fewer_keys
+
+    pairs = spark.createDataFrame([(1, 0, 5, 9, 12)], "region bigint, start1 bigint, end1 bigint, start2 bigint, end2 bigint")
+    single = spark.createDataFrame([(1, 0, 5, [1.0]), (1, 9, 12, [2.0])], "region bigint, start_rel bigint, end_rel bigint, isa array<double>")
+    both = pairs.withColumn("isa", F.array(F.lit(4.0)))
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    small_ = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with fewer_keys(spark):
+            out = ablation._assembled(pairs, single, both, [0])
+            moved = [line.split("Exchange ")[1] for line in plan(out).splitlines() if "Exchange " in line]
+            assert [tuple(r) for r in out.collect()] == [(1, 0, 5, 9, 12, 1.0, 2.0, 4.0, -1.0)]
+        assert len(moved) == 4 and all("REPARTITION_BY" in m for m in moved), moved  # no join asks for one; the single scores are read by two
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small_)
+    assert spark.conf.get(name) == before
