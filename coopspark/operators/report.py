@@ -75,8 +75,9 @@ def pair_against_null(pairs: DataFrame, a: str, b: str, track: int, dist_min: in
     """One row: D, U, p-values and median shift of one pair, in either orientation, against all pairs in the distance window."""
     value = F.col(f"interaction_t{track}").alias("value")
     key = "|".join(sorted((a, b)))
-    own = pairs.where(canonical_pair(F.col("tf1"), F.col("tf2")) == key).select(F.lit(key).alias("name"), value)
-    null = pairs.where((F.col("distance") > dist_min) & (F.col("distance") <= dist_max)).select(value)
+    is_own, is_null = canonical_pair(F.col("tf1"), F.col("tf2")) == key, (F.col("distance") > dist_min) & (F.col("distance") <= dist_max)
+    read = written(pairs.select(value, is_own.alias("is_own"), is_null.alias("is_null")).where("is_own or is_null"))  # by ranks and medians: pairs may be scored as they are read
+    own, null = read.where("is_own").select(F.lit(key).alias("name"), "value"), read.where("is_null").select("value")
     middle = quantiles(own, "value", {"own__": 0.5}).crossJoin(quantiles(null, "value", {"null__": 0.5}))
     return with_p_values(rank_pass(own, null), p_values).crossJoin(F.broadcast(middle)).withColumn("shift", F.col("own__") - F.col("null__")).drop("own__", "null__")
 
