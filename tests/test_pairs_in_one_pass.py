@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from coopspark.operators import ablation
+from coopspark.operators import ablation, coop
 from coopspark.plans import pipeline_queries as queries
 
 CARRIED = "pass_threshold_t0"
@@ -45,3 +45,13 @@ def test_pairs_are_formed_and_scored_where_their_region_is(spark, sf_dir):
     assert "Window" not in text and text.count("SortMergeJoin") <= 2 and "lineitem" in text
     assert not any("seq" in line for line in text.splitlines() if "Exchange" in line)
     assert text.count("ArrowEvalPython") == 2  # one makes the sequences
+
+
+def test_only_positive_pairs_are_shuffled(spark, sf_dir, monkeypatch):
+    """Cooperativity reads the pairs as they are scored: no table of all pairs is written, and what isn't positive goes through no shuffle."""
+    monkeypatch.setattr(ablation, "written", None)
+    pairs = queries.rounded(queries._pairs(spark, sf_dir), "isa1_t0", "isa2_t0", "isa_both_t0", "interaction_t0", digits=9)
+    lines = plan(coop.positive_interactions(coop.passing_pairs(pairs, 0), 0)).splitlines()
+    moved = next(k for k, line in enumerate(lines) if "Exchange" in line)
+    assert not any("Filter" in line for line in lines[:moved]) and "Filter" in "".join(lines[moved:])
+    assert sum("ArrowEvalPython" in line for line in lines[moved:]) == 2
